@@ -43,6 +43,28 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f join h using (lang, source)
 """
 
+LINES = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(source, '') as site, coalesce(text, '') as text from documents
+), s as (
+  select rid, site, string_split(text, chr(10)) as raw from d
+), l as (
+  select rid, site, unnest(raw) as raw, unnest(range(len(raw))) as k from s
+), t as (
+  select *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line from l
+), n as (
+  select *, coalesce(lag(line) over w, chr(1)) || chr(2) || coalesce(lead(line) over w, chr(1)) as beside from t window w as (partition by rid order by k)
+), b as (
+  select line from n where line <> '' group by line having count(distinct site) >= 10 and 2 * count(distinct beside) >= count(*)
+), o as (
+  select n.*, n.line in (select line from b) as gone from n
+), a as (
+  select rid, count(*) filter (line <> '') as n_lines, count(*) filter (gone) as n_removed_lines,
+         coalesce(string_agg(raw, chr(10) order by k) filter (not gone), '') as kept from o group by rid
+)
+select doc_id, n_lines, n_removed_lines, sha256(kept) as kept_sha256 from a join d using (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": QUALITY}
+    return {"op9_line_dedup": LINES, "op10_quality_rules": QUALITY}
