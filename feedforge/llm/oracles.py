@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from feedforge.llm.licenses import MAX_SHIFT, MIN_SHARE, NOTICES, PHRASES
+
 QUALITY = r"""
 with d as (
   select row_number() over () as rid, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents
@@ -66,5 +68,31 @@ select doc_id, n_lines, n_removed_lines, sha256(kept) as kept_sha256 from a join
 """
 
 
+def _license_sql() -> str:
+    named = [(t, label, 1) for t, label in PHRASES.items()] + [(t, label, 0) for label, texts in NOTICES.items() for t in texts]
+    values = ", ".join(f"({i}, '{label}', {exact}, '{text}')" for i, (text, label, exact) in enumerate(named))
+    return f"""
+with t0(template, label, exact, text) as (values {values}),
+t1 as (select template, label, exact, string_split(text, ' ') as w from t0),
+t as (select template, label, exact, len(w) - 1 as pairs, unnest(range(1, len(w))) as place, w from t1),
+tp as (select template, label, exact, pairs, place, w[place] as a, w[place + 1] as b from t),
+d as (select row_number() over () as rid, doc_id, list_filter(string_split_regex(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+g0 as (select rid, unnest(range(1, len(w))) as i, w from d),
+g as (select rid, i, w[i] as a, w[i + 1] as b from g0),
+v as (select rid, template, label, exact, pairs, i - place as diagonal, count(*) as n from g join tp using (a, b) group by all),
+s0 as (select *, case when exact = 1 or diagonal - lag(diagonal) over k > {MAX_SHIFT} or lag(diagonal) over k is null then 1 else 0 end as step
+  from v window k as (partition by rid, template order by diagonal)),
+s1 as (select *, sum(step) over (partition by rid, template order by diagonal rows unbounded preceding) as span from s0),
+s as (select rid, template, label, exact, span, min(diagonal) as start, least(sum(n) / any_value(pairs), 1.0) as share from s1 group by all),
+f as (select *, exact = 1 and share >= 1 as base, (exact = 1 and share >= 1) or (exact = 0 and share >= {MIN_SHARE}) as found from s),
+r as (select rid, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+  string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (found) as labels,
+  max(share) filter (found) as score from f group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score from d left join r using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINES, "op10_quality_rules": QUALITY}
+    return {"op3_license_scan": _license_sql(), "op9_line_dedup": LINES, "op10_quality_rules": QUALITY}
