@@ -52,6 +52,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of whole texts holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def range_buckets(df: DataFrame, key: str, buckets: int) -> list[int]:
