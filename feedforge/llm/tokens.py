@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 REMEMBERED = 300_000
 
 #: White space as the tokenizers' patterns have it; Python's own class also holds 1C to 1F.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _UNSAFE = re.compile(r"\s ")
 _RUNS = re.compile(f"[^{_WS}]+")
