@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedforge.llm import bpe, licenses, lines, neardup, quality, tokenfile
+from feedforge.llm import bpe, licenses, lines, neardup, packing, quality, tokenfile
 from feedforge.llm.common import read, shared_folder
 
 
@@ -26,6 +26,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
@@ -42,4 +46,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_license_scan, op5_bpe_codec, op8_token_files, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_license_scan, op4_curve_packing, op5_bpe_codec, op8_token_files, op9_line_dedup, op10_quality_rules)}
