@@ -78,11 +78,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         )
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, sketch=_sketch) -> DataFrame:  # noqa: ANN001
     """doc_id, number of shingles, digest of the set, registers."""
     arrow_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(
-        partial(_sketch, width=width), "doc_id long, text_hash long, n long, digest binary, sketch binary"
+        partial(sketch, width=width), "doc_id long, text_hash long, n long, digest binary, sketch binary"
     )
 
 
@@ -124,11 +124,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Ite
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, test=_likely) -> DataFrame:  # noqa: ANN001
     """The pairs (a, b) that pass the size bound, the likelihood test and the comparison of full sets."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     rated = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    likely = checkpoint(rated.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(partial(_likely, limit=percent / 100), "a long, b long"))
+    likely = checkpoint(rated.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(partial(test, limit=percent / 100), "a long, b long"))
     # texts of the nodes in question only
     asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
     texts = docs.join(asked, ["node", "text_hash"], "left_semi")
@@ -152,10 +152,10 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(hubs, "bucket")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = WIDTH) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = WIDTH, sketch=_sketch, likely=_likely) -> DataFrame:  # noqa: ANN001
     """doc_id, n_shingles, component_id and kept for every row; documents link at `percent` similarity."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = checkpoint(sketches(base, "doc_id", "text", width))
+    known = checkpoint(sketches(base, "doc_id", "text", width, sketch))
     filled = known.filter("n > 0 and doc_id is not null")
     sets = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = checkpoint(sets.select("digest", "at.doc_id", "at.text_hash", "n", "sketch"))
@@ -164,7 +164,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
     shared = checkpoint(_shared(_buckets(nodes).select("node", "bucket")))
     stars = _ordered(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    links = _verified(stars, nodes, texts, percent, width)
+    links = _verified(stars, nodes, texts, percent, width, likely)
     known_comp = components(links)
 
     # where a bucket has several components, all pairs of different components
@@ -174,7 +174,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     narrow = open_.filter(F.col("size") <= WIDE)
     others = narrow.filter("component <> low").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
     cross = others.join(narrow.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")), "bucket").filter("ca <> cb")
-    more = _verified(_ordered(cross).join(stars, ["a", "b"], "left_anti"), nodes, texts, percent, width)
+    more = _verified(_ordered(cross).join(stars, ["a", "b"], "left_anti"), nodes, texts, percent, width, likely)
     blocked = checkpoint(_blocks(open_.filter(F.col("size") > WIDE), nodes, texts, percent, width))
     more = more.unionByName(blocked)
     final = components(links.unionByName(more))
