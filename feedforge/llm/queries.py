@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, packing, quality, tokenfile
+from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, packing, quality, tokenfile, toxicity
 from feedforge.llm.common import read, shared_folder
 
 
@@ -38,6 +38,11 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     tokenfile.write_ids(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -50,4 +55,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op8_token_files, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op8_token_files, op9_line_dedup, op10_quality_rules)}

@@ -20,6 +20,8 @@ _BASE = 0x9E3779B97F4A7C15
 _FOLD = _U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([not chr(b).isalnum() and b < 128 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER += 1
@@ -47,10 +49,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _hash_words(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a block that ends in white space, and the places where they start."""
+def _hash_words(block: bytes, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block that ends in a break, and the places where they start."""
     raw = np.frombuffer(block, np.uint8)
-    space = _SPACE[raw]
+    space = breaks[raw]
     before = np.concatenate(([True], space[:-1]))
     start = np.flatnonzero(~space & before)
     stop = np.flatnonzero(space & ~before)
@@ -72,7 +74,7 @@ def _pieces(texts: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
         yield i, text[at:]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, and where each text's begin (one entry more than texts)."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     group: list[tuple[int, bytes]] = []
@@ -81,7 +83,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         if not group:
             return
-        found, start = _hash_words(b" ".join(t for _, t in group) + b" ")
+        found, start = _hash_words(b" ".join(t for _, t in group) + b" ", breaks)
         ends = np.cumsum([len(t) + 1 for _, t in group])
         np.add.at(counts, [i for i, _ in group], np.diff(np.searchsorted(start, ends), prepend=0))
         hashes.append(found)
