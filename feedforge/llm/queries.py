@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, packing, quality, tokenfile, toxicity
+from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, packing, quality, repeats, tokenfile, toxicity
 from feedforge.llm.common import read, shared_folder
 
 
@@ -43,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"), digest=True).drop("text_hash")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     tokenfile.write_ids(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -55,4 +59,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op8_token_files, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_quality_rules)}
