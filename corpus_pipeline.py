@@ -1,9 +1,69 @@
-"""The training-data pipeline: quality rules, line dedup, near dedup, suffix-array dedup, packing."""
+"""From raw documents to packed training sequences.
+
+STAGES are functions of (spark, docs, sf_dir). All but the last return the columns of documents, and
+each works on what the one before has kept; `run` writes every stage's result to the shared folder
+and reads it again, so that a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from feedforge.llm.common import shared_folder
+from feedforge.llm.lines import dedup_lines
+from feedforge.llm.neardup import dedup_near
+from feedforge.llm.packing import pack_documents
+from feedforge.llm.quality import filter_quality
+from feedforge.llm.repeats import dedup_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fences of their language and source."""
+    return filter_quality(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without boilerplate lines; no document goes."""
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, at a similarity of 0.8."""
+    return dedup_near(docs, percent=80)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without byte strings that repeat; no document goes."""
+    return dedup_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids along the curve."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("packing", packing),
+]
+
+#: Suffix arrays, near copies and packing have no SQL form; tests/llm compares with brute force.
+ORACLE_SQL = None
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the table of documents."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}-{name}")
+            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    return docs
