@@ -129,7 +129,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     rated = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     likely = checkpoint(rated.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(partial(test, limit=percent / 100), "a long, b long"))
-    # texts of the nodes in question only
     asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
     texts = docs.join(asked, ["node", "text_hash"], "left_semi")
     whole = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
@@ -163,6 +162,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     texts = base.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("text_hash"))
 
     shared = checkpoint(_shared(_buckets(nodes).select("node", "bucket")))
+    # texts of the nodes that share a bucket, shuffled once for all comparisons
+    asked = shared.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
+    texts = checkpoint(texts.join(asked, ["node", "text_hash"], "left_semi"))
     stars = _ordered(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = _verified(stars, nodes, texts, percent, width, likely)
     known_comp = components(links)
@@ -230,7 +232,7 @@ def _blocks(wide: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, w
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One document of each near-duplicate class, with all its columns; of rows with one id and text, one stays."""
+    """One document of each near-duplicate class, with all its columns; of rows with one id, one stays, and rows without an id all stay."""
     key = fresh(docs, "id")
     kept = classes(docs, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias(key)).distinct()
     out = docs.join(kept, docs[id_col].eqNullSafe(kept[key]), "left_semi")
