@@ -234,6 +234,6 @@ def _blocks(wide: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, w
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One document of each near-duplicate class, with all its columns; of rows with one id, one stays, and rows without an id all stay."""
     key = fresh(docs, "id")
-    kept = classes(docs, id_col, text_col, percent).filter("kept").select(F.col("doc_id").alias(key)).distinct()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept[key]), "left_semi")
-    return out.dropDuplicates([id_col])
+    kept = classes(docs, id_col, text_col, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.join(kept, docs[id_col].cast("long") == kept[key], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
