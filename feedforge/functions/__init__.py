@@ -1 +1 @@
-
+"""Column functions; each takes and returns a Column."""
