@@ -58,7 +58,7 @@ def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int
     first = index.docs.select("doc_ix").orderBy("doc_ix").limit(top_k)
     free = short.crossJoin(F.broadcast(first)).join(best.select("__row", "doc_ix"), ["__row", "doc_ix"], "left_anti")
     fill = Window.partitionBy("__row").orderBy("doc_ix")
-    filled = free.withColumn("rank", F.row_number().over(fill) + F.col("__n")).filter(F.col("rank") <= top_k)
+    filled = free.withColumn("rank", (F.row_number().over(fill) + F.col("__n")).cast("int")).filter(F.col("rank") <= top_k)
     both = best.select("__row", "doc_ix", "score", "rank").unionByName(filled.select("__row", "doc_ix", F.lit(0.0).alias("score"), "rank"))
     return both.withColumnRenamed("__row", row)
 

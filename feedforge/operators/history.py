@@ -43,7 +43,8 @@ def fixed_history(df: DataFrame, cutoff, size: int | None, user: str, time: str,
     fields = [time, *([tie] if tie else []), *[i for i in items if i not in (time, tie)]]
     grouped = old.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__all"))
     kept = grouped.withColumn("__all", tail(F.col("__all"), size) if size else F.col("__all"))
-    return kept.select(user, *[F.transform("__all", lambda s, i=i: s[i]).alias(f"{i}_fixed") for i in items])
+    field = lambda i: F.transform("__all", lambda s: s[i]).alias(f"{i}_fixed")
+    return kept.select(user, *[field(i) for i in items])
 
 
 def join_history(behaviors: DataFrame, histories: DataFrame, user: str, how: str = "left") -> DataFrame:
