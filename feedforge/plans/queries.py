@@ -13,6 +13,7 @@ from feedforge.functions import text as X
 from feedforge.operators import bm25, bootstrap, evaluate, history, labelling, popularity, ranking, sampling, split, validate, vectors
 from feedforge.operators import describe as D
 from feedforge.plans import tables as T
+from feedforge.streaming.popularity import windowed_popularity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -727,6 +728,11 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("select epoch_us(time_bucket(interval 1 hour, ts)) as window_start, event_type, count(*) as n from events group by all", views=False)
+def popularity_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windowed_popularity(T.read(spark, d, "events")).select(F.unix_micros("window_start").alias("window_start"), "event_type", "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

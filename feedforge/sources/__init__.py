@@ -1 +1 @@
-
+"""Readers and writers."""

@@ -1 +1 @@
-
+"""Running versions of the batch operators on event streams."""
