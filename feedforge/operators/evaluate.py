@@ -76,21 +76,21 @@ def evaluate(ranked: DataFrame, rows: DataFrame, catalog: DataFrame, popularity:
 def toolbox_metrics(predictions: DataFrame, row: str, threshold: float = 0.5, k: int = 5) -> DataFrame:
     """One row: means over rows of AUC, MRR over all clicks, nDCG@k, log loss, RMSE, accuracy and F1."""
     w = Window.partitionBy(row).orderBy(F.desc("p"), F.desc("pos"))
-    t = predictions.withColumns({"rank": F.row_number().over(w), "tied": average_tie_rank("p", row), "hard": (F.col("p") >= threshold).cast("int"), "clip": F.greatest(F.least("p", F.lit(1 - 1e-11)), F.lit(1e-11))})
+    t = predictions.withColumns({"__rank": F.row_number().over(w), "__tied": average_tie_rank("p", row), "__hard": (F.col("p") >= threshold).cast("int"), "__clip": F.greatest(F.least("p", F.lit(1 - 1e-11)), F.lit(1e-11))})
     y, n = F.col("y"), F.count(F.lit(1))
     pos = F.sum(y)
-    true_pos = F.sum(y * F.col("hard"))
+    true_pos = F.sum(y * F.col("__hard"))
     wi = Window.partitionBy(row).orderBy(F.desc("y"), "pos")
-    t = t.withColumn("ideal", F.row_number().over(wi))
+    t = t.withColumn("__ideal", F.row_number().over(wi))
     gain = lambda r: F.sum(F.when(F.col(r) <= k, (F.pow(F.lit(2.0), y) - 1) / F.log2(F.col(r) + 1.0)).otherwise(0.0))
     per = t.groupBy(row).agg(
-        ((F.sum(F.when(y == 1, F.col("tied"))) - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0))).alias("auc"),
-        (F.sum(y / F.col("rank")) / F.nullif(pos, F.lit(0))).alias("mrr"),
-        (gain("rank") / F.nullif(gain("ideal"), F.lit(0.0))).alias("ndcg"),
-        F.avg(-(y * F.log("clip") + (1 - y) * F.log(1 - F.col("clip")))).alias("log_loss"),
+        ((F.sum(F.when(y == 1, F.col("__tied"))) - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0))).alias("auc"),
+        (F.sum(y / F.col("__rank")) / F.nullif(pos, F.lit(0))).alias("mrr"),
+        (gain("__rank") / F.nullif(gain("__ideal"), F.lit(0.0))).alias("ndcg"),
+        F.avg(-(y * F.log("__clip") + (1 - y) * F.log(1 - F.col("__clip")))).alias("log_loss"),
         F.sqrt(F.avg(F.pow(y - F.col("p"), 2))).alias("rmse"),
-        F.avg((y == F.col("hard")).cast("int")).alias("accuracy"),
-        F.coalesce(2 * true_pos / F.nullif(pos + F.sum("hard"), F.lit(0)), F.lit(0.0)).alias("f1"),
+        F.avg((y == F.col("__hard")).cast("int")).alias("accuracy"),
+        F.coalesce(2 * true_pos / F.nullif(pos + F.sum("__hard"), F.lit(0)), F.lit(0.0)).alias("f1"),
     )
     return per.agg(*[F.avg(c).alias(c) for c in per.columns if c != row])
 
@@ -104,11 +104,11 @@ def strict_auc(predictions: DataFrame, row: str) -> DataFrame:
     """row, auc: share of click and non-click pairs in the right order; ties count as wrong."""
     low = F.rank().over(Window.partitionBy(row).orderBy("p"))
     # a click beats the non-clicks under it: rows of lower score, less the clicks among them
-    below = predictions.withColumn("r", low)
+    below = predictions.withColumn("__low", low)
     pos_below = F.coalesce(F.sum("y").over(Window.partitionBy(row).orderBy("p")) - F.sum("y").over(Window.partitionBy(row, "p")), F.lit(0))
-    wins = below.withColumn("w", F.when(F.col("y") == 1, F.col("r") - 1 - pos_below).otherwise(0))
+    wins = below.withColumn("__wins", F.when(F.col("y") == 1, F.col("__low") - 1 - pos_below).otherwise(0))
     pos, n = F.sum("y"), F.count(F.lit(1))
-    return wins.groupBy(row).agg((F.sum("w") / F.nullif(pos * (n - pos), F.lit(0))).alias("auc"))
+    return wins.groupBy(row).agg((F.sum("__wins") / F.nullif(pos * (n - pos), F.lit(0))).alias("auc"))
 
 
 def index_of_dispersion(df: DataFrame, col: str) -> DataFrame:
