@@ -80,3 +80,24 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
         return F.when(key > F.lit(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
 
     return search(0, len(bounds))
+
+
+def flag_members(df: DataFrame, key: Column, keys: DataFrame, name: str, most_bits: int = 1 << 26) -> DataFrame:
+    """df with a boolean column: false only where the 64-bit key is certainly not among the keys (one long column).
+
+    The keys become a bitmap of eight bits each or more, up to `most_bits`, so that what is broadcast
+    has at most 8 MB at any scale; beyond that the flag is true more often and never wrong.
+    """
+    bits = 1 << 15
+    n = keys.count()
+    while bits < min(8 * n, most_bits):
+        bits *= 2
+    place = lambda k: F.pmod(k, F.lit(bits))
+    set_ = keys.select(place(F.col(keys.columns[0])).alias("p"))
+    maps = set_.groupBy(F.expr("p div 32768").alias("__bucket")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("__bits"))
+    at = fresh(df, "at")
+    placed = df.withColumn(at, place(key))
+    joined = placed.join(F.broadcast(maps), F.expr(f"`{at}` div 32768") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((`{at}` % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    on = F.expr(f"shiftleft(1, cast(`{at}` % 8 as int))")
+    return joined.withColumn(name, F.coalesce(byte.bitwiseAND(on) != 0, F.lit(False))).drop(at, "__bucket", "__bits")

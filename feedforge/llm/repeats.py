@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches, checkpoint, fresh
+from feedforge.llm.common import arrow_batches, checkpoint, flag_members, fresh
 from feedforge.llm.shingles import mix, powers
 from feedforge.llm.suffix import permuted_common_prefixes, suffix_array
 
@@ -192,25 +192,30 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, wide: int = WIDE) -> DataFrame:
-    """doc_id, text_hash, lo, hi: first and last window of each run of repeated windows of docs(doc_id, text_hash, text)."""
+    """doc_id, text_hash, runs of the rows of docs(doc_id, text_hash, text) that have repeats: each run's first and last window, in 32 bits each."""
     row = docs.select("doc_id", "text_hash", "text").mapInArrow(partial(_anchored, length=length), "doc_id long, text_hash long, anchor array<long>, slice array<long>, first array<int>, windows array<int>")
-    packed = checkpoint(row.filter(F.size("anchor") > 0))
-    often = packed.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    every = packed.select("doc_id", "text_hash", F.inline(F.arrays_zip("anchor", "slice", "first", "windows")))
+    # the numbers of rows are fixed by the checkpoint; each is one word where id and hash are two
+    packed = checkpoint(row.filter(F.size("anchor") > 0).withColumn("rid", F.monotonically_increasing_id()))
+    # a table of its own, so that a skewed join with it can be split
+    often = checkpoint(packed.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
+    every = packed.select("rid", F.inline(F.arrays_zip("anchor", "slice", "first", "windows")))
     twice = checkpoint(every.join(often, "anchor"))
 
-    kinds = twice.groupBy("anchor", "slice").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "windows")).alias("at"))
+    kinds = twice.groupBy("anchor", "slice").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("at"))
     kinds = checkpoint(kinds.select("anchor", "slice", "n", "at.*"))
     per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     counted = kinds.join(per, "anchor")
     alone = counted.filter("kinds = 1").select("anchor", "slice", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"))
 
     several = counted.filter("kinds > 1")
-    asked = several.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked"))
-    texts = docs.join(asked, docs["doc_id"].eqNullSafe(asked["doc_id"]) & (docs["text_hash"] == asked["text_hash"])).select("text", "asked")
+    names = packed.select("rid", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    asked = several.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked")).join(names, "rid")
+    asked = checkpoint(asked)
+    # most texts are not asked for and need no shuffle
+    near = flag_members(docs, _row_key("doc_id", "text_hash"), asked.select(_row_key("i", "h")), "__asked").filter("__asked")
+    texts = near.join(asked, near["doc_id"].eqNullSafe(asked["i"]) & (near["text_hash"] == asked["h"])).select("text", "asked")
     cut = texts.mapInArrow(partial(_pieces, length=length), "anchor long, slice long, n long, data binary")
-    crowd = per.filter(F.col("kinds") > wide).select("anchor")
-    crowded = checkpoint(crowd).select("anchor")
+    crowded = checkpoint(per.filter(F.col("kinds") > wide).select("anchor"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if crowded.isEmpty():
         usual, rest = cut, None
@@ -224,16 +229,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTE
         seen = windows.groupBy("anchor", "window").agg(F.sum("n").alias("c")).filter("c > 1").select("anchor", "window")
         found = found.unionByName(windows.join(seen, ["anchor", "window"]).select("anchor", "slice", F.col("at").alias("lo"), F.col("at").alias("hi")))
     found = checkpoint(found)
-    return twice.join(found, ["anchor", "slice"]).select("doc_id", "text_hash", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    # a run is one word: its first window above, its last below
+    run = F.shiftleft((F.col("first") + F.col("lo")).cast("long"), 32) + F.col("first") + F.col("hi")
+    hit = twice.join(found, ["anchor", "slice"]).select("rid", run.alias("run"))
+    runs = hit.groupBy("rid").agg(F.collect_list("run").alias("runs"))
+    # repeated rows have the same runs
+    rows = packed.groupBy("doc_id", "text_hash").agg(F.min("rid").alias("rid"))
+    return checkpoint(runs.join(rows, "rid").select("doc_id", "text_hash", "runs"))
 
 
-def _kept(text: bytes, runs: list[dict] | None, length: int) -> tuple[bytes, int, int]:
+def _kept(text: bytes, runs: np.ndarray | None, length: int) -> tuple[bytes, int, int]:
     """What is left, bytes removed, maximal removed runs."""
-    if not runs:
+    if runs is None or not len(runs):
         return text, 0, 0
     edge = np.zeros(len(text) + 1, np.int32)
-    np.add.at(edge, [r["lo"] for r in runs], 1)
-    np.add.at(edge, [r["hi"] + length for r in runs], -1)
+    np.add.at(edge, runs >> 32, 1)
+    np.add.at(edge, (runs & 0xFFFFFFFF) + length, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1).sum())
 
@@ -241,38 +252,53 @@ def _kept(text: bytes, runs: list[dict] | None, length: int) -> tuple[bytes, int
 def _cleaned(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *keys, texts, runs = batch.columns
-        done = [_kept(t or b"", r, length) for t, r in zip(texts.cast(pa.binary()).to_pylist(), runs.to_pylist(), strict=True)]
-        sizes = [pa.array([len(x or b"") for x in texts.cast(pa.binary()).to_pylist()], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())]
+        raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+        done = [_kept(t, None if r is None else np.array(r, np.int64), length) for t, r in zip(raw, runs.to_pylist(), strict=True)]
+        sizes = [pa.array([len(x) for x in raw], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())]
         last = [hashlib.sha256(d[0]).hexdigest() for d in done] if digest else [d[0].decode("utf-8", "ignore") for d in done]
         yield pa.RecordBatch.from_arrays([*keys, *sizes, pa.array(last, pa.string())], names=["doc_id", "text_hash", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _hash(text: Column) -> Column:
-    return F.xxhash64(text)
+def _row_key(doc_id: str, text_hash: str) -> Column:
+    return F.xxhash64(doc_id, text_hash)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """A row for each row: doc_id, n_bytes, n_removed, n_spans, and the text kept or its digest."""
     arrow_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    runs = repeats(base, length).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).withColumnsRenamed({"doc_id": "i", "text_hash": "h"})
-    both = base.join(runs, base["doc_id"].eqNullSafe(runs["i"]) & (base["text_hash"] == runs["h"]), "left").select("doc_id", "text_hash", "text", "runs")
+    base = _keyed(docs, id_col, text_col)
+    runs = repeats(base, length).withColumnsRenamed({"doc_id": "i", "text_hash": "h"})
+    flagged = flag_members(base, _row_key("doc_id", "text_hash"), runs.select(_row_key("i", "h")), "some")
+    some, whole = flagged.filter("some").drop("some"), flagged.filter("not some")
+    both = some.join(runs, some["doc_id"].eqNullSafe(runs["i"]) & (some["text_hash"] == runs["h"]), "left").select("doc_id", "text_hash", "text", "runs")
     out = both.mapInArrow(partial(_cleaned, length=length, digest=digest), "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept string")
+    text = F.coalesce("text", F.lit(""))
+    kept = F.sha2(text, 256) if digest else text
+    # texts without repeats are not shuffled
+    rest = whole.select("doc_id", "text_hash", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), kept.alias("kept"))
+    out = out.unionByName(rest)
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
 
 def dedup_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without repeated strings, with all their columns."""
     arrow_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    i, h, r = fresh(docs, "id"), fresh(docs, "hash"), fresh(docs, "runs")
-    runs = repeats(base, length).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias(r)).withColumnsRenamed({"doc_id": i, "text_hash": h})
-    both = docs.join(runs, docs[id_col].eqNullSafe(runs[i]) & (_hash(docs[text_col]) == runs[h]), "left")
+    i, h, r, some = (fresh(docs, x) for x in ("id", "hash", "runs", "some"))
+    runs = repeats(_keyed(docs, id_col, text_col), length).withColumnsRenamed({"doc_id": i, "text_hash": h, "runs": r})
+    key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    flagged = flag_members(docs, key, runs.select(_row_key(i, h)), some)
+    near = flagged.filter(some)
+    both = near.join(runs, near[id_col].cast("long").eqNullSafe(runs[i]) & (F.xxhash64(near[text_col]) == runs[h]), "left")
 
     @F.pandas_udf("string")
     def left(text, found):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([t if x is None else _kept(t.encode(), list(x), length)[0].decode("utf-8", "ignore") for t, x in zip(text, found, strict=True)])
+        return pd.Series([t if x is None else _kept(t.encode(), np.array(x, np.int64), length)[0].decode("utf-8", "ignore") for t, x in zip(text, found, strict=True)])
 
-    return both.withColumn(text_col, F.when(F.col(r).isNull(), F.col(text_col)).otherwise(left(F.col(text_col), F.col(r)))).drop(i, h, r)
+    cleaned = both.withColumn(text_col, F.when(F.col(r).isNull(), F.col(text_col)).otherwise(left(F.col(text_col), F.col(r)))).drop(i, h, r)
+    return cleaned.unionByName(flagged.filter(~F.col(some))).drop(some)
