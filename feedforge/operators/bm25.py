@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedforge.functions.scalars import bm25_idf, bm25_term
-from feedforge.functions.text import tokens
+from feedforge.functions.text import STOPWORDS, TOKEN, tokens
 
 
 @dataclass(frozen=True)
@@ -28,9 +28,14 @@ def build_index(corpus: DataFrame, doc_ix: str, text: str, k1: float = 1.5, b: f
     A raw idf below zero becomes `epsilon` times the mean raw idf over distinct terms; the average
     length counts empty documents.
     """
-    toks = corpus.select(F.col(doc_ix).alias("doc_ix"), tokens(F.col(text), remove_stopwords).alias("toks"))
-    docs = toks.select("doc_ix", F.size("toks").alias("dl"))
-    postings = toks.select("doc_ix", F.explode("toks").alias("term")).groupBy("term", "doc_ix").agg(F.count(F.lit(1)).alias("tf")).persist()
+    # words are lowered and stop words dropped after the explode, where both are generated code
+    each = corpus.select(F.col(doc_ix).alias("doc_ix"), F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1))).alias("raw"))
+    words = each.select("doc_ix", F.lower("raw").alias("term"))
+    if remove_stopwords:
+        words = words.filter((F.length("term") > 1) & ~F.col("term").isin(STOPWORDS))
+    postings = words.groupBy("term", "doc_ix").agg(F.count(F.lit(1)).alias("tf")).persist()
+    lengths = postings.groupBy("doc_ix").agg(F.sum("tf").alias("dl"))
+    docs = corpus.select(F.col(doc_ix).alias("doc_ix")).join(lengths, "doc_ix", "left").select("doc_ix", F.coalesce("dl", F.lit(0)).alias("dl"))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).withColumn("raw", bm25_idf(F.col("n_docs"), F.col("df")))
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
@@ -46,9 +51,10 @@ def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int
     needed, so the filling joins against those alone.
     """
     wanted = queries.select(F.col(row).alias("__row"), F.explode(F.array_distinct(tokens(F.col(text), remove_stopwords))).alias("term"))
-    weighted = index.postings.join(index.terms, "term").join(index.docs, "doc_ix")
+    # the queries' terms cut the postings down before anything else is joined
+    weighted = index.postings.join(wanted, "term").join(index.terms, "term").join(index.docs, "doc_ix")
     part = bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
-    hits = weighted.join(wanted, "term").groupBy("__row", "doc_ix").agg(F.round(F.sum(part), 9).alias("score")).filter("score <> 0")
+    hits = weighted.groupBy("__row", "doc_ix").agg(F.round(F.sum(part), 9).alias("score")).filter("score <> 0")
     w = Window.partitionBy("__row").orderBy(F.desc("score"), "doc_ix")
     best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
     if not zero_fill:
