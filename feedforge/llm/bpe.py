@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.llm.common import arrow_batches
-from feedforge.llm.tokens import CachedEncoder, byte_pieces, texts_of
+from feedforge.llm.tokens import CachedEncoder, byte_keys, byte_piece, texts_of
 
 # Fixed value: the pattern that cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -190,7 +190,7 @@ _loaded: dict[str, tuple[Vocabulary, CachedEncoder]] = {}
 def loaded(path: str) -> tuple[Vocabulary, CachedEncoder]:
     if path not in _loaded:
         v = Vocabulary(path)
-        _loaded[path] = v, CachedEncoder(byte_pieces, piece_encoder(v))
+        _loaded[path] = v, CachedEncoder(byte_keys, byte_piece, piece_encoder(v))
     return _loaded[path]
 
 

@@ -129,7 +129,7 @@ def _segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every text with a byte-level BPE and write the table of segments."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, 600)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     coded = base.mapInArrow(partial(encode_batches, path=tokenizer, kind="byte", end=end_id.to_bytes(2, "little")), "doc_id long, ids binary")
     placed = _in_order(coded, base)
