@@ -26,23 +26,24 @@ def temporal_split(df: DataFrame, time_col: str, val_days: int = 2, test_days: i
     """A column split: test and val are the last days, bounds included; all else is train.
 
     Where val or test would be empty, rows go by their share instead: a time's last row index over
-    the number of rows decides, so that equal times are never parted.
+    the number of rows decides, so that equal times are never parted. The bounds are found first,
+    in two one-row aggregates, so that the column compares with constants and can be pushed down.
     """
-    t = F.col(time_col)
-    last = df.agg(F.max(t).alias("m")).select((F.col("m") - F.make_dt_interval(F.lit(test_days))).alias("__test"), (F.col("m") - F.make_dt_interval(F.lit(val_days + test_days))).alias("__val"))
-    dated = df.crossJoin(F.broadcast(last))
-    by_days = F.when(t >= F.col("__test"), "test").when(t >= F.col("__val"), "val").otherwise("train")
-    counts = dated.agg(F.count_if((t >= F.col("__val")) & (t < F.col("__test"))).alias("__nv"), F.count_if(t >= F.col("__test")).alias("__nt"), F.count(F.lit(1)).alias("__n"))
+    t, kind = F.col(time_col), dict(df.dtypes)[time_col]
+    last = F.max(t)
+    ends = df.agg(*[(last - F.make_dt_interval(F.lit(n))).cast("string") for n in (test_days, val_days + test_days)]).first()
+    test, val = (F.lit(e).cast(kind) for e in ends)
+    n, n_val, n_test = df.agg(F.count(F.lit(1)), F.count_if((t >= val) & (t < test)), F.count_if(t >= test)).first()
+    if n_val and n_test or not n:
+        return df.withColumn("split", F.when(t >= test, "test").when(t >= val, "val").otherwise("train"))
     times = df.groupBy(t.alias("__t")).agg(F.count(F.lit(1)).alias("__c")).withColumn("__day", F.to_date("__t"))
     days = times.groupBy("__day").agg(F.sum("__c").alias("__dc"))
     before = days.select(F.col("__day").alias("__d"), (F.sum("__dc").over(Window.orderBy("__day")) - F.col("__dc")).alias("__before"))
     inner = Window.partitionBy("__day").orderBy("__t")
     place = times.withColumn("__in", F.sum("__c").over(inner)).join(before, F.col("__day") == F.col("__d")).select("__t", (F.col("__in") + F.col("__before") - 1).alias("__g"))
-    share = F.col("__g") / F.col("__n")
+    share = F.col("__g") / F.lit(n)
     by_share = F.when(share < ratios[0], "train").when(share < ratios[0] + ratios[1], "val").otherwise("test")
-    both = dated.crossJoin(F.broadcast(counts)).join(place, t == F.col("__t"), "left")
-    split = F.when((F.col("__nv") > 0) & (F.col("__nt") > 0), by_days).otherwise(by_share)
-    return both.withColumn("split", split).drop("__test", "__val", "__nv", "__nt", "__n", "__t", "__g")
+    return df.join(place, t == F.col("__t"), "left").withColumn("split", by_share).drop("__t", "__g")
 
 
 def split_counts(df: DataFrame) -> DataFrame:
