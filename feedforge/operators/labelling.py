@@ -38,8 +38,10 @@ def unique_ids(df: DataFrame, *cols: str) -> DataFrame:
 def id_index(df: DataFrame, col: str, name: str = "ix", slots: int = 64) -> DataFrame:
     """Distinct ids with 0-based numbers in ascending order, numbered inside ranges of the ids."""
     ids = df.select(col).distinct()
-    bounds = [b for b in (ids.agg(F.percentile_approx(col, [i / slots for i in range(1, slots)], F.lit(1000)).alias("q")).first()["q"] or [])]
-    slot = reduce(lambda c, b: c + (F.col(col) > F.lit(b)).cast("int"), sorted(set(bounds)), F.lit(0))
+    # bounds of the ranges come from a fixed number of ids, the first by their hash
+    few = sorted(r[0] for r in ids.filter(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(64 * slots).collect())
+    bounds = sorted({few[i * len(few) // slots] for i in range(1, slots)}) if few else []
+    slot = reduce(lambda c, b: c + F.coalesce((F.col(col) > F.lit(b)).cast("int"), F.lit(0)), bounds, F.lit(0))
     ranged = ids.withColumn("__slot", slot)
     before = ranged.groupBy("__slot").agg(F.count(F.lit(1)).alias("__c")).select(F.col("__slot").alias("__s"), (F.sum("__c").over(Window.orderBy("__slot")) - F.col("__c")).alias("__before"))
     rn = F.row_number().over(Window.partitionBy("__slot").orderBy(col)) - 1
