@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from feedforge.functions.lists import cosine_distance, dot, norm
 
 
+#: Vectors up to this size are averaged as columns, so that rows need not be exploded.
+WIDE = 256
+
+
 def vector_problems(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """One row of counts: vectors, missing, empty, of other sizes, not finite, and repeated keys."""
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -47,8 +51,13 @@ def mean_pool(items: DataFrame, vectors: DataFrame, row: str, item: str, vector:
     """
     joined = items.select(F.col(row).alias("__row"), item).join(vectors, item)
     n = joined.groupBy("__row").agg(F.count(F.lit(1)).alias("n_used"))
-    cell = joined.select("__row", F.posexplode(vector).alias("p", "x")).groupBy("__row", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    pooled = cell.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("vector"))
+    width = vectors.agg(F.max(F.size(vector))).first()[0] or 0
+    if 0 < width <= WIDE:
+        cells = [F.avg(F.get(F.col(vector), i).cast("double")).alias(f"__{i}") for i in range(width)]
+        pooled = joined.groupBy("__row").agg(*cells).select("__row", F.array(*[f"__{i}" for i in range(width)]).alias("vector"))
+    else:
+        cell = joined.select("__row", F.posexplode(vector).alias("p", "x")).groupBy("__row", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        pooled = cell.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("vector"))
     if normalize:
         size = norm(F.col("vector"))
         pooled = pooled.withColumn("vector", F.when(size > 0, F.transform("vector", lambda x: x / size)))
