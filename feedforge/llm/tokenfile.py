@@ -33,7 +33,7 @@ from feedforge.llm.tokens import encode_batches
 MAGIC = b"DAC1"
 RANK_BITS = 512
 #: Ids after which a segment ends; a longer document is one segment.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 
 
 def pack(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
