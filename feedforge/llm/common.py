@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable
 
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+#: Gives freed memory back to the system, where the C library can, for workers that idle between tasks.
+give_back = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder in spark.checkpoint.dir, eagerly.
 

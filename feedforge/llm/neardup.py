@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches, checkpoint, fresh
+from feedforge.llm.common import arrow_batches, checkpoint, fresh, give_back
 from feedforge.llm.graph import components
 from feedforge.llm.shingles import WIDTH, jaccard_counts, minima, shingle_sets
 
@@ -76,6 +76,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([x.tobytes() for x in levels], pa.binary())],
             names=["doc_id", "text_hash", "n", "digest", "sketch"],
         )
+        give_back(0)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, sketch=_sketch) -> DataFrame:  # noqa: ANN001
@@ -122,6 +123,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Ite
             both, either = jaccard_counts(sets[i], sets[k])
             ok.append(100 * both >= percent * either)
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        give_back(0)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, test=_likely) -> DataFrame:  # noqa: ANN001
@@ -197,6 +199,7 @@ def _links_of_block(table: pa.Table, percent: int, width: int) -> pa.Table:
     sizes = np.array([len(x) for x in sets])
     right = np.flatnonzero(upper)
     found: list[tuple[int, int]] = []
+    give_back(0)
     if len(right):
         values, flat = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(sizes)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches, checkpoint, flag_members, fresh
+from feedforge.llm.common import arrow_batches, checkpoint, flag_members, fresh, give_back
 from feedforge.llm.shingles import mix, powers
 from feedforge.llm.suffix import permuted_common_prefixes, suffix_array
 
@@ -120,6 +120,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             [batch.column(0), batch.column(1), *(as_list(xs, kind) for xs, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))],
             names=["doc_id", "text_hash", "anchor", "slice", "first", "windows"],
         )
+        give_back(0)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -175,6 +176,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) ->
             if size >= shard_bytes and row[0] != held[-1][0]:
                 yield done()
                 held, size = [], 0
+                give_back(0)
             held.append(row)
             size += len(row[3])
     if held:

@@ -7,7 +7,6 @@ a word BPE that drops white space never joins anything across it. Ids of a piece
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -17,12 +16,11 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
+from feedforge.llm.common import give_back
 from feedforge.llm.shingles import mix, powers
 
 # every core has a task of its own, and each thread of the library would hold memory of its own
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Gives freed memory back to the system, where the C library can; workers idle between tasks.
-_give_back = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 #: Pieces that a worker remembers; past that it keeps those of the last batch only.
 REMEMBERED = 300_000
@@ -180,7 +178,7 @@ class BlockEncoder:
             size += len(raws[i])
         if group:
             self._block(raws, group, out)
-        _give_back(0)
+        give_back(0)
         return out
 
     def _learn(self, raw: bytes, letter: np.ndarray, keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
