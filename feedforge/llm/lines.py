@@ -1,12 +1,13 @@
-"""Line dedup by distinct-site spread (operator 9), in DataFrame functions.
+"""Line dedup by distinct-site spread (operator 9).
 
-Lines are compared after trimming ASCII white space; blank lines are never removed. For each line
-the number of sites (the source column) that show it, and the number of different neighbourhoods
-(previous and next line) it stands in, are HyperLogLog sketches merged by aggregation. A line is
-boilerplate when its spread reaches `min_sites` and at least half of its places have a
-neighbourhood of their own: copied documents repeat a line together with its neighbours and are
-left to document dedup. Lines whose estimate is close to either limit get exact distinct counts,
-so that the verdict does not depend on the sketch's error. Boilerplate goes everywhere.
+Lines are compared after trimming ASCII white space; blank lines are never removed. A line is
+boilerplate when its spread reaches `min_sites`: the number of different sites (the source column)
+that show it in documents that are not copies of each other. Each class of near copies (operator 1,
+at a similarity of 0.8) counts for one of the sites where it shows the line, so copies neither add
+spread nor take any from other documents, and are left to document dedup. Only documents with a line
+that could reach the limit are compared. Spreads are HyperLogLog sketches merged by aggregation;
+lines whose estimate is close to the limit get exact distinct counts, so that the verdict does not
+depend on the sketch's error. Boilerplate goes everywhere.
 
 Edge cases: null and empty texts have no lines and stay as they are; a null site counts as '';
 repeated rows count as places of the same line; an empty table gives an empty result. A document
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedforge.llm import neardup
 from feedforge.llm.common import checkpoint, fresh
 
 #: Sites that must show a line before it counts as boilerplate.
@@ -26,6 +28,8 @@ MIN_SITES = 10
 LG_K = 10
 #: Estimates within this share of a limit are counted exactly: five standard errors and more.
 NEAR = 0.15
+#: Similarity from which documents count as copies of each other, in per cent.
+COPIES = 80
 
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -35,44 +39,49 @@ def _trimmed(text: Column) -> Column:
 
 
 def line_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """A row for each line with text: document, text hash, place, line hash, site and neighbourhood."""
+    """A row for each line with text: document, text hash, place, line hash and site."""
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"), F.transform(_trimmed(F.col(text_col)), lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("hashes")
     )
-    near = lambda k: F.coalesce(F.get("hashes", k), F.lit(1).cast("long"))
-    each = F.transform(
-        "hashes",
-        lambda h, k: F.struct(
-            k.alias("place"), h.alias("line"), F.xxhash64(F.when(k > 0, near(k - 1)).otherwise(F.lit(1).cast("long")), near(k + 1)).alias("beside")
-        ),
-    )
+    each = F.transform("hashes", lambda h, k: F.struct(k.alias("place"), h.alias("line")))
     return base.select("doc_id", "text_hash", "site", F.inline(F.filter(each, lambda e: e["line"] != 0)))
 
 
-def boilerplate(places: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes of the lines that are boilerplate."""
-    frequent = places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites)
-    seen = places.join(frequent, "line")
-    est = seen.groupBy("line").agg(
-        F.max("n").alias("n"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("beside", F.lit(LG_K))).alias("contexts"),
-    )
-    half = F.col("n") / 2
-    close = lambda x, limit: F.abs(x - limit) <= F.greatest(limit * NEAR, F.lit(2))
-    unsure = (close(F.col("sites"), F.lit(min_sites)) & (F.col("contexts") >= half * (1 - NEAR) - 2)) | (close(F.col("contexts"), half) & (F.col("sites") >= min_sites * (1 - NEAR) - 2))
-    est = est.withColumn("unsure", unsure)
-    sure = est.filter(~F.col("unsure") & (F.col("sites") >= min_sites) & (F.col("contexts") >= half)).select("line")
-    again = places.join(est.filter("unsure").select("line", "n"), "line")
-    exact = lambda c, name: again.select("line", "n", c).distinct().groupBy("line", "n").agg(F.count(F.lit(1)).alias(name))
-    counted = exact("site", "sites").join(exact("beside", "contexts"), ["line", "n"]).filter((F.col("sites") >= min_sites) & (F.col("contexts") >= F.col("n") / 2))
+def candidates(places: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """line, site, text_hash of all lines whose sites and different texts could reach the limit."""
+    frequent = places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line")
+    est = places.join(frequent, "line").groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K))).alias(c) for c in ("site", "text_hash")])
+    least = min_sites * (1 - NEAR) - 2
+    wide = est.filter((F.col("site") >= least) & (F.col("text_hash") >= least)).select("line")
+    return places.join(wide, "line", "left_semi").select("line", "site", "text_hash").distinct()
+
+
+def copy_classes(docs: DataFrame, asked: DataFrame, text_col: str = "text") -> DataFrame:
+    """text_hash and class of near copies of the asked text hashes."""
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(asked, "text_hash", "left_semi")
+    once = checkpoint(texts.groupBy("text_hash").agg(F.first("text").alias("text")))
+    found = neardup.classes(once, "text_hash", "text", percent=COPIES)
+    return found.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("class"))
+
+
+def boilerplate(seen: DataFrame, classes: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Hashes of the lines that are boilerplate, from candidates() and copy_classes()."""
+    deal = F.struct(F.xxhash64("site", "class").alias("order"), "site")
+    shown = checkpoint(seen.join(classes, "text_hash").groupBy("line", "class").agg(F.min(deal).alias("at")).select("line", "at.site"))
+    est = shown.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    est = est.withColumn("unsure", F.abs(F.col("sites") - min_sites) <= max(min_sites * NEAR, 2))
+    sure = est.filter(~F.col("unsure") & (F.col("sites") >= min_sites)).select("line")
+    again = shown.join(est.filter("unsure").select("line"), "line", "left_semi").distinct()
+    counted = again.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
     return sure.unionByName(counted.select("line"))
 
 
 def _removals(docs: DataFrame, min_sites: int, **cols: str) -> DataFrame:
     """doc_id, text_hash and the sorted places of the lines to remove."""
     places = checkpoint(line_places(docs, **cols))
-    gone = checkpoint(boilerplate(places, min_sites))
+    seen = checkpoint(candidates(places, min_sites))
+    classes = copy_classes(docs, seen.select("text_hash").distinct(), cols.get("text_col", "text"))
+    gone = checkpoint(boilerplate(seen, classes, min_sites))
     hit = places.join(gone, "line", "left_semi").select("doc_id", "text_hash", "place")
     return hit.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("gone"))
 

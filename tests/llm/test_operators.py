@@ -196,6 +196,26 @@ def test_lines_exact_near_the_limit(spark):
         assert got[i] == (text if name in ("nine", "copy") else f"own {i}\nlast {i}")
 
 
+def test_lines_footers_and_copies(spark):
+    rng = random.Random(9)
+    body = lambda n=6: [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(9)) for _ in range(n)]
+    footer = ["foot one", "foot two", "foot three"]
+    own = [body() for _ in range(24)]
+    rows = [(i, "\n".join(b + footer), f"s{i % 12}") for i, b in enumerate(own)]
+    # a group of copies with the footer, and one of near copies of 20 lines, both on many sites
+    hot, near = body(), body(20)
+    rows += [(100 + i, "\n".join(hot + footer), f"s{i % 30}") for i in range(200)]
+    edited = [[*near[: i % 20], f"{near[i % 20]} e{i}", *near[i % 20 + 1 :]] for i in range(60)]
+    rows += [(400 + i, "\n".join(e), f"s{i % 30}") for i, e in enumerate(edited)]
+    # many copies of few documents: 30 sites show the line, in nine documents
+    few = [body() for _ in range(9)]
+    rows += [(500 + i, "\n".join([*few[i % 9], "few of them"]), f"s{i % 30}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    for i, text, _ in rows:
+        assert got[i] == ("\n".join(own[i] if i < 24 else hot) if i < 400 else text)
+
+
 def test_lines_odd(odd, none):
     got = lines.dedup_lines(odd)
     assert got.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in ODD)
