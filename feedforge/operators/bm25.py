@@ -59,6 +59,7 @@ def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int
     best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
     if not zero_fill:
         return best.select(F.col("__row").alias(row), "doc_ix", "score", "rank")
+    best = best.persist()  # read three times below, at most top_k rows a query
     found = best.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
     short = queries.select(F.col(row).alias("__row")).join(found, "__row", "left").withColumn("__n", F.coalesce("__n", F.lit(0))).filter(F.col("__n") < top_k)
     first = index.docs.select("doc_ix").orderBy("doc_ix").limit(top_k)

@@ -496,8 +496,7 @@ free as (select nq.item_id, d.doc_id, n + row_number() over (partition by nq.ite
 select item_id, doc_id, round(score, 6) as score, rank::int as rank from best union all select item_id, doc_id, 0.0, rank::int from free where rank <= 50"""
 )
 def bm25_zero_fill(spark: SparkSession, d: str) -> DataFrame:
-    queries = T.read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 12).alias("text"))
-    return bm25.search(_index(spark, d), queries, "item_id", "text", 50).withColumnRenamed("doc_ix", "doc_id").select("item_id", "doc_id", r6("score"), "rank")
+    return bm25.search(_index(spark, d), T.read(spark, d, "benchmark"), "item_id", "text", 50).withColumnRenamed("doc_ix", "doc_id").select("item_id", "doc_id", r6("score"), "rank")
 
 
 @query("select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+'))::int as n_tokens, case when coalesce(text, '') = '' then 0 else len(string_split(text, ' ')) end::int as n_words from documents", views=False)

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedforge.operators import bm25, bootstrap, evaluate, history, labelling, popularity, ranking, sampling, split, validate, vectors
+from feedforge.plans import queries as plans
+from tests.compare import database, same
 
 
 def day(i, hour=0):
@@ -107,6 +109,23 @@ def test_bm25_fill_and_empty_query(spark):
     assert [(r["doc_ix"], r["score"]) for r in got if r["q"] == 2] == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]
 
 
+def test_bm25_zero_fill_whole_queries(spark, tmp_path):
+    docs = [(i, f"filler word{i}") for i in range(60)] + [(60, "needle")]
+    items = [(1, "unmatched opening words, then a needle"), (2, "word7"), (3, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = plans.queries()["bm25_zero_fill"](spark, str(tmp_path)).orderBy("item_id", "rank").collect()
+    ranked = {i: [r["doc_id"] for r in got if r["item_id"] == i] for i in (1, 2, 3)}
+    assert ranked == {1: [60, *range(49)], 2: [7, *(i for i in range(50) if i != 7)], 3: list(range(50))}
+    assert {r["item_id"] for r in got if r["score"] > 0} == {1, 2}
+
+
+def test_bm25_zero_fill_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    whole = plans.oracle_sql()["bm25_zero_fill"].replace("substr(text, 1, 12) as text", "text")
+    same(plans.queries()["bm25_zero_fill"](spark, folder).toPandas(), database(folder).sql(whole).df())
+
+
 def test_recall(spark):
     df = spark.createDataFrame([(["A", "B"], ["B", "C", "A"]), ([], ["A"])], "g array<string>, c array<string>")
     assert [r[0] for r in df.select(bm25.recall(F.col("g"), F.col("c"), 2)).collect()] == [0.5, 0.0]
