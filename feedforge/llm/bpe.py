@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches
+from feedforge.llm.common import slices
 from feedforge.llm.tokens import CachedEncoder, byte_keys, byte_piece, texts_of
 
 # Fixed value: the pattern that cuts a text before merging.
@@ -52,6 +52,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         by_text = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         size = max([*by_text.values(), *self.special.values()]) + 1
+        if size > 1 << 16:
+            raise ValueError("ids of two bytes are held for a vocabulary of at most 65,536 tokens")
         self.tokens: list[bytes] = [b""] * size
         for text, i in by_text.items():
             self.tokens[i] = bytes(letters[c] for c in text)
@@ -174,7 +176,7 @@ def piece_encoder(vocabulary: Vocabulary):  # noqa: ANN201
             known.clear()
         out = []
         for text in pieces:
-            if "<|" in text:
+            if special and part.search(text):
                 ids = [np.array([special[x]], "<u2").tobytes() if x in special else b"".join(map(one, cut.findall(x))) for x in part.split(text)]
             else:
                 ids = map(one, cut.findall(text))
@@ -196,7 +198,7 @@ def loaded(path: str) -> tuple[Vocabulary, CachedEncoder]:
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -> Iterator[pa.RecordBatch]:
     vocabulary, encode = loaded(path)
-    for batch in batches:
+    for batch in slices(batches, 1):
         found = [np.frombuffer(x, "<u2") for x in encode(texts_of(batch.column(1)))]
         wide = [x.astype("<u4") for x in found]
         decoded = [vocabulary.decode(x.astype(np.int64)).decode("utf-8", "replace") for x in found]
@@ -210,7 +212,6 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -> Iterat
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text, or digests of both."""
-    arrow_batches(docs.sparkSession)
     last = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         partial(_coded, path=tokenizer, digest=digest), f"doc_id long, n_tokens long, {last}"

@@ -15,17 +15,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches, bucket_of, range_buckets
+from feedforge.llm.common import bucket_of, range_count, ranges, slices
 from feedforge.llm.neardup import classes
 from feedforge.llm.shingles import minima, mix, shingle_sets
-from feedforge.llm.tokens import texts_of
 
 PLACES = 64
 SEED = 19970115
@@ -33,8 +31,7 @@ SEED = 19970115
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A row of 16-bit places for each text."""
-    low = minima(shingle_sets([t.encode() for t in texts]), PLACES, SEED)
-    return (mix(low) >> np.uint64(48)).astype("<u2")
+    return places(shingle_sets([t.encode() for t in texts]), PLACES)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,8 +48,8 @@ def edited(text: str, following: str) -> str:
 def _ordered(docs: DataFrame) -> DataFrame:
     """bucket, doc_id, text in order; each bucket ends with a row of the next one's first document (ahead false)."""
     spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_buckets(docs.select("doc_id"), "doc_id", n)
+    n = range_count(spark)
+    bounds = ranges(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, n)
     placed = docs.withColumns({"bucket": bucket_of(F.col("doc_id"), bounds), "tie": F.xxhash64("text")})
     firsts = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("at"))
     found = sorted((r["bucket"], r["at"]["doc_id"], r["at"]["tie"]) for r in firsts.collect())  # a row a bucket, under n
@@ -62,14 +59,14 @@ def _ordered(docs: DataFrame) -> DataFrame:
         F.col("to").alias("bucket"), "doc_id", "tie", "text", F.lit(False).alias("own")
     )
     both = placed.select("bucket", "doc_id", "tie", "text", F.lit(True).alias("own")).unionByName(copied)
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("own"), "doc_id", "tie").select("bucket", "own", "doc_id", "text")
+    return both.repartitionById(n, "bucket").sortWithinPartitions("bucket", F.desc("own"), "doc_id", "tie").select("bucket", "own", "doc_id", "text")
 
 
-def _rows(batches: Iterator[pa.RecordBatch], mates: int = 256) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of each text and of its edit with the next row's text."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     held: tuple | None = None  # (bucket, own, doc_id, text) whose next row has not come
-    for batch in batches:
+    for batch in slices(batches, 3):
         buckets, own, ids, texts = (c.to_pylist() for c in batch.columns)
         rows = list(zip(buckets, own, ids, ("" if t is None else t for t in texts), strict=True))
         rows = ([held] if held else []) + rows
@@ -97,34 +94,26 @@ def _rows(batches: Iterator[pa.RecordBatch], mates: int = 256) -> Iterator[pa.Re
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness of both and of the next document's."""
-    arrow_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _ordered(base).mapInArrow(_rows, schema)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = shingle_sets([t.encode() for t in texts_of(batch.column(1))], width)
-        places = (mix(minima(sets, PLACES, SEED)) >> np.uint64(48)).astype("<u2")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([x.tobytes() for x in places], pa.binary())],
-            names=["doc_id", "text_hash", "n", "digest", "sketch"],
-        )
+def places(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """A row of 16-bit places for each set."""
+    return (mix(minima(sets, count, SEED)) >> np.uint64(48)).astype("<u2")
 
 
-def _likely(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+def plausible(n1: np.ndarray, n2: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
     """Pairs whose equal places are not over e ** 12 times likelier under another similarity than under the limit or more."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, PLACES) for x in batch.columns[4:6])
-            same = (a == b).sum(1)
-            share = np.clip(same / PLACES, 1e-9, 1 - 1e-9)
-            best = same * np.log(share) + (PLACES - same) * np.log(1 - share)
-            here = same * np.log(limit) + (PLACES - same) * np.log(1 - limit)
-            yield batch.select([0, 1]).filter(pa.array((share >= limit) | (here >= best - 12)))
+    count = b.shape[1]
+    same = (a == b).sum(1)
+    share = np.clip(same / count, 1e-9, 1 - 1e-9)
+    best = same * np.log(share) + (count - same) * np.log(1 - share)
+    here = same * np.log(limit) + (count - same) * np.log(1 - limit)
+    return (share >= limit) | (here >= best - 12)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept: documents joined by bands of their fingerprints, verified on full sets."""
-    return classes(docs, id_col, text_col, percent, sketch=_sketched, likely=_likely)
+    return classes(docs, id_col, text_col, percent, make=places, test=plausible)

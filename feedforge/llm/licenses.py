@@ -3,10 +3,13 @@
 The texts of licenses and the phrases are one bounded table of templates: a row for each word pair
 with its place. Every rolling word pair of every document is hashed and joined to it; the table is
 a constant of the program, so it is broadcast. Hits of one document and template vote for their
-offset diagonal (place in the document minus place in the template). A diagonal that has every
-pair of a template is an exact place of it. Neighbouring diagonals, which insertions and deletions
-part, merge into spans, whose share of the template's pairs is verified against a limit. The join
-compares the words of a pair beside their hash, so no verdict rests on a hash alone.
+offset diagonal (place in the document minus place in the template); a diagonal carries the set of
+template places that hit it. A diagonal that has every pair of a phrase is an exact place of it.
+Neighbouring diagonals, which insertions and deletions part, merge into spans. A span is verified by
+its longest chain of hits that ascend both in the document and in the template, so that a pair which
+repeats counts once and pairs in another order don't count together; the share is the chain's length
+over the template's pairs. The join compares the words of a pair beside their hash, so no verdict
+rests on a hash alone.
 
 Words are runs of ASCII letters and digits and of everything beyond ASCII, with A-Z lower-cased.
 
@@ -43,7 +46,7 @@ NOTICES = {
     "cc0": ["creative commons zero", "dedicated to the public domain"],
     "reserved": ["no part of this publication may be reproduced"],
 }
-#: Share of a notice's word pairs that a span must show.
+#: Share of a notice's word pairs that a chain of hits must show.
 MIN_SHARE = 0.75
 #: Diagonals this far apart belong to one span.
 MAX_SHIFT = 3
@@ -55,6 +58,8 @@ def templates(spark: SparkSession) -> DataFrame:
     rows, number = [], 0
     for exact, label, text in [(True, v, k) for k, v in PHRASES.items()] + [(False, k, t) for k, v in NOTICES.items() for t in v]:
         words = text.split()
+        if len(words) > 63:
+            raise ValueError("a template has 62 word pairs at most, a bit each")
         rows += [(number, label, exact, len(words) - 1, i, words[i], words[i + 1]) for i in range(len(words) - 1)]
         number += 1
     return spark.createDataFrame(rows, "template int, label string, exact boolean, pairs int, place int, a string, b string").withColumn("pair", F.xxhash64("a", "b"))
@@ -82,30 +87,48 @@ def votes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # prefixes of each other, so equal; written so that the hash alone is the key of the join
     alike = lambda x, y: F.startswith(x, y) & F.startswith(y, x)
     hits = grams.join(vocabulary, (grams["pair"] == vocabulary["pair"]) & alike(F.col("wa"), F.col("a")) & alike(F.col("wb"), F.col("b")))
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.col("place"), F.lit(0)))
     return (
         hits.withColumn("diagonal", F.when(F.col("template") < 0, F.col("at")).otherwise(F.col("at") - F.col("place")))
         .groupBy("doc_id", "text_hash", "template", "label", "exact", "pairs", "diagonal")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.bit_or(place).alias("places"))
     )
 
 
+def chain_length(diagonals: Column, pairs: Column) -> Column:
+    """Length of the longest chain of hits that ascends in the document and in the template.
+
+    diagonals: structs (diagonal, places) of one span. Hits go in document order, those of one word
+    pair by falling template place; each element of the state is the longest chain that ends there or
+    at an earlier template place.
+    """
+    all_places = F.sequence(F.lit(0), pairs - 1)
+    hit = lambda d, p: d["places"].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p)) != 0
+    of = lambda d: F.transform(F.filter(all_places, lambda p: hit(d, p)), lambda p: F.struct((d["diagonal"] + p).alias("at"), (-p).alias("back")))
+    ordered = F.array_sort(F.flatten(F.transform(diagonals, of)))
+    none = F.array_repeat(F.lit(0), pairs)
+    longer = lambda f, h: F.transform(f, lambda v, i: F.when(i >= -h["back"], F.greatest(v, F.coalesce(F.get(f, -h["back"] - 1), F.lit(0)) + 1)).otherwise(v))
+    return F.array_max(F.aggregate(ordered, none, longer))
+
+
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, max_shift: int = MAX_SHIFT) -> DataFrame:
     """One row a distinct document row: doc_id, text_hash, copies, word and place counts, labels and score."""
     votes = votes_of(docs, id_col, text_col)
     one = ["doc_id", "text_hash", "template"]
     marks = F.col("template") < 0
-    # repeated rows vote for the same diagonals; the marker tells how often
     w = Window.partitionBy(*one).orderBy("diagonal")
     step = F.when(F.col("exact") | marks | (F.col("diagonal") - F.lag("diagonal").over(w) > max_shift) | F.lag("diagonal").over(w).isNull(), 1).otherwise(0)
     spans = (
         votes.withColumn("step", step)
         .withColumn("span", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*one, "label", "exact", "pairs", "span")
-        .agg(F.sum("n").alias("n"), F.min("diagonal").alias("start"))
+        # repeated rows hit the same places; the marker tells how often a row is there
+        .agg(F.max(F.when(marks, F.col("n"))).alias("copies"), F.bit_count(F.bit_or("places")).alias("covered"), F.min("diagonal").alias("start"), F.collect_list(F.struct("diagonal", "places")).alias("diagonals"))
     )
-    w2 = Window.partitionBy("doc_id", "text_hash")
-    copies = F.max(F.when(marks, F.col("n"))).over(w2)
-    spans = spans.withColumn("copies", copies).withColumn("share", F.least(F.col("n") / F.col("copies") / F.col("pairs"), F.lit(1.0)))
+    # few spans cover enough places to be worth a chain
+    enough = F.col("covered") >= min_share * F.col("pairs")
+    length = F.when(F.col("exact"), F.col("covered")).when(enough & ~marks, chain_length(F.col("diagonals"), F.col("pairs"))).otherwise(0)
+    spans = spans.withColumn("share", length / F.col("pairs"))
     base = F.col("exact") & (F.col("share") >= 1)
     found = base | (~F.col("exact") & ~marks & (F.col("share") >= min_share))
     joined = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("label")))), ",")

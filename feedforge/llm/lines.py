@@ -9,6 +9,9 @@ that could reach the limit are compared. Spreads are HyperLogLog sketches merged
 lines whose estimate is close to the limit get exact distinct counts, so that the verdict does not
 depend on the sketch's error. Boilerplate goes everywhere.
 
+Lines that could matter are marked by a bitmap, so that a line's places never meet in one task:
+sketches are aggregated where the places are, and the join that finds the places to remove is salted.
+
 Edge cases: null and empty texts have no lines and stay as they are; a null site counts as '';
 repeated rows count as places of the same line; an empty table gives an empty result. A document
 never loses its row, though its text may become empty.
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.llm import neardup
-from feedforge.llm.common import checkpoint, fresh
+from feedforge.llm.common import checkpoint, flag_members, fresh
 
 #: Sites that must show a line before it counts as boilerplate.
 MIN_SITES = 10
@@ -28,6 +31,8 @@ MIN_SITES = 10
 LG_K = 10
 #: Estimates within this share of a limit are counted exactly: five standard errors and more.
 NEAR = 0.15
+#: Tasks that the places of one line to remove are spread over.
+SALTS = 32
 #: Similarity from which documents count as copies of each other, in per cent.
 COPIES = 80
 
@@ -48,12 +53,13 @@ def line_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def candidates(places: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line, site, text_hash of all lines whose sites and different texts could reach the limit."""
+    """line, site, text_hash of all lines whose sites and different texts could reach the limit, and of few others."""
     frequent = places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line")
-    est = places.join(frequent, "line").groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K))).alias(c) for c in ("site", "text_hash")])
+    often = flag_members(places, F.col("line"), checkpoint(frequent), "often").filter("often")
+    est = often.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K))).alias(c) for c in ("site", "text_hash")])
     least = min_sites * (1 - NEAR) - 2
-    wide = est.filter((F.col("site") >= least) & (F.col("text_hash") >= least)).select("line")
-    return places.join(wide, "line", "left_semi").select("line", "site", "text_hash").distinct()
+    wide = checkpoint(est.filter((F.col("site") >= least) & (F.col("text_hash") >= least)).select("line"))
+    return flag_members(places, F.col("line"), wide, "wide", per_key=64).filter("wide").select("line", "site", "text_hash").distinct()
 
 
 def copy_classes(docs: DataFrame, asked: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,35 +73,43 @@ def copy_classes(docs: DataFrame, asked: DataFrame, text_col: str = "text") -> D
 def boilerplate(seen: DataFrame, classes: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes of the lines that are boilerplate, from candidates() and copy_classes()."""
     deal = F.struct(F.xxhash64("site", "class").alias("order"), "site")
-    shown = checkpoint(seen.join(classes, "text_hash").groupBy("line", "class").agg(F.min(deal).alias("at")).select("line", "at.site"))
+    per_class = seen.join(classes, "text_hash").groupBy("line", "class").agg(F.min(deal).alias("at"))
+    shown = checkpoint(per_class.select("line", "at.site").distinct())
     est = shown.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     est = est.withColumn("unsure", F.abs(F.col("sites") - min_sites) <= max(min_sites * NEAR, 2))
     sure = est.filter(~F.col("unsure") & (F.col("sites") >= min_sites)).select("line")
-    again = shown.join(est.filter("unsure").select("line"), "line", "left_semi").distinct()
+    # a line's row a site, so few rows where the limit is near
+    again = shown.join(est.filter("unsure").select("line"), "line", "left_semi")
     counted = again.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
     return sure.unionByName(counted.select("line"))
 
 
 def _removals(docs: DataFrame, min_sites: int, **cols: str) -> DataFrame:
-    """doc_id, text_hash and the sorted places of the lines to remove."""
+    """doc_id, text_hash and the places of the lines to remove."""
     places = checkpoint(line_places(docs, **cols))
     seen = checkpoint(candidates(places, min_sites))
     classes = copy_classes(docs, seen.select("text_hash").distinct(), cols.get("text_col", "text"))
     gone = checkpoint(boilerplate(seen, classes, min_sites))
-    hit = places.join(gone, "line", "left_semi").select("doc_id", "text_hash", "place")
-    return hit.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("gone"))
+    salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    maybe = flag_members(places, F.col("line"), gone, "maybe", per_key=64).filter("maybe").withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int"))
+    hit = maybe.join(salted, ["line", "salt"], "left_semi").select("doc_id", "text_hash", "place")
+    return checkpoint(hit.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: bool = False) -> DataFrame:
     """The documents without boilerplate lines; counts adds n_lines and n_removed_lines."""
-    removals = _removals(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col)
-    key, digest, gone = fresh(docs, "id"), fresh(docs, "hash"), fresh(docs, "gone")
-    removals = removals.toDF(key, digest, gone)
-    same = docs[id_col].eqNullSafe(removals[key]) & (F.xxhash64(docs[text_col]) == removals[digest])
-    both = docs.join(removals, same, "left")
+    key, digest, gone, some = (fresh(docs, x) for x in ("id", "hash", "gone", "some"))
+    removals = _removals(docs, min_sites, id_col=id_col, text_col=text_col, site_col=site_col).toDF(key, digest, gone)
+    # texts that lose nothing are not shuffled
+    row = lambda i, h: F.xxhash64(i, h)
+    flagged = flag_members(docs, row(F.col(id_col), F.xxhash64(text_col)), removals.select(row(F.col(key), F.col(digest))), some, per_key=64)
+    near = flagged.filter(some)
+    same = near[id_col].eqNullSafe(removals[key]) & (F.xxhash64(near[text_col]) == removals[digest])
+    none = F.lit(None).cast(dict(removals.dtypes)[gone])
+    both = near.join(removals, same, "left").drop(key, digest).unionByName(flagged.filter(~F.col(some)).withColumn(gone, none))
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, k: ~F.array_contains(gone, k)), "\n")
     out = {text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)}
     if counts:
         out["n_lines"] = F.coalesce(F.size(F.filter(_trimmed(F.col(text_col)), lambda x: x != "")), F.lit(0)).cast("long")
-        out["n_removed_lines"] = F.coalesce(F.size(gone), F.lit(0)).cast("long")
-    return both.withColumns(out).drop(key, digest, gone)
+        out["n_removed_lines"] = F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("long")
+    return both.withColumns(out).drop(gone, some)

@@ -1,10 +1,15 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+That of operator 3 follows the longest chains by recursion; classes of near copies, which operator 9
+counts over, have none.
+"""
 
 from __future__ import annotations
 
 from feedforge.llm.licenses import MAX_SHIFT, MIN_SHARE, NOTICES, PHRASES
+from feedforge.llm.quality import PRIOR, REACH
 
-QUALITY = r"""
+QUALITY = rf"""
 with d as (
   select row_number() over () as rid, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents
 ), w as (
@@ -17,62 +22,41 @@ with d as (
 ), r as (
   select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from t where c > 1) group by rid
 ), m as (
-  select d.rid, d.doc_id, d.lang, d.source, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+  select d.rid, d.doc_id, d.lang, d.source, d.text, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines)::bigint as n_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+         (length(text) - length(regexp_replace(text, '[!-/:-@\[-`{{-~]', '', 'g')))::bigint as n_marks, len(list_distinct(words)) as n_distinct,
+         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
   from d join w using (rid) left join r using (rid)
 ), f as (
-  select *, 1000 * n_symbols // greatest(word_chars, 1) as symbol_rate, 1000 * n_dup_lines // greatest(n_lines, 1) as dup_line_rate,
-         1000 * n_repeat_words // greatest(n_words, 1) as repeat_rate, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m
+  select *, 100 * word_chars // greatest(n_words, 1) as word_length, 1000 * n_marks // greatest(word_chars, 1) as mark_rate,
+         1000 * n_distinct // greatest(n_words, 1) as distinct_rate, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m
+), once as (
+  select distinct lang, source, text, word_length, mark_rate, distinct_rate from f where not base_failed
 ), l as (
-  select lang, source, 'symbol_rate' as metric, symbol_rate as v from f union all
-  select lang, source, 'dup_line_rate', dup_line_rate from f union all
-  select lang, source, 'repeat_rate', repeat_rate from f
+  select lang, source, unnest(['word_length', 'mark_rate', 'distinct_rate']) as metric, unnest([word_length, mark_rate, distinct_rate]) as v from once
 ), b as (
-  select lang, source, metric, (v >> greatest(length(format('{:b}', v)) - 6, 0)) << greatest(length(format('{:b}', v)) - 6, 0) as v from l
+  select lang, source, metric, (v >> greatest(length(format('{{:b}}', v)) - 8, 0)) << greatest(length(format('{{:b}}', v)) - 8, 0) as v from l
 ), q as (
-  select lang, source, metric, count(*) as total, quantile_disc(v, 0.25) as q1, quantile_disc(v, 0.75) as q3 from b group by all
+  select lang, source, metric, count(*) as n, quantile_disc(v, 0.25) as q1, quantile_disc(v, 0.75) as q3 from b group by all
 ), p as (
   select lang, metric, quantile_disc(v, 0.25) as p1, quantile_disc(v, 0.75) as p3 from b group by all
 ), s as (
-  select lang, source, metric, case when total < 100 then 4 * p3 - 3 * p1 else 4 * q3 - 3 * q1 end as lim from q join p using (lang, metric)
+  select lang, source, metric, (n * q1 + {PRIOR} * p1) // (n + {PRIOR}) as a, (n * q3 + {PRIOR} * p3) // (n + {PRIOR}) as b from q join p using (lang, metric)
 ), h as (
-  select lang, source, max(lim) filter (metric = 'symbol_rate') + 30 as a, max(lim) filter (metric = 'dup_line_rate') + 350 as b,
-         max(lim) filter (metric = 'repeat_rate') + 250 as c from s group by all
+  select lang, source, metric, a - {REACH} * greatest(b - a, (a + b) // 16 + 1) as low, b + {REACH} * greatest(b - a, (a + b) // 16 + 1) as high from s
+), v as (
+  select rid, unnest(['word_length', 'mark_rate', 'distinct_rate']) as metric, unnest([word_length, mark_rate, distinct_rate]) as v, lang, source from f where not base_failed
+), k as (
+  select rid, bool_and(v between low and high) as inside from v join h using (lang, source, metric) group by rid
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and symbol_rate <= a and dup_line_rate <= b and repeat_rate <= c as kept
-from f join h using (lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(inside, false) as kept from f left join k using (rid)
 """
 
-LINES = r"""
-with d as (
-  select row_number() over () as rid, doc_id, coalesce(source, '') as site, coalesce(text, '') as text from documents
-), s as (
-  select rid, site, string_split(text, chr(10)) as raw from d
-), l as (
-  select rid, site, unnest(raw) as raw, unnest(range(len(raw))) as k from s
-), t as (
-  select *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line from l
-), n as (
-  select *, coalesce(lag(line) over w, chr(1)) || chr(2) || coalesce(lead(line) over w, chr(1)) as beside from t window w as (partition by rid order by k)
-), b as (
-  select line from n where line <> '' group by line having count(distinct site) >= 10 and 2 * count(distinct beside) >= count(*)
-), o as (
-  select n.*, n.line in (select line from b) as gone from n
-), a as (
-  select rid, count(*) filter (line <> '') as n_lines, count(*) filter (gone) as n_removed_lines,
-         coalesce(string_agg(raw, chr(10) order by k) filter (not gone), '') as kept from o group by rid
-)
-select doc_id, n_lines, n_removed_lines, sha256(kept) as kept_sha256 from a join d using (rid)
-"""
-
-
 def _license_sql() -> str:
     named = [(t, label, 1) for t, label in PHRASES.items()] + [(t, label, 0) for label, texts in NOTICES.items() for t in texts]
     values = ", ".join(f"({i}, '{label}', {exact}, '{text}')" for i, (text, label, exact) in enumerate(named))
     return f"""
-with t0(template, label, exact, text) as (values {values}),
+with recursive t0(template, label, exact, text) as (values {values}),
 t1 as (select template, label, exact, string_split(text, ' ') as w from t0),
 t as (select template, label, exact, len(w) - 1 as pairs, unnest(range(1, len(w))) as place, w from t1),
 tp as (select template, label, exact, pairs, place, w[place] as a, w[place + 1] as b from t),
@@ -80,19 +64,23 @@ d as (select row_number() over () as rid, doc_id, list_filter(string_split_regex
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
 g0 as (select rid, unnest(range(1, len(w))) as i, w from d),
 g as (select rid, i, w[i] as a, w[i + 1] as b from g0),
-v as (select rid, template, label, exact, pairs, i - place as diagonal, count(*) as n from g join tp using (a, b) group by all),
-s0 as (select *, case when exact = 1 or diagonal - lag(diagonal) over k > {MAX_SHIFT} or lag(diagonal) over k is null then 1 else 0 end as step
-  from v window k as (partition by rid, template order by diagonal)),
-s1 as (select *, sum(step) over (partition by rid, template order by diagonal rows unbounded preceding) as span from s0),
-s as (select rid, template, label, exact, span, min(diagonal) as start, least(sum(n) / any_value(pairs), 1.0) as share from s1 group by all),
-f as (select *, exact = 1 and share >= 1 as base, (exact = 1 and share >= 1) or (exact = 0 and share >= {MIN_SHARE}) as found from s),
-r as (select rid, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
-  string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (found) as labels,
-  max(share) filter (found) as score from f group by rid)
+hit as (select rid, template, label, exact, pairs, i, place, i - place as diagonal from g join tp using (a, b)),
+dg as (select distinct rid, template, diagonal from hit),
+s0 as (select *, case when diagonal - lag(diagonal) over k > {MAX_SHIFT} or lag(diagonal) over k is null then 1 else 0 end as step
+  from dg window k as (partition by rid, template order by diagonal)),
+s1 as (select rid, template, diagonal, sum(step) over (partition by rid, template order by diagonal rows unbounded preceding) as span from s0),
+h as (select rid, template, span, pairs, i, place from hit join s1 using (rid, template, diagonal) where exact = 0),
+chain as (select rid, template, span, i, place, 1 as n from h
+  union select h.rid, h.template, h.span, h.i, h.place, c.n + 1 from chain c join h on h.rid = c.rid and h.template = c.template and h.span = c.span and h.i > c.i and h.place > c.place),
+f as (select rid, template, any_value(label) as label, 1 as base, diagonal as start, 1.0 as share from hit where exact = 1 group by rid, template, diagonal having count(*) = any_value(pairs)
+  union all select rid, template, label, 0, null, max(c.n) / any_value(pairs) from chain c join (select distinct template, label, pairs from tp) using (template) group by rid, template, span, label having max(c.n) >= {MIN_SHARE} * any_value(pairs)),
+r as (select rid, count(*) filter (base = 1) as n_base, min(start) filter (base = 1) as first_word, max(start) filter (base = 1) as last_word,
+  string_agg(distinct label, ',' order by label) filter (base = 1) as base_labels, string_agg(distinct label, ',' order by label) as labels,
+  max(share) as score from f group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score from d left join r using (rid)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _license_sql(), "op9_line_dedup": LINES, "op10_quality_rules": QUALITY}
+    return {"op3_license_scan": _license_sql(), "op10_quality_rules": QUALITY}

@@ -1,14 +1,21 @@
 """Quality rules with adaptive thresholds (operator 10), in DataFrame functions only.
 
-Every document gets word, symbol and repetition counts. Three per-mille rates (symbols among word
-characters, repeated lines, words in repeated 3-word windows) go into one mergeable quantile sketch
-for each language and source: a log-linear histogram whose buckets are exact below 64 and 1/32 wide
-relative to their value above. Merging two sketches adds counts, so sources with few documents fall
-back to the merged sketch of their language. A document is rejected when a rate passes the upper
-fence of its group, q75 + 3 * (q75 - q25) + slack.
-
-Edge cases: a null or empty text has no words and fails the base rule; a null language or source
-counts as ''; repeated rows are judged each on its own; an empty table gives an empty result.
+Every document gets word, symbol and repetition counts. Three measures that vary between all
+documents go into one mergeable quantile sketch for each language and source: characters a hundred
+words, ASCII punctuation and symbols among a thousand word characters, and different words among a
+thousand. A sketch is a log-linear histogram whose buckets are exact below 256 and 1/128 wide
+relative to their value above; merging two sketches adds counts. Copies of a text count once in a
+sketch, so that no group of copies decides what is usual.
+
+The fences of a group lie `REACH` spreads beyond its quartiles, on both sides. The spread is the
+distance of the quartiles, or a sixteenth of their sum and one unit of the measure where that is more. Quartiles are those of the
+group's own sketch and of its language's merged one, weighted by the group's texts and by PRIOR, so
+that small groups lean on their language without a switch between the two.
+
+Edge cases: a null or empty text has no words, fails the base rule and goes into no sketch (nor does
+any other text that fails it); a group without any other text has null fences and its documents have
+all failed; a null language or source counts as ''; repeated rows are judged each on its own, also
+where rows with one id and text differ in language or source; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +25,16 @@ from pyspark.sql import functions as F
 
 from feedforge.llm.common import WORD_BREAK, checkpoint, fresh, let
 
-#: Rates under the adaptive fences, with the slack in per mille that a group always grants.
-SLACK = {"symbol_rate": 30, "dup_line_rate": 350, "repeat_rate": 250}
-#: Groups with fewer documents use the merged sketch of their language.
-MIN_GROUP = 100
+#: Measures under the adaptive fences.
+MEASURES = ["word_length", "mark_rate", "distinct_rate"]
+#: Spreads between a quartile and its fence.
+REACH = 2.5
+#: Texts of its language that a group's quartiles count beside its own.
+PRIOR = 50
+
+
+#: ASCII punctuation and symbols.
+MARKS = r"[!-/:-@\[-`{-~]"
 
 
 def _words(text: Column) -> Column:
@@ -79,68 +92,72 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.regexp_count("text", F.lit(MARKS)).cast("long").alias("n_marks"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         _windows(F.col("words")).alias("windows"),
     )
     counted = windowed.withColumn("n_repeat_words", _covered(F.col("windows")).cast("long")).drop("windows")
-    rate = lambda part, whole: F.expr(f"(1000 * {part}) div greatest({whole}, 1)")
+    rate = lambda scale, part, whole: F.expr(f"({scale} * {part}) div greatest({whole}, 1)")
     return counted.withColumns(
         {
-            "symbol_rate": rate("n_symbols", "word_chars"),
-            "dup_line_rate": rate("n_dup_lines", "n_lines"),
-            "repeat_rate": rate("n_repeat_words", "n_words"),
+            "word_length": rate(100, "word_chars", "n_words"),
+            "mark_rate": rate(1000, "n_marks", "word_chars"),
+            "distinct_rate": rate(1000, "n_distinct", "n_words"),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )
 
 
 def sketch_bucket(value: Column) -> Column:
-    """The smallest value of the bucket: exact below 64, otherwise the six leading bits."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    """The smallest value of the bucket: exact below 256, otherwise the eight leading bits."""
+    shift = F.greatest(F.length(F.bin(value)) - 8, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Bucket counts of each rate for each language and source; adding counts merges sketches."""
-    long = measured.select("lang", "source", F.explode(F.create_map(*[x for m in SLACK for x in (F.lit(m), sketch_bucket(F.col(m)))])).alias("metric", "bucket"))
-    return long.groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """Bucket counts of each measure for each language and source, over different texts; adding counts merges sketches."""
+    once = measured.filter(~F.col("base_failed")).select("lang", "source", "text_hash", *MEASURES).distinct()
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), sketch_bucket(F.col(m)).alias("bucket")) for m in MEASURES])
+    return once.select("lang", "source", F.inline(each)).groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Upper fences for each language and source, from its own sketch or its language's."""
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """keys, metric, q1, q3, total of sketches."""
+    w = Window.partitionBy(*keys, "metric")
+    cum = sketch.withColumn("cum", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
+    at = lambda q: F.min(F.when(F.col("cum") * 4 >= F.col("total") * q, F.col("bucket")))
+    return cum.groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("total"))
 
-    def quartiles(s: DataFrame, *keys: str) -> DataFrame:
-        w = Window.partitionBy(*keys, "metric")
-        cum = s.withColumn("cum", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-        at = lambda q: F.min(F.when(F.col("cum") * 4 >= F.col("total") * q, F.col("bucket")))
-        return cum.groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("total"))
 
+def fences(sketch: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
+    """Lower and upper fences of each measure for each language and source."""
     own = quartiles(sketch, "lang", "source")
     merged = sketch.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     pooled = quartiles(merged, "lang").select("lang", "metric", F.col("q1").alias("p1"), F.col("q3").alias("p3"))
-    both = own.join(pooled, ["lang", "metric"])
-    small = F.col("total") < min_group
-    q1, q3 = F.when(small, F.col("p1")).otherwise(F.col("q1")), F.when(small, F.col("p3")).otherwise(F.col("q3"))
-    limit = q3 + 3 * (q3 - q1)
-    return both.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("metric") == m, limit + slack)).alias(f"{m}_limit") for m, slack in SLACK.items()]
-    )
+    lean = lambda q, p: F.expr(f"({q} * total + {p} * {prior}) div (total + {prior})")
+    both = own.join(pooled, ["lang", "metric"]).select("lang", "source", "metric", lean("q1", "p1").alias("q1"), lean("q3", "p3").alias("q3"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.expr("(q1 + q3) div 16 + 1"))
+    sided = both.withColumn("low", F.col("q1") - reach * spread).withColumn("high", F.col("q3") + reach * spread)
+    of = lambda m, side: F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}")
+    return sided.groupBy("lang", "source").agg(*[of(m, side) for m in MEASURES for side in ("low", "high")])
 
 
-def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, **cols: str) -> DataFrame:
-    """Measures, group limits and the verdict of every document."""
+def verdicts(docs: DataFrame, prior: int = PRIOR, reach: float = REACH, **cols: str) -> DataFrame:
+    """Measures, group fences and the verdict of every document."""
     measured = checkpoint(measures(docs, **cols))
-    judged = measured.join(fences(sketches(measured), min_group), ["lang", "source"])
+    judged = measured.join(fences(sketches(measured), prior, reach), ["lang", "source"], "left")
     passed = ~F.col("base_failed")
-    for m in SLACK:
-        passed = passed & (F.col(m) <= F.col(f"{m}_limit"))
+    for m in MEASURES:
+        passed = passed & F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(False))
     return judged.withColumn("kept", passed)
 
 
-def filter_quality(docs: DataFrame, min_group: int = MIN_GROUP, id_col: str = "doc_id", text_col: str = "text", **cols: str) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    key, digest = fresh(docs, "id"), fresh(docs, "hash")
-    passed = verdicts(docs, min_group, id_col=id_col, text_col=text_col, **cols).filter("kept").select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest))
-    same = docs[id_col].eqNullSafe(passed[key]) & (F.xxhash64(docs[text_col]) == passed[digest])
-    return docs.join(passed, same, "left_semi")
+def filter_quality(docs: DataFrame, prior: int = PRIOR, reach: float = REACH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that pass, with all their columns. A row goes by the verdict of its own text, language and source."""
+    names = [fresh(docs, x) for x in ("id", "hash", "lang", "source")]
+    judged = verdicts(docs, prior, reach, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col)
+    passed = judged.filter("kept").select("doc_id", "text_hash", "lang", "source").toDF(*names)
+    group = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
+    same = docs[id_col].eqNullSafe(passed[names[0]]) & (F.xxhash64(docs[text_col]) == passed[names[1]])
+    return docs.join(passed, same & (group(lang_col) == passed[names[2]]) & (group(source_col) == passed[names[3]]), "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, packing, quality, repeats, tokenfile, toxicity
-from feedforge.llm.common import read, shared_folder
+from feedforge.llm.common import checkpoint, delete_folder, read, shared_folder
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     tokenfile.write_ids(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenfile.read_ids(spark, folder, digest=True)
+    found = checkpoint(tokenfile.read_ids(spark, folder, digest=True))
+    delete_folder(spark, folder)
+    return found
+
+
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band join of operator 2's fingerprints, which its own query's contract has no column for."""
+    return fingerprints.near_classes(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +66,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_quality_rules, fingerprint_classes)}

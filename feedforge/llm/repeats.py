@@ -3,12 +3,16 @@
 Every window of 200 bytes has an anchor: the smallest hash of its 32-byte strings, the leftmost on
 ties. Equal windows have equal anchors at equal places, so windows are dealt into shards by anchor,
 and a run of windows with one anchor is cut out as one slice. Anchors that occur once are dropped;
-equal slices of an anchor are counted instead of being moved. Shards of different slices get a suffix
+equal slices of an anchor collapse into one with a count. Shards of different slices get a suffix
 array by induced sorting and permuted common prefixes (`suffix`); windows that share 200 bytes with
-another one are repeats. What repeats cover is removed from every document.
+another one, or lie in a slice with a count over one, are repeats. What repeats cover is removed from
+every document.
 
-Shards are made of whole anchors and hold about SHARD_BYTES; an anchor with more than WIDE different
-slices is not brought together in one task: its windows are hashed and counted by aggregation.
+Shards are made of whole anchors and hold about SHARD_BYTES. An anchor with more than WIDE different
+slices would be too much for one task; its slices are cut as fine as they can be, to single windows,
+which collapse like slices do, and a count over one makes a repeat. Slices and windows are told apart
+inside one anchor by 64-bit hashes of their bytes, so that a false match needs two strings around the
+same 32 bytes to agree in 64 more bits: one in 10 ** 7 for 10 ** 12 such pairs.
 
 Edge cases: null and empty texts, and texts under 200 bytes, lose nothing; repeated rows repeat each
 other whole; cuts inside a UTF-8 character drop the rest of it from the returned text, while byte
@@ -26,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches, checkpoint, flag_members, fresh, give_back
+from feedforge.llm.common import checkpoint, flag_members, fresh, give_back, range_count, slices
 from feedforge.llm.shingles import mix, powers
 from feedforge.llm.suffix import permuted_common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 1 << 20
-WIDE = 20_000
+WIDE = 8_000
 #: Bytes that are hashed at a time; longer texts go in overlapping parts.
 PART = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -89,7 +93,7 @@ def _cut(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """A row a document with the arrays of its slices."""
-    for batch in batches:
+    for batch in slices(batches, 2):
         texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
         found: list[list[np.ndarray]] = [[] for _ in texts]
 
@@ -125,7 +129,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Bytes of the slices asked for."""
-    for batch in batches:
+    for batch in slices(batches, 0):
         out: list[tuple] = []
         for text, asked in zip((x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist(), strict=True):
             out += [(a["anchor"], a["slice"], a["n"], text[a["first"] : a["first"] + a["windows"] + length - 1]) for a in asked]
@@ -205,27 +209,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTE
 
     kinds = twice.groupBy("anchor", "slice").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("at"))
     kinds = checkpoint(kinds.select("anchor", "slice", "n", "at.*"))
-    per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    counted = kinds.join(per, "anchor")
-    alone = counted.filter("kinds = 1").select("anchor", "slice", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"))
-
-    several = counted.filter("kinds > 1")
+    crowded = checkpoint(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > wide).select("anchor"))
     names = packed.select("rid", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    asked = several.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked")).join(names, "rid")
+    asked = kinds.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked")).join(names, "rid")
     asked = checkpoint(asked)
     # most texts are not asked for and need no shuffle
-    near = flag_members(docs, _row_key("doc_id", "text_hash"), asked.select(_row_key("i", "h")), "__asked").filter("__asked")
+    mark = fresh(docs, "asked")
+    near = flag_members(docs, _row_key("doc_id", "text_hash"), asked.select(_row_key("i", "h")), mark).filter(mark)
     texts = near.join(asked, near["doc_id"].eqNullSafe(asked["i"]) & (near["text_hash"] == asked["h"])).select("text", "asked")
     cut = texts.mapInArrow(partial(_pieces, length=length), "anchor long, slice long, n long, data binary")
-    crowded = checkpoint(per.filter(F.col("kinds") > wide).select("anchor"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_count(docs.sparkSession)
     if crowded.isEmpty():
         usual, rest = cut, None
     else:
         cut = checkpoint(cut.dropDuplicates(["anchor", "slice"]))
         usual, rest = cut.join(crowded, "anchor", "left_anti"), cut.join(crowded, "anchor", "left_semi")
     sorted_ = usual.repartition(parts, "anchor").sortWithinPartitions("anchor", "slice")
-    found = sorted_.mapInArrow(partial(_shards, length=length, shard_bytes=shard_bytes), "anchor long, slice long, lo int, hi int").unionByName(alone)
+    found = sorted_.mapInArrow(partial(_shards, length=length, shard_bytes=shard_bytes), "anchor long, slice long, lo int, hi int")
     if rest is not None:
         windows = rest.mapInArrow(partial(_window_hashes, length=length), "anchor long, slice long, n long, at int, window long")
         seen = windows.groupBy("anchor", "window").agg(F.sum("n").alias("c")).filter("c > 1").select("anchor", "window")
@@ -252,7 +252,7 @@ def _kept(text: bytes, runs: np.ndarray | None, length: int) -> tuple[bytes, int
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2):
         *keys, texts, runs = batch.columns
         raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
         done = [_kept(t, None if r is None else np.array(r, np.int64), length) for t, r in zip(raw, runs.to_pylist(), strict=True)]
@@ -271,7 +271,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """A row for each row: doc_id, n_bytes, n_removed, n_spans, and the text kept or its digest."""
-    arrow_batches(docs.sparkSession)
     base = _keyed(docs, id_col, text_col)
     runs = repeats(base, length).withColumnsRenamed({"doc_id": "i", "text_hash": "h"})
     flagged = flag_members(base, _row_key("doc_id", "text_hash"), runs.select(_row_key("i", "h")), "some")
@@ -288,7 +287,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 def dedup_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without repeated strings, with all their columns."""
-    arrow_batches(docs.sparkSession)
     i, h, r, some = (fresh(docs, x) for x in ("id", "hash", "runs", "some"))
     runs = repeats(_keyed(docs, id_col, text_col), length).withColumnsRenamed({"doc_id": i, "text_hash": h, "runs": r})
     key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))

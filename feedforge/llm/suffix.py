@@ -1,10 +1,13 @@
-"""Suffix arrays of byte strings by induced sorting, vectorised over buckets.
+"""Suffix arrays of strings of bytes or integers by induced sorting, vectorised over waves.
 
 Suffixes are classified as S (smaller than the next one) or L. The leftmost S of each run is an LMS
-place; the LMS substrings are sorted by inducing, named, and sorted as suffixes of their names,
-which then induce the order of all suffixes. Inducing goes through the buckets of bytes in order and
-moves all members of a bucket at once; a run of one byte takes several waves. Names number up to a
-third of the text, too many for buckets, so suffixes of names are sorted by doubling ranks.
+place; the LMS substrings are sorted by inducing and named, the string of names is sorted by the same
+procedure, recursively, and the order of the names' suffixes then induces that of all suffixes.
+
+Inducing goes through the array in order. How many L (or S) suffixes each bucket has is known, so
+every place before the first bucket that still lacks some is final; all those places are read in one
+wave. A wave covers many buckets where they are small, as those of names are, and a bucket takes
+several where a symbol runs on.
 
 The permuted common prefixes are found in text order: a place whose left neighbour equals that of
 the suffix before it in the array is reducible, with one byte less than the place before, and only
@@ -15,12 +18,15 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Strings up to this length, where the recursion ends, are sorted by comparing their suffixes.
+SHORT = 4096
+
 
 def classify(text: np.ndarray) -> np.ndarray:
-    """True for S suffixes. The end of the text counts as smaller than every byte."""
+    """True for S suffixes. The end of the text counts as smaller than every symbol."""
     n = len(text)
     grows = np.zeros(n, np.int8)
-    grows[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
+    grows[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     grows[-1] = -1
     # a place equal to the next one has the class of the next place that is not
     known = np.where(grows != 0, np.arange(n), n - 1)
@@ -28,91 +34,68 @@ def classify(text: np.ndarray) -> np.ndarray:
     return grows[nearest] > 0
 
 
-def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def _first_open(at: np.ndarray, limit: np.ndarray, b: int) -> int:
+    """The first bucket from b on whose place is under its limit, or their number."""
+    step = 64
+    while b < len(at):
+        open_ = at[b : b + step] < limit[b : b + step]
+        k = int(open_.argmax())
+        if open_[k]:
+            return b + k
+        b, step = b + step, 4 * step
+    return len(at)
+
+
+def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
     """Suffixes in order, given LMS places in the order in which they end their buckets."""
     n = len(text)
-    counts = np.bincount(text, minlength=256)
+    counts = np.bincount(text, minlength=symbols)
     tails = np.cumsum(counts)
     heads = tails - counts
+    middles = heads + np.bincount(text[~is_s], minlength=symbols)  # where L suffixes end
     order = np.full(n, -1, np.int32)
-    # seeds at the ends of their buckets
-    byte = text[seeds]
-    by = np.argsort(byte, kind="stable")
-    per = np.bincount(byte, minlength=256)
-    first = np.cumsum(per) - per
-    order[(tails - per)[byte[by]] + np.arange(len(seeds)) - first[byte[by]]] = seeds[by]
 
-    def place(found: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    def place(found: np.ndarray, at: np.ndarray, step: int) -> None:
         """Put places into their buckets, keeping their order; the buckets' ends move by as much."""
+        if not len(found):
+            return
         b = text[found]
         group = np.argsort(b, kind="stable")
-        sizes = np.bincount(b, minlength=256)
-        rank = np.empty(len(found), np.int64)
-        rank[group] = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found, b = found[group], b[group]
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        sizes = np.diff(np.append(first, len(b)))
+        rank = np.arange(len(b)) - np.repeat(first, sizes)
         order[at[b] + step * rank - (step < 0)] = found
-        at += step * sizes
-        return b
+        at[b[first]] += step * sizes
 
+    # seeds at the ends of their buckets
+    ends = tails.copy()
+    place(seeds[::-1], ends, -1)
     # L suffixes, from the left; the end of the text comes before all
-    at = heads.copy()
+    at, lo, b = heads.copy(), 0, 0
     place(np.array([n - 1]), at, 1)
-    used = np.flatnonzero(counts)
-    for b in used.tolist():
-        lo = heads[b]
-        while lo < at[b]:
-            hi = at[b]
-            before = order[lo:hi] - 1
-            before = before[before >= 0]
-            before = before[~is_s[before]]
-            lo = hi
-            if len(before):
-                place(before, at, 1)
-        # LMS places of this bucket come after its L suffixes
-        rest = order[tails[b] - per[b] : tails[b]] if per[b] else np.zeros(0, np.int32)
-        before = rest - 1
-        before = before[before >= 0]
+    while lo < n:
+        b = _first_open(at, middles, b)
+        hi = int(at[b]) if b < symbols else n
+        before = order[lo:hi]
+        before = before[before > 0] - 1
         before = before[~is_s[before]]
-        if len(before):
-            place(before, at, 1)
+        place(before, at, 1)
+        lo = hi
     # S suffixes, from the right, in place of the seeds
-    ends = at.copy()  # where L suffixes end
-    at = tails.copy()
-    for b in used[::-1].tolist():
-        hi = tails[b]
-        while hi > at[b]:
-            lo = at[b]
-            before = order[lo:hi][::-1] - 1
-            before = before[before >= 0]
-            before = before[is_s[before]]
-            hi = lo
-            if len(before):
-                place(before, at, -1)
-        before = order[heads[b] : ends[b]][::-1] - 1
-        before = before[before >= 0]
+    at, hi, b = tails.copy(), n, 0
+    back, limit = at[::-1], middles[::-1]
+    while hi > 0:
+        b = _first_open(limit, back, b)
+        lo = int(back[b]) if b < symbols else 0
+        before = order[lo:hi][::-1]
+        before = before[before > 0] - 1
         before = before[is_s[before]]
-        if len(before):
-            place(before, at, -1)
+        place(before, at, -1)
+        hi = lo
     return order
 
 
-def _sort_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by doubling."""
-    n, step = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        following = np.zeros(n, np.int64)
-        following[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + following
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n:
-            return order
-
-
 def _name(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Names of LMS substrings in text order: equal for equal substrings, ascending with their order."""
     n = len(text)
@@ -138,24 +121,26 @@ def _name(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of a uint8 array in ascending order."""
+    """Starts of the suffixes of an array of small integers, none below zero, in ascending order."""
     n = len(text)
-    if n < 2:
-        return np.arange(n, dtype=np.int32)
+    if n <= SHORT:
+        raw = text.astype(">u4").tobytes()
+        return np.array(sorted(range(n), key=lambda i: raw[4 * i :]), np.int32)
+    symbols = int(text.max()) + 1
     is_s = classify(text)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if not len(lms):
-        return _induce(text, is_s, np.zeros(0, np.int64))
+        return _induce(text, is_s, lms, symbols)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    rough = _induce(text, is_s, lms)
+    rough = _induce(text, is_s, lms, symbols)
     names = _name(text, lms, rough[is_lms[rough]].astype(np.int64))
     if names.max() + 1 < len(lms):
-        ordered = lms[_sort_names(names)]
+        ordered = lms[suffix_array(names.astype(np.int32))]
     else:
         ordered = np.empty(len(lms), np.int64)
         ordered[names] = lms
-    return _induce(text, is_s, ordered)
+    return _induce(text, is_s, ordered, symbols)
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, need: int) -> np.ndarray:

@@ -1,15 +1,19 @@
 """Token-id files of directly addressable codes (operator 8).
 
 A file is a table of segments in ascending doc_id order, written by Spark, so that a task that an
-executor's loss repeats leaves no half-written part. A segment holds the ids of several documents:
+executor's loss repeats leaves no half-written part. Segments are stored uncompressed beside their
+smallest and largest doc_id, so that a reader of one token opens the pages of one segment alone. A
+segment holds the ids of several documents:
 
-    "DAC1", then six little-endian unsigned 32-bit numbers: documents, levels, and 0s
-    doc_ids (signed 64-bit), first ids (unsigned 64-bit, one more than documents)
+    "DAC1", then two little-endian unsigned 32-bit numbers: documents, levels
+    doc_ids (signed 64-bit), a bitmap of null ones (lowest bit first), first ids (unsigned 64-bit,
+    one more than documents)
     for each level: number of codes (unsigned 64-bit), one byte a code, the continuation bitmap
     (first code in the lowest bit), the rank directory (unsigned 32-bit: bits set before each 512)
 
 A code is eight bits of an id, lowest first; its bit says whether the id goes on in the next level,
-at the place that the rank of the bit gives. So any id is found by one look at each level.
+at the place that the rank of the bit gives. So any id is found by one look at each level, and any
+stretch of ids by one stretch of each level.
 
 Edge cases: null and empty texts have the end id only; rows with one doc_id follow each other, by
 the hash of their text; null ids come first; an empty table writes no segment.
@@ -27,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches, bucket_of, range_buckets
-from feedforge.llm.tokens import encode_batches
+from feedforge.llm.common import bucket_of, range_count, ranges, slices
+from feedforge.llm.tokens import library_encoder, texts_of
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -53,9 +57,10 @@ def pack(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
         rest = rest[on] >> 8
         if not len(rest):
             break
-    head = MAGIC + struct.pack("<6I", len(docs), len(levels), 0, 0, 0, 0)
-    known = np.array([-(1 << 63) if i is None else i for i in doc_ids], "<i8")
-    return head + known.tobytes() + starts.tobytes() + b"".join(levels)
+    head = MAGIC + struct.pack("<2I", len(docs), len(levels))
+    known = np.array([i or 0 for i in doc_ids], "<i8")
+    null = np.packbits(np.array([i is None for i in doc_ids], bool), bitorder="little")
+    return head + known.tobytes() + null.tobytes() + starts.tobytes() + b"".join(levels)
 
 
 class Segment:
@@ -65,10 +70,13 @@ class Segment:
         if raw[:4] != MAGIC:
             raise ValueError("not a segment of token ids")
         n, levels = struct.unpack_from("<2I", raw, 4)
-        at = 28
-        self.doc_ids = np.frombuffer(raw, "<i8", n, at)
-        self.starts = np.frombuffer(raw, "<u8", n + 1, at + 8 * n).astype(np.int64)
-        at += 16 * n + 8
+        at = 12
+        ids, empty = np.frombuffer(raw, "<i8", n, at).tolist(), -(-n // 8)
+        null = np.unpackbits(np.frombuffer(raw, np.uint8, empty, at + 8 * n), count=n, bitorder="little")
+        self.doc_ids = [None if absent else i for i, absent in zip(ids, null.tolist(), strict=True)]
+        at += 8 * n + empty
+        self.starts = np.frombuffer(raw, "<u8", n + 1, at).astype(np.int64)
+        at += 8 * n + 8
         self.levels = []
         for _ in range(levels):
             (count,) = struct.unpack_from("<Q", raw, at)
@@ -82,81 +90,104 @@ class Segment:
     def __len__(self) -> int:
         return len(self.levels[0][0])
 
+    def _rank(self, level: int, i: int) -> int:
+        """Continuation bits before the i-th code of a level, by its rank directory."""
+        _, bits, rank = self.levels[level]
+        block = i // RANK_BITS
+        lo = block * RANK_BITS // 8
+        inside = int(np.bitwise_count(bits[lo : i >> 3]).sum())
+        rest = int(bits[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0
+        return int(rank[block]) + inside + rest
+
     def at(self, i: int) -> int:
         """The i-th id, by one look at each level it reaches."""
         value = 0
-        for shift, (codes, bits, rank) in enumerate(self.levels):
-            value |= int(codes[i]) << (8 * shift)
+        for level, (codes, bits, _) in enumerate(self.levels):
+            value |= int(codes[i]) << (8 * level)
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // RANK_BITS
-            lo = block * RANK_BITS // 8
-            before = int(np.bitwise_count(bits[lo : i >> 3]).sum()) + int(bits[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
-            i = int(rank[block]) + before
+            i = self._rank(level, i)
         return value
 
-    def ids(self) -> np.ndarray:
-        """All ids."""
-        out = np.zeros(len(self), np.uint32)
-        where = np.arange(len(self))
-        for shift, (codes, bits, _) in enumerate(self.levels):
-            out[where] |= codes.astype(np.uint32) << np.uint32(8 * shift)
-            where = where[np.unpackbits(bits, count=len(codes), bitorder="little").view(bool)]
+    def ids(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """The ids from lo to hi: the codes of a stretch go on in one stretch of the next level."""
+        hi = len(self) if hi is None else hi
+        out = np.zeros(hi - lo, np.uint32)
+        where = np.arange(hi - lo)
+        for level, (codes, bits, _) in enumerate(self.levels):
+            out[where] |= codes[lo:hi].astype(np.uint32) << np.uint32(8 * level)
+            on = np.unpackbits(bits[lo >> 3 : -(-hi // 8)], bitorder="little").view(bool)[lo & 7 : (lo & 7) + hi - lo]
+            where = where[on]
+            if not len(where):
+                break
+            lo = self._rank(level, lo)
+            hi = lo + len(where)
         return out
 
 
-def _segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, doc_id, ids) in order -> segments, with the ids before each in its bucket."""
+SEGMENTS = "bucket int, number long, before long, n_ids long, low long, high long, data binary"
+
+
+def _segments(batches: Iterator[pa.RecordBatch], path: str, end: bytes, limit: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, doc_id, text) in order -> segments, with the ids before each in its bucket and its doc_ids' bounds."""
+    encode = library_encoder(path, "byte")
     bucket, before, held, size, number = None, 0, [], 0, 0
 
     def done() -> pa.RecordBatch:
         raw = pack([i for i, _ in held], [np.frombuffer(x, "<u2") for _, x in held])
-        return pa.RecordBatch.from_pydict(
-            {"bucket": pa.array([bucket], pa.int32()), "number": pa.array([number], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([size], pa.int64()), "data": pa.array([raw], pa.binary())}
-        )
+        known = [i for i, _ in held if i is not None]
+        row = [bucket, number, before, size, min(known, default=None), max(known, default=None)]
+        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.int64()) for x in row[1:]), pa.array([raw], pa.binary())], names=["bucket", "number", "before", "n_ids", "low", "high", "data"])
 
-    for batch in batches:
-        for b, i, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for batch in slices(batches, 2, rows=600):
+        coded = encode(texts_of(batch.column(2)))
+        for b, i, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), coded, strict=True):
             if held and (b != bucket or size >= limit):
                 yield done()
                 before, number, held, size = (before + size, number + 1, [], 0) if b == bucket else (0, 0, [], 0)
             bucket = b
-            held.append((i, ids))
-            size += len(ids) // 2
+            held.append((i, ids + end))
+            size += len(ids) // 2 + 1
     if held:
         yield done()
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every text with a byte-level BPE and write the table of segments."""
-    arrow_batches(docs.sparkSession, 600)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = base.mapInArrow(partial(encode_batches, path=tokenizer, kind="byte", end=end_id.to_bytes(2, "little")), "doc_id long, ids binary")
-    placed = _in_order(coded, base)
-    placed.select("bucket", "doc_id", "ids").mapInArrow(partial(_segments, limit=segment_ids), "bucket int, number long, before long, n_ids long, data binary").write.parquet(folder)
+    n = range_count(docs.sparkSession)
+    bounds = ranges(base, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 8, n)
+    placed = base.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).repartitionById(n, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
+    code = partial(_segments, path=tokenizer, end=end_id.to_bytes(2, "little"), limit=segment_ids)
+    placed.select("bucket", "doc_id", "text").mapInArrow(code, SEGMENTS).write.option("compression", "uncompressed").parquet(folder)
 
 
-def _in_order(coded: DataFrame, base: DataFrame) -> DataFrame:
-    """Coded rows in doc_id order; the bounds of the ranges come from the ids of the table alone."""
-    n = 2 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_buckets(base.select("doc_id"), "doc_id", n)
-    return coded.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("ids"))
+def id_at(spark: SparkSession, folder: str, doc_id: int, i: int) -> int:
+    """The i-th id of a document (of the first, where rows share its doc_id), from its segment alone."""
+    hit = spark.read.parquet(folder).filter((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).orderBy("bucket", "number").select("data").limit(1).collect()
+    seg = Segment(bytes(hit[0]["data"])) if hit else None
+    if seg is None or doc_id not in seg.doc_ids:
+        raise KeyError(doc_id)
+    k = seg.doc_ids.index(doc_id)
+    if not 0 <= i < seg.starts[k + 1] - seg.starts[k]:
+        raise IndexError(i)
+    return seg.at(int(seg.starts[k]) + i)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2, rows=4):
         for bucket, before, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             seg = Segment(raw)
-            ids, at = seg.ids().astype("<u4"), seg.starts
-            n = len(seg.doc_ids)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array([bucket] * n, pa.int32()),
-                    "doc_id": pa.array([None if i == -(1 << 63) else i for i in seg.doc_ids.tolist()], pa.int64()),
-                    "start": pa.array(before + at[:-1], pa.int64()),
-                    "n_tokens": pa.array(np.diff(at), pa.int64()),
-                    "ids": pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
-                }
+            at = seg.starts
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bucket] * len(seg.doc_ids), pa.int32()),
+                    pa.array(seg.doc_ids, pa.int64()),
+                    pa.array(before + at[:-1], pa.int64()),
+                    pa.array(np.diff(at), pa.int64()),
+                    pa.array([seg.ids(a, b).astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
+                ],
+                names=["bucket", "doc_id", "start", "n_tokens", "ids"],
             )
 
 
@@ -168,7 +199,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """doc_id, start in the whole file, n_tokens and ids (four bytes each), or ids_crc32 in their place."""
-    arrow_batches(spark, 4)
     table = spark.read.parquet(folder)
     sums = sorted((r["bucket"], r["n"]) for r in table.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect())  # a row a bucket
     starts, total = [], 0

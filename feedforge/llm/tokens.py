@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -79,6 +79,8 @@ class CachedEncoder:
 
 def _library(path: str) -> Tokenizer:
     tokenizer = Tokenizer.from_file(path)
+    if max(tokenizer.get_vocab(with_added_tokens=True).values()) >= 1 << 16:
+        raise ValueError("ids of two bytes are held for a vocabulary of at most 65,536 tokens")
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
@@ -141,8 +143,8 @@ class _Store:
 #: Bytes of text that are cut at a time; longer texts go piece by piece.
 BLOCK = 1 << 20
 #: What a text must not hold to be cut by bytes: runs of white space, white space beyond space and
-#: line feed, and the tokenizers' special tokens.
-_HARD = [b"  ", b"\n ", b" \n", b"\n\n", b"<|", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe3\x80\x80"]
+#: line feed; the tokenizer's special tokens come to it.
+_HARD = [b"  ", b"\n ", b" \n", b"\n\n", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe3\x80\x80"]
 _CONTROL = b"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _HARD_E2 = re.compile(rb"\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)")
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
@@ -161,10 +163,11 @@ class BlockEncoder:
     def __init__(self, kind: str, slow: CachedEncoder, pieces: LibraryPieces, remembered: int = 500_000):
         self.kind, self.slow, self.pieces = kind, slow, pieces
         self.known = _Store(remembered)
+        self.hard = [*_HARD, *(t.content.encode() for t in pieces.whole.get_added_tokens_decoder().values())]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         raws = [t.encode() for t in texts]
-        hard = [len(r) > BLOCK or len(r.translate(None, _CONTROL)) < len(r) or any(x in r for x in _HARD) or (b"\xe2" in r and _HARD_E2.search(r) is not None) for r in raws]
+        hard = [len(r) > BLOCK or len(r.translate(None, _CONTROL)) < len(r) or any(x in r for x in self.hard) or (b"\xe2" in r and _HARD_E2.search(r) is not None) for r in raws]
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip([i for i, h in enumerate(hard) if h], self.slow([t for t, h in zip(texts, hard, strict=True) if h]), strict=True):
             out[i] = ids
@@ -248,11 +251,3 @@ def library_encoder(path: str, kind: str) -> BlockEncoder:
 
 def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
-
-
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, kind: str, end: bytes) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (key, ids): two bytes an id, `end` appended."""
-    encode = library_encoder(path, kind)
-    for batch in batches:
-        ids = [x + end for x in encode(texts_of(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])

@@ -3,7 +3,7 @@
 Features are hashed words, word pairs and skip-grams (two words around a third), each once a text.
 Each weight has its own learning rate from its gradients so far, and the L1 term keeps most weights
 at exactly zero, so that what is broadcast for scoring is a short sparse table. The model is fitted
-in one task on at most SAMPLE labelled rows, the first by a hash of doc_id, that are not held out;
+in one task on at most SAMPLE different labelled texts, the first by a hash of doc_id, that are not held out;
 labels, language, source and doc_id are never features.
 
 Edge cases: null and empty texts have the score of the intercept alone; labels that are null or
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import arrow_batches
+from feedforge.llm.common import slices
 from feedforge.llm.shingles import NOT_ALNUM, mix, words
 from feedforge.llm.tokens import texts_of
 
@@ -83,27 +83,32 @@ def fit(rows: list[np.ndarray], labels: list[int], passes: int = PASSES) -> tupl
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 0):
         found = features(texts_of(batch.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x in found], pa.binary()), batch.column(1), batch.column(2)], names=["features", "y", "turn"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x in found], pa.binary()), *batch.columns[1:]], names=["features", "y", "turn", "text_hash"])
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    rows.sort(key=lambda r: r[2])
-    used, w = fit([np.frombuffer(x, "<i4").astype(np.int64) for x, _, _ in rows], [y for _, y, _ in rows])
+    rows.sort(key=lambda r: (r[2], r[1], r[3]))
+    used, w = fit([np.frombuffer(x, "<i4").astype(np.int64) for x, *_ in rows], [r[1] for r in rows])
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "weight": pa.array(w, pa.float64())})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, float]]:
-    """The sparse weights; at most BUCKETS, and few of them."""
-    arrow_batches(docs.sparkSession)
+def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """features, y and the order of the different labelled texts, `sample` at most."""
     turn = F.xxhash64("doc_id")
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     chosen = named.filter(~held_out(F.col("doc_id")) & F.col("y").isin(0, 1)).distinct().withColumn("turn", turn).orderBy("turn", "y").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "turn").mapInArrow(_featured, "features binary, y int, turn long")
-    found = rows.repartition(1).mapInArrow(_fitted, "bucket int, weight double")
+    # an id that comes with many texts or many times adds no more rows than the bound
+    labelled = texts.join(F.broadcast(chosen), "doc_id").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash", "y"])
+    return labelled.select("text", "y", "turn", "text_hash").mapInArrow(_featured, "features binary, y int, turn long, text_hash long").orderBy("turn", "y", "text_hash").limit(sample)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **cols: str) -> list[tuple[int, float]]:
+    """The sparse weights; at most BUCKETS, and few of them."""
+    found = examples(docs, labels, sample, **cols).repartition(1).mapInArrow(_fitted, "bucket int, weight double")
     return [(r["bucket"], r["weight"]) for r in found.collect()]
 
 
@@ -120,14 +125,13 @@ def _scored(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBat
     used, w = weights.value
     dense = np.zeros(BUCKETS)
     dense[used] = w
-    for batch in batches:
+    for batch in slices(batches, 2):
         scores = probabilities(texts_of(batch.column(2)), dense) if len(used) else np.zeros(batch.num_rows)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores), pa.array((scores >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
 
 def score(docs: DataFrame, weights: list[tuple[int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    arrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((np.array([i for i, _ in weights], np.int64), np.array([w for _, w in weights])))
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))

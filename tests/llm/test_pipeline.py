@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.conftest import SMALL
+from feedforge.llm.common import shared_folder
+from tests.llm.conftest import SMALL, odd_rows
 from tests.llm.test_operators import brute_classes, brute_repeats
 
 
@@ -17,6 +20,23 @@ def test_stages(spark, odd, none):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SMALL).columns == odd.columns
         assert stage(spark, none, SMALL).count() == 0
+    packing = corpus_pipeline.STAGES[-1][1]
+    assert packing(spark, none, SMALL).count() == 0
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted(len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in odd_rows())
+    whole = packing(spark, odd, SMALL).filter("start = 0")
+    assert sorted(r.doc_tokens for r in whole.collect()) == want
+
+
+def test_odd_rows_in_each_stage(spark, odd):
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
+    assert set(ids(stage["quality_rules"](spark, odd, SMALL))) <= {0, 5, 6, 7, 8, 9}
+    lined = stage["line_dedup"](spark, odd, SMALL)
+    assert ids(lined) == ids(odd) and lined.filter("text is null").count() == 2
+    assert ids(stage["near_dedup"](spark, odd, SMALL)) == [0, 0, 1, 2, 3, 5, 9, 10, 11, 12]
+    suffixed = {r.doc_id: r.text for r in stage["suffix_dedup"](spark, odd, SMALL).collect() if r.doc_id}
+    assert suffixed[1] is None and suffixed[2] == "" and suffixed[3] == "Solo" and suffixed[7] == "" and suffixed[10] == ""
 
 
 def test_run(spark, tmp_path):
@@ -41,3 +61,4 @@ def test_run(spark, tmp_path):
     assert packed.groupby("doc_id").length.sum().to_dict() == want
     again = corpus_pipeline.run(spark, SMALL).toPandas()
     assert np.array_equal(np.sort(again.ids_crc32), np.sort(packed.ids_crc32))
+    assert not [x for x in os.listdir(shared_folder(spark).removeprefix("file:")) if x.startswith(("pipeline-", "token-ids-"))]
