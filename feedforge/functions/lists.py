@@ -127,3 +127,45 @@ def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; 1 where a vector is zero."""
     n = norm(a) * norm(b)
     return F.when(n > 0, 1 - dot(a, b) / n).otherwise(F.lit(1.0))
+
+
+def distinct(c: Column) -> Column:
+    """Different elements, in order of their first place."""
+    return F.array_distinct(c)
+
+
+def drop_nulls(c: Column) -> Column:
+    """Elements that are not null; a null list stays null."""
+    return F.array_compact(c)
+
+
+def append(c: Column, value: Column) -> Column:
+    """The list with a value after its last element."""
+    return F.concat(c, F.array(value))
+
+
+def last(c: Column) -> Column:
+    """A list of the last element, or an empty one."""
+    return tail(c, 1)
+
+
+def first_element(c: Column) -> Column:
+    """The first element, null for an empty list."""
+    return F.get(c, F.lit(0))
+
+
+def zeros_like(c: Column) -> Column:
+    """A list of zeros of the same length."""
+    return F.transform(c, lambda _: F.lit(0))
+
+
+def mean(c: Column) -> Column:
+    """Mean of the elements that are not null; null where there are none."""
+    known = F.array_compact(c)
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return F.when(F.size(known) > 0, total / F.size(known))
+
+
+def keys_in(c: Column, mapping: Column) -> Column:
+    """Elements that are keys of a map column, in order."""
+    return F.filter(c, lambda x: F.map_contains_key(mapping, x))

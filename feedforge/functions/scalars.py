@@ -47,6 +47,28 @@ def digest_order(seed: int | str, *keys: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """Days and h:mm:ss."""
+    """Days, hours, minutes and seconds, none of them padded."""
     s = seconds.cast("long")
-    return F.format_string("%d days %d:%02d:%02d", F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60)
+    return F.format_string("%d days %d:%d:%d", F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60)
+
+
+def positives_ratio(n_pos: Column, n_neg: Column) -> Column:
+    """Negatives for each positive; null without positives."""
+    return n_neg / F.nullif(n_pos, F.lit(0))
+
+
+def map_value(c: Column, values: dict, default: str | None = None) -> Column:
+    """The value of a small table of constants; the default where it has none."""
+    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    found = F.try_element_at(table, c) if values else F.lit(None).cast("string")
+    return F.coalesce(found, F.lit(default)) if default is not None else found
+
+
+def date_part(c: Column) -> Column:
+    """The date of a time."""
+    return F.to_date(c)
+
+
+def now_text() -> Column:
+    """The time of the query as year-month-day-hour-minute-second."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd-HH-mm-ss")

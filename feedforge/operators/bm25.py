@@ -85,3 +85,17 @@ def recall(gt: Column, candidates: Column, k: int) -> Column:
     """Share of ground-truth elements among the first k candidates; repeats count each, empty truth gives 0."""
     hit = F.size(F.filter(gt, lambda x: F.array_contains(F.slice(candidates, 1, k), x)))
     return F.when(F.size(gt) > 0, hit / F.size(gt)).otherwise(0.0)
+
+
+def recall_by_history(candidates: DataFrame, k: int, n_history: str = "n_history", gt: str = "gt_clicked", found: str = "candidates", split: str = "split") -> DataFrame:
+    """split, slice (cold, warm), n, recall: mean recall at k of rows with a click, by whether there was a history; null without rows."""
+    asked = candidates.filter(F.size(gt) > 0).withColumn("__r", recall(F.col(gt), F.col(found), k))
+    cold = F.coalesce(F.col(n_history), F.lit(0)) == 0
+    per = asked.groupBy(split).agg(F.count_if(cold).alias("nc"), F.count_if(~cold).alias("nw"), F.avg(F.when(cold, F.col("__r"))).alias("c"), F.avg(F.when(~cold, F.col("__r"))).alias("w"))
+    return per.select(split, F.inline(F.array(F.struct(F.lit("cold").alias("slice"), F.col("nc").alias("n"), F.col("c").alias("recall")), F.struct(F.lit("warm").alias("slice"), F.col("nw").alias("n"), F.col("w").alias("recall")))))
+
+
+def with_history_length(candidates: DataFrame, impressions: DataFrame, row: str, history: str = "history") -> DataFrame:
+    """Candidates with n_history, the length of their row's history (0 for null)."""
+    size = impressions.select(row, F.size(F.coalesce(history, F.array().cast(dict(impressions.dtypes)[history]))).alias("n_history"))
+    return candidates.join(size, row, "left")

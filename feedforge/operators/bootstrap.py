@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,20 +24,6 @@ def numpy_mean_ci(values: np.ndarray, runs: int = 1000, seed: int = 42, chunk: i
     return float(values.mean()), float(low), float(high)
 
 
-def numpy_coverage_ci(sets: list[set], catalog: int, runs: int = 1000, seed: int = 42) -> tuple[float | None, float | None, float | None]:
-    """Share of the catalog in the union of the sets, and its percentiles over resampled sets."""
-    if not sets or not catalog:
-        return None, None, None
-    items = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
-    hit = np.zeros((len(sets), len(items)), bool)
-    for r, s in enumerate(sets):
-        hit[r, [items[x] for x in s]] = True
-    rng = np.random.default_rng(seed)
-    ratios = [hit[rng.integers(0, len(sets), size=len(sets))].any(axis=0).sum() / catalog for _ in range(runs)]
-    low, high = np.percentile(ratios, [2.5, 97.5])
-    return len(items) / catalog, float(low), float(high)
-
-
 def mean_ci(df: DataFrame, group: str, order: str, value: str, runs: int = 1000, seed: int = 42) -> DataFrame:
     """group, value, ci_low, ci_high; null values stay out."""
     kind = dict(df.dtypes)[group]
@@ -51,15 +37,52 @@ def mean_ci(df: DataFrame, group: str, order: str, value: str, runs: int = 1000,
     return rows.groupBy(group).applyInArrow(one, f"{group} {kind}, value double, ci_low double, ci_high double")
 
 
+def poisson_steps(most: int = 8) -> list[float]:
+    """The cumulative shares of a Poisson(1) number at which it grows by one, up to `most`."""
+    out, p = [], float(np.exp(-1))
+    for k in range(1, most + 1):
+        out.append((out[-1] if out else 0.0) + p)
+        p /= k
+    return out
+
+
+def _uniform(key: Column, run: Column, seed: int) -> Column:
+    """A number in [0, 1) that follows seed, row and run."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), run.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def poisson_ci(df: DataFrame, group: str, key: str, value: str, runs: int = 200, seed: int = 42) -> DataFrame:
     """group, value, ci_low, ci_high from weighted means that are aggregated before they are shuffled."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("run").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    cum, p, count = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(1, 9):
-        cum += p
-        count = count + (u >= cum).cast("int")
-        p /= k
+    u = _uniform(F.col(key), F.col("run"), seed)
+    count = F.lit(0)
+    for step in poisson_steps():
+        count = count + (u >= step).cast("int")
     each = df.filter(F.col(value).isNotNull()).select(group, key, F.col(value).alias("__v"), F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
     weighted = each.withColumn("w", count).groupBy(group, "run").agg((F.sum(F.col("w") * F.col("__v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     ci = weighted.groupBy(group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return df.groupBy(group).agg(F.avg(value).alias("value")).join(ci, group).select(group, "value", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+
+
+def coverage_ci(items: DataFrame, group: str, key: str, item: str, size: DataFrame, runs: int = 200, seed: int = 42) -> DataFrame:
+    """group, value, ci_low, ci_high of the share of size(size) that the rows' items cover, for items(group, key, item).
+
+    Each row holds the runs it is drawn in (a Poisson number above zero) as bits of long words; an
+    item's words are merged by or, before they are shuffled too, so that a row costs the same in every
+    run and no run's items are listed.
+    """
+    words = -(-runs // 64)
+    drawn = lambda r: _uniform(F.col(key), F.lit(r), seed) >= poisson_steps(1)[0]
+    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(b))
+    # runs count from 1; one word a step keeps the expression short
+    packed = lambda w: sum((F.when(drawn(64 * w + b + 1), bit(b)).otherwise(F.lit(0).cast("long")) for b in range(1, min(64, runs - 64 * w))), F.when(drawn(64 * w + 1), bit(0)).otherwise(F.lit(0).cast("long")))
+    rows = items.select(F.col(key)).distinct().select(key, *[packed(w).alias(f"__w{w}") for w in range(words)])
+    merged = items.join(rows, key).groupBy(group, item).agg(*[F.bit_or(f"__w{w}").alias(f"__w{w}") for w in range(words)])
+    each = merged.select(group, F.posexplode(F.array(*[f"__w{w}" for w in range(words)])).alias("w", "bits"))
+    counts = each.select(group, F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit("bits", b) == 1, F.col("w") * 64 + b)), lambda r: r.isNotNull())).alias("run"))
+    seen = counts.groupBy(group, "run").agg(F.count(F.lit(1)).alias("n"))
+    # a run that drew nothing covers nothing
+    every = items.select(group).distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    filled = every.join(seen, [group, "run"], "left").crossJoin(F.broadcast(size)).withColumn("share", F.coalesce("n", F.lit(0)) / F.nullif(F.col("size"), F.lit(0)))
+    ci = filled.groupBy(group).agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    value = merged.groupBy(group).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(size)).select(group, (F.col("n") / F.nullif(F.col("size"), F.lit(0))).alias("value"))
+    return value.join(ci, group).select(group, "value", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))

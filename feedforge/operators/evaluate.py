@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedforge.operators import bootstrap
+from feedforge.operators.order import numbered
 from feedforge.operators.ranking import average_tie_rank
 
 UNKNOWN = "__UNKNOWN__"
@@ -123,3 +125,93 @@ def bounded_mean(df: DataFrame, value: str, n: int) -> DataFrame:
     low = df.orderBy(F.asc(value)).limit(n).agg(F.avg(value).alias("lowest"))
     high = df.orderBy(F.desc(value)).limit(n).agg(F.avg(value).alias("highest"))
     return low.crossJoin(high)
+
+
+def dcg(predictions: DataFrame, row: str, k: int) -> DataFrame:
+    """row, dcg, ndcg of graded gains 2 ** y - 1; of equal predictions the later place comes first. ndcg is null where no gain is possible."""
+    by_p, by_y = Window.partitionBy(row).orderBy(F.desc("p"), F.desc("pos")), Window.partitionBy(row).orderBy(F.desc("y"), "pos")
+    ranked = predictions.withColumns({"__rank": F.row_number().over(by_p), "__ideal": F.row_number().over(by_y)})
+    gain = lambda r: F.sum(F.when(F.col(r) <= k, (F.pow(F.lit(2.0), F.col("y")) - 1) / F.log2(F.col(r) + 1.0)).otherwise(0.0))
+    per = ranked.groupBy(row).agg(gain("__rank").alias("dcg"), gain("__ideal").alias("__best"))
+    return per.select(row, "dcg", (F.col("dcg") / F.nullif(F.col("__best"), F.lit(0.0))).alias("ndcg"))
+
+
+#: Metrics that `metric_suite` knows.
+SUITE = ("auc", "mrr", "ndcg", "log_loss", "rmse", "accuracy", "f1")
+
+
+def metric_suite(predictions: DataFrame, row: str, metrics: list[str], threshold: float = 0.5, k: int = 5) -> DataFrame:
+    """metric, value: the metrics asked for, in one pass over the predictions; an unknown name raises."""
+    unknown = [m for m in metrics if m not in SUITE]
+    if unknown or not metrics:
+        raise ValueError(f"metrics are some of {SUITE}, not {unknown}")
+    wide = toolbox_metrics(predictions, row, threshold, k)
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])))
+
+
+def chunked_auc(predictions: DataFrame, order: str, y: str = "y", p: str = "p") -> DataFrame:
+    """One row, auc: mean AUC over consecutive chunks of a flat table, as long as it has positives; chunks of one class stay out.
+
+    The length follows the original, which takes the number of positives for that of samples.
+    """
+    n = int(predictions.agg(F.sum(y)).first()[0] or 0)
+    if not n:
+        return predictions.limit(0).agg(F.lit(None).cast("double").alias("auc"))
+    chunks = numbered(predictions, F.col(order), "__ix").withColumn("__chunk", F.floor(F.col("__ix") / n))
+    tied = chunks.withColumn("__tr", average_tie_rank(p, "__chunk"))
+    pos, size = F.sum(y), F.count(F.lit(1))
+    per = tied.groupBy("__chunk").agg(((F.sum(F.when(F.col(y) == 1, F.col("__tr"))) - pos * (pos + 1) / 2) / F.nullif(pos * (size - pos), F.lit(0))).alias("auc"))
+    return per.agg(F.avg("auc").alias("auc"))
+
+
+def list_mean(lists: DataFrame, items: str, scores: DataFrame, row: str, item: str, value: str) -> DataFrame:
+    """row, mean: mean value (a sentiment, say) of each list's known items; null where none is known."""
+    if value not in scores.columns:
+        raise ValueError(f"{value} is not a column of the scores")
+    each = lists.select(F.col(row).alias("__row"), F.explode(items).alias("__i"))
+    known = each.join(scores.select(F.col(item).alias("__i"), F.col(value).cast("double").alias("__v")), "__i")
+    means = known.groupBy("__row").agg(F.avg("__v").alias("mean"))
+    return lists.select(row).join(means, lists[row] == F.col("__row"), "left").drop("__row")
+
+
+def distinct_share(items: DataFrame, item: str, catalog: DataFrame | None = None) -> DataFrame:
+    """One row, n and share: different items, and those over the catalog's; minus infinity without a catalog.
+
+    The items are not cut to the catalog, so that the share may exceed one.
+    """
+    n = items.agg(F.count_distinct(item).alias("n"))
+    if catalog is None:
+        return n.select("n", F.lit(float("-inf")).alias("share"))
+    size = catalog.agg(F.count_distinct(item).alias("__s"))
+    return n.crossJoin(size).select("n", (F.col("n") / F.nullif(F.col("__s"), F.lit(0))).alias("share"))
+
+
+def list_novelty(lists: DataFrame, items: str, popularity: DataFrame, row: str, item: str, p: str = "p") -> DataFrame:
+    """row, novelty: mean -log2 p over each list's known items; null where none is known."""
+    surprise = popularity.select(item, (-F.log2(p)).alias("__s"))
+    return list_mean(lists, items, surprise, row, item, "__s").withColumnRenamed("mean", "novelty")
+
+
+def evaluation_report(ranked: DataFrame, rows: DataFrame, catalog: DataFrame, popularity: DataFrame, candidates: DataFrame, runs: int = 200, seed: int = 42, row: str = "row_id", item: str = "item", category: str = "category") -> DataFrame:
+    """slice, metric, n, value, ci_low, ci_high: every metric of all, cold and warm rows with an interval.
+
+    Intervals come from Poisson resamples of the rows: those of means from weighted means, those of
+    coverage from the union of the resampled rows' items. n counts the rows that a metric is defined on.
+    """
+    known = candidates.select(row, item).join(catalog.select(F.col(item).alias("__i"), category), candidates[item] == F.col("__i"), "left")
+    sliced = rows.select(row, F.when(F.coalesce("n_history", F.lit(0)) == 0, "cold").otherwise("warm").alias("__s")).withColumn("slice", F.explode(F.array(F.lit("all"), "__s"))).drop("__s")
+    wide = rows.select(row).join(accuracy(ranked, row), row, "left").join(category_diversity(known, row, category), row, "left").join(novelty(candidates, popularity, row, item), row, "left")
+    wide = wide.withColumns({"ild": F.coalesce("ild", F.lit(0.0)), "novelty": F.coalesce("novelty", F.lit(0.0))})
+    names = ["auc", "mrr", "ndcg_5", "ndcg_10", "ild", "novelty"]
+    long = sliced.join(wide, row).select(row, "slice", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]))).filter("value is not null")
+    group = F.concat_ws("|", "slice", "metric")
+    n = long.groupBy("slice", "metric").agg(F.count(F.lit(1)).alias("n"))
+    means = bootstrap.poisson_ci(long.withColumn("group", group), "group", row, "value", runs, seed)
+    parts = F.split("group", "[|]")
+    means = means.select(parts[0].alias("slice"), parts[1].alias("metric"), "value", "ci_low", "ci_high").join(n, ["slice", "metric"])
+    shown = sliced.join(known, row)
+    cover = lambda name, value, size: bootstrap.coverage_ci(shown.select("slice", row, value.alias("item")), "slice", row, "item", size, runs, seed).withColumn("metric", F.lit(name))
+    of_all = F.coalesce(F.col(category), F.lit(UNKNOWN))
+    covered = cover("article_coverage", F.col(item), catalog.agg(F.count_distinct(item).alias("size"))).unionByName(cover("category_coverage", of_all, catalog.agg(F.count_distinct(of_all).alias("size"))))
+    covered = covered.join(sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), "slice")
+    return means.unionByName(covered).select("slice", "metric", "n", "value", "ci_low", "ci_high")

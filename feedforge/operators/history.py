@@ -8,18 +8,36 @@ from pyspark.sql import functions as F
 from feedforge.functions.lists import tail
 
 
+def clicks_before(impressions: DataFrame, clicks: DataFrame, user: str = "user_id", time: str = "impression_time", row: str = "impression_row_id", click_time: str = "click_time") -> DataFrame:
+    """__row, __user, __t, __n: how many clicks of its user lie strictly before each impression.
+
+    Clicks and impressions of a user go by time in one running count, so that the work is linear.
+    Clicks without a time count for nothing, and an impression without one has none before it.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("__at")
+    kind = dict(impressions.dtypes)
+    left = impressions.select(F.col(row).alias("__row"), F.col(user).alias("__user"), F.col(time).alias("__t"), at(time), F.lit(0).alias("__click"))
+    empty = [F.lit(None).cast(kind[row]).alias("__row"), F.col(user).alias("__user"), F.lit(None).cast(kind[time]).alias("__t")]
+    both = left.unionByName(clicks.filter(F.col(click_time).isNotNull()).select(*empty, at(click_time), F.lit(1).alias("__click")))
+    w = Window.partitionBy("__user").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    counted = both.withColumn("__n", F.coalesce(F.sum("__click").over(w), F.lit(0)))
+    return counted.filter("__click = 0").select("__row", "__user", "__t", "__n")
+
+
 def as_of_history(impressions: DataFrame, clicks: DataFrame, size: int, user: str = "user_id", time: str = "impression_time", row: str = "impression_row_id", click_time: str = "click_time", item: str = "article_id", seq: str = "seq") -> DataFrame:
     """Long form: a row for each of the last `size` clicks strictly before an impression.
 
-    Adds pos (0 for the oldest kept) and recency in seconds. Clicks and impressions of a user meet
-    in one join; a ranked limit keeps memory at `size` rows an impression.
+    Adds pos (0 for the oldest kept) and recency in seconds. A user's clicks are numbered by time and
+    seq; an impression after n of them looks up the numbers n - size to n - 1, `size` rows at most.
     """
-    pairs = impressions.select(F.col(row).alias("__row"), F.col(user).alias("__user"), F.col(time).alias("__t")).join(clicks, (F.col("__user") == clicks[user]) & (clicks[click_time] < F.col("__t")))
-    w = Window.partitionBy("__row").orderBy(F.desc(click_time), F.desc(seq))
-    kept = pairs.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= size)
+    asked = clicks_before(impressions, clicks, user, time, row, click_time).filter("__n > 0")
+    first = F.greatest(F.col("__n") - size, F.lit(0))
+    each = asked.select("__row", F.col("__user").alias("__of"), "__t", first.alias("__first"), F.explode(F.sequence(first, F.col("__n") - 1)).alias("__number"))
+    w = Window.partitionBy(user).orderBy(click_time, seq)
+    log = clicks.filter(F.col(click_time).isNotNull()).withColumn("__k", F.row_number().over(w) - 1)
+    found = each.join(log, (F.col("__of") == log[user]) & (F.col("__number") == F.col("__k")))
     recency = (F.unix_micros(F.col("__t").cast("timestamp")) - F.unix_micros(F.col(click_time).cast("timestamp"))) / 1e6
-    n = F.count(F.lit(1)).over(Window.partitionBy("__row"))
-    return kept.withColumn("pos", n - F.col("__rn")).select(F.col("__row").alias(row), F.col("__user").alias(user), F.col("__t").alias(time), item, click_time, "pos", recency.alias("recency"))
+    return found.select(F.col("__row").alias(row), F.col("__of").alias(user), F.col("__t").alias(time), item, click_time, (F.col("__number") - F.col("__first")).alias("pos"), recency.alias("recency"))
 
 
 def history_lists(impressions: DataFrame, long: DataFrame, row: str = "impression_row_id", item: str = "article_id") -> DataFrame:

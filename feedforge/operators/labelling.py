@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedforge.operators.order import numbered
+
 
 def filter_min_length(df: DataFrame, col: str, n: int | None) -> DataFrame:
     """Rows whose list has n elements or more; no filter without n or the column."""
@@ -35,17 +37,9 @@ def unique_ids(df: DataFrame, *cols: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts).filter("id is not null").distinct()
 
 
-def id_index(df: DataFrame, col: str, name: str = "ix", slots: int = 64) -> DataFrame:
-    """Distinct ids with 0-based numbers in ascending order, numbered inside ranges of the ids."""
-    ids = df.select(col).distinct()
-    # bounds of the ranges come from a fixed number of ids, the first by their hash
-    few = sorted(r[0] for r in ids.filter(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(64 * slots).collect())
-    bounds = sorted({few[i * len(few) // slots] for i in range(1, slots)}) if few else []
-    slot = reduce(lambda c, b: c + F.coalesce((F.col(col) > F.lit(b)).cast("int"), F.lit(0)), bounds, F.lit(0))
-    ranged = ids.withColumn("__slot", slot)
-    before = ranged.groupBy("__slot").agg(F.count(F.lit(1)).alias("__c")).select(F.col("__slot").alias("__s"), (F.sum("__c").over(Window.orderBy("__slot")) - F.col("__c")).alias("__before"))
-    rn = F.row_number().over(Window.partitionBy("__slot").orderBy(col)) - 1
-    return ranged.withColumn("__rn", rn).join(F.broadcast(before), F.col("__slot") == F.col("__s")).select(col, (F.col("__rn") + F.col("__before")).cast("long").alias(name))
+def id_index(df: DataFrame, col: str, name: str = "ix") -> DataFrame:
+    """Distinct ids with 0-based numbers in ascending order."""
+    return numbered(df.select(col).distinct(), F.col(col), name)
 
 
 def map_list_ids(df: DataFrame, row: str, col: str, mapping: DataFrame, key: str, value: str, fill: Column | None = None, drop_nulls: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedforge.operators.order import running
+
 
 def train_popularity(articles: DataFrame, impressions: DataFrame, article_id: str = "article_id") -> DataFrame:
     """articles with n_inviews and n_clicks, counted in the split "train" only; null where there are none."""
@@ -30,10 +32,8 @@ def item_popularity(lists: DataFrame, items: str) -> DataFrame:
 def value_shares(df: DataFrame, col: str) -> DataFrame:
     """value, n, share and cumulative share, most frequent first."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("__total"))
-    w = Window.orderBy(F.desc("n"), "value").rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.crossJoin(F.broadcast(total))
-    return out.select("value", "n", (F.col("n") / F.col("__total")).alias("share"), (F.sum("n").over(w) / F.col("__total")).alias("cumulative_share"))
+    out = running(counts, F.struct(-F.col("n"), F.col("value")), F.col("n"), "__before", "__all_rows")
+    return out.select("value", "n", (F.col("n") / F.col("__all_rows")).alias("share"), ((F.col("__before") + F.col("n")) / F.col("__all_rows")).alias("cumulative_share"))
 
 
 def weighted_distribution(lists: DataFrame, items: str, weights: str | None = None) -> DataFrame:
@@ -45,9 +45,9 @@ def weighted_distribution(lists: DataFrame, items: str, weights: str | None = No
 
 def sort_based_score(df: DataFrame, col: str, key: str, descending: bool = True) -> DataFrame:
     """A column score: 1 over the rank in the whole table; equal values by key. Distinct values are ranked first."""
-    order = F.desc(col) if descending else F.asc(col)
     values = df.groupBy(F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.orderBy(F.desc("__v") if descending else F.asc("__v"))
-    before = values.select("__v", (F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(col).orderBy(order, key))
-    return df.withColumn("__rn", inside).join(before, F.col(col).eqNullSafe(F.col("__v"))).withColumn("score", 1 / (F.col("__rn") + F.col("__before"))).drop("__rn", "__v", "__before")
+    placed = running(values, F.col("__v"), F.col("__c"), "__under", "__all")
+    before = F.col("__all") - F.col("__under") - F.col("__c") if descending else F.col("__under")
+    inside = F.row_number().over(Window.partitionBy(col).orderBy(key))
+    ranked = df.withColumn("__rn", inside).join(placed.select("__v", before.alias("__before")), F.col(col).eqNullSafe(F.col("__v")))
+    return ranked.withColumn("score", 1 / (F.col("__rn") + F.col("__before"))).drop("__rn", "__v", "__before")

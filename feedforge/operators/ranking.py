@@ -26,9 +26,9 @@ def min_max_component(candidates: DataFrame, row: str) -> DataFrame:
     return candidates.withColumn("component", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0))
 
 
-def fuse(shown: DataFrame, methods: dict[str, tuple[DataFrame, float]], row: str = "row_id", item: str = "item", pos: str = "pos", default: float = -1.0) -> DataFrame:
-    """shown with fused score and rank: the weighted sum of each method's component, -1 where it lacks the item."""
-    out, total = shown, F.lit(0.0)
+def fuse(shown: DataFrame, methods: dict[str, tuple[DataFrame, float]], row: str = "row_id", item: str = "item", pos: str = "pos", default: float = -1.0, absent: float = 0.0) -> DataFrame:
+    """shown with fused score and rank: the weighted sum of each method's component, -1 where it lacks the item, and for the weight of absent methods."""
+    out, total = shown, F.lit(absent * default)
     for name, (candidates, weight) in methods.items():
         c = min_max_component(candidates, row).select(F.col(row).alias(f"__row_{name}"), F.col(item).alias(f"__item_{name}"), F.col("component").alias(f"__{name}"))
         out = out.join(c, (out[row] == c[f"__row_{name}"]) & (out[item] == c[f"__item_{name}"]), "left").drop(f"__row_{name}", f"__item_{name}")

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedforge.operators.order import numbered, running
 
-def with_row_index(df: DataFrame, time_col: str, *ties: str, name: str = "row_index") -> DataFrame:
-    """0-based row numbers by time and ties.
 
-    Numbers restart in each day and are lifted by the rows of the days before; only one row a day
-    goes through the window that has no partition.
-    """
-    day = F.to_date(time_col)
-    per_day = df.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(F.col("__day").asc_nulls_first())
-    lifted = per_day.select("__day", (F.sum("__n").over(w) - F.col("__n")).alias("__before"))
-    inner = Window.partitionBy("__day").orderBy(time_col, *ties)
-    numbered = df.withColumn("__day", day).withColumn("__rn", F.row_number().over(inner) - 1)
-    joined = numbered.join(lifted.withColumnRenamed("__day", "__d"), F.col("__day").eqNullSafe(F.col("__d")))
-    return joined.withColumn(name, (F.col("__rn") + F.col("__before")).cast("long")).drop("__day", "__d", "__rn", "__before")
+def with_row_index(df: DataFrame, time_col: str, *ties: str, name: str = "row_index") -> DataFrame:
+    """0-based row numbers by time and ties, of any kind and however many rows share a day or a time."""
+    return numbered(df, F.struct(F.col(time_col), *[F.col(t) for t in ties]), name)
 
 
 def temporal_split(df: DataFrame, time_col: str, val_days: int = 2, test_days: int = 2, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
@@ -27,20 +18,19 @@ def temporal_split(df: DataFrame, time_col: str, val_days: int = 2, test_days: i
 
     Where val or test would be empty, rows go by their share instead: a time's last row index over
     the number of rows decides, so that equal times are never parted. The bounds are found first,
-    in two one-row aggregates, so that the column compares with constants and can be pushed down.
+    from one table of the times and their rows, so that the column compares with constants and can be pushed down.
     """
     t, kind = F.col(time_col), dict(df.dtypes)[time_col]
-    last = F.max(t)
-    ends = df.agg(*[(last - F.make_dt_interval(F.lit(n))).cast("string") for n in (test_days, val_days + test_days)]).first()
+    times = df.groupBy(t.alias("__t")).agg(F.count(F.lit(1)).alias("__c")).persist()
+    last, at = F.max("__t"), F.col("__t")
+    ends = times.agg(*[(last - F.make_dt_interval(F.lit(n))).cast("string") for n in (test_days, val_days + test_days)]).first()
     test, val = (F.lit(e).cast(kind) for e in ends)
-    n, n_val, n_test = df.agg(F.count(F.lit(1)), F.count_if((t >= val) & (t < test)), F.count_if(t >= test)).first()
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("__c"))), F.lit(0))
+    n, n_val, n_test = times.agg(some(F.lit(True)), some((at >= val) & (at < test)), some(at >= test)).first()
+    times.unpersist()
     if n_val and n_test or not n:
         return df.withColumn("split", F.when(t >= test, "test").when(t >= val, "val").otherwise("train"))
-    times = df.groupBy(t.alias("__t")).agg(F.count(F.lit(1)).alias("__c")).withColumn("__day", F.to_date("__t"))
-    days = times.groupBy("__day").agg(F.sum("__c").alias("__dc"))
-    before = days.select(F.col("__day").alias("__d"), (F.sum("__dc").over(Window.orderBy("__day")) - F.col("__dc")).alias("__before"))
-    inner = Window.partitionBy("__day").orderBy("__t")
-    place = times.withColumn("__in", F.sum("__c").over(inner)).join(before, F.col("__day") == F.col("__d")).select("__t", (F.col("__in") + F.col("__before") - 1).alias("__g"))
+    place = running(times, F.col("__t"), F.col("__c"), "__g").select("__t", (F.col("__g") + F.col("__c") - 1).alias("__g"))
     share = F.col("__g") / F.lit(n)
     by_share = F.when(share < ratios[0], "train").when(share < ratios[0] + ratios[1], "val").otherwise("test")
     return df.join(place, t == F.col("__t"), "left").withColumn("split", by_share).drop("__t", "__g")
@@ -56,31 +46,16 @@ def fraction_split(df: DataFrame, order: Column, fraction: float) -> DataFrame:
     """A column part: "first" for exactly int(n * fraction) rows by the order given, "second" for the rest."""
     if not 0 < fraction < 1:
         raise ValueError("the fraction lies between 0 and 1")
-    return _numbered(df, order).withColumn("part", F.when(F.col("__ix") < F.floor(F.col("__n") * fraction), "first").otherwise("second")).drop("__ix", "__n")
+    return numbered(df, order, "__ix", "__n").withColumn("part", F.when(F.col("__ix") < F.floor(F.col("__n") * fraction), "first").otherwise("second")).drop("__ix", "__n")
 
 
 def chunk_split(df: DataFrame, order: Column, n: int) -> DataFrame:
     """A column chunk: n parts of equal size, the remainder in the last."""
     size = F.floor(F.col("__n") / n)
     chunk = F.when(size > 0, F.least(F.floor(F.col("__ix") / size), F.lit(n - 1))).otherwise(n - 1)
-    return _numbered(df, order).withColumn("chunk", chunk.cast("long")).drop("__ix", "__n")
+    return numbered(df, order, "__ix", "__n").withColumn("chunk", chunk.cast("long")).drop("__ix", "__n")
 
 
 def even_split(df: DataFrame, order: Column, k: int) -> DataFrame:
     """A column part: k parts of ceil(n / k) rows; the last may be short or absent."""
-    return _numbered(df, order).withColumn("part", F.floor(F.col("__ix") / F.ceil(F.col("__n") / k)).cast("long")).drop("__ix", "__n")
-
-
-def _numbered(df: DataFrame, order: Column, slots: int = 256) -> DataFrame:
-    """Row numbers over any order: rows are ranked inside hashed slots of the order's leading value."""
-    # ranges of the order come from quantiles of its numeric hash prefix where it is a digest, so
-    # that no window holds the whole table
-    lead = F.conv(F.substring(order.cast("string"), 1, 2), 16, 10).cast("int")
-    keyed = df.withColumn("__o", order).withColumn("__slot", F.coalesce(lead, F.lit(slots)))
-    w = Window.partitionBy("__slot").orderBy("__o")
-    counts = keyed.groupBy("__slot").agg(F.count(F.lit(1)).alias("__c"))
-    before = counts.select(
-        F.col("__slot").alias("__s"), (F.sum("__c").over(Window.orderBy("__slot")) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy(F.lit(0))).alias("__n")
-    )
-    out = keyed.withColumn("__rn", F.row_number().over(w) - 1).join(F.broadcast(before), F.col("__slot") == F.col("__s"))
-    return out.withColumn("__ix", F.col("__rn") + F.col("__before")).drop("__o", "__slot", "__rn", "__s", "__before")
+    return numbered(df, order, "__ix", "__n").withColumn("part", F.floor(F.col("__ix") / F.ceil(F.col("__n") / k)).cast("long")).drop("__ix", "__n")

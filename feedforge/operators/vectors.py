@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,10 +10,6 @@ from pyspark.sql import functions as F
 from feedforge.functions.lists import cosine_distance, dot, norm
 
 
-#: Vectors up to this size are averaged as columns, so that rows need not be exploded.
-WIDE = 256
-
-
 def vector_problems(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """One row of counts: vectors, missing, empty, of other sizes, not finite, and repeated keys."""
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -50,60 +43,58 @@ def mean_pool(items: DataFrame, vectors: DataFrame, row: str, item: str, vector:
     The mean is null where nothing is covered, or where it is zero and a unit vector is asked for.
     """
     joined = items.select(F.col(row).alias("__row"), item).join(vectors, item)
-    n = joined.groupBy("__row").agg(F.count(F.lit(1)).alias("n_used"))
-    width = vectors.agg(F.max(F.size(vector))).first()[0] or 0
-    if 0 < width <= WIDE:
-        cells = [F.avg(F.get(F.col(vector), i).cast("double")).alias(f"__{i}") for i in range(width)]
-        pooled = joined.groupBy("__row").agg(*cells).select("__row", F.array(*[f"__{i}" for i in range(width)]).alias("vector"))
-    else:
-        cell = joined.select("__row", F.posexplode(vector).alias("p", "x")).groupBy("__row", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
-        pooled = cell.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("vector"))
+    # sums a place of the vector, so that rows need not be exploded; all vectors are as wide as any one
+    any_ = vectors.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
+    width = any_["n"] if any_ else 0
+    cells = [F.avg(F.get(F.col(vector), i).cast("double")).alias(f"__{i}") for i in range(width)]
+    pooled = joined.groupBy("__row").agg(F.count(F.lit(1)).alias("n_used"), *cells).select("__row", "n_used", F.array(*[f"__{i}" for i in range(width)]).cast("array<double>").alias("vector"))
     if normalize:
         size = norm(F.col("vector"))
         pooled = pooled.withColumn("vector", F.when(size > 0, F.transform("vector", lambda x: x / size)))
     rows = items.select(F.col(row).alias("__row")).distinct()
-    return rows.join(n, "__row", "left").join(pooled, "__row", "left").select(F.col("__row").alias(row), F.coalesce("n_used", F.lit(0)).alias("n_used"), "vector")
-
-
-def _score(batches: Iterator[pa.RecordBatch], matrix, k: int) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    ids, m = matrix.value
-    for batch in batches:
-        rows = batch.column(0).to_pylist()
-        q = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-        if not len(rows) or not len(ids):
-            continue
-        scores = np.round(q @ m.T, 6)
-        out: dict[str, list] = {"row": [], "item": [], "score": [], "rank": []}
-        for r, s in zip(rows, scores, strict=True):
-            best = np.lexsort((ids, -s))[:k]
-            out["row"] += [r] * len(best)
-            out["item"] += ids[best].tolist()
-            out["score"] += s[best].tolist()
-            out["rank"] += range(1, len(best) + 1)
-        yield pa.RecordBatch.from_pydict({"row": pa.array(out["row"], pa.int64()), "item": pa.array(out["item"], pa.int64()), "score": pa.array(out["score"], pa.float64()), "rank": pa.array(out["rank"], pa.int32())})
+    return rows.join(pooled, "__row", "left").select(F.col("__row").alias(row), F.coalesce("n_used", F.lit(0)).alias("n_used"), "vector")
+
+
+def _best(table: pa.Table, k: int) -> pa.Table:
+    """The k best items of a block for each query of a block."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    ids = table.column("id").to_numpy()
+    out: dict[str, list] = {"row": [], "item": [], "score": []}
+    if asks.any() and not asks.all():
+        flat = table.column("vector").combine_chunks()
+        m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        rows, items = ids[asks], ids[~asks]
+        by_id = np.argsort(items, kind="stable")
+        items, mine = items[by_id], m[~asks][by_id]
+        for lo in range(0, len(rows), 512):
+            scores = np.round(m[asks][lo : lo + 512] @ mine.T, 6)
+            for r, s in zip(rows[lo : lo + 512].tolist(), scores, strict=True):
+                # all that reach the k-th score, so that ties go by item
+                near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                best = near[np.argsort(-s[near], kind="stable")][:k]
+                out["row"] += [r] * len(best)
+                out["item"] += items[best].tolist()
+                out["score"] += s[best].tolist()
+    return pa.table({"row": pa.array(out["row"], pa.int64()), "item": pa.array(out["item"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
 
 def top_k(queries: DataFrame, items: DataFrame, row: str, item: str, k: int, block_bytes: int = 64 << 20) -> DataFrame:
     """row, item, score, rank: the k greatest inner products of each query's vector, equal ones by item.
 
-    Items are cut into blocks whose matrices are under `block_bytes`, each broadcast in turn; every
-    block keeps k rows a query, and the rows of all blocks are ranked again. Queries stream through
-    block products and are never collected.
+    Queries and items are dealt into blocks of about `block_bytes`; a task multiplies two blocks and
+    keeps k rows a query, and the rows of all blocks are ranked again. Only counts reach the driver.
     """
-    spark = queries.sparkSession
-    info = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    blocks = max(1, -(-info["n"] * (info["d"] or 1) * 8 // block_bytes))
-    asked = queries.filter("vector is not null").select(F.col(row).cast("long").alias("row"), F.col("vector").cast("array<double>").alias("vector"))
-    parts = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).select(F.col(item).cast("long"), F.col("vector").cast("array<double>")).collect()  # at most about block_bytes
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
-        part = asked.mapInArrow(partial(_score, matrix=sent, k=k), "row long, item long, score double, rank int")
-        parts = part if parts is None else parts.unionByName(part)
-    if blocks > 1:
-        w = Window.partitionBy("row").orderBy(F.desc("score"), "item")
-        parts = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return parts.withColumnsRenamed({"row": row, "item": item})
+    asked = queries.filter("vector is not null").select(F.col(row).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    known = items.select(F.col(item).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    size = lambda df: df.agg((F.coalesce(F.sum(F.size("vector")), F.lit(0)) * 8).alias("n")).first()["n"]
+    b_left, b_right = (max(1, -(-size(df) // block_bytes)) for df in (asked, known))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "vector", F.lit(True).alias("asks"), of(b_left).alias("a"), each(b_right).alias("b"))
+    right = known.select("id", "vector", F.lit(False).alias("asks"), of(b_right).alias("b"), each(b_left).alias("a"))
+    parts = left.unionByName(right).groupBy("a", "b").applyInArrow(lambda t: _best(t, k), "row long, item long, score double")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "item")
+    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnsRenamed({"row": row, "item": item})
 
 
 def pairwise_distance(lists: DataFrame, vectors: DataFrame, row: str, items: str, item: str) -> DataFrame:

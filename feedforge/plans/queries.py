@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedforge.functions import lists as L
 from feedforge.functions import scalars as S
 from feedforge.functions import text as X
-from feedforge.operators import bm25, bootstrap, evaluate, history, labelling, popularity, ranking, sampling, split, validate, vectors
+from feedforge.operators import bm25, bootstrap, evaluate, features, history, labelling, popularity, ranking, sampling, split, validate, vectors
 from feedforge.operators import describe as D
 from feedforge.plans import tables as T
 from feedforge.streaming.popularity import windowed_popularity
@@ -192,12 +192,12 @@ def decay_exponential(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with v as (select vec_id, embedding[1:4] as e, range(1, 5) as w from embeddings)
-select vec_id, round(list_sum(list_transform(list_zip(e, w), lambda z: z[1]::double * (z[2] / 4.0::double))), 5) as total from v""",
+    """with v as (select vec_id, embedding as e, range(1, len(embedding) + 1) as w from embeddings)
+select vec_id, round(list_sum(list_transform(list_zip(e, w), lambda z: z[1]::double * (z[2] / len(e)::double))), 5) as total from v""",
     views=False,
 )
 def decay_weighted_vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = F.transform(F.slice("embedding", 1, 4), lambda x: F.array(x.cast("double")))
+    e = F.transform("embedding", lambda x: F.array(x.cast("double")))
     scaled = L.scale_nested(e, L.linear_decay(e))
     return T.read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(F.flatten(scaled), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
@@ -220,11 +220,10 @@ def shuffled_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with e as (select row_id, generate_subscripts(inview, 1) as pos, unnest(inview) as item from impressions)
-select row_id, string_agg(coalesce(p_type, 'none'), ',' order by pos) as categories from e left join (select * from part where p_partkey % 3 <> 0) on p_partkey = item group by row_id"""
+select row_id, string_agg(coalesce(p_type, 'none'), ',' order by pos) as categories from e left join part on p_partkey = item group by row_id"""
 )
 def map_list_ids(spark: SparkSession, d: str) -> DataFrame:
-    some = T.articles(spark, d).filter("item % 3 <> 0")
-    return labelling.map_list_ids(T.impressions(spark, d), "row_id", "inview", some, "item", "category", F.lit("none")).select("row_id", F.array_join("inview", ",").alias("categories"))
+    return labelling.map_list_ids(T.impressions(spark, d), "row_id", "inview", T.articles(spark, d), "item", "category", F.lit("none")).select("row_id", F.array_join("inview", ",").alias("categories"))
 
 
 @query("select row_id, string_agg(score::int::varchar, ',' order by pos) as scores from shown group by row_id")
@@ -430,8 +429,7 @@ select case when cold then 'cold' else 'warm' end, count(*), round(avg(auc), 6),
 )
 def evaluation_slices(spark: SparkSession, d: str) -> DataFrame:
     imp, clicks = T.impressions(spark, d), T.clicks(spark, d)
-    n = imp.select("row_id", "user_id", "t").join(clicks, "user_id").filter("click_time < t").groupBy("row_id").agg(F.count(F.lit(1)).alias("n_history"))
-    rows = imp.select("row_id").join(n, "row_id", "left")
+    rows = history.clicks_before(imp, clicks, time="t", row="row_id").select(F.col("__row").alias("row_id"), F.col("__n").alias("n_history"))
     m = evaluate.evaluate(_ranked(spark, d), rows, T.articles(spark, d), _pop(spark, d), T.candidates(spark, d))
     return m.select("slice", "n", r6("auc"), r6("mrr"), r6("novelty"))
 
@@ -452,20 +450,34 @@ def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.mean_ci(m, "metric", "row_id", "auc", runs=200)
 
 
-@query()
+POISSON = "+".join(f"(u >= {c!r})::int" for c in bootstrap.poisson_steps())
+
+
+@query(
+    """with t as (select row_id, label, rank() over (partition by row_id order by score) + (count(*) over (partition by row_id, score) - 1) / 2 as tr from ranked),
+s as (select row_id, sum(tr) filter (label = 1) as r, sum(label) as p, count(*) - sum(label) as n from t group by row_id),
+a as (select row_id, (r - p * (p + 1) / 2) / nullif(p * n, 0) as auc from s),
+d as (select auc, run, ('0x' || substr(md5('42|' || row_id || '|' || run), 1, 8))::bigint::double / 4294967296.0::double as u from a, (select unnest(range(1, 51)) as run) where auc is not null),
+m as (select run, sum((%s) * auc) / nullif(sum(%s), 0) as m from d group by run)
+select 'auc' as metric, round((select avg(auc) from a), 6) as value, round(quantile_cont(m, 0.025), 6) as ci_low, round(quantile_cont(m, 0.975), 6) as ci_high from m"""
+    % (POISSON, POISSON)
+)
 def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
     m = evaluate.accuracy(_ranked(spark, d)).select(F.lit("auc").alias("metric"), "row_id", "auc")
-    return bootstrap.poisson_ci(m, "metric", "row_id", "auc", runs=50)
+    return bootstrap.poisson_ci(m, "metric", "row_id", "auc", runs=50).select("metric", r6("value"), r6("ci_low"), r6("ci_high"))
 
 
 # --- lexical retrieval
 
-STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
-BM25 = f"""with tok as (select doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)), lambda x: length(x) > 1 and not list_contains([{STOP}], x)) as toks from documents),
-dl as (select doc_id, len(toks) as dl from tok), tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from tok) group by all),
+STOP = ", ".join(f"('{w}')" for w in X.STOPWORDS)
+# each text is cut once and its words are joined with the stop words, as lists of words would be searched word by word
+WORDS = """select {id}, lower(w) as term from (select {id}, unnest(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+')) as w from {table}) where length(w) > 1"""
+BM25 = f"""with stop(term) as (values {STOP}), tok as ({WORDS.format(id="doc_id", table="documents")}),
+tf as (select doc_id, term, count(*) as tf from tok anti join stop using (term) group by all),
+dl as (select doc_id, coalesce(sum(tf), 0) as dl from documents left join tf using (doc_id) group by doc_id),
 n as (select count(*) as n, avg(dl) as avgdl from dl), df as (select term, count(*) as df from tf group by term),
 raw as (select term, df, ln((n - df + 0.5) / (df + 0.5)) + 1 as raw from df, n), idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
-qt as (select distinct item_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)), lambda x: length(x) > 1 and not list_contains([{STOP}], x))) as term from benchmark),
+qt as (select distinct item_id, term from ({WORDS.format(id="item_id", table="benchmark")}) anti join stop using (term)),
 hit as (select item_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score from qt join tf using (term) join idf using (term) join dl using (doc_id), n group by all),
 top as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from hit where score <> 0)
 """
@@ -486,11 +498,8 @@ def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", "doc_id", r6("score"), "rank")
 
 
-SHORT = BM25.replace("from benchmark)", "from (select item_id, substr(text, 1, 12) as text from benchmark))")
-
-
 @query(
-    SHORT
+    BM25
     + """, best as (select * from top where rank <= 50), nq as (select item_id, count(best.doc_id) as n from benchmark left join best using (item_id) group by 1),
 free as (select nq.item_id, d.doc_id, n + row_number() over (partition by nq.item_id order by d.doc_id) as rank from nq, documents d where not exists (select 1 from best b where b.item_id = nq.item_id and b.doc_id = d.doc_id) and n < 50)
 select item_id, doc_id, round(score, 6) as score, rank::int as rank from best union all select item_id, doc_id, 0.0, rank::int from free where rank <= 50"""
@@ -523,9 +532,21 @@ def history_queries(spark: SparkSession, d: str) -> DataFrame:
 # --- vectors
 
 
-@query("select count(*) as n, 0::bigint as n_missing, 0::bigint as n_empty, 0::int as size_spread, 0::bigint as n_not_finite, 0::bigint as n_repeated from embeddings", views=False)
+@query(
+    """with v as (select vec_id, case when vec_id % 11 = 3 then null when vec_id % 7 = 2 then [] when vec_id % 5 = 1 then embedding[1:60] when vec_id % 13 = 4 then list_transform(embedding, lambda x: case when x > 0 then 'nan'::float else x end) else embedding end as e from embeddings
+union all select vec_id, embedding from embeddings where label = 3)
+select count(*) as n, count(*) filter (e is null) as n_missing, count(*) filter (len(e) = 0) as n_empty, (max(len(e)) - min(len(e)))::int as size_spread,
+count(*) filter (len(list_filter(e, lambda x: isnan(x) or isinf(x))) > 0) as n_not_finite, count(*) - count(distinct vec_id) as n_repeated from v""",
+    views=False,
+)
 def vector_validation(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.vector_problems(T.vectors(spark, d), "item", "vector")
+    """Problems that are planted by rule into the whole table."""
+    e, i = F.col("embedding"), F.col("vec_id")
+    spoilt = F.transform(e, lambda x: F.when(x > 0, F.lit(float("nan")).cast("float")).otherwise(x))
+    bad = F.when(i % 11 == 3, None).when(i % 7 == 2, F.array().cast("array<float>")).when(i % 5 == 1, F.slice(e, 1, 60)).when(i % 13 == 4, spoilt).otherwise(e)
+    whole = T.read(spark, d, "embeddings")
+    both = whole.select(i.alias("item"), bad.alias("vector")).unionByName(whole.filter("label = 3").select(i.alias("item"), e.alias("vector")))
+    return vectors.vector_problems(both, "item", "vector")
 
 
 @query(
@@ -605,17 +626,39 @@ def submission_lines(spark: SparkSession, d: str) -> DataFrame:
     return ranking.submission_lines(_fused(spark, d).withColumn("name", F.col("row_id")), "row_id", "name")
 
 
-@query("select 0::bigint as repeated_rows, 0::bigint as other_split, 0::bigint as unequal_lengths, 0::bigint as repeated_candidates, 0::bigint as scores_not_finite, count(*) filter (item > 100) * 0 as outside_catalog, 0::bigint as unknown_rows, 0::bigint as other_truth from cand_a")
+@query(
+    CLICKED
+    + """, k as (select row_id, list(item order by rank) as cands, list(score order by rank) as scores from cand_a group by row_id),
+p as (select c.row_id + (case when c.row_id % 17 = 5 then 10000000000 else 0 end) as row_id, case when c.row_id % 5 = 0 then 'test' else 'val' end as split,
+  case when c.row_id % 7 = 1 then [] else clicked end as gt, case when c.row_id % 6 = 2 then list_concat(cands, cands[1:1]) when c.row_id % 9 = 3 then list_concat([-c.row_id], cands[2:]) else cands end as cands,
+  case when c.row_id % 8 = 4 then list_transform(scores, lambda x: 'inf'::double) else scores end as scores from c join k using (row_id)),
+q as (select * from p union all select * from p where row_id % 10 = 7),
+o as (select distinct x from (select unnest(cands) as x from q) where x not in (select p_partkey from part))
+select count(*) - count(distinct q.row_id) as repeated_rows, count(*) filter (q.split <> 'val') as other_split, count(*) filter (len(cands) <> len(scores)) as unequal_lengths,
+count(*) filter (len(cands) <> len(list_distinct(cands))) as repeated_candidates, count(*) filter (len(list_filter(scores, lambda x: isinf(x) or isnan(x))) > 0) as scores_not_finite,
+(select count(*) from o) as outside_catalog, count(*) filter (c.row_id is null) as unknown_rows, count(*) filter (c.row_id is not null and gt <> clicked) as other_truth from q left join c using (row_id)"""
+)
 def validation_violations(spark: SparkSession, d: str) -> DataFrame:
-    imp = T.impressions(spark, d)
+    """Violations of every kind that are planted by rule into the whole candidates."""
+    imp, i = T.impressions(spark, d), F.col("row_id")
     lists = T.candidates(spark, d).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("s"))
-    cand = _clicked(spark, d).join(lists, "row_id").select("row_id", F.lit("val").alias("split"), F.col("clicked").alias("gt_clicked"), F.transform("s", lambda x: x["item"]).alias("candidates"), F.transform("s", lambda x: x["score"]).alias("scores"))
+    items, scores = F.transform("s", lambda x: x["item"]), F.transform("s", lambda x: x["score"])
+    spoilt = F.when(i % 6 == 2, F.concat(items, F.slice(items, 1, 1))).when(i % 9 == 3, F.concat(F.array(-i), F.slice(items, 2, 1000))).otherwise(items)
+    planted = _clicked(spark, d).join(lists, "row_id").select(
+        (i + F.when(i % 17 == 5, 10_000_000_000).otherwise(0)).alias("row_id"),
+        F.when(i % 5 == 0, "test").otherwise("val").alias("split"),
+        F.when(i % 7 == 1, F.array().cast("array<bigint>")).otherwise(F.col("clicked")).alias("gt_clicked"),
+        spoilt.alias("candidates"),
+        F.when(i % 8 == 4, F.transform(scores, lambda x: F.lit(float("inf")))).otherwise(scores).alias("scores"),
+    )
+    cand = planted.unionByName(planted.filter("row_id % 10 = 7"))
     return validate.candidate_problems(cand, imp, T.articles(spark, d), "val", "row_id", "item")
 
 
-@query("select count(*) filter (len(inview) <> len(labels)) as n from impressions")
+@query("select count(*) filter (len(inview) <> len(case when row_id % 4 = 1 then labels[2:] else labels end)) as n from impressions")
 def unequal_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return validate.unequal_lengths(T.impressions(spark, d), "inview", "labels")
+    cut = F.when(F.col("row_id") % 4 == 1, F.slice("labels", 2, 1000)).otherwise(F.col("labels"))
+    return validate.unequal_lengths(T.impressions(spark, d).withColumn("labels", cut), "inview", "labels")
 
 
 @query(
@@ -625,13 +668,9 @@ sx as (select row_id, string_agg(ix::varchar, ',' order by pos) as cand_ix, stri
 select i.row_id, dense_rank() over (order by user_id) - 1 as user_ix, coalesce(hist_ix, '') as hist_ix, cand_ix, sx.labels from impressions i left join hx using (row_id) join sx using (row_id)"""
 )
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    imp = T.impressions(spark, d)
-    articles = labelling.id_index(T.articles(spark, d).select("item"), "item").withColumn("ix", F.col("ix") + 1)
-    users = labelling.id_index(imp.select("user_id"), "user_id", "user_ix")
-    hist = history.history_lists(imp, _asof(spark, d), "row_id", "item")
-    mapped = labelling.map_list_ids(labelling.map_list_ids(hist, "row_id", "history", articles, "item", "ix", drop_nulls=True), "row_id", "inview", articles, "item", "ix")
+    hist = history.history_lists(T.impressions(spark, d), _asof(spark, d), "row_id", "item")
     joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
-    out = mapped.join(users, "user_id").withColumnsRenamed({"history": "hist_ix", "inview": "cand_ix"})
+    out = features.feature_table(hist, T.articles(spark, d), "row_id", item="item")
     return out.select("row_id", "user_ix", joined("hist_ix"), joined("cand_ix"), joined("labels"))
 
 
@@ -677,6 +716,24 @@ def split_even(spark: SparkSession, d: str) -> DataFrame:
     return split.even_split(o, S.digest_order(1, F.col("row_id")), 7)
 
 
+@query("select o_orderkey as row_id, (row_number() over (order by o_totalprice, o_orderkey) - 1) // ceil(count(*) over () / 7)::bigint as part from orders", views=False)
+def split_even_by_number(spark: SparkSession, d: str) -> DataFrame:
+    o = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
+    return split.even_split(o, F.struct("o_totalprice", "row_id"), 7).select("row_id", "part")
+
+
+@query("select c_custkey as user_id, least((row_number() over (order by c_mktsegment, c_name) - 1) // (count(*) over () // 9), 8) as chunk from customer", views=False)
+def split_chunks_by_text(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment", "c_name")
+    return split.chunk_split(c, F.struct("c_mktsegment", "c_name"), 9).select("user_id", "chunk")
+
+
+@query("select event_id, case when row_number() over (order by ts, event_id) <= floor(count(*) over () * 0.8) then 'first' else 'second' end as part from events", views=False)
+def split_fraction_by_time(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read(spark, d, "events").select("event_id", "ts")
+    return split.fraction_split(e, F.struct("ts", "event_id"), 0.8).select("event_id", "part")
+
+
 # --- descriptive statistics
 
 
@@ -733,8 +790,11 @@ def popularity_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import feedforge.plans.helper_queries  # noqa: F401  registers more
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

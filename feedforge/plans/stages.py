@@ -107,6 +107,16 @@ def recall_report(candidates: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return asked.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *means)
 
 
+def cold_warm_report(candidates: dict[str, DataFrame], impressions: DataFrame, k: int) -> DataFrame:
+    """method, split, slice, n, recall at k by whether a row had a history; methods without its length get it from the impressions."""
+    out = None
+    for method, found in candidates.items():
+        sized = found if "n_history" in found.columns else bm25.with_history_length(found, impressions, ROW)
+        part = bm25.recall_by_history(sized, k).withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def compare_report(lexical: DataFrame, semantic: DataFrame, embeddings: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Recall of both methods over the rows that both can answer."""
     a = validate.fair_rows(semantic, lexical, embeddings, ROW, "gt_clicked", "article_id")
@@ -120,8 +130,8 @@ def _long(candidates: DataFrame) -> DataFrame:
     return each.select(ROW, F.col("z")["candidates"].alias("article_id"), F.col("z")["scores"].alias("score"), (F.col("p") + 1).alias("rank"))
 
 
-def run_eval(candidates: DataFrame, impressions: DataFrame, articles: DataFrame, of_split: str, limit: int | None = None) -> DataFrame:
-    """A row of metrics for all, cold and warm rows, after the invariants are checked."""
+def run_eval(candidates: DataFrame, impressions: DataFrame, articles: DataFrame, of_split: str, limit: int | None = None, runs: int = 0, seed: int = 42) -> DataFrame:
+    """A row of metrics for all, cold and warm rows, after the invariants are checked; with runs, a row a metric with its interval."""
     cand = candidates.filter(F.col("split") == of_split)
     cand = cand.orderBy(ROW).limit(limit) if limit else cand
     if cand.isEmpty():
@@ -134,6 +144,8 @@ def run_eval(candidates: DataFrame, impressions: DataFrame, articles: DataFrame,
     ranked = ranking.rank_inview(shown, long, ROW, "article_id")
     pop = popularity.smoothed_popularity(articles)
     sized = rows.select(ROW, F.size(F.coalesce("history", F.array().cast("array<string>"))).alias("n_history"))
+    if runs:
+        return evaluate.evaluation_report(ranked, sized, articles, pop, long, runs, seed, ROW, "article_id", "category")
     return evaluate.evaluate(ranked, sized, articles, pop, long, ROW, "article_id", "category")
 
 
@@ -153,7 +165,9 @@ def run_predict(impressions: DataFrame, methods: dict[str, DataFrame], s: Settin
     shown = impressions.select(ROW, "impression_id", F.posexplode("inview").alias("pos", "article_id"))
     # an article shown twice has one score
     scored = {m: (_long(df).groupBy(ROW, "article_id").agg(F.max("score").alias("score")), s.weights.get(m, 0.5)) for m, df in methods.items()}
-    fused = ranking.fuse(shown, scored, ROW, "article_id")
+    # a method that is weighted but absent lacks every article
+    absent = sum(w for m, w in s.weights.items() if m not in methods)
+    fused = ranking.fuse(shown, scored, ROW, "article_id", absent=absent)
     return ranking.submission_lines(fused, ROW, "impression_id", fmt=fmt)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedforge.functions import text as X
 from feedforge.functions.lists import binary_labels, pad_left, tail
 
+# Column names of the published files.
 NEWS = "news_id string, category string, subcategory string, title string, abstract string, url string, title_entities string, abstract_entities string"
 BEHAVIORS = "impression_id string, user_id string, time string, history string, impressions string"
 OPTIONAL = ["last_modified_time", "total_inviews", "total_pageviews", "total_read_time", "premium", "article_type", "sentiment_score", "sentiment_label"]

@@ -43,3 +43,9 @@ def zip_file(source: str, target: str) -> None:
     """A zip archive of a local file."""
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         z.write(source, os.path.basename(source))
+
+
+def write_vectors(df: DataFrame, path: str, key: str = "article_id", vector: str | None = None) -> None:
+    """key and vector as floats: of the column named, else of document_vector, else of the last one; null keys and vectors go."""
+    column = vector or ("document_vector" if "document_vector" in df.columns else df.columns[-1])
+    df.select(F.col(key).cast("string").alias(key), F.col(column).cast("array<float>").alias("vector")).dropna().write.mode("overwrite").parquet(path)

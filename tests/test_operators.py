@@ -1,15 +1,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedforge.operators import bm25, bootstrap, evaluate, history, labelling, popularity, ranking, sampling, split, validate, vectors
+from feedforge.operators import bm25, bootstrap, evaluate, features, frames, history, labelling, popularity, ranking, sampling, split, validate, vectors
+from feedforge.operators.order import numbered, running
 from feedforge.plans import queries as plans
-from tests.compare import database, same
 
 
 def day(i, hour=0):
@@ -21,51 +23,97 @@ def counts(df):
 
 
 def test_split_by_days(spark):
-    df = spark.createDataFrame([(day(i),) for i in (0, 1, 3, 4, 5, 6)], "t timestamp")
-    assert counts(split.temporal_split(df, "t")) == (2, 1, 3)
+    # the last day is 20: test from 18 on, val from 16 on
+    df = spark.createDataFrame([(day(i),) for i in (2, 9, 15, 16, 17, 17, 18, 20)], "t timestamp")
+    assert counts(split.temporal_split(df, "t")) == (3, 3, 2)
+    assert counts(split.temporal_split(df.limit(0), "t")) == (0, 0, 0)
 
 
 def test_split_fallback_keeps_times_together(spark):
-    df = spark.createDataFrame([(day(0),)] * 8 + [(day(6),)] * 2, "t timestamp")
-    assert counts(split.temporal_split(df, "t")) == (8, 0, 2)
+    # no row is in the two days before the last two: shares decide, and the 14 equal times stay together
+    df = spark.createDataFrame([(day(0),)] * 6 + [(day(1),)] * 14 + [(day(30),)] * 5, "t timestamp")
+    assert counts(split.temporal_split(df, "t")) == (20, 0, 5)
 
 
 def test_splits_of_rows(spark):
-    df = spark.createDataFrame([(i,) for i in range(7)], "i int")
-    sizes = lambda d, c: sorted(r["n"] for r in d.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect())
-    assert sizes(split.even_split(df, F.md5(F.col("i").cast("string")), 3), "part") == [1, 3, 3]
-    assert sizes(split.chunk_split(df.limit(3), F.md5(F.col("i").cast("string")), 2), "chunk") == [1, 2]
+    df = spark.createDataFrame([(i,) for i in range(11)], "i int")
+    sizes = lambda d, c: {r[c]: r["n"] for r in d.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes(split.even_split(df, F.md5(F.col("i").cast("string")), 4), "part") == {0: 3, 1: 3, 2: 3, 3: 2}
+    assert sizes(split.chunk_split(df, F.md5(F.col("i").cast("string")), 4), "chunk") == {0: 2, 1: 2, 2: 2, 3: 5}
+    assert sizes(split.fraction_split(df, F.col("i"), 0.5), "part") == {"first": 5, "second": 6}
     with pytest.raises(ValueError):
         split.fraction_split(df, F.col("i"), 1.0)
 
 
+@pytest.mark.parametrize("slots", [1, 3, 40])
+def test_numbers_over_any_order(spark, slots):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2, 30, 100, 1000]), rng.choice(["a", "B", "ä", ""]), None if i % 7 == 0 else rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, k int, s string, x double")
+    for order, key in ((("k", "i"), lambda r: (r[1], r[0])), (("s", "i"), lambda r: (r[2].encode(), r[0])), (("x", "i"), lambda r: (r[3] is not None, r[3] or 0, r[0]))):
+        got = {r["i"]: (r["ix"], r["n"]) for r in numbered(df, F.struct(*order), total="n", slots=slots).collect()}
+        assert got == {r[0]: (at, 300) for at, r in enumerate(sorted(rows, key=key))}
+    plain = sorted(range(1, 301))
+    parts = {r["i"]: r["part"] for r in split.even_split(spark.createDataFrame([(i,) for i in plain], "i int"), F.col("i"), 3).collect()}
+    assert all(parts[i] == (i - 1) // 100 for i in plain)
+    upto = {r["i"]: r["before"] for r in running(df, F.struct("k", "i"), F.col("k"), slots=slots).collect()}
+    total = 0
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        assert upto[r[0]] == total
+        total += r[1]
+    assert numbered(df.limit(0), F.col("i")).count() == 0
+
+
 def test_popularity_counts_training_only(spark):
-    articles = spark.createDataFrame([("A",), ("B",), ("C",)], "article_id string")
-    imp = spark.createDataFrame([(["A", "B"], [1, 0], "train"), (["B", "C"], [0, 1], "test")], "inview array<string>, labels array<int>, split string")
+    articles = spark.createDataFrame([("p",), ("q",), ("r",), ("s",)], "article_id string")
+    rows = [(["p", "q", "r"], [0, 1, 1], "train"), (["q", "p"], [1, 0], "train"), (["s", "p"], [1, 1], "val"), (["s"], [1], "test")]
+    imp = spark.createDataFrame(rows, "inview array<string>, labels array<int>, split string")
     got = {r["article_id"]: (r["n_inviews"], r["n_clicks"]) for r in popularity.train_popularity(articles, imp).collect()}
-    assert got == {"A": (1, 1), "B": (1, None), "C": (None, None)}
+    assert got == {"p": (2, None), "q": (2, 2), "r": (1, 1), "s": (None, None)}
 
 
 def test_item_popularity(spark):
-    df = spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["a", "c", "d"],)], "x array<string>")
-    got = {r["item"]: round(r["popularity"], 4) for r in popularity.item_popularity(df, "x").collect()}
-    assert got == {"a": 1.0, "b": 0.3333, "c": 0.6667, "d": 0.3333}
+    df = spark.createDataFrame([(["k", "m"],), (["m"],), (["m", "m", "n"],), ([],)], "x array<string>")
+    got = {r["item"]: r["popularity"] for r in popularity.item_popularity(df, "x").collect()}
+    assert got == {"k": 0.25, "m": 1.0, "n": 0.25}
 
 
 def test_sort_based_score(spark):
-    df = spark.createDataFrame([(1, 100), (2, 150), (3, 200), (4, 50), (5, 300)], "id int, views int")
-    got = {r["id"]: round(r["score"], 3) for r in popularity.sort_based_score(df, "views", "id").collect()}
-    assert got == {5: 1.0, 3: 0.5, 2: 0.333, 1: 0.25, 4: 0.2}
+    df = spark.createDataFrame([(1, 7), (2, 90), (3, 7), (4, 12)], "id int, views int")
+    score = lambda **kw: {r["id"]: r["score"] for r in popularity.sort_based_score(df, "views", "id", **kw).collect()}
+    assert score() == {2: 1.0, 4: 0.5, 1: pytest.approx(1 / 3), 3: 0.25}
+    assert score(descending=False) == {1: 1.0, 3: 0.5, 4: pytest.approx(1 / 3), 2: 0.25}
+
+
+def test_value_shares(spark):
+    df = spark.createDataFrame([("x",)] * 5 + [("y",)] * 3 + [("z",)] * 2, "v string")
+    got = [tuple(r) for r in popularity.value_shares(df, "v").orderBy("cumulative_share").collect()]
+    assert got == [("x", 5, 0.5, 0.5), ("y", 3, 0.3, 0.8), ("z", 2, 0.2, 1.0)]
 
 
 def test_as_of_history_is_strict(spark):
-    imp = spark.createDataFrame([(1, 10, day(0, 12)), (2, 10, day(0, 14)), (3, 20, day(0, 13)), (4, 30, day(0, 1))], "impression_row_id int, user_id int, impression_time timestamp")
-    log = spark.createDataFrame([(10, day(0, 8), 100, 0), (10, day(0, 13), 101, 1), (10, day(0, 14), 102, 2), (20, day(0, 12), 200, 0)], "user_id int, click_time timestamp, article_id int, seq int")
-    long = history.as_of_history(imp, log, 2)
+    imp = spark.createDataFrame([(1, "u", day(3)), (2, "u", day(1)), (3, "u", day(9)), (4, "w", day(5)), (5, "v", day(5)), (6, None, day(5))], "impression_row_id int, user_id string, impression_time timestamp")
+    clicks = [("u", day(0), "k", 4), ("u", day(1), "l", 1), ("u", day(2), "m", 3), ("u", day(2), "n", 2), ("u", day(3), "o", 5), ("w", day(5), "p", 6), ("v", day(4), "q", 7), (None, day(1), "r", 8), ("u", None, "s", 9)]
+    log = spark.createDataFrame(clicks, "user_id string, click_time timestamp, article_id string, seq int")
+    long = history.as_of_history(imp, log, 3)
     assert long.filter("click_time >= impression_time or recency <= 0").count() == 0
     lists = {r["impression_row_id"]: r["history"] for r in history.history_lists(imp, long).collect()}
-    assert lists == {1: [100], 2: [100, 101], 3: [200], 4: []}
-    assert {r["impression_row_id"]: r["history"] for r in history.history_lists(imp, history.as_of_history(imp, log, 1)).collect()}[2] == [101]
+    # of equal times the lower seq is older
+    assert lists == {1: ["l", "n", "m"], 2: ["k"], 3: ["n", "m", "o"], 4: [], 5: ["q"], 6: []}
+    assert {r["__row"]: r["__n"] for r in history.clicks_before(imp, log).filter("__user is not null").collect()} == {1: 4, 2: 1, 3: 5, 4: 0, 5: 1}
+
+
+def test_as_of_history_against_brute_force(spark):
+    rng = random.Random(6)
+    imp = [(i, rng.randrange(4), day(rng.randrange(12))) for i in range(60)]
+    log = [(rng.randrange(4), day(rng.randrange(12)), 100 + k, k) for k in range(80)]
+    long = history.as_of_history(spark.createDataFrame(imp, "impression_row_id int, user_id int, impression_time timestamp"), spark.createDataFrame(log, "user_id int, click_time timestamp, article_id int, seq int"), 4)
+    got = sorted((r["impression_row_id"], r["pos"], r["article_id"]) for r in long.collect())
+    want = []
+    for i, u, t in imp:
+        mine = sorted((c, s, a) for v, c, a, s in log if v == u and c < t)[-4:]
+        want += [(i, p, a) for p, (_, _, a) in enumerate(mine)]
+    assert got == sorted(want)
 
 
 def test_fixed_and_dynamic_history(spark):
@@ -87,9 +135,9 @@ def test_map_list_ids(spark):
 
 
 def test_down_sample(spark):
-    df = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 6)], "u int, i int")
-    got = sampling.down_sample(df, 2, "u", 1, "i")
-    assert sorted(r["n"] for r in got.groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()) == [1, 2, 2]
+    df = spark.createDataFrame([(u, i) for u, n in ((7, 5), (8, 3), (9, 1)) for i in range(n)], "u int, i int")
+    got = sampling.down_sample(df, 3, "u", 1, "i")
+    assert {r["u"]: r["n"] for r in got.groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()} == {7: 3, 8: 3, 9: 1}
 
 
 def test_negative_samples(spark):
@@ -100,13 +148,14 @@ def test_negative_samples(spark):
 
 
 def test_bm25_fill_and_empty_query(spark):
-    docs = spark.createDataFrame([(0, "cat mat"), (1, "dog ball"), (2, "bird nest"), (3, "fish pond")], "ix long, t string")
-    queries = spark.createDataFrame([(1, "cat mat"), (2, "")], "q int, t string")
+    docs = spark.createDataFrame([(0, "copper kettle"), (1, "iron stove"), (2, "kettle stove kettle"), (3, None)], "ix long, t string")
+    queries = spark.createDataFrame([(1, "kettle"), (2, ""), (3, "the iron"), (4, None)], "q int, t string")
     index = bm25.build_index(docs, "ix", "t")
     got = bm25.search(index, queries, "q", "t", 4).orderBy("q", "rank").collect()
-    assert [r["doc_ix"] for r in got if r["q"] == 1] == [0, 1, 2, 3]
-    assert [r["score"] > 0 for r in got if r["q"] == 1] == [True, False, False, False]
-    assert [(r["doc_ix"], r["score"]) for r in got if r["q"] == 2] == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]
+    ranked = {q: [r["doc_ix"] for r in got if r["q"] == q] for q in (1, 2, 3, 4)}
+    assert ranked == {1: [2, 0, 1, 3], 2: [0, 1, 2, 3], 3: [1, 0, 2, 3], 4: [0, 1, 2, 3]}
+    assert {q: sum(r["score"] > 0 for r in got if r["q"] == q) for q in ranked} == {1: 2, 2: 0, 3: 1, 4: 0}
+    assert {(r["q"], r["doc_ix"]) for r in bm25.search(index, queries, "q", "t", 4, zero_fill=False).collect()} == {(1, 2), (1, 0), (3, 1)}
 
 
 def test_bm25_zero_fill_whole_queries(spark, tmp_path):
@@ -120,31 +169,37 @@ def test_bm25_zero_fill_whole_queries(spark, tmp_path):
     assert {r["item_id"] for r in got if r["score"] > 0} == {1, 2}
 
 
-def test_bm25_zero_fill_whole_table(spark):
-    folder = "/root/testdata/sf0.001"
-    whole = plans.oracle_sql()["bm25_zero_fill"].replace("substr(text, 1, 12) as text", "text")
-    same(plans.queries()["bm25_zero_fill"](spark, folder).toPandas(), database(folder).sql(whole).df())
+def test_recall(spark):
+    df = spark.createDataFrame([(["k", "m", "k"], ["x", "k", "y", "m"]), ([], ["k"]), (["k"], [])], "g array<string>, c array<string>")
+    assert [r[0] for r in df.select(bm25.recall(F.col("g"), F.col("c"), 3)).collect()] == [pytest.approx(2 / 3), 0.0, 0.0]
 
 
-def test_recall(spark):
-    df = spark.createDataFrame([(["A", "B"], ["B", "C", "A"]), ([], ["A"])], "g array<string>, c array<string>")
-    assert [r[0] for r in df.select(bm25.recall(F.col("g"), F.col("c"), 2)).collect()] == [0.5, 0.0]
+def test_recall_by_history(spark):
+    rows = [("val", ["a"], ["a"], 0), ("val", ["a", "b"], ["b"], 2), ("val", ["z"], ["b"], None), ("val", [], ["b"], 5), ("test", ["q"], ["q"], 9)]
+    df = spark.createDataFrame(rows, "split string, gt_clicked array<string>, candidates array<string>, n_history int")
+    got = {(r["split"], r["slice"]): (r["n"], r["recall"]) for r in bm25.recall_by_history(df, 5).collect()}
+    assert got == {("val", "cold"): (2, 0.5), ("val", "warm"): (1, 0.5), ("test", "cold"): (0, None), ("test", "warm"): (1, 1.0)}
 
 
 def test_mean_pool(spark):
-    v = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0]), ("c", [0.0, 0.0, 1.0]), ("n", [-1.0, 0.0, 0.0])], "item string, vector array<float>")
-    items = spark.createDataFrame([(1, "a"), (1, "c"), (1, "missing"), (2, "a"), (2, "n"), (3, "missing")], "row int, item string")
+    v = spark.createDataFrame([("k", [3.0, 4.0]), ("l", [0.0, 8.0]), ("m", [-3.0, -4.0])], "item string, vector array<float>")
+    items = spark.createDataFrame([(1, "k"), (1, "l"), (1, "absent"), (2, "k"), (2, "m"), (3, "absent"), (4, "l"), (4, "l")], "row int, item string")
     got = {r["row"]: r for r in vectors.mean_pool(items, v, "row", "item", "vector").collect()}
-    assert got[1]["vector"] == pytest.approx([math.sqrt(0.5), 0, math.sqrt(0.5)]) and got[1]["n_used"] == 2
+    size = math.hypot(1.5, 6.0)
+    assert got[1]["vector"] == pytest.approx([1.5 / size, 6 / size]) and got[1]["n_used"] == 2
     assert got[2]["vector"] is None and got[2]["n_used"] == 2
     assert got[3]["vector"] is None and got[3]["n_used"] == 0
+    assert got[4]["vector"] == [0.0, 1.0] and got[4]["n_used"] == 2
+    raw = {r["row"]: r["vector"] for r in vectors.mean_pool(items, v, "row", "item", "vector", normalize=False).collect()}
+    assert raw[1] == [1.5, 6.0] and raw[2] == [0.0, 0.0]
+    assert vectors.mean_pool(items, v.limit(0), "row", "item", "vector").filter("vector is not null").count() == 0
 
 
 def test_entity_mean(spark):
-    v = spark.createDataFrame([("Q1", [1.0, 0.0, 0.0]), ("Q2", [0.0, 1.0, 0.0]), ("Q3", [0.0, 0.0, 3.0])], "e string, vector array<float>")
-    a = spark.createDataFrame([("A1", ["Q1", "Q2"]), ("A2", ["Q3"]), ("A3", [])], "article string, es array<string>")
+    v = spark.createDataFrame([("E7", [2.0, 2.0]), ("E8", [4.0, -2.0])], "e string, vector array<float>")
+    a = spark.createDataFrame([("x", ["E7", "E8", "E9"]), ("y", ["E8", "E8"]), ("z", ["E9"]), ("w", [])], "article string, es array<string>")
     got = {r["article"]: r["vector"] for r in vectors.entity_mean(a, v, "article", "es", "e", "vector").collect()}
-    assert got == {"A1": [0.5, 0.5, 0.0], "A2": [0.0, 0.0, 3.0]}
+    assert got == {"x": [3.0, 0.0], "y": [4.0, -2.0]}
 
 
 def test_vector_problems(spark):
@@ -155,16 +210,19 @@ def test_vector_problems(spark):
             vectors.load_vectors(spark.createDataFrame(rows, "item string, vector array<float>"), good.select("item"), "item", "vector")
 
 
-def test_top_k_in_blocks(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_top_k_in_blocks(spark, block_bytes):
     rng = np.random.default_rng(0)
-    m = rng.normal(size=(50, 4))
+    m = rng.integers(-3, 4, size=(80, 3)).astype(float)  # many ties
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "item long, vector array<double>")
-    q = v.filter("item < 5").withColumnRenamed("item", "q")
-    got = vectors.top_k(q, v, "q", "item", 3, block_bytes=400).collect()
-    for i in range(5):
+    q = v.filter("item < 20").withColumnRenamed("item", "q").unionByName(spark.createDataFrame([(99, None)], "q long, vector array<double>"))
+    got = vectors.top_k(q, v, "q", "item", 5, block_bytes=block_bytes).collect()
+    assert {r["q"] for r in got} == set(range(20))
+    for i in range(20):
         s = np.round(m @ m[i], 6)
-        want = sorted(range(50), key=lambda k: (-s[k], k))[:3]
+        want = sorted(range(80), key=lambda k: (-s[k], k))[:5]
         assert [r["item"] for r in sorted((r for r in got if r["q"] == i), key=lambda r: r["rank"])] == want
+    assert vectors.top_k(q.limit(0), v, "q", "item", 5).count() == 0 and vectors.top_k(q, v.limit(0), "q", "item", 5).count() == 0
 
 
 def ranked(spark, rows):
@@ -180,26 +238,63 @@ def test_accuracy(spark):
 
 
 def test_inview_ranking_puts_retrieved_first(spark):
-    shown = spark.createDataFrame([(1, 0, "A", 1), (1, 1, "B", 0), (1, 2, "C", 1)], "row_id int, pos int, item string, label int")
-    cand = spark.createDataFrame([(1, "A", -0.3, 1), (1, "C", 0.4, 2)], "row_id int, item string, score double, rank int")
+    shown = spark.createDataFrame([(1, i, x, 0) for i, x in enumerate("klmn")], "row_id int, pos int, item string, label int")
+    cand = spark.createDataFrame([(1, "n", -5.0, 2), (1, "l", -5.0, 1), (1, "m", -9.0, 3), (2, "k", 1.0, 1)], "row_id int, item string, score double, rank int")
     got = ranking.rank_inview(shown, cand).orderBy("pos").collect()
-    assert [r["score"] for r in got] == [-0.3, 0.0, 0.4]
-    assert [r["rank"] for r in got] == [2, 3, 1]
+    assert [r["score"] for r in got] == [0.0, -5.0, -9.0, -5.0]
+    assert [r["rank"] for r in got] == [4, 1, 3, 2]
 
 
 def test_diversity_and_novelty(spark):
-    items = spark.createDataFrame([(1, "x", "a"), (1, "y", "a"), (1, "z", "b"), (1, "w", "b"), (2, "x", None)], "r int, item string, c string")
-    got = {r["r"]: r["ild"] for r in evaluate.category_diversity(items, "r", "c").collect()}
-    assert got == {1: pytest.approx(2 / 3), 2: 0.0}
-    pop = spark.createDataFrame([("x", 0.5), ("y", 0.25)], "item string, p double")
-    assert {r["r"]: r["novelty"] for r in evaluate.novelty(items, pop, "r", "item").collect()} == {1: 1.5, 2: 1.0}
+    items = spark.createDataFrame([(1, "k", "red"), (1, "l", "red"), (1, "m", "red"), (1, "n", None), (2, "k", "red"), (3, "k", None), (3, "l", None)], "r int, item string, c string")
+    # three of six pairs differ; the null category equals itself
+    assert {r["r"]: r["ild"] for r in evaluate.category_diversity(items, "r", "c").collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+    pop = spark.createDataFrame([("k", 0.125), ("l", 0.5)], "item string, p double")
+    assert {r["r"]: r["novelty"] for r in evaluate.novelty(items, pop, "r", "item").collect()} == {1: 2.0, 2: 3.0, 3: 2.0}
+    lists = spark.createDataFrame([(1, ["k", "l", "gone"]), (2, ["gone"]), (3, [])], "r int, x array<string>")
+    assert {r["r"]: r["novelty"] for r in evaluate.list_novelty(lists, "x", pop, "r", "item").collect()} == {1: 2.0, 2: None, 3: None}
 
 
 def test_toolbox_metrics(spark):
-    y, p = [1, 0, 0, 1, 0], [0.5, 0.2, 0.1, 0.8, 0.4]
+    # by score: a miss, a click, a miss, a click
+    y, p = [1, 0, 1, 0], [0.6, 0.9, 0.2, 0.4]
     df = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(zip(y, p, strict=True))], "r int, pos int, y int, p double")
     m = evaluate.toolbox_metrics(df, "r").first()
-    assert m["mrr"] == pytest.approx(0.75) and m["auc"] == 1.0 and m["accuracy"] == 1.0
+    assert m["auc"] == 0.25 and m["mrr"] == pytest.approx((1 / 2 + 1 / 4) / 2) and m["accuracy"] == 0.5 and m["f1"] == 0.5
+    assert m["rmse"] == pytest.approx(math.sqrt((0.16 + 0.81 + 0.64 + 0.16) / 4))
+    assert m["ndcg"] == pytest.approx((1 / math.log2(3) + 1 / math.log2(5)) / (1 + 1 / math.log2(3)))
+    some = {r["metric"]: r["value"] for r in evaluate.metric_suite(df, "r", ["f1", "auc"]).collect()}
+    assert some == {"f1": 0.5, "auc": 0.25}
+    for bad in (["auc", "lift"], []):
+        with pytest.raises(ValueError):
+            evaluate.metric_suite(df, "r", bad)
+
+
+def test_graded_gains(spark):
+    rows = [(1, 0, 2, 0.1), (1, 1, 0, 0.9), (1, 2, 1, 0.9), (2, 0, 0, 0.5)]
+    got = {r["r"]: r for r in evaluate.dcg(spark.createDataFrame(rows, "r int, pos int, y int, p double"), "r", 3).collect()}
+    # of the two 0.9 the later comes first: gains 1, 0, 3
+    assert got[1]["dcg"] == pytest.approx(1 + 3 / 2) and got[1]["ndcg"] == pytest.approx(2.5 / (3 + 1 / math.log2(3)))
+    assert got[2]["dcg"] == 0 and got[2]["ndcg"] is None
+
+
+def test_chunked_auc(spark):
+    # two positives, so chunks of two: right, wrong, and a chunk without a positive
+    rows = [(0, 1, 0.9), (1, 0, 0.1), (2, 1, 0.2), (3, 0, 0.3), (4, 0, 0.5), (5, 0, 0.5)]
+    df = spark.createDataFrame(rows, "i int, y int, p double")
+    assert evaluate.chunked_auc(df, "i").first()["auc"] == 0.5
+    assert evaluate.chunked_auc(df.filter("y = 0"), "i").first()["auc"] is None
+
+
+def test_list_means_and_shares(spark):
+    lists = spark.createDataFrame([(1, ["k", "l"]), (2, ["l", "gone"]), (3, ["gone"])], "r int, x array<string>")
+    scores = spark.createDataFrame([("k", 0.8), ("l", 0.2), ("m", 0.0)], "item string, s double")
+    assert {r["r"]: r["mean"] for r in evaluate.list_mean(lists, "x", scores, "r", "item", "s").collect()} == {1: 0.5, 2: 0.2, 3: None}
+    with pytest.raises(ValueError):
+        evaluate.list_mean(lists, "x", scores, "r", "item", "mood")
+    items = lists.select(F.explode("x").alias("item"))
+    assert tuple(evaluate.distinct_share(items, "item", scores).first()) == (3, 1.0)
+    assert evaluate.distinct_share(items, "item").first()["share"] == float("-inf")
 
 
 def test_strict_auc_counts_ties_as_wrong(spark):
@@ -208,19 +303,23 @@ def test_strict_auc_counts_ties_as_wrong(spark):
 
 
 def test_dispersion(spark):
-    rows = [(c,) for c, n in zip("abcde", (25, 42, 13, 8, 13), strict=True) for _ in range(n)]
-    assert evaluate.index_of_dispersion(spark.createDataFrame(rows, "c string"), "c").first()[0] == pytest.approx(0.9079992, abs=1e-6)
-    assert evaluate.index_of_dispersion(spark.createDataFrame([("a",)] * 2, "c string"), "c").first()[0] == 0.0
+    rows = [(c,) for c, n in zip("xyz", (6, 3, 1), strict=True) for _ in range(n)]
+    # 3 (100 - 46) / (100 * 2)
+    assert evaluate.index_of_dispersion(spark.createDataFrame(rows, "c string"), "c").first()[0] == pytest.approx(0.81)
+    assert evaluate.index_of_dispersion(spark.createDataFrame([("x",)] * 3, "c string"), "c").first()[0] == 0.0
+    assert evaluate.index_of_dispersion(spark.createDataFrame([("x",)], "c string"), "c").first()[0] is None
 
 
 def test_fusion_and_lines(spark):
-    shown = spark.createDataFrame([("i0", i, x) for i, x in enumerate("xyzw")], "row_id string, pos int, item string")
-    a = spark.createDataFrame([("i0", "y", 0.9), ("i0", "z", 0.1)], "row_id string, item string, score double")
-    none = a.limit(0)
-    got = ranking.fuse(shown, {"a": (a, 0.5), "b": (none, 0.5)})
-    assert [r["fused_rank"] for r in got.orderBy("pos").collect()] == [3, 1, 2, 4]
+    shown = spark.createDataFrame([("r7", i, x) for i, x in enumerate("klmno")], "row_id string, pos int, item string")
+    a = spark.createDataFrame([("r7", "n", 7.0), ("r7", "l", 3.0), ("r7", "m", 5.0)], "row_id string, item string, score double")
+    got = ranking.fuse(shown, {"a": (a, 0.5), "b": (a.limit(0), 0.5)})
+    assert [r["fused"] for r in got.orderBy("pos").collect()] == [-1.0, -0.5, -0.25, 0.0, -1.0]
+    assert [r["fused_rank"] for r in got.orderBy("pos").collect()] == [4, 3, 2, 1, 5]
+    alone = ranking.fuse(shown, {"a": (a, 0.5)}, absent=0.5)
+    assert [r["fused"] for r in alone.orderBy("pos").collect()] == [-1.0, -0.5, -0.25, 0.0, -1.0]
     lines = ranking.submission_lines(got.withColumn("name", F.col("row_id")), "row_id", "name").first()
-    assert lines["line"] == "i0\t[3,1,2,4]"
+    assert lines["line"] == "r7\t[4,3,2,1,5]"
 
 
 def test_bootstrap(spark):
@@ -234,7 +333,78 @@ def test_bootstrap(spark):
     p = bootstrap.poisson_ci(df, "g", "o", "v", 300).first()
     assert abs(p["ci_low"] - lo) < 0.03 and abs(p["ci_high"] - hi) < 0.03
     assert bootstrap.numpy_mean_ci(np.array([])) == (None, None, None)
-    assert bootstrap.numpy_coverage_ci([{"a"}, {"b"}], 4, 50)[0] == 0.5
+
+
+def test_coverage_intervals_equal_plain_resamples(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(12), "ab"[i % 2]) for i in range(30) for _ in range(3)]
+    df = spark.createDataFrame(rows, "row int, item int, g string")
+    got = {r["g"]: r for r in bootstrap.coverage_ci(df, "g", "row", "item", spark.range(1).select(F.lit(20).alias("size")), runs=70).collect()}
+    for g in "ab":
+        shares = []
+        for run in range(1, 71):
+            drawn = {i for i in range(30) if int(hashlib.md5(f"42|{i}|{run}".encode()).hexdigest()[:8], 16) / 2**32 >= math.exp(-1)}
+            shares.append(len({x for i, x, k in rows if k == g and i in drawn}) / 20)
+        assert (got[g]["ci_low"], got[g]["ci_high"]) == pytest.approx(tuple(np.percentile(shares, [2.5, 97.5])))
+        assert got[g]["value"] == len({x for _, x, k in rows if k == g}) / 20
+
+
+def test_evaluation_report(spark):
+    rows = [(i, s, y, k) for i in range(8) for k, (s, y) in enumerate(((3.0, i % 2), (2.0, 1 - i % 2), (1.0, 0)), 1)]
+    shown = ranked(spark, rows)
+    cand = spark.createDataFrame([(i, x) for i in range(8) for x in ("k", "lm"[i % 2])], "row_id int, item string")
+    catalog = spark.createDataFrame([("k", "c"), ("l", "d"), ("m", "d"), ("n", None)], "item string, category string")
+    pop = spark.createDataFrame([("k", 0.5), ("l", 0.25), ("m", 0.25)], "item string, p double")
+    sized = spark.createDataFrame([(i, 0 if i < 3 else 5) for i in range(8)], "row_id int, n_history int")
+    got = {(r["slice"], r["metric"]): r for r in evaluate.evaluation_report(shown, sized, catalog, pop, cand, runs=40).collect()}
+    plain = {r["slice"]: r for r in evaluate.evaluate(shown, sized, catalog, pop, cand).collect()}
+    for part in ("all", "cold", "warm"):
+        for m in ("auc", "mrr", "ndcg_5", "ndcg_10", "ild", "novelty"):
+            row = got[part, m]
+            assert row["value"] == pytest.approx(plain[part][m]) and row["ci_low"] <= row["value"] + 1e-9 and row["ci_high"] >= row["value"] - 1e-9
+        assert got[part, "article_coverage"]["value"] == 0.75 and got[part, "category_coverage"]["value"] == pytest.approx(2 / 3)
+        assert got[part, "article_coverage"]["ci_high"] <= 0.75
+    assert got["cold", "auc"]["n"] == 3 and got["all", "article_coverage"]["n"] == 8
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(1, 5.0, "a", day(0)), (2, None, "", day(1)), (3, 9.0, None, day(1, 5)), (4, 2.0, "b", day(2))], "i int, x double, s string, t timestamp")
+    ids = lambda d: sorted(r["i"] for r in d.collect())
+    assert ids(frames.at_least(df, "x", 5)) == [1, 3] and ids(frames.at_least(df, "x", 0)) == ids(frames.at_least(df, "gone", 3)) == ids(frames.at_least(df, "x", None)) == [1, 2, 3, 4]
+    assert ids(frames.with_text(df, "s")) == [1, 4]
+    assert [ids(d) for d in frames.split_by(df, F.col("x") > 4)] == [[1, 3], [2, 4]]
+    assert [ids(d) for d in frames.split_null(df, "s")] == [[3], [1, 2, 4]]
+    assert [ids(d) for d in frames.last_days(df, "t")] == [[1], [2, 3, 4]] and [ids(d) for d in frames.last_days(df.limit(0), "t")] == [[], []]
+    assert frames.rename_known(df, {"i": "j", "gone": "k"}).columns == ["j", "x", "s", "t"]
+    stacked = frames.stack([df.select("i"), df.select("s")])
+    assert stacked.columns == ["i", "s"] and stacked.filter("i is null").count() == 4
+    assert ids(frames.repeat_rows(df, F.col("i") - 1)) == [2, 3, 3, 4, 4, 4]
+    assert ids(frames.top_slate(df, "i", "x", 2)) == [1, 3]
+    assert {r["keys"]: r["values"] for r in frames.from_pairs(spark, {"a": 1, "b": 2}).collect()} == {"a": 1, "b": 2} and frames.from_pairs(spark, {}).count() == 0
+    some = frames.fraction(df, 0.5, 1, "i")
+    assert some.count() == 2 and ids(some) == ids(frames.fraction(df, 0.5, 1, "i"))
+
+
+def test_random_slates(spark):
+    items = spark.createDataFrame([(i,) for i in range(12)], "item int")
+    users = spark.createDataFrame([(f"u{i}",) for i in range(30)], "user string")
+    got = {r["user"]: r["slate"] for r in frames.random_slates(items, "item", users, "user", 5, 3).collect()}
+    assert len(got) == 30 and all(len(set(s)) == 5 for s in got.values()) and len({tuple(s) for s in got.values()}) > 3
+    whole = frames.random_slates(items, "item", users, "user", 50, 3).first()["slate"]
+    assert sorted(whole) == list(range(12))
+    assert frames.random_slates(items.limit(0), "item", users, "user", 5, 3).first()["slate"] == []
+
+
+def test_feature_tables(spark):
+    imp = spark.createDataFrame([(1, "v", ["b", "zz"], ["a", "c"], [1, 0]), (2, "u", [], ["c"], [1]), (3, "u", None, ["q", "b"], [0, 1])], "row int, user_id string, history array<string>, inview array<string>, labels array<int>")
+    articles = spark.createDataFrame([("c",), ("a",), ("b",)], "article_id string")
+    table = features.feature_table(imp, articles, "row")
+    got = {r["row"]: (r["user_ix"], r["hist_ix"], r["cand_ix"], r["labels"]) for r in table.collect()}
+    assert got == {1: (1, [2, 0], [1, 3], [1, 0]), 2: (0, [], [3], [1]), 3: (0, [], [0, 2], [0, 1])}
+    assert {r["row"]: r["hist_ix"] for r in features.feature_table(imp, articles, "row", drop_unknown=True).collect()} == {1: [2], 2: [], 3: []}
+    assert {r["row"]: r["hist_ix"] for r in features.fixed_width(table, 3).collect()} == {1: [0, 2, 0], 2: [0, 0, 0], 3: [0, 0, 0]}
+    flat = sorted((r["row"], r["pos"], r["cand_ix"], r["label"], r["hist_ix"]) for r in features.unrolled(table, "row", 1).collect())
+    assert flat == [(1, 0, 1, 1, [0]), (1, 1, 3, 0, [0]), (2, 0, 3, 1, []), (3, 0, 0, 0, []), (3, 1, 2, 1, [])]
 
 
 def test_validation(spark):

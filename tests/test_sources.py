@@ -5,33 +5,61 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from feedforge.sources import manifest, readers, writers
+from feedforge.sources import manifest, readers, registry, writers
 from feedforge.streaming.popularity import windowed_popularity
 
 
 def test_news(spark, tmp_path):
-    (tmp_path / "news.tsv").write_text(
-        'N1\tnews\tworld\tTitle one\tAbstract with "quoted" text\thttps://e.com/1\t[{"Label":"X","WikidataId":"Q1","SurfaceForms":["X"]}]\t[]\n'
-        'N2\tsports\tcricket\tTitle two\t\thttps://e.com/2\t[]\t[{"Label":"Y","WikidataId":"Q2","SurfaceForms":["Y","Y2"]}]\n'
-        "N3\tx\ty\tz\t\tu\tbroken\t\n"
+    (tmp_path / "n.tsv").write_text(
+        'A10\tlocal\tharbour\tFerry "Alma" sails\tA "quoted" word\thttps://x.test/10\t[{"Label":"Alma","WikidataId":"Q77","SurfaceForms":["Alma","MS Alma"]}]\t[]\n'
+        'A11\tfood\tsoup\tLeeks\t\thttps://x.test/11\t[]\t[{"WikidataId":"","SurfaceForms":["leek"]},{"WikidataId":"Q5"}]\n'
+        "A12\tx\ty\tz\t\tu\tnot json\t\n"
     )
-    rows = {r["article_id"]: r for r in readers.read_news(spark, str(tmp_path / "news.tsv")).collect()}
-    assert rows["N1"]["abstract"] == 'Abstract with "quoted" text' and rows["N2"]["abstract"] is None
-    assert rows["N1"]["entity_ids"] == ["Q1"] and rows["N2"]["entities"] == ["Y", "Y2"] and rows["N3"]["entity_ids"] == []
+    rows = {r["article_id"]: r for r in readers.read_news(spark, str(tmp_path / "n.tsv")).collect()}
+    assert rows["A10"]["title"] == 'Ferry "Alma" sails' and rows["A10"]["abstract"] == 'A "quoted" word' and rows["A11"]["abstract"] is None
+    assert rows["A10"]["entities"] == ["Alma", "MS Alma"] and rows["A11"]["entity_ids"] == ["Q5"] and rows["A11"]["entities"] == ["leek"]
+    assert rows["A12"]["entity_ids"] == []
 
 
 def test_behaviors(spark, tmp_path):
-    (tmp_path / "b.tsv").write_text("I1\tU1\t11/15/2019 12:37:50 PM\tN1 N2\tN1-1 N3-0 N2-1\nI2\tU2\t11/14/2019 7:11 AM\t\tN2-0 N5-1\nI3\tU3\tsoon\tN1\tN1-0\n")
+    (tmp_path / "b.tsv").write_text("r1\tmia\t2/3/2022 4:05:06 PM\tA10  A11\tA12-0 A-7-1\nr2\tole\t10/30/2022 12:00 AM\t\tA10-1\nr3\tole\tnever\tA10\tA10-0\n")
     path = str(tmp_path / "b.tsv")
     rows = {r["impression_id"]: r for r in readers.read_behaviors(spark, path).collect()}
-    assert set(rows) == {"I1", "I2"} and rows["I1"]["inview"] == ["N1", "N3", "N2"] and rows["I1"]["labels"] == [1, 0, 1]
-    assert rows["I2"]["history"] == [] and readers.dropped_times(spark, path).first()[0] == 1
+    assert set(rows) == {"r1", "r2"} and rows["r1"]["inview"] == ["A12", "A-7"] and rows["r1"]["labels"] == [0, 1] and rows["r1"]["history"] == ["A10", "A11"]
+    assert rows["r1"]["impression_time"] == dt.datetime(2022, 2, 3, 16, 5, 6) and rows["r2"]["impression_time"] == dt.datetime(2022, 10, 30)
+    assert rows["r2"]["history"] == [] and readers.dropped_times(spark, path).first()[0] == 1
 
 
 def test_vectors_text(spark, tmp_path):
-    (tmp_path / "v.vec").write_text("Q1\t1 0 0\n\nQ2 0 1 0\n")
+    (tmp_path / "v.vec").write_text("E1\t0.5 -2\n\n  E2   7  1.25 \n")
     rows = {r["entity_id"]: r["vector"] for r in readers.read_entity_vectors(spark, str(tmp_path / "v.vec")).collect()}
-    assert rows == {"Q1": [1.0, 0.0, 0.0], "Q2": [0.0, 1.0, 0.0]}
+    assert rows == {"E1": [0.5, -2.0], "E2": [7.0, 1.25]}
+
+
+def test_vector_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x", [1.0, 2.0]), (None, "y", [1.0, 1.0]), (3, "z", None)], "article_id int, name string, embedding array<double>")
+    writers.write_vectors(df, str(tmp_path / "v"))
+    assert [(r["article_id"], r["vector"]) for r in readers.read_vectors(spark, str(tmp_path / "v")).collect()] == [("1", [1.0, 2.0])]
+
+
+def test_registry_and_settings(spark, tmp_path):
+    known = registry.from_settings({"small": {"kind": "tsv", "raw": "in", "archives": ["a.zip"], "vectors": "shared"}}, "/raw", "/out")
+    assert known["small"] == registry.Dataset("tsv", "/out/small", "/raw/in", ("a.zip",), "/out/shared")
+    with pytest.raises(ValueError):
+        known["large"]
+    with pytest.raises(ValueError):
+        known.register("small", known["small"])
+    nested = {"a": 1, "b": {"c": {"d": 2}, "e": 3}}
+    assert registry.flattened(nested) == {"a": 1, "d-c-b": 2, "e-b": 3}
+    registry.require_key({"x": {"k": 1}}, "k")
+    with pytest.raises(ValueError):
+        registry.require_key({"x": {"k": 1}, "y": {}}, "k")
+    registry.write_settings(str(tmp_path / "s" / "c.json"), nested)
+    assert registry.read_settings(str(tmp_path / "s" / "c.json")) == nested
+    df = spark.createDataFrame([(7, "news", 0.5)], "id int, category string, p double")
+    registry.write_lookup(df, str(tmp_path / "l"), "id")
+    row = registry.read_lookup(spark, str(tmp_path / "l"), "category string, p double").first()
+    assert (row["key"], row["value"]["category"], row["value"]["p"]) == ("7", "news", 0.5)
 
 
 def test_normalizers(spark):
@@ -53,10 +81,10 @@ def test_candidates_replace_stale_splits(spark, tmp_path):
 
 
 def test_submission_round_trip(spark, tmp_path):
-    lines = spark.createDataFrame([(0, "i0 [3,1,2]"), (1, "i1 [1]")], "row int, line string")
+    lines = spark.createDataFrame([(0, "r8 [2,4,1,3]"), (1, "r9,[1]")], "row int, line string")
     writers.write_submission(lines, str(tmp_path / "s"), "row")
     got = {r["impression_id"]: r["ranks"] for r in readers.read_submission(spark, str(tmp_path / "s")).collect()}
-    assert got == {"i0": [3.0, 1.0, 2.0], "i1": [1.0]}
+    assert got == {"r8": [2.0, 4.0, 1.0, 3.0], "r9": [1.0]}
 
 
 def test_manifest_and_fingerprint(tmp_path):
