@@ -169,3 +169,11 @@ def mean(c: Column) -> Column:
 def keys_in(c: Column, mapping: Column) -> Column:
     """Elements that are keys of a map column, in order."""
     return F.filter(c, lambda x: F.map_contains_key(mapping, x))
+
+
+def run_lengths(c: Column) -> Column:
+    """Structs (value, n) of the runs of equal elements of a list without nulls; none for a null list."""
+    n = _size(c)
+    first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(c, i) != F.get(c, i - 1))))
+    runs = F.get(F.transform(F.array(first), lambda s: F.transform(s, lambda i, k: F.struct(F.get(c, i).alias("value"), (F.coalesce(F.get(s, k + 1), n) - i).cast("long").alias("n")))), F.lit(0))
+    return runs

@@ -38,8 +38,7 @@ def tokens(text: Column, remove_stopwords: bool = True) -> Column:
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1)), F.lower)
     if not remove_stopwords:
         return found
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    return F.filter(found, lambda x: (F.length(x) > 1) & ~x.isin(STOPWORDS))
 
 
 def corpus_text(title: Column, abstract: Column, field: str = "title_abstract") -> Column:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedforge.functions.lists import run_lengths
 from feedforge.functions.scalars import bm25_idf, bm25_term
-from feedforge.functions.text import STOPWORDS, TOKEN, tokens
+from feedforge.functions.text import tokens
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(term, doc_ix, tf), terms(term, df, idf), docs(doc_ix, dl) and the scalars as one-row tables."""
+    """postings(term, doc_ix, tf, dl), terms(term, df, idf, avgdl) and docs(doc_ix, dl)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -21,21 +22,34 @@ class Bm25Index:
     k1: float
     b: float
 
+    def save(self, folder: str) -> None:
+        """Write the index as tables, postings in ranges of terms, so that a search reads few of their pages."""
+        self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+        self.postings.repartitionByRange("term", "doc_ix").sortWithinPartitions("term", "doc_ix").write.mode("overwrite").parquet(f"{folder}/postings")
+
+    def release(self) -> None:
+        """Give back what the index keeps of its corpus."""
+        self.docs.unpersist()
+        self.postings.unpersist()
+
+
+def load_index(spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "terms", "docs")), k1, b)
+
 
 def build_index(corpus: DataFrame, doc_ix: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, remove_stopwords: bool = True) -> Bm25Index:
-    """An index of corpus(doc_ix, text). Postings are cached, as idf and lengths derive from them.
+    """An index of corpus(doc_ix, text), a row a document.
 
-    A raw idf below zero becomes `epsilon` times the mean raw idf over distinct terms; the average
-    length counts empty documents.
+    A document's words are counted inside its row, so that postings and lengths need no shuffle; they
+    are kept until `release`, as idf derives from them. A raw idf below zero becomes `epsilon` times the
+    mean raw idf over distinct terms; the average length counts empty documents.
     """
-    # words are lowered and stop words dropped after the explode, where both are generated code
-    each = corpus.select(F.col(doc_ix).alias("doc_ix"), F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1))).alias("raw"))
-    words = each.select("doc_ix", F.lower("raw").alias("term"))
-    if remove_stopwords:
-        words = words.filter((F.length("term") > 1) & ~F.col("term").isin(STOPWORDS))
-    postings = words.groupBy("term", "doc_ix").agg(F.count(F.lit(1)).alias("tf")).persist()
-    lengths = postings.groupBy("doc_ix").agg(F.sum("tf").alias("dl"))
-    docs = corpus.select(F.col(doc_ix).alias("doc_ix")).join(lengths, "doc_ix", "left").select("doc_ix", F.coalesce("dl", F.lit(0)).alias("dl"))
+    words = corpus.select(F.col(doc_ix).alias("doc_ix"), tokens(F.col(text), remove_stopwords).alias("words"))
+    ordered = words.select("doc_ix", F.size("words").cast("long").alias("dl"), F.sort_array("words").alias("words"))
+    postings = ordered.select("doc_ix", "dl", F.inline(run_lengths(F.col("words")))).toDF("doc_ix", "dl", "term", "tf").select("term", "doc_ix", "tf", "dl").persist()
+    lengths = postings.groupBy("doc_ix").agg(F.max("dl").alias("dl"))
+    docs = corpus.select(F.col(doc_ix).alias("doc_ix")).join(lengths, "doc_ix", "left").select("doc_ix", F.coalesce("dl", F.lit(0)).alias("dl")).persist()
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).withColumn("raw", bm25_idf(F.col("n_docs"), F.col("df")))
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
@@ -51,8 +65,8 @@ def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int
     needed, so the filling joins against those alone.
     """
     wanted = queries.select(F.col(row).alias("__row"), F.explode(F.array_distinct(tokens(F.col(text), remove_stopwords))).alias("term"))
-    # the queries' terms cut the postings down before anything else is joined
-    weighted = index.postings.join(wanted, "term").join(index.terms, "term").join(index.docs, "doc_ix")
+    # the queries' terms, with their weights, cut the postings down in one join
+    weighted = index.postings.join(wanted.join(index.terms, "term"), "term")
     part = bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
     hits = weighted.groupBy("__row", "doc_ix").agg(F.round(F.sum(part), 9).alias("score")).filter("score <> 0")
     w = Window.partitionBy("__row").orderBy(F.desc("score"), "doc_ix")

@@ -16,6 +16,10 @@ def build_session(app: str = "feedforge", cpus: int | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints that nothing refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # plans of many stages are not written out in full after each of them
+        "spark.sql.maxPlanStringLength": "50000",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",

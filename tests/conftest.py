@@ -12,7 +12,7 @@ from feedforge.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", cpus=4, **{"spark.sql.shuffle.partitions": "4"})
+    session = build_session("tests", cpus=4, **{"spark.sql.shuffle.partitions": "3"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -82,6 +82,11 @@ def test_small_list_functions(spark):
     assert each(spark, "x array<int>", rows, L.chunks(F.col("x"), 3)) == [[[3, None, 3], [5]], [], []]
 
 
+def test_run_lengths(spark):
+    got = each(spark, "x array<string>", [(["a", "a", "b", "a"],), (["q"],), ([],), (None,)], L.run_lengths(F.col("x")))
+    assert [[tuple(r) for r in x or []] for x in got] == [[("a", 2), ("b", 1), ("a", 1)], [("q", 1)], [], []]
+
+
 def test_tokens(spark):
     rows = [("Zwei FLINKE Igel, and a cat_7!",), ("mod Øresund i 2024",), (None,), ("?!",)]
     assert each(spark, "t string", rows, X.tokens(F.col("t"))) == [["zwei", "flinke", "igel", "cat_7"], ["øresund", "2024"], [], []]

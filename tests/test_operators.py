@@ -158,6 +158,16 @@ def test_bm25_fill_and_empty_query(spark):
     assert {(r["q"], r["doc_ix"]) for r in bm25.search(index, queries, "q", "t", 4, zero_fill=False).collect()} == {(1, 2), (1, 0), (3, 1)}
 
 
+def test_bm25_index_as_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 3} shared") for i in range(40)], "ix long, t string")
+    queries = spark.createDataFrame([(1, "word3 shared"), (2, "word1")], "q int, t string")
+    index = bm25.build_index(docs, "ix", "t")
+    index.save(str(tmp_path))
+    rows = lambda i: sorted(tuple(r) for r in bm25.search(i, queries, "q", "t", 12).collect())
+    assert rows(bm25.load_index(spark, str(tmp_path))) == rows(index)
+    index.release()
+
+
 def test_bm25_zero_fill_whole_queries(spark, tmp_path):
     docs = [(i, f"filler word{i}") for i in range(60)] + [(60, "needle")]
     items = [(1, "unmatched opening words, then a needle"), (2, "word7"), (3, "")]
