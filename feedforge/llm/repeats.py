@@ -36,7 +36,7 @@ from feedforge.llm.suffix import permuted_common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 32
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 WIDE = 8_000
 #: Bytes that are hashed at a time; longer texts go in overlapping parts.
 PART = 1 << 20

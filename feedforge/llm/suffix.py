@@ -6,8 +6,8 @@ procedure, recursively, and the order of the names' suffixes then induces that o
 
 Inducing goes through the array in order. How many L (or S) suffixes each bucket has is known, so
 every place before the first bucket that still lacks some is final; all those places are read in one
-wave. A wave covers many buckets where they are small, as those of names are, and a bucket takes
-several where a symbol runs on.
+wave. A wave covers many buckets where they are small, as those of names are. Where a symbol runs on,
+its bucket is read by itself, and all that its runs put there is placed at once.
 
 The permuted common prefixes are found in text order: a place whose left neighbour equals that of
 the suffix before it in the array is reducible, with one byte less than the place before, and only
@@ -71,27 +71,63 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int)
     # seeds at the ends of their buckets
     ends = tails.copy()
     place(seeds[::-1], ends, -1)
+    # how far each place's symbol runs back from it, and which symbols run at all
+    start = np.arange(n)
+    start[1:][text[1:] == text[:-1]] = 0
+    back = np.arange(n) - np.maximum.accumulate(start)
+    runs = np.zeros(symbols, bool)
+    runs[text[back > 0]] = True
+
+    def run_out(before: np.ndarray) -> np.ndarray:
+        """The places before some of one bucket, and all that their symbol's runs put there after them, wave by wave."""
+        size = back[before] + 1
+        depth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        which = np.repeat(np.arange(len(before)), size)
+        by = np.argsort(depth, kind="stable")
+        return before[which[by]] - depth[by]
+
+    def wave(read: np.ndarray, at: np.ndarray, step: int, kind: bool, first: int) -> None:
+        """Place what comes before the suffixes read; a bucket that is read for the first time also gets its runs."""
+        before = read[read > 0] - 1
+        before = before[is_s[before] == kind]
+        same = text[before] == text[before + 1]
+        place(before[~same], at, step)
+        if first >= 0:
+            found = run_out(before[same & (text[before] == first)])
+            order[at[first] + step * np.arange(len(found)) - (step < 0)] = found
+            at[first] += step * len(found)
+
     # L suffixes, from the left; the end of the text comes before all
     at, lo, b = heads.copy(), 0, 0
     place(np.array([n - 1]), at, 1)
     while lo < n:
         b = _first_open(at, middles, b)
-        hi = int(at[b]) if b < symbols else n
-        before = order[lo:hi]
-        before = before[before > 0] - 1
-        before = before[~is_s[before]]
-        place(before, at, 1)
+        first = -1
+        if b == symbols:
+            hi = n
+        elif not runs[b]:
+            hi = int(at[b])
+        elif lo < heads[b]:
+            hi = int(heads[b])
+        else:
+            hi, first = int(at[b]), b
+        wave(order[lo:hi], at, 1, False, first)
         lo = hi
     # S suffixes, from the right, in place of the seeds
     at, hi, b = tails.copy(), n, 0
-    back, limit = at[::-1], middles[::-1]
+    back_at, limit = at[::-1], middles[::-1]
     while hi > 0:
-        b = _first_open(limit, back, b)
-        lo = int(back[b]) if b < symbols else 0
-        before = order[lo:hi][::-1]
-        before = before[before > 0] - 1
-        before = before[is_s[before]]
-        place(before, at, -1)
+        b = _first_open(limit, back_at, b)
+        c, first = symbols - 1 - b, -1
+        if b == symbols:
+            lo = 0
+        elif not runs[c]:
+            lo = int(at[c])
+        elif hi > tails[c]:
+            lo = int(tails[c])
+        else:
+            lo, first = int(at[c]), c
+        wave(order[lo:hi][::-1], at, -1, True, first)
         hi = lo
     return order
 
