@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -52,6 +53,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of tables that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which a large heap may not need for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this library wrote, on whatever file system it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -9,10 +9,12 @@ another one, or lie in a slice with a count over one, are repeats. What repeats
 every document.
 
 Shards are made of whole anchors and hold about SHARD_BYTES. An anchor with more than WIDE different
-slices would be too much for one task; its slices are cut as fine as they can be, to single windows,
-which collapse like slices do, and a count over one makes a repeat. Slices and windows are told apart
-inside one anchor by 64-bit hashes of their bytes, so that a false match needs two strings around the
-same 32 bytes to agree in 64 more bits: one in 10 ** 7 for 10 ** 12 such pairs.
+slices would be too much for one task; its slices are dealt again as texts with a count, by longer
+anchors that close half of what is missing to a window. What the longer anchor tells apart is dropped
+or collapses as before, and the rest goes through suffix arrays; at last an anchor is a whole window
+and has one slice. Slices are told apart inside one anchor by 64-bit hashes of their bytes, so that a
+false match needs two strings around the same 32 bytes to agree in 64 more bits: one in 10 ** 7 for
+10 ** 12 such pairs.
 
 Edge cases: null and empty texts, and texts under 200 bytes, lose nothing; repeated rows repeat each
 other whole; cuts inside a UTF-8 character drop the rest of it from the returned text, while byte
@@ -22,7 +24,7 @@ counts and the digest are of the bytes left; an empty table gives an empty resul
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import checkpoint, flag_members, fresh, give_back, range_count, slices
+from feedforge.llm.common import checkpoint, flag_members, fresh, give_back, range_count, release, slices
 from feedforge.llm.shingles import mix, powers
 from feedforge.llm.suffix import permuted_common_prefixes, suffix_array
 
@@ -38,6 +40,8 @@ LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 2 << 20
 WIDE = 8_000
+#: An anchor that lacks fewer bytes than this to a window is followed by whole windows.
+LAST = 24
 #: Bytes that are hashed at a time; longer texts go in overlapping parts.
 PART = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -68,16 +72,16 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def _cut(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _cut(raw: bytes, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: anchor hash, slice hash, first window, number of windows, document."""
     n = len(raw)
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     h = _Hashes(raw)
-    at = np.arange(n - GRAM + 1)
-    grams = h.of(at, at + GRAM)
-    low = _sliding_min((grams & ~_PLACE) | at.astype(np.uint64), length - GRAM + 1)
+    at = np.arange(n - gram + 1)
+    grams = h.of(at, at + gram)
+    low = _sliding_min((grams & ~_PLACE) | at.astype(np.uint64), length - gram + 1)
     place = (low & _PLACE).astype(np.int64)
     windows = np.arange(len(place))
     doc = np.searchsorted(ends, windows, "right")
@@ -91,15 +95,15 @@ def _cut(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return grams[place[first]], h.of(first, first + count + length - 1), first, count, doc[first]
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A row a document with the arrays of its slices."""
+def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """A row a text, the third column, with the first two and the arrays of its slices."""
     for batch in slices(batches, 2):
         texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
         found: list[list[np.ndarray]] = [[] for _ in texts]
 
         def flush(group: list[tuple[int, int, bytes]]) -> None:
             ends = np.cumsum([len(t) for _, _, t in group])
-            anchor, cut, first, count, doc = _cut(b"".join(t for _, _, t in group), ends, length)
+            anchor, cut, first, count, doc = _cut(b"".join(t for _, _, t in group), ends, length, gram)
             at = np.searchsorted(doc, np.arange(len(group) + 1))
             begins = np.concatenate(([0], ends[:-1]))
             for k, (i, offset, _) in enumerate(group):
@@ -122,7 +126,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         as_list = lambda xs, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs]))), pa.int32()), pa.array(np.concatenate(xs), kind))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *(as_list(xs, kind) for xs, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))],
-            names=["doc_id", "text_hash", "anchor", "slice", "first", "windows"],
+            names=[*batch.schema.names[:2], "anchor", "slice", "first", "windows"],
         )
         give_back(0)
 
@@ -187,54 +191,72 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) ->
         yield done()
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the slices of wide anchors."""
-    for batch in batches:
-        for a, s, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            h = _Hashes(data)
-            at = np.arange(len(data) - length + 1)
-            k = len(at)
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array([a] * k, pa.int64()), "slice": pa.array([s] * k, pa.int64()), "n": pa.array([n] * k, pa.int64()), "at": pa.array(at, pa.int32()), "window": pa.array(h.of(at, at + length).view(np.int64), pa.int64())})
+def _sliced(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The first two columns of texts (two longs and the text), an id, and the arrays of slices of those that have any."""
+    keys = ", ".join(f"{c} long" for c in texts.columns[:2])
+    row = texts.mapInArrow(partial(_anchored, length=length, gram=gram), f"{keys}, anchor array<long>, slice array<long>, first array<int>, windows array<int>")
+    # the numbers of rows are fixed by the checkpoint; each is one word where id and hash are two
+    return checkpoint(row.filter(F.size("anchor") > 0).withColumn("rid", F.monotonically_increasing_id()))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, wide: int = WIDE) -> DataFrame:
-    """doc_id, text_hash, runs of the rows of docs(doc_id, text_hash, text) that have repeats: each run's first and last window, in 32 bits each."""
-    row = docs.select("doc_id", "text_hash", "text").mapInArrow(partial(_anchored, length=length), "doc_id long, text_hash long, anchor array<long>, slice array<long>, first array<int>, windows array<int>")
-    # the numbers of rows are fixed by the checkpoint; each is one word where id and hash are two
-    packed = checkpoint(row.filter(F.size("anchor") > 0).withColumn("rid", F.monotonically_increasing_id()))
+def _hits(packed: DataFrame, texts: Callable[[DataFrame], DataFrame], weight: Column, length: int, shard_bytes: int, wide: int, gram: int) -> DataFrame:
+    """rid, lo, hi of runs of repeated windows, from _sliced().
+
+    texts: from a table asked(rid, asked) to (text, asked); it may repeat rows. weight: how often each
+    row's text counts, a column of packed.
+    """
     # a table of its own, so that a skewed join with it can be split
-    often = checkpoint(packed.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
-    every = packed.select("rid", F.inline(F.arrays_zip("anchor", "slice", "first", "windows")))
-    twice = checkpoint(every.join(often, "anchor"))
+    often = packed.select(weight.alias("c"), F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.sum("c").alias("c"))
+    often = checkpoint(often.filter("c > 1").select("anchor"))
+    counted = [c for c in ("rid", "n") if c in packed.columns]
+    twice = checkpoint(packed.select(*counted, F.inline(F.arrays_zip("anchor", "slice", "first", "windows"))).join(often, "anchor"))
 
-    kinds = twice.groupBy("anchor", "slice").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("at"))
+    kinds = twice.groupBy("anchor", "slice").agg(F.sum(weight).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("at"))
     kinds = checkpoint(kinds.select("anchor", "slice", "n", "at.*"))
+    release(packed.sparkSession)
     crowded = checkpoint(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > wide).select("anchor"))
-    names = packed.select("rid", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    asked = kinds.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked")).join(names, "rid")
-    asked = checkpoint(asked)
-    # most texts are not asked for and need no shuffle
-    mark = fresh(docs, "asked")
-    near = flag_members(docs, _row_key("doc_id", "text_hash"), asked.select(_row_key("i", "h")), mark).filter(mark)
-    texts = near.join(asked, near["doc_id"].eqNullSafe(asked["i"]) & (near["text_hash"] == asked["h"])).select("text", "asked")
-    cut = texts.mapInArrow(partial(_pieces, length=length), "anchor long, slice long, n long, data binary")
-    parts = range_count(docs.sparkSession)
-    if crowded.isEmpty():
-        usual, rest = cut, None
-    else:
-        cut = checkpoint(cut.dropDuplicates(["anchor", "slice"]))
-        usual, rest = cut.join(crowded, "anchor", "left_anti"), cut.join(crowded, "anchor", "left_semi")
-    sorted_ = usual.repartition(parts, "anchor").sortWithinPartitions("anchor", "slice")
+    finest = gram >= length or crowded.isEmpty()
+    # all slices of an anchor go the same way, also where the flag is true for another's sake
+    dealt = kinds if finest else flag_members(kinds, F.col("anchor"), crowded, "crowded")
+
+    def pieces(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked"))
+        return texts(asked).mapInArrow(partial(_pieces, length=length), "anchor long, slice long, n long, data binary")
+
+    usual = pieces(kinds if finest else dealt.filter("not crowded"))
+    sorted_ = usual.repartition(range_count(packed.sparkSession), "anchor").sortWithinPartitions("anchor", "slice")
     found = sorted_.mapInArrow(partial(_shards, length=length, shard_bytes=shard_bytes), "anchor long, slice long, lo int, hi int")
-    if rest is not None:
-        windows = rest.mapInArrow(partial(_window_hashes, length=length), "anchor long, slice long, n long, at int, window long")
-        seen = windows.groupBy("anchor", "window").agg(F.sum("n").alias("c")).filter("c > 1").select("anchor", "window")
-        found = found.unionByName(windows.join(seen, ["anchor", "window"]).select("anchor", "slice", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    if not finest:
+        longer = (gram + length) // 2 if length - gram > LAST else length
+        rest = checkpoint(pieces(dealt.filter("crowded")).dropDuplicates(["anchor", "slice"]).withColumn("row", F.monotonically_increasing_id()))
+        again = _sliced(rest.select("row", "n", "data"), length, longer)
+        rows = again.select("rid", F.col("row").alias("of"))
+
+        def data(asked: DataFrame) -> DataFrame:
+            return rest.join(asked.join(rows, "rid"), F.col("row") == F.col("of")).select(F.col("data").alias("text"), "asked")
+
+        hits = _hits(again, data, F.col("n"), length, shard_bytes, wide, longer).join(rows, "rid")
+        found = found.unionByName(rest.join(hits, F.col("row") == F.col("of")).select("anchor", "slice", F.col("lo").cast("int"), F.col("hi").cast("int")))
     found = checkpoint(found)
+    release(packed.sparkSession)
+    return twice.join(found, ["anchor", "slice"]).select("rid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, wide: int = WIDE) -> DataFrame:
+    """doc_id, text_hash, runs of the rows of docs(doc_id, text_hash, text) that have repeats: each run's first and last window, in 32 bits each."""
+    packed = _sliced(docs.select("doc_id", "text_hash", "text"), length, GRAM)
+    names = packed.select("rid", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+
+    def texts(asked: DataFrame) -> DataFrame:
+        asked = checkpoint(asked.join(names, "rid"))
+        # most texts are not asked for and need no shuffle
+        mark = fresh(docs, "asked")
+        near = flag_members(docs, _row_key("doc_id", "text_hash"), asked.select(_row_key("i", "h")), mark).filter(mark)
+        return near.join(asked, near["doc_id"].eqNullSafe(asked["i"]) & (near["text_hash"] == asked["h"])).select("text", "asked")
+
+    hits = _hits(packed, texts, F.lit(1), length, shard_bytes, wide, GRAM)
     # a run is one word: its first window above, its last below
-    run = F.shiftleft((F.col("first") + F.col("lo")).cast("long"), 32) + F.col("first") + F.col("hi")
-    hit = twice.join(found, ["anchor", "slice"]).select("rid", run.alias("run"))
-    runs = hit.groupBy("rid").agg(F.collect_list("run").alias("runs"))
+    runs = hits.groupBy("rid").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("runs"))
     # repeated rows have the same runs
     rows = packed.groupBy("doc_id", "text_hash").agg(F.min("rid").alias("rid"))
     return checkpoint(runs.join(rows, "rid").select("doc_id", "text_hash", "runs"))

@@ -54,29 +54,41 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int)
     heads = tails - counts
     middles = heads + np.bincount(text[~is_s], minlength=symbols)  # where L suffixes end
     order = np.full(n, -1, np.int32)
+    ramp = np.arange(n)
 
     def place(found: np.ndarray, at: np.ndarray, step: int) -> None:
         """Put places into their buckets, keeping their order; the buckets' ends move by as much."""
-        if not len(found):
+        k = len(found)
+        if not k:
             return
         b = text[found]
-        group = np.argsort(b, kind="stable")
-        found, b = found[group], b[group]
-        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        sizes = np.diff(np.append(first, len(b)))
-        rank = np.arange(len(b)) - np.repeat(first, sizes)
-        order[at[b] + step * rank - (step < 0)] = found
-        at[b[first]] += step * sizes
+        group = b.argsort(kind="stable")
+        b = b[group]
+        first = np.flatnonzero(b[1:] != b[:-1]) + 1
+        bounds = np.empty(len(first) + 2, np.int64)
+        bounds[0], bounds[1:-1], bounds[-1] = 0, first, k
+        first, sizes = bounds[:-1], bounds[1:] - bounds[:-1]
+        b = b[first]
+        begin = at[b]
+        if step > 0:
+            order[np.repeat(begin - first, sizes) + ramp[:k]] = found[group]
+        else:
+            order[np.repeat(begin + first - 1, sizes) - ramp[:k]] = found[group]
+        at[b] = begin + step * sizes
 
     # seeds at the ends of their buckets
     ends = tails.copy()
     place(seeds[::-1], ends, -1)
     # how far each place's symbol runs back from it, and which symbols run at all
-    start = np.arange(n)
+    start = ramp.copy()
     start[1:][text[1:] == text[:-1]] = 0
-    back = np.arange(n) - np.maximum.accumulate(start)
+    back = ramp - np.maximum.accumulate(start)
     runs = np.zeros(symbols, bool)
     runs[text[back > 0]] = True
+    # L and S places that differ from the next one
+    alone = np.ones(n, bool)
+    alone[:-1] = text[1:] != text[:-1]
+    single = {False: alone & ~is_s, True: alone & is_s}
 
     def run_out(before: np.ndarray) -> np.ndarray:
         """The places before some of one bucket, and all that their symbol's runs put there after them, wave by wave."""
@@ -89,11 +101,10 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int)
     def wave(read: np.ndarray, at: np.ndarray, step: int, kind: bool, first: int) -> None:
         """Place what comes before the suffixes read; a bucket that is read for the first time also gets its runs."""
         before = read[read > 0] - 1
-        before = before[is_s[before] == kind]
-        same = text[before] == text[before + 1]
-        place(before[~same], at, step)
+        place(before[single[kind][before]], at, step)
         if first >= 0:
-            found = run_out(before[same & (text[before] == first)])
+            before = before[(is_s[before] == kind) & ~alone[before]]
+            found = run_out(before[text[before] == first])
             order[at[first] + step * np.arange(len(found)) - (step < 0)] = found
             at[first] += step * len(found)
 
@@ -172,7 +183,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rough = _induce(text, is_s, lms, symbols)
     names = _name(text, lms, rough[is_lms[rough]].astype(np.int64))
     if names.max() + 1 < len(lms):
-        ordered = lms[suffix_array(names.astype(np.int32))]
+        # short symbols are dealt into buckets faster
+        ordered = lms[suffix_array(names.astype(np.uint16 if names.max() < 1 << 16 else np.int32))]
     else:
         ordered = np.empty(len(lms), np.int64)
         ordered[names] = lms
@@ -194,16 +206,17 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, need: int) ->
     ok = np.zeros(n, bool)
     ok[1:] = reducible[1:] & (before[1:] == before[:-1] + 1)
     places = np.flatnonzero(~ok & (before >= 0))
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    padded = np.concatenate((text.astype(np.uint8, copy=False), np.zeros(8, np.uint8)))
+    words = np.ndarray(n + 1, "<u8", padded.data, strides=(1,))
     length = np.zeros(len(places), np.int64)
     live = np.arange(len(places))
     # as far as the reducible places that follow can tell
     limit = np.minimum(n - np.maximum(places, before[places]), np.diff(places, append=n) + need)
     while len(live):
         a, b = places[live] + length[live], before[places[live]] + length[live]
-        differ = words[a] != words[b]
-        equal = np.where(differ.any(1), differ.argmax(1), 8)
+        differ = words[a] ^ words[b]
+        # zero bits below the lowest one that differs; of none, 64
+        equal = (np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
         length[live] = np.minimum(length[live] + equal, limit[live])
         live = live[(equal == 8) & (length[live] < limit[live])]
     # a reducible place has one byte less than the place before

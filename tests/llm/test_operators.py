@@ -605,6 +605,22 @@ def test_repeats(spark, wide, shard, part, monkeypatch):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()] == brute_repeats(rows)
 
 
+def test_crowded_anchors_are_dealt_by_longer_ones(spark, monkeypatch):
+    """A passage in many contexts, and one that is longer than a window, down to whole windows."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    short, long = text(40)[:150], text(90)
+    rows = [f"{text(60)} {short if k % 2 else long} {text(60)}" for k in range(40)]
+    rows += [rows[1][:300], rows[0]]
+    grams, cut = set(), repeats._sliced
+    monkeypatch.setattr(repeats, "_sliced", lambda df, length, gram: grams.add(gram) or cut(df, length, gram))
+    monkeypatch.setattr(repeats.repeats, "__defaults__", (200, 1 << 20, 3))
+    got = frame(repeats.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), digest=True)).sort_values("doc_id")
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()] == brute_repeats(rows)
+    assert grams == {32, 116, 158, 179, 200}
+
+
 def test_repeats_odd(odd, none):
     got = frame(repeats.remove_repeats(odd, digest=True))
     want = brute_repeats([t or "" for _, t in ODD])
