@@ -7,10 +7,11 @@ direction falls in has a Hilbert key, and documents are range-sorted by that key
 on the curve, which share vocabulary, land in the same sequences. The order is cut every 2048 ids.
 Where a range ends, the remainder is cut at powers of two, which need no padding; so nothing is padded.
 
-The corpus mean and the bounds of the ranges, quantiles of the keys by tokens, come from a sample (at
-least SAMPLE rows or all, and PER_RANGE a range, at most MOST); they balance the tasks and decide where
-ranges end, but every document is packed, once and whole. Equal texts share a key; a hash of doc_id
-below it spreads them over as many ranges as they fill.
+Every document is encoded once, into a checkpoint. The corpus mean is the mean over all its tokens, from
+sums of whole numbers, so that it is the same in any order. The bounds of the ranges come from a
+mergeable sketch of all keys and from the tokens that all documents have between its quantiles
+(`common.ranges`); they balance the tasks and decide where ranges end. Equal texts share a key; a hash
+of doc_id below it spreads them over as many ranges as they fill.
 
 Edge cases: a null or empty text has the end id only; null ids sort first among equal keys; repeated
 rows are packed each on its own; an empty table gives an empty result.
@@ -24,17 +25,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import bucket_of, joined_ranges, range_count, slices
+from feedforge.llm.common import bucket_of, checkpoint, range_count, ranges, slices
 from feedforge.llm.shingles import mix
 from feedforge.llm.tokens import library_encoder, texts_of
 
 LENGTH = 2048
 DIMENSIONS, BITS = 3, 10
-#: Rows whose keys set the bounds of the ranges, and how many more ranges and the driver allow.
-SAMPLE, PER_RANGE, MOST = 20_000, 50, 1_000_000
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -76,13 +75,13 @@ _signs: dict[int, np.ndarray] = {}
 
 
 def directions(ids: list[np.ndarray]) -> np.ndarray:
-    """The mean signs of each document's tokens."""
+    """The sums of the signs of each document's tokens."""
     size = 1 << 16
     if size not in _signs:
         _signs[size] = projections(size)
     flat = np.concatenate(ids)
     at = np.concatenate(([0], np.cumsum([len(x) for x in ids])[:-1]))
-    return np.add.reduceat(_signs[size][flat], at, axis=0, dtype=np.float64) / np.array([len(x) for x in ids])[:, None]
+    return np.add.reduceat(_signs[size][flat], at, axis=0, dtype=np.float64).astype(np.int64)
 
 
 def curve_keys(means: np.ndarray, center: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
@@ -99,38 +98,31 @@ def _known(column: pa.Array) -> np.ndarray:
     return np.where(column.is_null().to_numpy(zero_copy_only=False), np.arange(len(ids)), ids)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     encode, last = library_encoder(path, "word"), end.to_bytes(2, "little")
     for batch in slices(batches, 1, rows=600):
         raw = [x + last for x in encode(texts_of(batch.column(1)))]
-        yield batch, raw, directions([np.frombuffer(x, "<u2") for x in raw])
+        sums = directions([np.frombuffer(x, "<u2") for x in raw])
+        sizes = pa.array([len(x) // 2 for x in raw], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_known(batch.column(0)), pa.int64()), pa.array(raw, pa.binary()), sizes, *map(pa.array, sums.T)], names=["doc_id", "known", "ids", "n", *"xyz"])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    for batch, raw, means in _encoded(batches, path, end):
-        yield pa.RecordBatch.from_arrays([pa.array(_known(batch.column(0))), pa.array([len(x) // 2 for x in raw], pa.int64()), *map(pa.array, means.T)], names=["id", "n", *"xyz"])
+def _key(center: np.ndarray) -> Column:
+    """The key of a row of _encoded(); its ids stay where they are."""
 
+    @F.pandas_udf("long")
+    def key(known, n, x, y, z):  # noqa: ANN001, ANN202
+        import pandas as pd
 
-def _coded(batches: Iterator[pa.RecordBatch], path: str, end: int, center: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch, raw, means in _encoded(batches, path, end):
-        keys = curve_keys(means, center, _known(batch.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(raw, pa.binary())], names=["key", "doc_id", "ids"])
+        return pd.Series(curve_keys(np.stack([x, y, z], 1) / n.to_numpy()[:, None], center, known.to_numpy()))
 
+    return key("known", "n", *"xyz")
 
-def curve_ranges(base: DataFrame, tokenizer: str, end_id: int, buckets: int) -> tuple[np.ndarray, list[int]]:
-    """The centre of the corpus and the bounds of ranges of keys, from the sample."""
-    rows = min(max(SAMPLE, PER_RANGE * buckets), MOST)
-    every = max(1, -(-base.count() // rows))
-    sample = base.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
-    found = sample.mapInArrow(partial(_sampled, path=tokenizer, end=end_id), "id long, n long, x double, y double, z double").toArrow()
-    ids, n, *means = (found.column(c).to_numpy() for c in ("id", "n", "x", "y", "z"))
-    if not len(ids):
-        return np.zeros(DIMENSIONS), []
-    means = np.stack(means, 1)
-    center = (means * n[:, None]).sum(0) / n.sum()
-    keys = curve_keys(means, center, ids)
-    order = np.argsort(keys, kind="stable")
-    return center, joined_ranges(keys[order][:-1].tolist(), n[order].tolist(), buckets)
+
+def corpus_center(coded: DataFrame) -> np.ndarray:
+    """The mean signs of all tokens."""
+    n, *sums = coded.agg(*[F.sum(F.col(c)) for c in ("n", *"xyz")]).first()
+    return np.array(sums, np.float64) / n if n else np.zeros(DIMENSIONS)
 
 
 class _Packer:
@@ -203,8 +195,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids unless digest."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = range_count(docs.sparkSession)
-    center, bounds = curve_ranges(base, tokenizer, end_id, n)
-    coded = base.mapInArrow(partial(_coded, path=tokenizer, end=end_id, center=center), "key long, doc_id long, ids binary")
-    dealt = coded.withColumn("bucket", bucket_of(F.col("key"), bounds)).repartitionById(n, "bucket").sortWithinPartitions("bucket", "key", "doc_id")
+    coded = checkpoint(base.mapInArrow(partial(_encoded, path=tokenizer, end=end_id), "doc_id long, known long, ids binary, n long, x long, y long, z long"))
+    key = _key(corpus_center(coded)).alias("key")
+    bounds = ranges(checkpoint(coded.select(key, "n")), "key", F.col("n"), n)
+    dealt = coded.select(key, "doc_id", "ids").withColumn("bucket", bucket_of(F.col("key"), bounds)).repartitionById(n, "bucket").sortWithinPartitions("bucket", "key", "doc_id")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.select("bucket", "doc_id", "ids").mapInArrow(partial(_packed, length=length, digest=digest), schema if digest else f"{schema}, ids binary")

@@ -395,6 +395,24 @@ def test_packing(documents, texts):
         assert n <= 2048 and n & (n - 1) == 0  # nothing is padded
 
 
+def test_packing_counts_every_document(spark):
+    """The centre and the bounds come from all documents, also beyond 20,000."""
+    rng = random.Random(17)
+    rows = [(k, rng.choice(("the cat sat", "der Hund lief", "12 %", ""))) for k in range(45_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tok = Tokenizer.from_file(WORD)
+    signs = packing.projections(1 << 16)
+    ids = {t: np.array(tok.encode(t, add_special_tokens=False).ids + [1]) for t in {t for _, t in rows}}
+    total = sum(signs[ids[t]].sum(0) * k for t, k in collections.Counter(t for _, t in rows).items())
+    seen, tokens, ranges = [], [], packing.ranges
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "corpus_center", lambda df, f=packing.corpus_center: seen.append(f(df)) or seen[0])
+        patch.setattr(packing, "ranges", lambda df, key, *rest: tokens.append(df.agg({"n": "sum"}).first()[0]) or ranges(df, key, *rest))
+        pieces = frame(packing.pack_documents(docs, WORD, digest=True))
+    n = sum(len(ids[t]) for _, t in rows)
+    assert pieces.length.sum() == n and tokens == [n] and np.array_equal(seen[0], total.astype(np.float64) / n)
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3).astype(np.uint64)
     keys = packing.hilbert(cells, 3)
