@@ -216,19 +216,19 @@ def _hits(packed: DataFrame, texts: Callable[[DataFrame], DataFrame], weight: Co
     release(packed.sparkSession)
     crowded = checkpoint(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > wide).select("anchor"))
     finest = gram >= length or crowded.isEmpty()
-    # all slices of an anchor go the same way, also where the flag is true for another's sake
-    dealt = kinds if finest else flag_members(kinds, F.col("anchor"), crowded, "crowded")
+    # each has over `wide` slices, so they are few and every task can hold them
+    few = F.broadcast(crowded)
 
     def pieces(some: DataFrame) -> DataFrame:
         asked = some.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked"))
         return texts(asked).mapInArrow(partial(_pieces, length=length), "anchor long, slice long, n long, data binary")
 
-    usual = pieces(kinds if finest else dealt.filter("not crowded"))
+    usual = pieces(kinds if finest else kinds.join(few, "anchor", "left_anti"))
     sorted_ = usual.repartition(range_count(packed.sparkSession), "anchor").sortWithinPartitions("anchor", "slice")
     found = sorted_.mapInArrow(partial(_shards, length=length, shard_bytes=shard_bytes), "anchor long, slice long, lo int, hi int")
     if not finest:
         longer = (gram + length) // 2 if length - gram > LAST else length
-        rest = checkpoint(pieces(dealt.filter("crowded")).dropDuplicates(["anchor", "slice"]).withColumn("row", F.monotonically_increasing_id()))
+        rest = checkpoint(pieces(kinds.join(few, "anchor", "left_semi")).dropDuplicates(["anchor", "slice"]).withColumn("row", F.monotonically_increasing_id()))
         again = _sliced(rest.select("row", "n", "data"), length, longer)
         rows = again.select("rid", F.col("row").alias("of"))
 

@@ -639,6 +639,17 @@ def test_crowded_anchors_are_dealt_by_longer_ones(spark, monkeypatch):
     assert grams == {32, 116, 158, 179, 200}
 
 
+def test_slices_of_crowded_anchors_are_told_apart_without_marking_all_slices(spark, monkeypatch):
+    """Only documents pass through bitmaps: marking slices for a few crowded anchors made two more rows for each slice."""
+    marked, flag = [], repeats.flag_members
+    monkeypatch.setattr(repeats, "flag_members", lambda df, *a, **b: marked.append(set(df.columns)) or flag(df, *a, **b))
+    monkeypatch.setattr(repeats.repeats, "__defaults__", (200, 1 << 20, 2))
+    rows = planted()
+    got = frame(repeats.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), digest=True)).sort_values("doc_id")
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()] == brute_repeats(rows)
+    assert marked and all("text" in c and "slice" not in c for c in marked)
+
+
 def test_repeats_odd(odd, none):
     got = frame(repeats.remove_repeats(odd, digest=True))
     want = brute_repeats([t or "" for _, t in ODD])
