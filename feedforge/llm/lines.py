@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.llm import neardup
-from feedforge.llm.common import checkpoint, flag_members, fresh
+from feedforge.llm.common import checkpoint, flag_members, fresh, release
 
 #: Sites that must show a line before it counts as boilerplate.
 MIN_SITES = 10
@@ -88,8 +88,10 @@ def _removals(docs: DataFrame, min_sites: int, **cols: str) -> DataFrame:
     """doc_id, text_hash and the places of the lines to remove."""
     places = checkpoint(line_places(docs, **cols))
     seen = checkpoint(candidates(places, min_sites))
+    release(docs.sparkSession)
     classes = copy_classes(docs, seen.select("text_hash").distinct(), cols.get("text_col", "text"))
     gone = checkpoint(boilerplate(seen, classes, min_sites))
+    release(docs.sparkSession)
     salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     maybe = flag_members(places, F.col("line"), gone, "maybe", per_key=64).filter("maybe").withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int"))
     hit = maybe.join(salted, ["line", "salt"], "left_semi").select("doc_id", "text_hash", "place")

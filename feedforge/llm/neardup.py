@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import checkpoint, fresh, give_back, slices
+from feedforge.llm.common import checkpoint, fresh, give_back, release, slices
 from feedforge.llm.graph import components
 from feedforge.llm.shingles import WIDTH, jaccard_counts, minima, shingle_sets
 
@@ -185,11 +185,15 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     asked = shared.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     keyed = base.withColumn("text_hash", F.xxhash64("text"))
     texts = checkpoint(keyed.join(asked, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text")))
+    release(docs.sparkSession)
     stars = _ordered(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = _verified(stars, nodes, texts, percent, width, test)
 
-    more = checkpoint(_between(shared.select("bucket", "node"), components(links), nodes, texts, percent, width, test))
-    final = components(links.unionByName(more))
+    linked = components(links)
+    more = checkpoint(_between(shared.select("bucket", "node"), linked, nodes, texts, percent, width, test))
+    release(docs.sparkSession)
+    # a node's link to the smallest of its component stands for all links found before
+    final = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labelled = nodes.select("digest", "node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))

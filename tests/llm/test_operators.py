@@ -60,6 +60,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_stop_once_links_are_stars(spark):
+    """Each round leaves shuffle files of all its tasks, so that none may only find that nothing has changed."""
+    stars = [(9, 1), (1, 8), (7, 1), (12, 11), (11, 12), (5, 5)]
+    want = {1: 1, 7: 1, 8: 1, 9: 1, 11: 11, 12: 11}
+    assert {r["node"]: r["component"] for r in components(spark.createDataFrame(stars, "a long, b long"), rounds=1).collect()} == want
+    # a node with two smaller ones, and one between a smaller and a greater one, are no stars yet
+    for more in ((9, 2), (13, 12)):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame([*stars, more], "a long, b long")).collect()}
+        assert got == want | {more[0]: want.get(more[0], 11), **({2: 1} if more[1] == 2 else {})}
+
+
 def test_shingle_sets(monkeypatch):
     rng = random.Random(2)
     texts = ["", "a", "a b c d", "a b c d e", " \t x\n"] + [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(50)]
