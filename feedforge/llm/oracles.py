@@ -82,5 +82,23 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_w
 """
 
 
+HARD_NEGATIVES = """
+with r as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.rid, a.vec_id as a, b.rid as other, b.vec_id as b, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from r a join r b on a.rid <> b.rid where a.vec_id % 100 = 0
+), p as (
+  select * from s where same qualify row_number() over (partition by rid order by score desc, b) <= 5
+), n as (
+  select p.a, p.b, row_number() over (partition by p.rid, p.other order by s.score desc, s.b) as rank, s.b as negative, p.score as ps, s.score as ns
+  from p join s using (rid) where not s.same and 100 * s.score between 80 * p.score and 100 * p.score
+)
+select a as anchor_id, b as positive_id, rank::int as rank, negative as negative_id, ps as positive_score, ns as negative_score from n where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _license_sql(), "op10_quality_rules": QUALITY}
+    return {"op3_license_scan": _license_sql(), "op10_quality_rules": QUALITY, "op11_hard_negatives": HARD_NEGATIVES}

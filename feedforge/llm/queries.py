@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, packing, quality, repeats, tokenfile, toxicity
+from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, negatives, packing, quality, repeats, tokenfile, toxicity
 from feedforge.llm.common import checkpoint, delete_folder, read, shared_folder
 
 
@@ -65,5 +65,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, vec = read(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(vec % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), negatives.quantised(F.col("embedding"), 256).alias("embedding"))
+    return negatives.mine_negatives(rows, vec % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_quality_rules, fingerprint_classes)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_quality_rules, op11_hard_negatives, fingerprint_classes)}
