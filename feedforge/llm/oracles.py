@@ -100,5 +100,56 @@ select a as anchor_id, b as positive_id, rank::int as rank, negative as negative
 """
 
 
+#: The checksum is CRC-32, over strings of ASCII alone.
+REPAIR = r"""
+with recursive crc as (
+  select list(list_reduce(range(8), lambda c, x: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end), n::bigint) order by n) as t from range(256) r(n)
+), keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations
+), picked as (
+  select keyed.*, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 20 as pick from keyed, crc
+), damaged as (
+  select conv_id, turn, case when pick = 4 then 'user' else role end as role, case pick when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+         unnest(range(case pick when 0 then 0 when 3 then 2 else 1 end)) from picked
+), ids as (
+  select row_number() over () as cid, conv_id from (select distinct conv_id from conversations)
+), turns as (
+  select cid, turn, role, text, substr(role, 1, 1) as initial, row_number() over (partition by cid order by turn nulls first, role, text) as i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+  from damaged join ids on damaged.conv_id is not distinct from ids.conv_id
+), judged as (
+  select *, case when body = '' then 'blank' when row_number() over (partition by cid, role, text order by i) > 1 then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+         lag(initial) over (partition by cid order by i) || initial as pair from turns
+), follows(a, b, role) as (values ('', 's', null), ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')
+), puts as (
+  select a as before, a as state, '' as edits, 0 as cost, []::varchar[] as said from (select distinct a from follows)
+  union all select a, b, 'I', 5, [role || ':'] from follows where role is not null
+  union all select f.a, g.b, 'II', 10, [f.role || ':', g.role || ':'] from follows f join follows g on f.b = g.a where f.role is not null
+), walk as (
+  select cid, 0::bigint as i, '' as state, {'cost': 0, 'audit': '', 'said': []::varchar[]} as best from ids
+  union all
+  select cid, i, state, min({'cost': cost, 'audit': audit, 'said': said}) from (
+    select w.cid, j.i, e.state, w.best.cost + p.cost + e.cost as cost, w.best.audit || p.edits || e.edit as audit, w.best.said || p.said || e.said as said
+    from walk w join judged j on j.cid = w.cid and j.i = w.i + 1 join puts p on p.before = w.state
+    join lateral (
+      select 'D' as edit, p.state as state, 2 as cost, []::varchar[] as said
+      union all select 'K', f.b, case j.fault when 'truncated' then 5 else 0 end, [j.role || ':' || j.text] from follows f where f.a = p.state and f.b = j.initial and j.fault not in ('blank', 'duplicate')
+      union all select 'R', f.b, 1 + case j.fault when 'truncated' then 5 else 0 end, [f.role || ':' || j.text] from follows f where f.a = p.state and f.role is not null and j.fault not in ('blank', 'duplicate')
+    ) e on true
+  ) group by cid, i, state
+), counts as (
+  select cid, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from judged group by cid
+), done as (
+  select w.cid, min({'cost': w.best.cost + p.cost, 'audit': w.best.audit || p.edits, 'said': w.best.said || p.said}) as best
+  from walk w join puts p on p.before = w.state left join counts c on c.cid = w.cid where w.i = coalesce(c.n, 0) and p.state in ('', 'a') group by w.cid
+)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       best.cost::bigint as cost, best.audit as audit, sha256(array_to_string(best.said, chr(10))) as repaired_sha256
+from ids join done using (cid) left join counts using (cid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _license_sql(), "op10_quality_rules": QUALITY, "op11_hard_negatives": HARD_NEGATIVES}
+    return {"op3_license_scan": _license_sql(), "op10_quality_rules": QUALITY, "op11_hard_negatives": HARD_NEGATIVES, "op12_conversation_repair": REPAIR}

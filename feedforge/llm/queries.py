@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, negatives, packing, quality, repeats, tokenfile, toxicity
+from feedforge.llm import bpe, fingerprints, licenses, lines, neardup, negatives, packing, quality, repeats, tokenfile, toxicity, turns
 from feedforge.llm.common import checkpoint, delete_folder, read, shared_folder
 
 
@@ -72,5 +72,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_negatives(rows, vec % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(read(spark, sf_dir, "conversations")), times=F.col("times"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_quality_rules, op11_hard_negatives, fingerprint_classes)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_fingerprints, op3_license_scan, op4_curve_packing, op5_bpe_codec, op6_toxicity, op7_suffix_dedup, op8_token_files, op9_line_dedup, op10_quality_rules, op11_hard_negatives, op12_conversation_repair, fingerprint_classes)}
