@@ -1,13 +1,13 @@
 """Line dedup by distinct-site spread (operator 9).
 
 Lines are compared after trimming ASCII white space; blank lines are never removed. A line is
-boilerplate when its spread reaches `min_sites`: the number of different sites (the source column)
-that show it in documents that are not copies of each other. Each class of near copies (operator 1,
-at a similarity of 0.8) counts for one of the sites where it shows the line, so copies neither add
-spread nor take any from other documents, and are left to document dedup. Only documents with a line
-that could reach the limit are compared. Spreads are HyperLogLog sketches merged by aggregation;
-lines whose estimate is close to the limit get exact distinct counts, so that the verdict does not
-depend on the sketch's error. Boilerplate goes everywhere.
+boilerplate when its spread reaches `min_sites`: the smaller of the number of different sites (the
+source column) that show it and the number of different documents that do, near copies (operator 1, at
+a similarity of 0.8) counting as one document. So copies neither add spread nor take any from other
+documents, and are left to document dedup. Only documents with a line that could reach the limit are
+compared. Both numbers are HyperLogLog sketches merged by aggregation; lines whose smaller estimate is
+close to the limit get exact distinct counts, so that the verdict does not depend on the sketch's
+error. Boilerplate goes everywhere.
 
 Lines that could matter are marked by a bitmap, so that a line's places never meet in one task:
 sketches are aggregated where the places are, and the join that finds the places to remove is salted.
@@ -72,16 +72,14 @@ def copy_classes(docs: DataFrame, asked: DataFrame, text_col: str = "text") -> D
 
 def boilerplate(seen: DataFrame, classes: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes of the lines that are boilerplate, from candidates() and copy_classes()."""
-    deal = F.struct(F.xxhash64("site", "class").alias("order"), "site")
-    per_class = seen.join(classes, "text_hash").groupBy("line", "class").agg(F.min(deal).alias("at"))
-    shown = checkpoint(per_class.select("line", "at.site").distinct())
-    est = shown.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-    est = est.withColumn("unsure", F.abs(F.col("sites") - min_sites) <= max(min_sites * NEAR, 2))
-    sure = est.filter(~F.col("unsure") & (F.col("sites") >= min_sites)).select("line")
-    # a line's row a site, so few rows where the limit is near
-    again = shown.join(est.filter("unsure").select("line"), "line", "left_semi")
-    counted = again.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
-    return sure.unionByName(counted.select("line"))
+    shown = checkpoint(seen.join(classes, "text_hash").select("line", "site", "class").distinct())
+    sizes = [F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K))) for c in ("site", "class")]
+    est = checkpoint(shown.groupBy("line").agg(F.least(*sizes).alias("spread")))
+    unsure = F.abs(F.col("spread") - min_sites) <= max(min_sites * NEAR, 2)
+    sure = est.filter(~unsure & (F.col("spread") >= min_sites)).select("line")
+    again = shown.join(est.filter(unsure).select("line"), "line", "left_semi")
+    enough = lambda c: again.select("line", c).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line")
+    return sure.unionByName(enough("site").join(enough("class"), "line", "left_semi"))
 
 
 def _removals(docs: DataFrame, min_sites: int, **cols: str) -> DataFrame:

@@ -271,7 +271,7 @@ def test_licenses_count_places_once_and_in_order(spark):
 
 
 def brute_lines(rows, sites=10):
-    """doc_id -> text without the lines that texts of `sites` sites show, near copies counting for one site each."""
+    """doc_id -> text without the lines that `sites` sites and as many documents show, near copies counting as one document."""
     lines_of = {i: [x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")] for i, t, _ in rows}
     site = {i: s or "" for i, _, s in rows}
     shown = collections.defaultdict(set)
@@ -282,15 +282,7 @@ def brute_lines(rows, sites=10):
     spread = {x: ids for x, ids in shown.items() if len({site[i] for i in ids}) >= sites}
     asked = set().union(*spread.values()) if spread else set()
     _, kind = brute_classes({i: t or "" for i, t, _ in rows if i in asked}, 80)
-    gone = set()
-    for x, ids in spread.items():
-        seen = collections.defaultdict(set)
-        for i in ids:
-            seen[kind[i]].add(site[i])
-        if all(len(s) == 1 for s in seen.values()) and len(set().union(*seen.values())) >= sites:
-            gone.add(x)
-        elif len(seen) >= sites:
-            gone.add((x, "undecided"))  # depends on which of a class's sites counts
+    gone = {x for x, ids in spread.items() if len({kind[i] for i in ids}) >= sites}
     return lines_of, gone
 
 
@@ -306,12 +298,22 @@ def test_lines_against_brute_force(spark, documents):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
     cut, gone = brute_lines(rows)
-    undecided = {x[0] for x in gone if isinstance(x, tuple)}
     assert {f"footer {k}" for k in range(4)} <= gone
     for i, text, _ in rows:
-        if not undecided & set(cut[i]):
-            kept = [raw for raw, x in zip((text or "").split("\n"), cut[i], strict=True) if x not in gone]
-            assert (got[i] or "") == "\n".join(kept)
+        kept = [raw for raw, x in zip((text or "").split("\n"), cut[i], strict=True) if x not in gone]
+        assert (got[i] or "") == "\n".join(kept)
+
+
+@pytest.mark.parametrize("copied", [False, True])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_copies_on_a_common_site_take_no_spread(spark, copied, seed):
+    """14 documents on 14 sites show a footer; a copy of each on one site more changes nothing."""
+    rng = random.Random(seed)
+    own = ["\n".join(" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(9)) for _ in range(5)) for _ in range(14)]
+    rows = [(i, f"{t}\nfooter", f"{seed} site {i}") for i, t in enumerate(own)]
+    rows += [(100 + i, t, "common") for i, t, _ in rows] if copied else []
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: own[i % 100] for i, _, _ in rows}
 
 
 def test_lines_exact_near_the_limit(spark):
