@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedforge.functions.lists import cosine_distance, dot, norm
+from feedforge.functions.lists import dot, norm
+from feedforge.operators.diversity import cross_diversity, list_diversity
 
 
 def vector_problems(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -99,20 +100,15 @@ def top_k(queries: DataFrame, items: DataFrame, row: str, item: str, k: int, blo
 
 def pairwise_distance(lists: DataFrame, vectors: DataFrame, row: str, items: str, item: str) -> DataFrame:
     """row, diversity: mean cosine distance over pairs of each list's known items; null under two of them."""
-    known = lists.select(F.col(row).alias("__row"), F.posexplode(items).alias("p", "__id")).join(vectors.select(F.col(item).alias("__id"), "vector"), "__id")
-    packed = known.groupBy("__row").agg(F.collect_list(F.struct("p", "vector")).alias("vs"))
-    inner = F.aggregate("vs", F.lit(0.0), lambda s, a: s + F.aggregate("vs", F.lit(0.0), lambda t, b: t + F.when(a["p"] != b["p"], cosine_distance(a["vector"], b["vector"])).otherwise(0.0)))
-    n = F.size("vs")
-    scored = packed.select(F.col("__row").alias(row), F.when(n > 1, inner / (n * (n - 1))).alias("diversity"))
-    return lists.select(row).join(scored, row, "left")
+    each = lists.select(F.col(row).alias("__row"), F.explode(items).alias(item))
+    scored = list_diversity(each, vectors, "__row", item)
+    return lists.select(row).join(scored, lists[row] == F.col("__row"), "left").drop("__row")
 
 
 def serendipity(lists: DataFrame, vectors: DataFrame, row: str, recommended: str, history: str, item: str) -> DataFrame:
     """row, serendipity: mean cosine distance between known recommended and known history items; null if either is empty."""
-    v = vectors.select(F.col(item).alias("__id"), "vector")
-    side = lambda c: lists.select(F.col(row).alias("__row"), F.explode(c).alias("__id")).join(v, "__id").select("__row", F.col("vector").alias(c))
-    pairs = side(recommended).join(side(history), "__row")
-    means = pairs.groupBy("__row").agg(F.avg(cosine_distance(F.col(recommended), F.col(history))).alias("serendipity"))
+    side = lambda c: lists.select(F.col(row).alias("__row"), F.explode(c).alias(item))
+    means = cross_diversity(side(recommended), side(history), vectors, "__row", item)
     return lists.select(row).join(means, lists[row] == F.col("__row"), "left").drop("__row")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedforge.functions import lists as L
 from feedforge.functions import scalars as S
 from feedforge.functions import text as X
-from feedforge.operators import bm25, bootstrap, evaluate, features, history, labelling, popularity, ranking, sampling, split, validate, vectors
+from feedforge.operators import ann, bm25, bootstrap, diversity, evaluate, features, history, labelling, popularity, ranking, sampling, split, validate, vectors
 from feedforge.operators import describe as D
 from feedforge.plans import tables as T
 from feedforge.streaming.popularity import windowed_popularity
@@ -592,6 +592,30 @@ def serendipity(spark: SparkSession, d: str) -> DataFrame:
     return vectors.serendipity(both, T.vectors(spark, d), "row_id", "items", "history", "item").select("row_id", F.round("serendipity", 5).alias("serendipity"))
 
 
+@query(
+    """with e as (select label || '/' || vec_id // 500 as slate, vec_id, embedding::double[] as v from embeddings),
+d as (select a.slate, a.vec_id as x, b.vec_id as y, 1 - list_cosine_similarity(a.v, b.v) as d from e a join e b on a.slate = b.slate and a.vec_id < b.vec_id),
+t as (select p.slate, (p.d + q.d + r.d) / 3 as diversity from d p join d q on p.slate = q.slate and p.y = q.x join d r on p.slate = r.slate and r.x = p.x and r.y = q.y),
+b as (select slate, count(*) as n_lists, min(diversity) as lowest, max(diversity) as highest from t group by slate)
+select slate, n, coalesce(n_lists, 0) as n_lists, round(lowest, 6) as lowest, round(highest, 6) as highest from (select slate, count(*) as n from e group by slate) left join b using (slate)""",
+    views=False,
+)
+def diversity_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Of all lists of three that can be drawn from slates of neighbouring ids of a label."""
+    e = T.read(spark, d, "embeddings").select(F.concat_ws("/", "label", F.expr("vec_id div 500")).alias("slate"), F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    return diversity.diversity_bounds(e, "slate", 3, exact=True).select("slate", "n", "n_lists", r6("lowest"), r6("highest"))
+
+
+@query()
+def vector_index_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Each hundredth vector against an inverted file of all, with its recall against the exact search."""
+    v = T.vectors(spark, d)
+    q = v.filter("item % 100 = 0").select(F.col("item").alias("query_id"), "vector")
+    found = ann.search(ann.build_index(v, "item"), q, "query_id", 10).persist()
+    measured = ann.recall(found, vectors.top_k(q, v, "query_id", "item", 10), "query_id")
+    return found.join(measured, "query_id").select("query_id", "item", "score", "rank", "recall")
+
+
 @query(
     CLICKED
     + """, bad as (select distinct row_id from (select row_id, unnest(clicked) as x from c) where x not in (select vec_id from embeddings))
