@@ -61,8 +61,8 @@ def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int
     """row, doc_ix, score, rank: the top_k documents of each query, equal scores by doc_ix.
 
     A query's repeated terms count once. With zero_fill, queries with fewer hits are filled with
-    unmatched documents of score 0 by ascending doc_ix: only the first top_k documents can be
-    needed, so the filling joins against those alone.
+    unmatched documents of score 0 by ascending doc_ix: only the first top_k documents can be needed,
+    so the filling looks at those alone. Nothing is kept once the result has been read.
     """
     wanted = queries.select(F.col(row).alias("__row"), F.explode(F.array_distinct(tokens(F.col(text), remove_stopwords))).alias("term"))
     # the queries' terms, with their weights, cut the postings down in one join
@@ -73,15 +73,12 @@ def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int
     best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
     if not zero_fill:
         return best.select(F.col("__row").alias(row), "doc_ix", "score", "rank")
-    best = best.persist()  # read three times below, at most top_k rows a query
-    found = best.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
-    short = queries.select(F.col(row).alias("__row")).join(found, "__row", "left").withColumn("__n", F.coalesce("__n", F.lit(0))).filter(F.col("__n") < top_k)
     first = index.docs.select("doc_ix").orderBy("doc_ix").limit(top_k)
-    free = short.crossJoin(F.broadcast(first)).join(best.select("__row", "doc_ix"), ["__row", "doc_ix"], "left_anti")
-    fill = Window.partitionBy("__row").orderBy("doc_ix")
-    filled = free.withColumn("rank", (F.row_number().over(fill) + F.col("__n")).cast("int")).filter(F.col("rank") <= top_k)
-    both = best.select("__row", "doc_ix", "score", "rank").unionByName(filled.select("__row", "doc_ix", F.lit(0.0).alias("score"), "rank"))
-    return both.withColumnRenamed("__row", row)
+    free = queries.select(F.col(row).alias("__row")).crossJoin(F.broadcast(first)).select("__row", "doc_ix", F.lit(0.0).alias("score"), F.lit(False).alias("__hit"))
+    both = best.select("__row", "doc_ix", "score", F.lit(True).alias("__hit")).unionByName(free)
+    once = both.groupBy("__row", "doc_ix").agg(F.max_by("score", "__hit").alias("score"), F.max("__hit").alias("__hit"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("__row").orderBy(F.desc("__hit"), F.desc("score"), "doc_ix"))).filter(F.col("rank") <= top_k)
+    return ranked.select(F.col("__row").alias(row), "doc_ix", "score", "rank")
 
 
 def history_queries(history: DataFrame, articles: DataFrame, cap: int, row: str, item: str, text: str, pos: str = "pos") -> DataFrame:

@@ -36,12 +36,14 @@ def unit_sums(items: DataFrame, vectors: DataFrame, row: str, item: str, vector:
 
     Components are summed as columns where vectors are short, so that partial sums stay in one row a key.
     """
-    known = vectors.select(F.col(item).alias("__item"), unit(F.col(vector)).alias("__unit"))
-    width = known.agg(F.max(F.size("__unit"))).first()[0] or 0
+    units = vectors.select(F.col(item).alias("__item"), unit(F.col(vector)).alias("__unit"))
+    width = vectors.agg(F.max(F.size(vector))).first()[0] or 0
+    # spread once an item, not once a place that it has in a list
+    each = [F.coalesce(F.get("__unit", F.lit(i)), F.lit(0.0)).alias(f"__{i}") for i in range(width)]
+    known = units.filter("__unit is not null").select("__item", F.exists("__unit", lambda x: x != 0).cast("int").alias("__some"), *each)
     joined = items.select(F.col(row).alias("__row"), F.col(item).alias("__item")).join(known, "__item")
-    parts = joined.select("__row", F.exists("__unit", lambda x: x != 0).alias("__some"), *[F.get("__unit", F.lit(i)).alias(f"__{i}") for i in range(width)])
-    added = parts.groupBy("__row").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("__some")).alias("n_zero"), *[F.sum(f"__{i}").alias(f"__{i}") for i in range(width)])
-    sums = F.array(*[F.coalesce(f"__{i}", F.lit(0.0)) for i in range(width)]) if width else F.array().cast("array<double>")
+    added = joined.groupBy("__row").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.sum("__some")).alias("n_zero"), *[F.sum(f"__{i}").alias(f"__{i}") for i in range(width)])
+    sums = F.array(*[f"__{i}" for i in range(width)]) if width else F.array().cast("array<double>")
     return added.select(F.col("__row").alias(row), "n", "n_zero", sums.alias("sum"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedforge.functions import lists as L
 from feedforge.functions import scalars as S
 from feedforge.functions import text as X
-from feedforge.operators import ann, bm25, bootstrap, diversity, evaluate, features, history, labelling, popularity, ranking, sampling, split, validate, vectors
+from feedforge.operators import ann, bm25, bootstrap, diversity, doc_vectors, evaluate, features, history, labelling, popularity, ranking, sampling, split, validate, vectors
 from feedforge.operators import describe as D
 from feedforge.plans import tables as T
 from feedforge.streaming.popularity import windowed_popularity
@@ -487,7 +487,14 @@ def _index(spark: SparkSession, d: str) -> bm25.Bm25Index:
     return bm25.build_index(T.read(spark, d, "documents"), "doc_id", "text")
 
 
-@query(BM25 + "select term, df, round(idf, 6) as idf from idf")
+# of its own, with no part that it does not need
+DF_IDF = f"""with stop(term) as (values {STOP}), w as (select doc_id, lower(w) as term from (select doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) as w from documents where text is not null)),
+df as (select term, count(distinct doc_id) as df from w where length(term) > 1 and term not in (select term from stop) group by term),
+raw as (select term, df, ln((n - df + 0.5) / (df + 0.5)) + 1 as raw from df cross join (select count(*) as n from documents) n)
+select term, df, round(case when raw < 0 then 0.25 * m else raw end, 6) as idf from raw cross join (select avg(raw) as m from raw) m"""
+
+
+@query(DF_IDF, views=False)
 def bm25_df_idf(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).terms.select("term", "df", r6("idf"))
 
@@ -606,6 +613,13 @@ def diversity_bounds(spark: SparkSession, d: str) -> DataFrame:
     return diversity.diversity_bounds(e, "slate", 3, exact=True).select("slate", "n", "n_lists", r6("lowest"), r6("highest"))
 
 
+@query()
+def document_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen components of every document's weighted words."""
+    found = doc_vectors.document_vectors(T.read(spark, d, "documents"), "doc_id", "text", 16)
+    return found.select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
 @query()
 def vector_index_top10(spark: SparkSession, d: str) -> DataFrame:
     """Each hundredth vector against an inverted file of all, with its recall against the exact search."""
