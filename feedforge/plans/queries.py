@@ -783,13 +783,13 @@ def overlap_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with v as (select 'n_chars' as metric, n_chars::double as x from documents union all select 'n_bytes', strlen(text)::double from documents)
-select metric, count(x) as n, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as std, min(x) as low, quantile_cont(x, 0.5) as median, max(x) as high from v group by metric""",
+select metric, count(x) as n, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as std, min(x) as low, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.75) as q3, max(x) as high from v group by metric""",
     views=False,
 )
 def describe_lengths(spark: SparkSession, d: str) -> DataFrame:
     docs = T.read(spark, d, "documents").select("n_chars", F.octet_length("text").alias("n_bytes"))
     m = D.describe(docs, "n_chars", "n_bytes")
-    return m.select("metric", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "low", "median", "high")
+    return m.select("metric", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "low", "q1", "median", "q3", "high")
 
 
 @query("select 'lang' as \"column\", count(distinct lang) as n from documents union all select 'source', count(distinct source) from documents", views=False)
