@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from feedforge.functions import scalars as S
 from feedforge.functions import text as X
 from feedforge.operators import ann, bm25, bootstrap, diversity, doc_vectors, evaluate, features, history, labelling, popularity, ranking, sampling, split, validate, vectors
 from feedforge.operators import describe as D
+from feedforge.plans import runner
 from feedforge.plans import tables as T
 from feedforge.streaming.popularity import windowed_popularity
 
@@ -827,6 +829,17 @@ def popularity_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed_popularity(T.read(spark, d, "events")).select(F.unix_micros("window_start").alias("window_start"), "event_type", "n")
 
 
+FINGERPRINTED = {"documents": "doc_id lang n_chars source text", "labels": "doc_id quality toxic", "conversations": "conv_id role text turn", "benchmark": "item_id text", "nation": "n_name n_nationkey n_regionkey"}
+_CELLS = {t: ", ".join(f"coalesce({c}::varchar, chr(30))" for c in cols.split()) for t, cols in FINGERPRINTED.items()}
+_LANES = " || ".join(f"printf('%08x', (coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint), 0) % 4294967296)::bigint)" for i in range(4))
+
+
+@query(" union all ".join(f"select '{t}' as name, count(*) as n, {_LANES} as digest from (select md5(concat_ws(chr(31), {cells})) as h from {t})" for t, cells in _CELLS.items()), views=False)
+def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    each = [runner.table_fingerprint(T.read(spark, d, t)).select(F.lit(t).alias("name"), "n", "digest") for t in FINGERPRINTED]
+    return reduce(DataFrame.unionByName, each)
+
+
 def queries() -> dict[str, Query]:
     import feedforge.plans.helper_queries  # noqa: F401  registers more
 
