@@ -72,14 +72,16 @@ def copy_classes(docs: DataFrame, asked: DataFrame, text_col: str = "text") -> D
 
 def boilerplate(seen: DataFrame, classes: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes of the lines that are boilerplate, from candidates() and copy_classes()."""
-    shown = checkpoint(seen.join(classes, "text_hash").select("line", "site", "class").distinct())
+    shown = checkpoint(seen.join(classes, "text_hash").select("line", "site", "class"))
     sizes = [F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K))) for c in ("site", "class")]
     est = checkpoint(shown.groupBy("line").agg(F.least(*sizes).alias("spread")))
     unsure = F.abs(F.col("spread") - min_sites) <= max(min_sites * NEAR, 2)
     sure = est.filter(~unsure & (F.col("spread") >= min_sites)).select("line")
-    again = shown.join(est.filter(unsure).select("line"), "line", "left_semi")
+    asked = est.filter(unsure).select("line")
+    # marked by a bitmap, so that a line's rows never meet; the few lines marked in vain go after counting
+    again = flag_members(shown, F.col("line"), asked, "again", per_key=64).filter("again")
     enough = lambda c: again.select("line", c).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line")
-    return sure.unionByName(enough("site").join(enough("class"), "line", "left_semi"))
+    return sure.unionByName(asked.join(enough("site"), "line", "left_semi").join(enough("class"), "line", "left_semi"))
 
 
 def _removals(docs: DataFrame, min_sites: int, **cols: str) -> DataFrame:
