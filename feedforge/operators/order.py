@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ def slotted(df: DataFrame, order: Column, slots: int | None = None) -> DataFrame
     """df with __o, the order, and __slot, a range of it; null orders come first.
 
     The bounds are quantiles of a sample of a fixed number of rows: they decide how even the slots are
-    and nothing else. Orders of any type that can be compared will do, structs among them; an order
-    that ends in a unique key parts equal values as well.
+    and nothing else. They are taken once, when the plan is made, and stay as they are wherever the
+    rows are planned or computed again. Orders of any type that can be compared will do, structs among
+    them; an order that ends in a unique key parts equal values as well.
     """
     slots = slots or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("__o", order)
@@ -23,8 +26,16 @@ def slotted(df: DataFrame, order: Column, slots: int | None = None) -> DataFrame
     few = known.sample(share, seed=1).orderBy("__o").limit(4 * slots * PER_SLOT).agg(F.sort_array(F.collect_list("__o")).alias("all"))
     at = F.array(*[F.floor(F.size("all") * i / slots).cast("int") for i in range(1, slots)])
     bounds = few.select(F.array_distinct(F.array_compact(F.transform(at, lambda i: F.get("all", i)))).alias("__bounds"))
-    slot = F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col("__o"))), F.lit(0))
-    return keyed.crossJoin(F.broadcast(bounds)).withColumn("__slot", F.when(F.col("__o").isNull(), -1).otherwise(slot)).drop("__bounds")
+    # at most slots - 1 values of the order, in stretches of about the root of their number
+    fixed = df.sparkSession.createDataFrame(bounds.toArrow(), bounds.schema)
+    stretch = max(1, math.isqrt(slots))
+    starts = F.expr(f"filter(sequence(1, greatest(size(__bounds), 1), {stretch}), i -> i <= size(__bounds))")
+    levels = fixed.select(F.transform(starts, lambda i: F.get("__bounds", i - 1)).alias("__heads"), F.transform(starts, lambda i: F.slice("__bounds", i, F.lit(stretch))).alias("__parts"))
+    below = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("__o"))), F.lit(0))
+    # the stretch whose head is the last one below the order holds the last bound below it, too
+    part = keyed.crossJoin(F.broadcast(levels)).withColumn("__at", below("__heads") - 1)
+    slot = F.when(F.col("__at") < 0, 0).otherwise(F.col("__at") * stretch + below(F.get("__parts", "__at")))
+    return part.withColumn("__slot", F.when(F.col("__o").isNull(), -1).otherwise(slot)).drop("__heads", "__parts", "__at")
 
 
 def running(df: DataFrame, order: Column, weight: Column | None = None, name: str = "before", total: str | None = None, slots: int | None = None) -> DataFrame:

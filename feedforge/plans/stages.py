@@ -9,7 +9,7 @@ from __future__ import annotations
 import dataclasses
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.functions.lists import clicked_of
@@ -173,5 +173,4 @@ def run_predict(impressions: DataFrame, methods: dict[str, DataFrame], s: Settin
 
 def repeated_ids(lines: DataFrame, name: str = "impression_id") -> DataFrame:
     """One row: lines beyond the first of each name."""
-    w = Window.partitionBy(name).orderBy(ROW)
-    return lines.withColumn("__rn", F.row_number().over(w)).agg(F.count_if(F.col("__rn") > 1).alias("n_repeated"))
+    return lines.groupBy(name).agg(F.count(F.lit(1)).alias("__n")).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_repeated"))
