@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +52,39 @@ def _uniform(key: Column, run: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), run.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def poisson_ci(df: DataFrame, group: str, key: str, value: str, runs: int = 200, seed: int = 42) -> DataFrame:
-    """group, value, ci_low, ci_high from weighted means that are aggregated before they are shuffled."""
-    u = _uniform(F.col(key), F.col("run"), seed)
-    count = F.lit(0)
-    for step in poisson_steps():
-        count = count + (u >= step).cast("int")
-    each = df.filter(F.col(value).isNotNull()).select(group, key, F.col(value).alias("__v"), F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
-    weighted = each.withColumn("w", count).groupBy(group, "run").agg((F.sum(F.col("w") * F.col("__v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+def draws(key: Column, runs: int, seed: int) -> Column:
+    """The first 32 bits of each run's digest of a row, runs from 1, as one binary value of 4 * runs bytes."""
+    one = lambda r: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), r.cast("string"))), 1, 8)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(runs)), one), ""))
+
+
+def poisson_ci(df: DataFrame, group: str, key: str, value: str, runs: int = 200, seed: int = 42, drawn: str | None = None) -> DataFrame:
+    """group, value, ci_low, ci_high from weighted means that are summed before they are shuffled.
+
+    Each batch of rows becomes one row of sums for each of its groups, with a number for each run; rows
+    are never repeated by run. `drawn` names a column of `draws` where rows of one key have several
+    groups and should draw once. Null values stay out; a group of nulls only has no interval.
+    """
+    steps = np.array(poisson_steps())
+    kind = dict(df.dtypes)[group]
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u = np.frombuffer(b"".join(b.column("__u").to_pylist()), ">u4").reshape(-1, runs) / 4294967296.0
+            w = np.searchsorted(steps, u, side="right").astype(np.float64)
+            codes = pc.dictionary_encode(b.column(group), null_encoding="encode")
+            ids, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary
+            v = b.column("__v").to_numpy(zero_copy_only=False)
+            hits = [np.flatnonzero(ids == g) for g in range(len(names))] if len(names) < 64 else np.split(np.argsort(ids, kind="stable"), np.cumsum(np.bincount(ids, minlength=len(names)))[:-1])
+            yield pa.RecordBatch.from_arrays([names, pa.array([v[h] @ w[h] for h in hits], pa.list_(pa.float64())), pa.array([w[h].sum(axis=0) for h in hits], pa.list_(pa.float64()))], names=[group, "s", "w"])
+
+    known = df.filter(F.col(value).isNotNull())
+    rows = known.select(group, F.col(value).cast("double").alias("__v"), (F.col(drawn) if drawn else draws(F.col(key), runs, seed)).alias("__u"))
+    partial = rows.mapInArrow(sums, f"`{group}` {kind}, s array<double>, w array<double>")
+    each = partial.select(group, F.posexplode(F.arrays_zip("s", "w")).alias("run", "z"))
+    weighted = each.groupBy(group, "run").agg((F.sum("z.s") / F.nullif(F.sum("z.w"), F.lit(0.0))).alias("m"))
     ci = weighted.groupBy(group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return df.groupBy(group).agg(F.avg(value).alias("value")).join(ci, group).select(group, "value", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 

@@ -203,10 +203,12 @@ def evaluation_report(ranked: DataFrame, rows: DataFrame, catalog: DataFrame, po
     wide = rows.select(row).join(accuracy(ranked, row), row, "left").join(category_diversity(known, row, category), row, "left").join(novelty(candidates, popularity, row, item), row, "left")
     wide = wide.withColumns({"ild": F.coalesce("ild", F.lit(0.0)), "novelty": F.coalesce("novelty", F.lit(0.0))})
     names = ["auc", "mrr", "ndcg_5", "ndcg_10", "ild", "novelty"]
-    long = sliced.join(wide, row).select(row, "slice", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]))).filter("value is not null")
+    # a row draws once for all its slices and metrics
+    once = wide.withColumn("__draws", bootstrap.draws(F.col(row), runs, seed))
+    long = sliced.join(once, row).select(row, "slice", "__draws", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]))).filter("value is not null")
     group = F.concat_ws("|", "slice", "metric")
     n = long.groupBy("slice", "metric").agg(F.count(F.lit(1)).alias("n"))
-    means = bootstrap.poisson_ci(long.withColumn("group", group), "group", row, "value", runs, seed)
+    means = bootstrap.poisson_ci(long.withColumn("group", group), "group", row, "value", runs, seed, "__draws")
     parts = F.split("group", "[|]")
     means = means.select(parts[0].alias("slice"), parts[1].alias("metric"), "value", "ci_low", "ci_high").join(n, ["slice", "metric"])
     shown = sliced.join(known, row)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,26 +77,65 @@ def top_slate(df: DataFrame, key: str, score: str, n: int) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(score), key).limit(n)
 
 
+#: Rounds of the permutation, each with 32 bits of the user's SHA-256 as its key, and the prime of its arithmetic.
+ROUNDS, PRIME = 8, 2**31 - 1
+
+
+def feistel(x: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """Images of the places x under a permutation of range(size) for each column of keys (ROUNDS x len(x)).
+
+    A place is a pair of digits to the bases of about the root of size, and rounds add a keyed number
+    of one digit to the other. What falls on the few pairs beyond size goes on until it falls inside.
+    """
+    rows, cols = bases(size)
+    out, open_ = x.astype(np.int64), np.arange(len(x))
+    while len(open_):
+        high, low = np.divmod(out[open_], cols)
+        for i in range(ROUNDS):
+            k = keys[i, open_] % PRIME
+            t = ((low if i % 2 == 0 else high) + k) % PRIME
+            t = (t * t % PRIME * t + k) % PRIME
+            if i % 2 == 0:
+                high = (high + t) % rows
+            else:
+                low = (low + t) % cols
+        out[open_] = high * cols + low
+        open_ = open_[out[open_] >= size]
+    return out
+
+
+def bases(size: int) -> tuple[int, int]:
+    """Two bases near the root of size whose product is size or a little more."""
+    rows = max(1, math.isqrt(size))
+    return rows, -(-size // rows)
+
+
 def random_slates(df: DataFrame, key: str, users: DataFrame, user: str, n: int, seed: int) -> DataFrame:
     """user, slate: for each user n items of the table, drawn without replacement among all and in an order of its own.
 
-    Items are put into one order of the seed; a user's slate begins at a place that follows its own
-    digest and takes every k-th item from there, k being coprime to their number, so that no user is
-    paired with all items.
+    Items are put into one order of the seed. A user's slate is what the first n places become under
+    the user's own permutation of all places, whose round keys are the SHA-256 of seed and user: no
+    item fixes the next one, and no user is paired with all items. Null items are items like others;
+    users that are null or repeated have one slate, as equal keys have equal permutations.
     """
     ring = numbered(df.select(F.col(key).alias("__item")).distinct(), F.struct(digest_order(seed, F.col("__item")), "__item"), "__ix", "__n")
     size = ring.count()
     take = min(n, size)
+    if size > PRIME:
+        raise ValueError(f"places are permuted by numbers below {PRIME}")
+    asked = users.select(user).distinct()
     if not take:
-        return users.select(user, F.expr("array()").cast(f"array<{dict(df.dtypes)[key]}>").alias("slate"))
-    step = next(k for k in range(max(1, int(size * 0.618)), 2 * size + 2) if _coprime(k, size))
-    start = F.pmod(F.conv(F.substring(digest_order(seed, F.col(user)), 1, 12), 16, 10).cast("long"), F.lit(size))
-    asked = users.select(user, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(take - 1)), lambda i: F.pmod(start + i.cast("long") * step, F.lit(size)))).alias("__p", "__at"))
-    found = asked.join(ring, F.col("__at") == F.col("__ix"))
+        return asked.select(user, F.expr("array()").cast(f"array<{dict(df.dtypes)[key]}>").alias("slate"))
+    digest = F.unhex(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(user).cast("string")), 256)).alias("__keys")
+
+    def place(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            keys = np.frombuffer(b"".join(b.column("__keys").to_pylist()), ">u4").reshape(-1, ROUNDS).T.astype(np.int64)
+            which = np.repeat(np.arange(b.num_rows), take)
+            p = np.tile(np.arange(take, dtype=np.int64), b.num_rows)
+            at = feistel(p, keys[:, which], size)
+            yield pa.RecordBatch.from_arrays([b.column(user).take(pa.array(which)), pa.array(p), pa.array(at)], names=[user, "__p", "__at"])
+
+    placed = asked.select(user, digest).mapInArrow(place, f"`{user}` {dict(users.dtypes)[user]}, __p long, __at long")
+    found = placed.join(ring, F.col("__at") == F.col("__ix"))
     return found.groupBy(user).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__item"))), lambda s: s["__item"]).alias("slate"))
-
-
-def _coprime(a: int, b: int) -> bool:
-    while b:
-        a, b = b, a % b
-    return a == 1

@@ -75,12 +75,30 @@ def top_slate(spark: SparkSession, d: str) -> DataFrame:
     return frames.top_slate(T.read(spark, d, "part"), "p_partkey", "p_retailprice", 20).select(F.col("p_partkey").alias("item"))
 
 
+PRIME = frames.PRIME
+
+
+def _round(i: int, inner: str) -> str:
+    """SQL of one round of the slates' permutation over a query with high and low."""
+    v = f"(({'low' if i % 2 == 0 else 'high'} + k[{i + 1}]) % {PRIME})"
+    t = f"(({v} * {v} % {PRIME} * {v} + k[{i + 1}]) % {PRIME})"
+    high, low = (f"(high + {t}) % a", "low") if i % 2 == 0 else ("high", f"(low + {t}) % b")
+    return f"select user_id, i, k, n, a, b, {high} as high, {low} as low from ({inner})"
+
+
+PERMUTED = "select user_id, i, k, n, a, b, x // b as high, x % b as low from w where x >= n or first"
+for _i in range(frames.ROUNDS):
+    PERMUTED = _round(_i, PERMUTED)
+KEYS = ", ".join(f"('0x' || substr(h, {8 * j + 1}, 8))::bigint % {PRIME}" for j in range(frames.ROUNDS))
+
+
 @query(
-    """with r as (select p_partkey as item, row_number() over (order by md5('11|' || p_partkey), p_partkey) - 1 as ix from part), n as (select count(*) as n from part),
-k as (select min(k) as k from (select unnest(range(greatest(1, floor(n * 0.618))::bigint, 2 * n + 2)) as k, n from n) where gcd(k, n) = 1),
-u as (select c_custkey as user_id, ('0x' || substr(md5('11|' || c_custkey), 1, 12))::bigint % n as start, n from customer, n),
-a as (select user_id, i, (start + i * k) % n as place from u, k, (select unnest(range(5)) as i))
-select user_id, string_agg(item::varchar, ',' order by i) as slate from a join r on place = ix group by user_id""",
+    f"""with recursive r as (select p_partkey as item, row_number() over (order by md5('11|' || p_partkey), p_partkey) - 1 as ix from part),
+m as (select count(*) as n, greatest(1, floor(sqrt(count(*))))::bigint as a from part), n as (select n, a, (n + a - 1) // a as b from m),
+u as (select c_custkey as user_id, sha256('11|' || c_custkey) as h from customer),
+w as (select user_id, i, [{KEYS}] as k, n, a, b, i as x, true as first from u, n, (select unnest(range(5)) as i where true)
+union all select user_id, i, k, n, a, b, high * b + low, false from ({PERMUTED}))
+select user_id, string_agg(item::varchar, ',' order by i) as slate from w join r on x = ix where not first group by user_id""",
     views=False,
 )
 def random_slates(spark: SparkSession, d: str) -> DataFrame:
@@ -271,10 +289,39 @@ def coverage_intervals(spark: SparkSession, d: str) -> DataFrame:
     return ci.select("slice", r6("value"), r6("ci_low"), r6("ci_high"))
 
 
-@query()
+REPORT = f"""with {Q.POP}, {HISTORY_SLICES},
+tied as (select row_id, label, rank, rank() over (partition by row_id order by score) + (count(*) over (partition by row_id, score) - 1) / 2 as tr from ranked),
+sums as (select row_id, sum(label)::bigint as pos, (sum(tr) filter (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0) as auc, 1 / min(rank) filter (label = 1) as mrr,
+sum(case when label = 1 and rank <= 5 then 1 / log2(rank + 1) else 0 end) as d5, sum(case when label = 1 and rank <= 10 then 1 / log2(rank + 1) else 0 end) as d10 from tied group by row_id),
+acc as (select *, case when pos > 0 then d5 / list_sum(list_transform(range(1, least(pos, 5) + 1), lambda i: 1 / log2(i + 1))) end as n5,
+case when pos > 0 then d10 / list_sum(list_transform(range(1, least(pos, 10) + 1), lambda i: 1 / log2(i + 1))) end as n10 from sums),
+cats as (select row_id, p_type, count(*) as c from cand_a left join part on p_partkey = item group by all),
+dv as (select row_id, case when sum(c) < 2 then 0 else 1 - sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) end as ild from cats group by row_id),
+nv as (select row_id, coalesce(avg(-log2(p)), 0) as novelty from cand_a left join pop using (item) group by row_id),
+each as (select slice, row_id, unnest(['auc', 'mrr', 'ndcg_5', 'ndcg_10', 'ild', 'novelty']) as metric, unnest([auc, mrr, n5, n10, coalesce(ild, 0), coalesce(novelty, 0)]) as value
+from sl left join acc using (row_id) left join dv using (row_id) left join nv using (row_id)),
+known as (select * from each where value is not null),
+dr as (select row_id, run, ('0x' || substr(md5('42|' || row_id || '|' || run), 1, 8))::bigint::double / 4294967296.0::double as u from hn, (select unnest(range(1, 65)) as run)),
+wt as (select row_id, run, {Q.POISSON} as w from dr),
+means as (select slice, metric, run, sum(w * value) / nullif(sum(w), 0) as m from known join wt using (row_id) group by all),
+seen as (select distinct slice, row_id, item, p_type from cand_a join sl using (row_id) left join part on p_partkey = item),
+size as (select count(distinct p_partkey) as parts, count(distinct p_type) as types from part),
+shares as (select slice, run, count(distinct case when w > 0 then item end) / any_value(parts) as of_items, count(distinct case when w > 0 then p_type end) / any_value(types) as of_types from seen join wt using (row_id), size group by all),
+cover as (select slice, 'article_coverage' as metric, run, of_items as m from shares union all select slice, 'category_coverage', run, of_types from shares),
+whole as (select slice, count(distinct item) / any_value(parts) as of_items, count(distinct p_type) / any_value(types) as of_types from seen, size group by slice),
+ns as (select slice, count(*) as n from sl group by slice),
+vals as (select slice, metric, count(*) as n, avg(value) as value from known group by all union all
+select slice, 'article_coverage', n, of_items from whole join ns using (slice) union all select slice, 'category_coverage', n, of_types from whole join ns using (slice)),
+ci as (select slice, metric, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from (select * from means union all select * from cover) group by all)
+select slice, metric, n, round(value, 9)::double as value, round(lo, 9) as ci_low, round(hi, 9) as ci_high from vals join ci using (slice, metric)"""
+
+
+@query(REPORT)
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     n = history.clicks_before(T.impressions(spark, d), T.clicks(spark, d), time="t", row="row_id").select(F.col("__row").alias("row_id"), F.col("__n").alias("n_history"))
-    return evaluate.evaluation_report(Q._ranked(spark, d), n, T.articles(spark, d), Q._pop(spark, d), T.candidates(spark, d), runs=64)
+    report = evaluate.evaluation_report(Q._ranked(spark, d), n, T.articles(spark, d), Q._pop(spark, d), T.candidates(spark, d), runs=64)
+    nine = [F.round(c, 9).alias(c) for c in ("value", "ci_low", "ci_high")]
+    return report.select("slice", "metric", "n", *nine)
 
 
 GRADED = "g as (select row_id, pos, p, label * (1 + pos % 3) as y from shown)"

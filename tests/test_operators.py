@@ -4,12 +4,13 @@ import datetime as dt
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedforge.operators import bm25, bootstrap, evaluate, features, frames, history, labelling, popularity, ranking, sampling, split, validate, vectors
+from feedforge.operators import bm25, bootstrap, evaluate, features, frames, history, labelling, order, popularity, ranking, sampling, split, validate, vectors
 from feedforge.operators.order import numbered, running
 from feedforge.plans import queries as plans
 
@@ -345,6 +346,27 @@ def test_bootstrap(spark):
     assert bootstrap.numpy_mean_ci(np.array([])) == (None, None, None)
 
 
+def test_poisson_intervals_equal_plain_resamples(spark):
+    rng = random.Random(12)
+    rows = [(f"g{rng.randrange(3)}", i, None if i % 7 == 0 else rng.random()) for i in range(90)] + [("bare", 200, None)]
+    df = spark.createDataFrame(rows, "g string, row int, v double").repartition(5)
+    once = df.withColumn("drawn", bootstrap.draws(F.col("row"), 70, 42))
+    for got in (bootstrap.poisson_ci(df, "g", "row", "v", 70), bootstrap.poisson_ci(once, "g", "row", "v", 70, drawn="drawn")):
+        found = {r["g"]: r for r in got.collect()}
+        assert set(found) == {"g0", "g1", "g2"}
+        for g, row in found.items():
+            means = []
+            for run in range(1, 71):
+                drawn = [(sum(int(hashlib.md5(f"42|{i}|{run}".encode()).hexdigest()[:8], 16) / 2**32 >= s for s in bootstrap.poisson_steps()), v) for k, i, v in rows if k == g and v is not None]
+                if sum(w for w, _ in drawn):
+                    means.append(sum(w * v for w, v in drawn) / sum(w for w, _ in drawn))
+            assert (row["ci_low"], row["ci_high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    # as many groups as rows
+    many = spark.range(100).select(F.col("id").alias("g"), "id", F.col("id").cast("double").alias("v"))
+    assert all(r["g"] == r["value"] == r["ci_low"] == r["ci_high"] for r in bootstrap.poisson_ci(many, "g", "id", "v", 20).collect())
+    assert bootstrap.poisson_ci(df.limit(0), "g", "row", "v", 20).count() == 0
+
+
 def test_coverage_intervals_equal_plain_resamples(spark):
     rng = random.Random(8)
     rows = [(i, rng.randrange(12), "ab"[i % 2]) for i in range(30) for _ in range(3)]
@@ -405,6 +427,40 @@ def test_random_slates(spark):
     assert frames.random_slates(items.limit(0), "item", users, "user", 5, 3).first()["slate"] == []
 
 
+def test_random_slates_are_near_chance(spark):
+    items = spark.createDataFrame([(i,) for i in range(13)], "item int")
+    users = spark.range(6500).select(F.col("id").alias("user"))
+    got = [r["slate"] for r in frames.random_slates(items, "item", users, "user", 3, 3).collect()]
+    firsts, pairs = Counter(s[0] for s in got), Counter((s[0], s[1]) for s in got)
+    # 500 users a first item, 41.7 an ordered pair
+    assert len(firsts) == 13 and all(400 < n < 600 for n in firsts.values())
+    assert len(pairs) == 13 * 12 and sum((n - 6500 / 156) ** 2 for n in pairs.values()) / (6500 / 156) < 230
+    assert len(Counter(map(tuple, got))) > 1600
+    odd = spark.createDataFrame([(None,), ("a",), ("a",)], "user string")
+    assert len(frames.random_slates(items, "item", odd, "user", 3, 3).collect()) == 2
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 12, 97, 1000])
+def test_feistel_permutes(size):
+    keys = np.random.default_rng(size).integers(0, 2**32, (frames.ROUNDS, 1)).repeat(size, axis=1)
+    assert sorted(frames.feistel(np.arange(size), keys, size)) == list(range(size))
+
+
+@pytest.mark.parametrize("slots", [1, 2, 3, 8, 50, 300])
+def test_numbering_over_any_number_of_slots(spark, slots):
+    rng = random.Random(slots)
+    rows = [(None if i % 20 == 0 else rng.randrange(60), i, f"u{rng.randrange(5)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, i int, u string").repartition(7)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    got = order.numbered(df, F.struct("k", "i"), slots=slots).collect()
+    assert [r["i"] for r in sorted(got, key=lambda r: r["ix"])] == [r[1] for r in sorted(rows, key=key)]
+    parts = order.slotted(df, F.col("k"), slots).select("k", "__slot").collect()
+    # slots follow the order
+    ends = sorted({(-1 if r["k"] is None else r["k"], r["__slot"]) for r in parts})
+    assert [s for _, s in ends] == sorted(s for _, s in ends) and len({k for k, _ in ends}) == len(ends)
+    assert order.numbered(df.limit(0), F.col("i"), slots=slots).count() == 0
+
+
 def test_feature_tables(spark):
     imp = spark.createDataFrame([(1, "v", ["b", "zz"], ["a", "c"], [1, 0]), (2, "u", [], ["c"], [1]), (3, "u", None, ["q", "b"], [0, 1])], "row int, user_id string, history array<string>, inview array<string>, labels array<int>")
     articles = spark.createDataFrame([("c",), ("a",), ("b",)], "article_id string")
