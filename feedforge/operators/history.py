@@ -1,26 +1,47 @@
-"""User histories without leakage."""
+"""User histories without leakage.
+
+A user may hold any share of all rows. Counts and rolling lists therefore go by user and hour (HOUR):
+what is counted or listed inside an hour is sorted there, and what a user's hours before add is
+carried over from a row for each of them. A user's rows of one hour meet in one task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedforge.functions.lists import tail
+from feedforge.operators.order import slotted, within
+
+#: Microseconds of a stretch of a user's time.
+HOUR = 3_600_000_000
+
+
+def _hour(micros: Column) -> Column:
+    """The hour of a time as a number; rows without a time come first."""
+    return F.coalesce(F.floor(micros / HOUR), F.lit(-(2**62)))
+
+
+
+def _log(impressions: DataFrame, clicks: DataFrame, user: str, time: str, row: str, click_time: str, *payload: str) -> DataFrame:
+    """Impressions and clicks, __click telling them apart, in one order of times cut into hours."""
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("__at")
+    kinds = dict(impressions.dtypes) | {f"__p{i}": dict(clicks.dtypes)[c] for i, c in enumerate(payload)}
+    none = lambda c, name: F.lit(None).cast(kinds[c]).alias(name)
+    own = [f"__p{i}" for i in range(len(payload))]
+    left = impressions.select(F.col(row).alias("__row"), F.col(user).alias("__user"), F.col(time).alias("__t"), at(time), F.lit(0).alias("__click"), *[none(c, c) for c in own])
+    right = clicks.filter(F.col(click_time).isNotNull()).select(none(row, "__row"), F.col(user).alias("__user"), none(time, "__t"), at(click_time), F.lit(1).alias("__click"), *[F.col(c).alias(n) for c, n in zip(payload, own)])
+    # at one time impressions come first; seq, the first of the payload, orders clicks of one time
+    return left.unionByName(right).withColumns({"__o": F.struct("__at", "__click", *own[:1], "__row"), "__slot": _hour(F.col("__at"))})
 
 
 def clicks_before(impressions: DataFrame, clicks: DataFrame, user: str = "user_id", time: str = "impression_time", row: str = "impression_row_id", click_time: str = "click_time") -> DataFrame:
     """__row, __user, __t, __n: how many clicks of its user lie strictly before each impression.
 
-    Clicks and impressions of a user go by time in one running count, so that the work is linear.
-    Clicks without a time count for nothing, and an impression without one has none before it.
+    Clicks and impressions go by user and time in one running count, so that the work is linear.
+    Clicks without a time count for nothing; an impression without a time or a user has none before it.
     """
-    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("__at")
-    kind = dict(impressions.dtypes)
-    left = impressions.select(F.col(row).alias("__row"), F.col(user).alias("__user"), F.col(time).alias("__t"), at(time), F.lit(0).alias("__click"))
-    empty = [F.lit(None).cast(kind[row]).alias("__row"), F.col(user).alias("__user"), F.lit(None).cast(kind[time]).alias("__t")]
-    both = left.unionByName(clicks.filter(F.col(click_time).isNotNull()).select(*empty, at(click_time), F.lit(1).alias("__click")))
-    w = Window.partitionBy("__user").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
-    counted = both.withColumn("__n", F.coalesce(F.sum("__click").over(w), F.lit(0)))
+    counted = within(_log(impressions, clicks, user, time, row, click_time), "__user", F.col("__click"), "__n")
     return counted.filter("__click = 0").select("__row", "__user", "__t", "__n")
 
 
@@ -30,12 +51,12 @@ def as_of_history(impressions: DataFrame, clicks: DataFrame, size: int, user: st
     Adds pos (0 for the oldest kept) and recency in seconds. A user's clicks are numbered by time and
     seq; an impression after n of them looks up the numbers n - size to n - 1, `size` rows at most.
     """
-    asked = clicks_before(impressions, clicks, user, time, row, click_time).filter("__n > 0")
+    log = _log(impressions, clicks, user, time, row, click_time, seq, item, click_time)
+    asked = within(log, "__user", F.col("__click"), "__n").filter("__click = 0 and __n > 0")
     first = F.greatest(F.col("__n") - size, F.lit(0))
     each = asked.select("__row", F.col("__user").alias("__of"), "__t", first.alias("__first"), F.explode(F.sequence(first, F.col("__n") - 1)).alias("__number"))
-    w = Window.partitionBy(user).orderBy(click_time, seq)
-    log = clicks.filter(F.col(click_time).isNotNull()).withColumn("__k", F.row_number().over(w) - 1)
-    found = each.join(log, (F.col("__of") == log[user]) & (F.col("__number") == F.col("__k")))
+    numbers = within(log.filter("__click = 1"), "__user", None, "__k").select("__user", "__k", F.col("__p1").alias(item), F.col("__p2").alias(click_time))
+    found = each.join(numbers, (F.col("__of") == F.col("__user")) & (F.col("__number") == F.col("__k")))
     recency = (F.unix_micros(F.col("__t").cast("timestamp")) - F.unix_micros(F.col(click_time).cast("timestamp"))) / 1e6
     return found.select(F.col("__row").alias(row), F.col("__of").alias(user), F.col("__t").alias(time), item, click_time, (F.col("__number") - F.col("__first")).alias("pos"), recency.alias("recency"))
 
@@ -49,18 +70,40 @@ def history_lists(impressions: DataFrame, long: DataFrame, row: str = "impressio
 
 
 def dynamic_history(df: DataFrame, size: int, user: str, item: str, *order: str) -> DataFrame:
-    """A column history: items of the user's `size` rows before this one; null items of those rows go."""
-    w = Window.partitionBy(user).orderBy(*order).rowsBetween(-size, -1)
-    return df.withColumn("history", F.collect_list(item).over(w))
+    """A column history: items of the user's `size` rows before this one; null items of those rows go.
+
+    Rows are cut into hours, or into ranges of the order where it doesn't begin with a time. Those of an
+    hour see the ones before them in it and, ahead of these, the last `size` rows of the user's hours
+    before: each of these has a row or more, so that the last `size` hours hold them.
+    """
+    if dict(df.dtypes)[order[0]] == "timestamp":
+        part = df.withColumns({"__o": F.struct(*order), "__slot": _hour(F.unix_micros(order[0]))})
+    else:
+        part = slotted(df, F.struct(*order))
+    # a user in a struct equals itself when it is null, too
+    part, of = part.withColumn("__u", F.struct(user)), ["__slot", "__u"]
+    here, one = Window.partitionBy(*of).orderBy("__o").rowsBetween(-size, -1), F.struct(F.col(item).alias("x"))
+    last = part.withColumn("__rn", F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("__o")))).filter(F.col("__rn") <= size)
+    ends = last.groupBy(*of).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("__rn")).alias("k"), F.col(item).alias("x")))), lambda s: F.struct(s["x"].alias("x"))).alias("__end"))
+    earlier = Window.partitionBy("__u").orderBy("__slot").rowsBetween(-size, -1)
+    ahead = ends.select(*of, tail(F.flatten(F.collect_list("__end").over(earlier)), size).alias("__ahead"))
+    both = part.withColumn("__near", F.collect_list(one).over(here)).join(ahead, of, "left")
+    seen = tail(F.concat("__ahead", "__near"), size)
+    return both.withColumn("history", F.array_compact(F.transform(seen, lambda s: s["x"]))).select(*df.columns, "history")
 
 
 def fixed_history(df: DataFrame, cutoff, size: int | None, user: str, time: str, *items: str, tie: str | None = None) -> DataFrame:  # noqa: ANN001
-    """user and a list column `<item>_fixed` for each item: rows before the cutoff in time order, the last `size` of them."""
+    """user and a list column `<item>_fixed` for each item: rows before the cutoff in time order, the last `size` of them.
+
+    With a size, rows beyond it go before they are shuffled, so that no user's rows ever meet whole.
+    """
     first = items[0]
     old = df.filter((F.col(time) < F.lit(cutoff)) & F.col(first).isNotNull())
-    fields = [time, *([tie] if tie else []), *[i for i in items if i not in (time, tie)]]
-    grouped = old.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__all"))
-    kept = grouped.withColumn("__all", tail(F.col("__all"), size) if size else F.col("__all"))
+    row = F.struct(*[time, *([tie] if tie else []), *[i for i in items if i not in (time, tie)]])
+    if size:
+        last = F.row_number().over(Window.partitionBy(user).orderBy(row.desc()))
+        old = old.withColumn("__rn", last).filter(F.col("__rn") <= size)
+    kept = old.groupBy(user).agg(F.array_sort(F.collect_list(row)).alias("__all"))
     field = lambda i: F.transform("__all", lambda s: s[i]).alias(f"{i}_fixed")
     return kept.select(user, *[field(i) for i in items])
 

@@ -56,3 +56,21 @@ def running(df: DataFrame, order: Column, weight: Column | None = None, name: st
 def numbered(df: DataFrame, order: Column, name: str = "ix", total: str | None = None, slots: int | None = None) -> DataFrame:
     """A column with 0-based row numbers in ascending order; rows with equal orders are numbered in any way."""
     return running(df, order, None, name, total, slots)
+
+
+def within(rows: DataFrame, group: str, weight: Column | None = None, name: str = "before") -> DataFrame:
+    """A column with the weight (or number) of the rows of its group before this one.
+
+    rows has the order in __o and a stretch of it in __slot, which is never null, so that a group of
+    any size lies in as many slots as it spans. Sums restart in each slot of a group and are lifted by
+    the group's slots before, a row each; both sides are dealt by slot and group. Rows of the group
+    null have none before them.
+    """
+    rows = rows.withColumn("__w", F.lit(1).cast("long") if weight is None else weight.cast("long"))
+    here = Window.partitionBy("__slot", group).orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(group).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.filter(F.col(group).isNotNull()).groupBy("__slot", group).agg(F.sum("__w").alias("__s"))
+    lift = sums.select("__slot", group, (F.sum("__s").over(earlier) - F.col("__s")).alias("__lift"))
+    out = rows.withColumn("__in", F.sum("__w").over(here) - F.col("__w")).join(lift, ["__slot", group], "left")
+    before = F.when(F.col(group).isNull(), F.lit(0).cast("long")).otherwise(F.col("__in") + F.col("__lift"))
+    return out.withColumn(name, before).drop("__w", "__in", "__lift")

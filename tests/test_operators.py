@@ -126,6 +126,41 @@ def test_fixed_and_dynamic_history(spark):
     assert dynamic == [[], [1], [1, 2], [2], []]
 
 
+@pytest.mark.parametrize("timed", [True, False])
+def test_histories_of_a_heavy_user(spark, timed):
+    # user h holds half of all rows; some rows lack a user, a time or an item
+    rng = random.Random(31)
+    user = lambda: "h" if rng.random() < 0.5 else rng.choice(["a", "b", "c", None])
+    when = lambda: None if rng.random() < 0.05 else day(rng.randrange(4), 0) + dt.timedelta(minutes=10 * rng.randrange(120))
+    imp = [(i, user(), when()) for i in range(300)]
+    log = [(user(), when(), 1000 + k, k) for k in range(300)]
+    known = sorted((t, k, u, a) for u, t, a, k in log if t is not None)
+    impressions = spark.createDataFrame(imp, "impression_row_id int, user_id string, impression_time timestamp").repartition(5)
+    clicks = spark.createDataFrame(log, "user_id string, click_time timestamp, article_id int, seq int").repartition(3)
+    before = {i: [a for c, _, v, a in known if u is not None and v == u and t is not None and c < t] for i, u, t in imp}
+    if timed:
+        assert {r["__row"]: r["__n"] for r in history.clicks_before(impressions, clicks).collect()} == {i: len(x) for i, x in before.items()}
+        long = history.as_of_history(impressions, clicks, 4)
+        assert {r["impression_row_id"]: r["history"] for r in history.history_lists(impressions, long).collect()} == {i: x[-4:] for i, x in before.items()}
+        # what meets in one task is a user's hour
+        parts = history._log(impressions, clicks, "user_id", "impression_time", "impression_row_id", "click_time")
+        assert parts.filter("__at is not null").groupBy("__user", "__slot").count().agg(F.max("count")).first()[0] < 30
+    # rows of one user in an order of their own, by a time or by a number
+    order_cols = ["t", "k"] if timed else ["k"]
+    rows = [(u, t, None if k % 9 == 0 else a, k) for u, t, a, k in log]
+    df = spark.createDataFrame(rows, "user_id string, t timestamp, item int, k int").repartition(4)
+    first = (lambda r: (r[1] is not None, r[1] or day(0), r[3])) if timed else (lambda r: r[3])
+    ordered = sorted(rows, key=first)
+    for size in (1, 3):
+        want = {r[3]: [x[2] for x in [o for o in ordered if o[0] == r[0] and first(o) < first(r)][-size:] if x[2] is not None] for r in rows}
+        got = history.dynamic_history(df, size, "user_id", "item", *order_cols)
+        assert got.columns == [*df.columns, "history"] and {r["k"]: r["history"] for r in got.collect()} == want
+    assert history.dynamic_history(df.limit(0), 3, "user_id", "item", *order_cols).count() == 0
+    fixed = {r["user_id"]: r["item_fixed"] for r in history.fixed_history(df, day(3), 3, "user_id", "t", "item", tie="k").collect()}
+    old = [r for r in ordered if r[1] is not None and r[1] < day(3) and r[2] is not None] if timed else []
+    assert not timed or fixed == {u: [r[2] for r in sorted(old, key=lambda r: (r[1], r[3])) if r[0] == u][-3:] for u in {r[0] for r in old}}
+
+
 def test_map_list_ids(spark):
     df = spark.createDataFrame([(1, ["a", "z"]), (2, None), (3, [])], "row int, x array<string>")
     m = spark.createDataFrame([("a", "A")], "k string, v string")
