@@ -26,7 +26,6 @@ no part (component null, kept); an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -36,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.common import checkpoint, fresh, give_back, release, slices
+from feedforge.llm.common import checkpoint, flag_members, fresh, give_back, release, slices
 from feedforge.llm.graph import components
-from feedforge.llm.shingles import WIDTH, jaccard_counts, minima, shingle_sets
+from feedforge.llm.shingles import WIDTH, jaccard_counts, minima, set_digest, shingle_sets
 
 #: Registers of a band.
 ROWS = 4
@@ -112,7 +111,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, make: Callable, count
         sets = shingle_sets(_bytes(batch.column(1)), width)
         levels = make(sets, count)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([x.tobytes() for x in levels], pa.binary())],
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([x.tobytes() for x in levels], pa.binary())],
             names=["doc_id", "text_hash", "n", "digest", "sketch"],
         )
         give_back(0)
@@ -171,10 +170,17 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(hubs.drop("size"), "bucket")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int = WIDTH, make: Callable = registers, test: Test = plausible) -> DataFrame:
-    """doc_id, text_hash, n, and for each filled set node, component (nodes linked) and component_id (their smallest doc_id)."""
+def grouped(
+    docs: DataFrame, id_col: str, text_col: str, percent: int, width: int = WIDTH, make: Callable = registers, test: Test = plausible, known: DataFrame | None = None
+) -> DataFrame:
+    """doc_id, text_hash, n, and for each filled set node, component (nodes linked) and component_id (their smallest doc_id).
+
+    known: a checkpointed table with the columns of sketches() for these documents, where there is one
+    already; columns beyond those stay.
+    """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = checkpoint(sketches(base, "doc_id", "text", width, make, ROWS * bands(percent)))
+    if known is None:
+        known = checkpoint(sketches(base, "doc_id", "text", width, make, ROWS * bands(percent)))
     filled = known.filter("n > 0 and doc_id is not null")
     sets = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # the checkpoint fixes the numbers of the different sets
@@ -182,8 +188,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
 
     shared = checkpoint(_shared(_buckets(nodes, bands(percent))))
     # texts of the nodes that share a bucket, shuffled once for all comparisons
-    asked = shared.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
-    keyed = base.withColumn("text_hash", F.xxhash64("text"))
+    asked = checkpoint(shared.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node"))
+    # most texts share no bucket and need no shuffle
+    keyed = flag_members(base.withColumn("text_hash", F.xxhash64("text")), F.xxhash64("doc_id", "text_hash"), asked.select(F.xxhash64("doc_id", "text_hash")), "asked").filter("asked").drop("asked")
     texts = checkpoint(keyed.join(asked, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text")))
     release(docs.sparkSession)
     stars = _ordered(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))

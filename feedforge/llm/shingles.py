@@ -7,6 +7,7 @@ combines five of them. A text of one to four words has one shingle, the whole se
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -148,3 +149,8 @@ def jaccard_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and the union of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both, len(a) + len(b) - both
+
+
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedforge.llm import bpe, common, fingerprints, licenses, lines, neardup, oracles, packing, quality, repeats, shingles, suffix, tokenfile, tokens, toxicity
@@ -227,9 +228,35 @@ def test_fingerprint_classes(documents, texts):
     assert dict(zip(got.doc_id, got.component_id, strict=True)) == brute_classes(texts, 85)[1]
 
 
+def test_fingerprint_documents(spark, documents, texts):
+    """The classes come from the fingerprints returned, and the other columns are those of the edits."""
+    words = [f"w{i}" for i in range(120)]
+    chain = {10_000 + k: " ".join([f"n{i}" for i in range(3 * k)] + words[3 * k :]) for k in range(12)}
+    df = documents.select("doc_id", "text").unionByName(spark.createDataFrame(list(chain.items()), "doc_id long, text string"))
+    got = fingerprints.fingerprint_documents(df)
+    sets, want = brute_classes(texts | chain, 85)
+    rows = got.collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in rows} == {i: (want[i], len(sets[i]), want[i] == i) for i in sets} and len(rows) == len(sets)
+    plain = fingerprints.fingerprint_edits(df)
+    assert sorted(tuple(r) for r in got.select(plain.columns).collect()) == sorted(tuple(r) for r in plain.collect())
+    with pytest.raises(ValueError):
+        fingerprints.fingerprint_documents(df, percent=70)
+
+
 def test_fingerprints_odd(odd, none, spark):
-    assert len(frame(fingerprints.fingerprint_edits(odd))) == len(ODD)
-    assert fingerprints.fingerprint_edits(none).count() == 0
+    """Every row of the odd table against plain Python; of rows with one id, the order is that of their hashes."""
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text"))
+    rows = [(r.doc_id, r.text or "") for r in odd.orderBy(order).collect()]
+    edits = [fingerprints.edited(t, rows[(i + 1) % len(rows)][1]) for i, (_, t) in enumerate(rows)]
+    # rows that are equal in the order may follow each other either way
+    want = sorted(((i, len(t), hashlib.sha256(e.encode()).hexdigest()) for (i, t), e in zip(rows, edits, strict=True)), key=str)
+    got = fingerprints.fingerprint_documents(odd).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == want
+    prints = dict(zip([t for _, t in rows], plain_fingerprints([t for _, t in rows]), strict=True))
+    assert collections.Counter(r.fingerprint for r in got) == collections.Counter(prints[t] for _, t in rows)
+    assert all(r.component_id == r.doc_id and r.kept for r in got if r.n_shingles == 0)
+    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+    assert fingerprints.fingerprint_edits(none).count() == 0 and fingerprints.fingerprint_documents(none).count() == 0
     one = frame(fingerprints.fingerprint_edits(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")))
     assert one.edited_sha256[0] == hashlib.sha256(b"abcdefab").hexdigest()
 
