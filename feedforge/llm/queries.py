@@ -23,7 +23,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +49,15 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
-    tokenfile.write_ids(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    found = checkpoint(tokenfile.read_ids(spark, folder, digest=True))
-    delete_folder(spark, folder)
-    return found
+    try:
+        tokenfile.write_ids(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+        return checkpoint(tokenfile.read_ids(spark, folder, digest=True))
+    finally:
+        delete_folder(spark, folder)
 
 
 def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The band join of operator 2's fingerprints, which its own query's contract has no column for."""
+    """The classes of operator 2 by themselves, without the edited texts."""
     return fingerprints.near_classes(read(spark, sf_dir, "documents"), percent=85)
 
 
