@@ -40,6 +40,8 @@ LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 2 << 20
 WIDE = 8_000
+#: Crowded anchors, of eight bytes each, that are broadcast at most.
+FEW = 1_000_000
 #: An anchor that lacks fewer bytes than this to a window is followed by whole windows.
 LAST = 24
 #: Bytes that are hashed at a time; longer texts go in overlapping parts.
@@ -215,9 +217,10 @@ def _hits(packed: DataFrame, texts: Callable[[DataFrame], DataFrame], weight: Co
     kinds = checkpoint(kinds.select("anchor", "slice", "n", "at.*"))
     release(packed.sparkSession)
     crowded = checkpoint(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > wide).select("anchor"))
-    finest = gram >= length or crowded.isEmpty()
-    # each has over `wide` slices, so they are few and every task can hold them
-    few = F.broadcast(crowded)
+    n_crowded = 0 if gram >= length else crowded.count()
+    finest = not n_crowded
+    # each has over `wide` slices; beyond FEW of them the joins below are Spark's to plan
+    few = F.broadcast(crowded) if n_crowded <= FEW else crowded
 
     def pieces(some: DataFrame) -> DataFrame:
         asked = some.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked"))

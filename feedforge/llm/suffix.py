@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Strings up to this length, where the recursion ends, are sorted by comparing their suffixes.
-SHORT = 4096
+SHORT = 32
 
 
 def classify(text: np.ndarray) -> np.ndarray:
