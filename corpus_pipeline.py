@@ -85,16 +85,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for i, (name, stage) in enumerate(STAGES):
-        done = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            docs = checkpoint(done)
-            break
-        here = f"{folder}/{i}-{name}"
-        done.write.parquet(here)
-        docs = spark.read.parquet(here)
-        if last:
-            delete_folder(spark, last)
-        last = here
-    delete_folder(spark, folder)
-    return docs
+    try:
+        for i, (name, stage) in enumerate(STAGES[:-1]):
+            here = f"{folder}/{i}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(here)
+            docs = spark.read.parquet(here)
+            if last:
+                delete_folder(spark, last)
+            last = here
+        return checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        delete_folder(spark, folder)
