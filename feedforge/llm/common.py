@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,13 +54,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 1) -> None:
     """Have Spark delete the shuffle files of tables that nothing refers to any more.
 
     Its cleaner follows the driver's garbage collection, which a large heap may not need for hours.
+    The last job's tables may be held for a moment after it; more rounds, half a second apart, get
+    these too.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for i in range(rounds):
+        if i:
+            time.sleep(0.5)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:

@@ -85,9 +85,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([rows[i][2] for i in todo], pa.int64()),
                 pa.array([len(rows[i][4]) for i in todo], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]),
-                pa.array([x.tobytes().hex() for x in mine]),
-                pa.array([x.tobytes().hex() for x in other]),
+                pa.array([hashlib.sha256(x.encode()).digest() for x in changed], pa.binary()),
+                pa.array([x.tobytes() for x in mine], pa.binary()),
+                pa.array([x.tobytes() for x in other], pa.binary()),
                 pa.array(likeness(mine, other)),
                 pa.array(likeness(mine, following)),
                 pa.array([rows[i][3] for i in todo], pa.int64()),
@@ -99,14 +99,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edits(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_hash long, n long, digest binary"
+    schema = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text_hash long, n long, digest binary"
     return _ordered(docs).mapInArrow(_rows, schema)
 
 
+def _in_hex(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness of both and of the next document's."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _edits(base).drop("text_hash", "n", "digest")
+    return _in_hex(_edits(base).drop("text_hash", "n", "digest"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -117,9 +121,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if ROWS * bands(percent) > PLACES:
         raise ValueError(f"{PLACES} places are too few for bands at {percent} %")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = checkpoint(_edits(base).withColumn("sketch", F.unhex("fingerprint")))
-    release(docs.sparkSession)
-    linked = grouped(base, "doc_id", "text", percent, test=plausible, known=rows)
+    rows = checkpoint(_edits(base))
+    release(docs.sparkSession, rounds=4)
+    linked = _in_hex(grouped(base, "doc_id", "text", percent, test=plausible, known=rows.withColumn("sketch", F.col("fingerprint"))))
     component = F.coalesce("component_id", "doc_id")
     return linked.drop("text_hash", "node", "component").withColumns({"component_id": component, "kept": F.coalesce(F.col("doc_id") == component, F.lit(True))}).withColumnRenamed("n", "n_shingles")
 
