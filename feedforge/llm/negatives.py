@@ -183,6 +183,11 @@ class Page:
                 yield from ((a["uid"], w, int(-s), n, u) for s, n, u in best)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides: what queries carry grows with queries and pages, and no driver should hold it."""
+    return left.hint("merge").join(right, on, how)
+
+
 FOUND = "asked long, w int, score long, id long, uid long"
 
 
@@ -239,7 +244,7 @@ class Index:
         """What the queries find on the pages that their rows name."""
         part = F.pmod(F.xxhash64("uid"), F.lit(-(-max(self.n, 1) // BLOCK)))
         blocks = asked.groupBy("page", part.alias("part")).agg(F.collect_list(F.struct("uid", "label", "v", "windows")).alias("asked"))
-        both = blocks.join(self.table, "page").select("page", "tree", "asked")
+        both = _met(blocks, self.table, "page").select("page", "tree", "asked")
         return both.mapInArrow(_searcher(self.width, self.most, k, same), FOUND)
 
     def _reached(self, asked: DataFrame) -> DataFrame:
@@ -273,7 +278,7 @@ class Index:
         full = home.groupBy("asked", "w").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k)
         known = full.groupBy("asked").agg(F.map_from_entries(F.collect_list(F.struct("w", "s"))).alias("known"))
         better = F.transform("windows", lambda w, i: F.struct(F.greatest(w["need"], F.try_element_at("known", i)).alias("need"), w["high"].alias("high")))
-        rest = asked.join(known, F.col("uid") == F.col("asked"), "left").drop("asked").withColumn("windows", better)
+        rest = _met(asked, known, F.col("uid") == F.col("asked"), "left").drop("asked").withColumn("windows", better)
         both = home.unionByName(self._visit(self._reached(rest), k, same))
         order = Window.partitionBy("asked", "w").orderBy(F.desc("score"), "id")
         return checkpoint(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
@@ -305,9 +310,10 @@ def mine_negatives(rows: DataFrame, anchors: Column, id_col: str = "vec_id", lab
     pairs = near.filter("score >= 0").groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "id"))).alias("pairs"))
     least = lambda s: F.call_function("div", s * low + 99, F.lit(100))
     windows = F.transform("pairs", lambda p: window(least(p["score"]), p["score"]))
-    known = checkpoint(asked.join(pairs, F.col("uid") == F.col("asked")).drop("asked").withColumn("windows", windows))
+    known = checkpoint(_met(asked, pairs, F.col("uid") == F.col("asked")).drop("asked").withColumn("windows", windows))
     found = index.search(known, negatives, same=False)
-    both = found.select("asked", "w", "rank", F.col("id").alias("n"), F.col("score").alias("negative_score")).join(known.select(F.col("uid").alias("asked"), F.col("id").alias("a"), "pairs"), "asked")
+    negative = found.select("asked", "w", "rank", F.col("id").alias("n"), F.col("score").alias("negative_score"))
+    both = _met(negative, known.select(F.col("uid").alias("asked"), F.col("id").alias("a"), "pairs"), "asked")
     both = both.withColumn("p", F.get("pairs", F.col("w")))
     back = lambda c: F.when(c != int(NO_ID), c)
     return both.select(back(F.col("a")).alias("anchor_id"), back(F.col("p.id")).alias("positive_id"), "rank", back(F.col("n")).alias("negative_id"), F.col("p.score").alias("positive_score"), "negative_score")

@@ -99,3 +99,15 @@ def test_bounds_hold_and_leaves_are_passed_over(spark):
 def test_query(spark):
     found = registered.queries()["op11_hard_negatives"](spark, SMALL).toPandas()
     same(found, database(SMALL).sql(oracles.oracle_sql()["op11_hard_negatives"]).df())
+
+
+def test_queries_and_pages_are_not_broadcast(spark):
+    """What queries carry to pages grows with both, so that joins of them must not go through the driver."""
+    rows = spark.createDataFrame(clustered(200, 9), SCHEMA).selectExpr("vec_id as uid", "vec_id as id", "cast(label as long) as label", "vec_id % 10 = 0 as asks", "embedding as v")
+    index = negatives.Index(rows, page_rows=50, leaf_rows=8)
+    wide = negatives.F.expr("array(named_struct('need', -(1L << 60), 'high', 1L << 60))")
+    asked = index.rows.filter("asks").select("uid", "label", "v", "page", wide.alias("windows"))
+    found = index._visit(asked, 5, True)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
