@@ -1,7 +1,8 @@
 """Bootstrap confidence intervals.
 
-`mean_ci` draws numpy's sequence for a seed, as published results do: values of one group, ordered
-by row id, meet in one task, bounded by the evaluation set. `poisson_ci` resamples without bringing
+`mean_ci` draws numpy's sequence for a seed, as published results do. The sequence is cut into
+stretches, as its generator can be set ahead and a draw is taken or not by its own bits only; counts
+of the draws taken in each stretch say which run and place its draws belong to. `poisson_ci` resamples without bringing
 rows together: each row counts a Poisson(1) number of times in each run, drawn from a digest.
 """
 
@@ -13,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedforge.operators.doc_vectors import kept
+from feedforge.operators.order import numbered
+
 
 def numpy_mean_ci(values: np.ndarray, runs: int = 1000, seed: int = 42, chunk: int = 100) -> tuple[float | None, float | None, float | None]:
     """Mean and the 2.5 and 97.5 percentiles of resampled means; nulls for no values."""
@@ -25,17 +29,94 @@ def numpy_mean_ci(values: np.ndarray, runs: int = 1000, seed: int = 42, chunk: i
     return float(values.mean()), float(low), float(high)
 
 
-def mean_ci(df: DataFrame, group: str, order: str, value: str, runs: int = 1000, seed: int = 42) -> DataFrame:
-    """group, value, ci_low, ci_high; null values stay out."""
-    kind = dict(df.dtypes)[group]
+def _raws(seed: int, start: int, count: int) -> np.ndarray:
+    """32-bit draws start to start + count of numpy's generator, start being even: halves of its words, lower ones first."""
+    words = np.random.PCG64(seed).advance(start // 2).random_raw(-(-count // 2))
+    return words.astype("<u8", copy=False).view("<u4")[:count]
+
+
+def _placed(raws: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place below n that each draw names, and whether numpy takes the draw (Lemire's rule), whatever went before."""
+    wide = raws.astype(np.uint64) * np.uint64(n)
+    return (wide >> np.uint64(32)).astype(np.int64), wide.astype(np.uint32) >= np.uint32((1 << 32) % n)
+
 
-    def one(key, table):  # noqa: ANN001, ANN202
-        t = table.sort_by("__o")
-        v, lo, hi = numpy_mean_ci(t.column("__v").drop_null().to_numpy(), runs, seed)
-        return pa.table({group: [key[0].as_py()], "value": pa.array([v], pa.float64()), "ci_low": pa.array([lo], pa.float64()), "ci_high": pa.array([hi], pa.float64())})
+def _raw_count(n: int, runs: int) -> int:
+    """Draws that give n * runs taken ones but for a chance of 20 standard deviations."""
+    share = 1 - ((1 << 32) % n) / (1 << 32)
+    return int(n * runs / share + 20 * (n * runs) ** 0.5 * (1 - share) ** 0.5 / share) + 64
 
-    rows = df.select(group, F.col(order).alias("__o"), F.col(value).cast("double").alias("__v"))
-    return rows.groupBy(group).applyInArrow(one, f"{group} {kind}, value double, ci_low double, ci_high double")
+
+def mean_ci(df: DataFrame, group: str, order: str, value: str, runs: int = 1000, seed: int = 42, block_rows: int = 1 << 23, stretch: int = 1 << 22, parts: int = 16) -> DataFrame:
+    """group, value, ci_low, ci_high; null values stay out.
+
+    A task has a block of a group's values and a share of the stretches of draws, and sums what the
+    stretches draw from the block; sums of runs are added up in a fixed order.
+    """
+    kind, packed_rows, spread = dict(df.dtypes)[group], min(block_rows, 1 << 16), 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(group).alias("__g"), F.col(order).alias("__by"), F.col(value).cast("double").alias("__v"))
+    known = rows.filter(F.col("__v").isNotNull())
+    # nulls of the order last, as in a table that is sorted by it
+    at = kept(numbered(known, F.struct("__g", F.col("__by").isNull().alias("n"), "__by"), "__ix").select("__g", "__ix", "__v"))
+    sizes = at.groupBy("__g").agg(F.min("__ix").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    if sizes.filter(F.col("__n") > 1 << 32).limit(1).count():
+        raise ValueError("numpy draws places above 2^32 in another way")
+    total = F.udf(lambda n: _raw_count(n, runs), "long")
+    pieces = sizes.select("__g", "__n", total("__n").alias("__raws")).withColumn("__of", F.explode(F.sequence(F.lit(0), F.expr(f"(__raws - 1) div {stretch}"))))
+
+    def count(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            cols = (b.column(c).to_pylist() for c in ("__n", "__raws", "__of"))
+            taken = [int(_placed(_raws(seed, i * stretch, min(stretch, raws - i * stretch)), n)[1].sum()) for n, raws, i in zip(*cols, strict=True)]
+            yield pa.record_batch([b.column("__g"), b.column("__of"), pa.array(taken, pa.int64())], names=["__g", "__of", "__taken"])
+
+    counted = pieces.repartition(spread, "__g", "__of").mapInArrow(count, f"__g {kind}, __of long, __taken long")
+    taken = counted.groupBy("__g").agg(F.transform(F.sort_array(F.collect_list(F.struct("__of", "__taken"))), lambda x: x["__taken"]).alias("__taken"))
+    facts = sizes.join(taken.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h"))).drop("__h").withColumnRenamed("__g", "__h")
+    placed = at.join(facts.select("__h", "__first"), F.col("__g").eqNullSafe(F.col("__h"))).select("__g", (F.col("__ix") - F.col("__first")).alias("__at"), "__v")
+
+    def pack(key, table):  # noqa: ANN001, ANN202
+        v = table.column("__v").to_numpy()[np.argsort(table.column("__at").to_numpy())]
+        return pa.table({"__g": pa.array([key[0].as_py()], table.schema.field("__g").type), "__c": pa.array([key[1].as_py()], pa.int64()), "__b": pa.array([v.tobytes()], pa.binary())})
+
+    packed = placed.withColumn("__c", F.expr(f"__at div {packed_rows}")).groupBy("__g", "__c").applyInArrow(pack, f"__g {kind}, __c long, __b binary")
+    block = F.expr(f"(__c * {packed_rows}) div {block_rows}")
+    share = F.explode(F.sequence(F.lit(0), F.least(F.size("__taken"), F.lit(parts)) - 1))
+    dealt = packed.join(facts, F.col("__g").eqNullSafe(F.col("__h"))).select("__g", block.alias("__block"), "__c", "__b", "__n", "__taken", share.alias("__part"))
+
+    def sums(key, table):  # noqa: ANN001, ANN202
+        table = table.sort_by("__c")
+        v = np.concatenate([np.frombuffer(x.as_py()) for x in table.column("__b")])
+        low, n, taken = table.column("__c")[0].as_py() * packed_rows, table.column("__n")[0].as_py(), table.column("__taken")[0].values.to_numpy()
+        starts, raws = np.cumsum(taken) - taken, _raw_count(n, runs)
+        if taken.sum() < n * runs:
+            raise ValueError("too few draws were taken")
+        out: list[tuple[int, int, float]] = []
+        for i in range(key[2].as_py(), len(taken), parts):
+            place, good = _placed(_raws(seed, i * stretch, min(stretch, raws - i * stretch)), n)
+            place = place[good] - low
+            first, last = int(starts[i]), min(int(starts[i] + taken[i]), n * runs)
+            for r in range(first // n, -(-last // n)):
+                mine = place[max(r * n - first, 0) : min((r + 1) * n, last) - first]
+                out.append((r, i, float(v[mine[(mine >= 0) & (mine < len(v))]].sum())))
+        # the values' own sum goes as run -1, once for each block
+        out += [(-1, 0, float(v.sum()))] if key[2].as_py() == 0 else []
+        of, at, s = zip(*out, strict=True) if out else ((), (), ())
+        same = lambda x, t: pa.array([x] * len(out), t)
+        return pa.table({"__g": same(key[0].as_py(), table.schema.field("__g").type), "__block": same(key[1].as_py(), pa.int64()), "__n": same(n, pa.int64()), "__run": pa.array(of, pa.int32()), "__of": pa.array(at, pa.int64()), "__s": pa.array(s, pa.float64())})
+
+    parted = dealt.repartition(spread, "__g", "__block", "__part").groupBy("__g", "__block", "__part").applyInArrow(sums, f"__g {kind}, __block long, __n long, __run int, __of long, __s double")
+    added = F.aggregate(F.sort_array(F.collect_list(F.struct("__of", "__block", "__s"))), F.lit(0.0), lambda a, x: a + x["__s"])
+    means = parted.groupBy("__g", "__n", "__run").agg((added / F.first("__n")).alias("__m"))
+
+    def ends(key, table):  # noqa: ANN001, ANN202
+        run, m = table.column("__run").to_numpy(), table.column("__m").to_numpy()
+        lo, hi = np.percentile(m[run >= 0], [2.5, 97.5])
+        return pa.table({"__g": pa.array([key[0].as_py()], table.schema.field("__g").type), "value": pa.array(m[run < 0]), "ci_low": pa.array([lo], pa.float64()), "ci_high": pa.array([hi], pa.float64())})
+
+    found = means.groupBy("__g").applyInArrow(ends, f"__g {kind}, value double, ci_low double, ci_high double")
+    every = rows.select(F.col("__g").alias(group)).distinct()
+    return every.join(found, F.col(group).eqNullSafe(F.col("__g")), "left").select(group, "value", "ci_low", "ci_high")
 
 
 def poisson_steps(most: int = 8) -> list[float]:

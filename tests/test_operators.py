@@ -381,6 +381,26 @@ def test_bootstrap(spark):
     assert bootstrap.numpy_mean_ci(np.array([])) == (None, None, None)
 
 
+def test_bootstrap_in_stretches_and_blocks(spark):
+    """Runs, blocks and stretches end at different places; groups are odd, empty and null."""
+    rng = random.Random(3)
+    rows = [("a", i, rng.random()) for i in range(1500)] + [("b", 5, 1.5), ("bare", 1, None)] + [(None, i if i else None, float(i)) for i in range(77)]
+    df = spark.createDataFrame(rows, "g string, o int, v double").repartition(4)
+    got = {r["g"]: tuple(r)[1:] for r in bootstrap.mean_ci(df, "g", "o", "v", 30, block_rows=400, stretch=998, parts=3).collect()}
+    assert set(got) == {"a", "b", "bare", None} and got["bare"] == (None, None, None) and got["b"] == (1.5, 1.5, 1.5)
+    assert got["a"] == pytest.approx(bootstrap.numpy_mean_ci(np.array([v for g, _, v in rows if g == "a"]), 30))
+    assert got[None] == pytest.approx(bootstrap.numpy_mean_ci(np.array([*range(1, 77), 0.0]), 30))
+    assert bootstrap.mean_ci(df.limit(0), "g", "o", "v", 30).count() == 0
+
+
+def test_no_bootstrap_task_has_a_whole_group(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "numpy_mean_ci", None)  # the way of one task, which nothing may use
+    df = spark.range(5000).select(F.lit("m").alias("g"), F.col("id").alias("o"), (F.col("id") % 7).cast("double").alias("v"))
+    row = bootstrap.mean_ci(df, "g", "o", "v", 20, block_rows=1000, stretch=5000, parts=4).first()
+    full = np.random.default_rng(42).integers(0, 5000, size=(20, 5000))
+    assert (row["ci_low"], row["ci_high"]) == pytest.approx(tuple(np.percentile((full % 7).mean(axis=1), [2.5, 97.5])))
+
+
 def test_poisson_intervals_equal_plain_resamples(spark):
     rng = random.Random(12)
     rows = [(f"g{rng.randrange(3)}", i, None if i % 7 == 0 else rng.random()) for i in range(90)] + [("bare", 200, None)]
