@@ -1,6 +1,7 @@
 """Vectors of documents: a truncated singular value decomposition of their TF-IDF matrix.
 
-The matrix stays a table of (document, term, weight). A randomised range finder multiplies it with
+The matrix is a table of blocks of documents, each a sparse matrix over the words that it has, so that
+what is multiplied is shuffled once for each word of a block and not for each word of a document. A randomised range finder multiplies it with
 random signs that follow from a hash of the term, a few rounds of multiplying back and forth sharpen
 the range, and an eigenproblem of as many rows as vectors have components gives the rest. All that
 reaches the driver are matrices of that size; everything that grows with the corpus is joined, summed
@@ -13,11 +14,13 @@ zero over the documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedforge.functions.lists import run_lengths
@@ -25,6 +28,8 @@ from feedforge.functions.text import tokens
 
 #: Components beyond those asked for that the range finder carries, and rounds that sharpen it.
 SPARE, ROUNDS = 10, 2
+#: Weights and documents of a block, about.
+BLOCK_WEIGHTS, BLOCK_DOCS = 1 << 21, 1 << 15
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -38,6 +43,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of tables that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which may not come before the disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tf_idf(corpus: DataFrame, doc: str, text: str, remove_stopwords: bool = True) -> DataFrame:
     """doc, term, weight: counts times ln((1 + n) / (1 + df)) + 1, at length 1 for each document."""
     words = corpus.select(F.col(doc).alias("doc"), F.sort_array(tokens(F.col(text), remove_stopwords)).alias("words"))
@@ -49,13 +63,16 @@ def tf_idf(corpus: DataFrame, doc: str, text: str, remove_stopwords: bool = True
     return raw.join(size, "doc").select("doc", "term", (F.col("raw") / F.col("size")).alias("weight"))
 
 
-def _list(matrix: np.ndarray) -> pa.Array:
-    flat = pa.array(np.ascontiguousarray(matrix, dtype=np.float64).ravel())
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), flat)
+def _rows(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The vectors of a batch, of which a list may hold several, one after the other."""
+    return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _rows(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+def _list(matrix: np.ndarray, ends: np.ndarray | None = None) -> pa.Array:
+    """Lists of a row each, or of the rows up to each of the ends."""
+    ends = np.arange(1, len(matrix) + 1) if ends is None else ends
+    flat = pa.array(np.ascontiguousarray(matrix, dtype=np.float64).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32) * matrix.shape[1], pa.int32()), flat)
 
 
 def times(table: DataFrame, small: np.ndarray) -> DataFrame:
@@ -63,26 +80,30 @@ def times(table: DataFrame, small: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("key"), _list(_rows(b, len(small)) @ small)], names=["key", "v"])
+            ends = np.cumsum(b.column("v").value_lengths().to_numpy()) // len(small)
+            yield pa.record_batch([b.column("key"), _list(_rows(b, len(small)) @ small, ends)], names=["key", "v"])
 
     return table.mapInArrow(run, table.schema)
 
 
-def gram(table: DataFrame, width: int) -> np.ndarray:
-    """The inner products of all pairs of components over the rows: a width x width matrix."""
+def _summed(table: DataFrame, width: int, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of `size` numbers made of their vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total = np.zeros(size)
         for b in batches:
-            m = _rows(b, width)
-            total += m.T @ m
-        yield pa.record_batch([pa.array(np.arange(width * width)), pa.array(total.ravel())], names=["at", "x"])
+            total += of(_rows(b, width))
+        yield pa.record_batch([pa.array(np.arange(size)), pa.array(total)], names=["at", "x"])
 
-    sums = table.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(width * width)
-    for r in sums:
+    out = np.zeros(size)
+    for r in table.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
         out[r["at"]] = r["x"]
-    return out.reshape(width, width)
+    return out
+
+
+def gram(table: DataFrame, width: int) -> np.ndarray:
+    """The inner products of all pairs of components over the rows: a width x width matrix."""
+    return _summed(table, width, lambda m: (m.T @ m).ravel(), width * width).reshape(width, width)
 
 
 def whitened(g: np.ndarray) -> np.ndarray:
@@ -92,39 +113,112 @@ def whitened(g: np.ndarray) -> np.ndarray:
     return vectors[:, good] / np.sqrt(values[good])
 
 
-def _added(weights: DataFrame, at: str, other: str, vectors: DataFrame, width: int) -> DataFrame:
-    """key (a value of `at`), v: sums of the vectors of `other`, by weight."""
-    joined = weights.join(vectors.withColumnRenamed("key", other), other)
-    sums = joined.groupBy(F.col(at).alias("key")).agg(*[F.sum(F.col("weight") * F.get("v", F.lit(i))).alias(f"__{i}") for i in range(width)])
-    return sums.select("key", F.array(*[f"__{i}" for i in range(width)]).alias("v"))
+class Blocks:
+    """weights (doc, term, weight) as blocks: key, docs, terms, and place of document, place of word and weight as bytes."""
+
+    def __init__(self, weights: DataFrame, block_weights: int = BLOCK_WEIGHTS, block_docs: int = BLOCK_DOCS) -> None:
+        weights = kept(weights)
+        facts = weights.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc").alias("docs")).first()
+        count = max(1, -(-facts["n"] // block_weights), -(-facts["docs"] // block_docs))
+        self.kind = dict(weights.dtypes)["doc"]
+
+        def pack(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("doc", "ascending"), ("term", "ascending")]).combine_chunks()
+            doc, term = (pc.dictionary_encode(table.column(c), null_encoding="encode").combine_chunks() for c in ("doc", "term"))
+            codes = [pa.array([x.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()) for x in (doc, term)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x.dictionary)], pa.int32()), x.dictionary) for x in (doc, term)]
+            return pa.table([table.column("key").slice(0, 1), *lists, *codes, pa.array([table.column("weight").to_numpy().tobytes()], pa.binary())], names=["key", "docs", "terms", "row", "col", "weight"])
+
+        dealt = weights.select(F.pmod(F.xxhash64("doc"), F.lit(count)).cast("int").alias("key"), "doc", "term", "weight")
+        self.table = kept(dealt.repartition(count, "key").groupBy("key").applyInArrow(pack, f"key int, docs array<{self.kind}>, terms array<string>, row binary, col binary, weight binary"))
+        #: A row for each word of a block.
+        self.words = self.table.select("key", F.posexplode("terms").alias("at", "term"))
+
+    def of_documents(self, words: DataFrame, width: int) -> DataFrame:
+        """key (a block), v: sums of the vectors of words(key, at, v) by weight for each of the block's documents."""
+
+        def run(block: pa.Table, words: pa.Table) -> pa.Table:
+            z = np.zeros((len(block.column("terms")[0]), width))
+            z[words.column("at").to_numpy()] = words.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
+            out = _sums(block, "row", "col", len(block.column("docs")[0]), z)
+            return pa.table([block.column("key"), _list(out, np.array([len(out)]))], names=["key", "v"])
+
+        return self.table.groupBy("key").cogroup(words.select(F.col("key").alias("block"), "at", "v").groupBy("block")).applyInArrow(run, "key int, v array<double>")
+
+    def of_terms(self, documents: DataFrame, width: int) -> DataFrame:
+        """key (a term), v: sums of the vectors of documents(key, v), a list for each block, by weight."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    one = b.slice(i, 1)
+                    yield pa.record_batch([one.column("terms").flatten(), _list(_sums(one, "col", "row", len(one.column("terms")[0]), _rows(one, width)))], names=["key", "v"])
+
+        joined = self.table.hint("merge").join(documents, "key").select("terms", "row", "col", "weight", "v")
+        sums = joined.mapInArrow(run, "key string, v array<double>").groupBy("key").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"__{i}") for i in range(width)])
+        return sums.select("key", F.array(*[f"__{i}" for i in range(width)]).alias("v"))
+
+    def met(self, terms: DataFrame) -> DataFrame:
+        """key, at, v: each block's words with the vectors of terms(key, v)."""
+        return self.words.hint("merge").join(terms.withColumnRenamed("key", "term"), "term").select("key", "at", "v")
+
+    def unpacked(self, documents: DataFrame) -> DataFrame:
+        """key (a document), v."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    one = b.slice(i, 1)
+                    docs = one.column("docs").flatten()
+                    yield pa.record_batch([docs, _list(one.column("v").flatten().to_numpy().reshape(len(docs), -1))], names=["key", "v"])
+
+        both = self.table.select("key", "docs").hint("merge").join(documents, "key").select("docs", "v")
+        return both.mapInArrow(run, f"key {self.kind}, v array<double>")
+
+
+def _sums(block: pa.Table | pa.RecordBatch, to: str, of: str, count: int, vectors: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Sums by weight of the vectors that a block's weights name, for each of `count` rows that they go to."""
+    at, source, weight = (np.frombuffer(block.column(c)[0].as_py(), t) for c, t in ((to, np.int32), (of, np.int32), ("weight", np.float64)))
+    order = np.argsort(at, kind="stable")
+    out = np.zeros((count, vectors.shape[1]))
+    for lo in range(0, len(order), step):
+        some = order[lo : lo + step]
+        starts = np.flatnonzero(np.diff(at[some], prepend=-1))
+        out[at[some][starts]] += np.add.reduceat(vectors[source[some]] * weight[some, None], starts)
+    return out
 
 
-def fit(weights: DataFrame, k: int, spare: int = SPARE, rounds: int = ROUNDS, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+def fit(weights: DataFrame, k: int, spare: int = SPARE, rounds: int = ROUNDS, seed: int = 0, **sizes: int) -> tuple[DataFrame, np.ndarray]:
     """key (the document), v: coordinates along the k leading directions; and the singular values.
 
     weights has doc, term and weight.
     """
-    weights, width = kept(weights), k + spare
+    spark, blocks, width = weights.sparkSession, Blocks(weights, **sizes), k + spare
+    del weights
+    release(spark)
     signs = [F.xxhash64("term", F.lit(seed), F.lit(j // 64)) for j in range(0, width, 64)]
-    sign = lambda j: 1 - 2 * F.pmod(F.shiftright(f"__h{j // 64}", j % 64), F.lit(2))
-    hashed = weights.select("doc", "weight", *[h.alias(f"__h{i}") for i, h in enumerate(signs)])
-    sums = hashed.groupBy(F.col("doc").alias("key")).agg(*[F.sum(F.col("weight") * sign(j)).alias(f"__{j}") for j in range(width)])
-    y = kept(sums.select("key", F.array(*[f"__{j}" for j in range(width)]).alias("v")))
+    sign = lambda j: (1 - 2 * F.pmod(F.shiftright(f"__h{j // 64}", j % 64), F.lit(2))).cast("double")
+    hashed = blocks.words.select("key", "at", *[h.alias(f"__h{i}") for i, h in enumerate(signs)])
+    y = kept(blocks.of_documents(hashed.select("key", "at", F.array(*[sign(j) for j in range(width)]).alias("v")), width))
     small = whitened(gram(y, width))
     if not small.size:
-        return y.limit(0), np.zeros(0)
+        return blocks.unpacked(y).limit(0), np.zeros(0)
     for _ in range(rounds):
-        z = kept(_added(weights, "term", "doc", times(y, small), small.shape[1]))
+        z = kept(blocks.of_terms(times(y, small), small.shape[1]))
+        y = None
+        release(spark)
         back = whitened(gram(z, small.shape[1]))
-        y = kept(_added(weights, "doc", "term", times(z, back), back.shape[1]))
+        y = kept(blocks.of_documents(blocks.met(times(z, back)), back.shape[1]))
+        z = None
+        release(spark)
         small = whitened(gram(y, back.shape[1]))
     basis = times(y, small)
-    values, turn = np.linalg.eigh(gram(_added(weights, "term", "doc", basis, small.shape[1]), small.shape[1]))
+    values, turn = np.linalg.eigh(gram(blocks.of_terms(basis, small.shape[1]), small.shape[1]))
     turn, values = turn[:, ::-1][:, :k], np.sqrt(np.maximum(values[::-1][:k], 0))
     turned = kept(times(basis, turn * values))
-    totals = turned.agg(*[F.sum(F.get("v", F.lit(i))) for i in range(len(values))]).first() if len(values) else []
-    flip = np.array([-1.0 if (t or 0) < 0 else 1.0 for t in totals])
-    return times(turned, np.diag(flip)), values
+    totals = _summed(turned, len(values), lambda m: m.sum(0), len(values))
+    flip = np.where(totals < 0, -1.0, 1.0)
+    return blocks.unpacked(times(turned, np.diag(flip))), values
 
 
 def document_vectors(corpus: DataFrame, doc: str, text: str, k: int = 64, remove_stopwords: bool = True, **kw: int) -> DataFrame:

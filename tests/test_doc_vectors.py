@@ -44,6 +44,18 @@ def test_equals_a_dense_decomposition(spark):
     assert (got.sum(0) >= 0).all()
 
 
+def test_blocks_give_what_one_block_gives(spark):
+    """What is multiplied goes by block: each word of a block is a row, not each word of a document."""
+    rows = corpus(150, 3)
+    weights = doc_vectors.tf_idf(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").persist()
+    many, values = doc_vectors.fit(weights, 5, rounds=3, block_weights=700, block_docs=40)
+    one, same = doc_vectors.fit(weights, 5, rounds=3)
+    assert values == pytest.approx(same)
+    x, y = (np.array([r["v"] for r in sorted(f.collect(), key=lambda r: r["key"])]) for f in (many, one))
+    assert x.shape == (150, 5) and x == pytest.approx(y, abs=1e-8)
+    assert doc_vectors.Blocks(weights).words.count() < weights.count() / 5
+
+
 def test_topics_lie_together(spark):
     rows = corpus(160, 2)
     got = {r["doc_id"]: np.array(r["vector"]) for r in doc_vectors.document_vectors(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 8).collect()}
