@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedforge.operators import bootstrap
-from feedforge.operators.order import numbered
+from feedforge.operators.doc_vectors import kept
+from feedforge.operators.order import numbered, slotted, within
 from feedforge.operators.ranking import average_tie_rank
 
 UNKNOWN = "__UNKNOWN__"
@@ -158,9 +159,12 @@ def chunked_auc(predictions: DataFrame, order: str, y: str = "y", p: str = "p")
     if not n:
         return predictions.limit(0).agg(F.lit(None).cast("double").alias("auc"))
     chunks = numbered(predictions, F.col(order), "__ix").withColumn("__chunk", F.floor(F.col("__ix") / n))
-    tied = chunks.withColumn("__tr", average_tie_rank(p, "__chunk"))
-    pos, size = F.sum(y), F.count(F.lit(1))
-    per = tied.groupBy("__chunk").agg(((F.sum(F.when(F.col(y) == 1, F.col("__tr"))) - pos * (pos + 1) / 2) / F.nullif(pos * (size - pos), F.lit(0))).alias("auc"))
+    # a chunk grows with the table: its rows go by score, and what lies below a score by stretches of the scores
+    scores = chunks.groupBy("__chunk", p).agg(F.count(F.lit(1)).alias("__c"), F.count_if(F.col(y) == 1).alias("__ones"), F.sum(y).alias("__y"))
+    placed = within(slotted(kept(scores), F.col(p)), "__chunk", F.col("__c"), "__below")
+    pos, size, ones = F.sum("__y"), F.sum("__c"), F.sum("__ones")
+    ranks = F.when(ones > 0, F.sum(F.col("__ones") * (F.col("__below") + (F.col("__c") + 1) / 2)))
+    per = placed.groupBy("__chunk").agg(((ranks - pos * (pos + 1) / 2) / F.nullif(pos * (size - pos), F.lit(0))).alias("auc"))
     return per.agg(F.avg("auc").alias("auc"))
 
 

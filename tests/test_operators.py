@@ -324,6 +324,20 @@ def test_graded_gains(spark):
     assert got[2]["dcg"] == 0 and got[2]["ndcg"] is None
 
 
+def test_chunked_auc_goes_by_score(spark):
+    """Chunks grow with the table, so that no window may hold one."""
+    rng = random.Random(14)
+    rows = [(i, int(rng.random() < 0.3), rng.choice([None, 0.1, 0.2, 0.2, 0.5, rng.random()])) for i in range(700)]
+    got = evaluate.chunked_auc(spark.createDataFrame(rows, "i int, y int, p double").repartition(3), "i")
+    n, aucs = sum(y for _, y, _ in rows), []
+    for lo in range(0, 700, n):
+        scored = [(-1 if p is None else p, y) for _, y, p in rows[lo : lo + n]]
+        won = [(a > b) + (a == b) / 2 for a, y in scored if y for b, z in scored if not z]
+        aucs += [sum(won) / len(won)] if won else []
+    assert got.first()["auc"] == pytest.approx(np.mean(aucs))
+    assert "rank(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chunked_auc(spark):
     # two positives, so chunks of two: right, wrong, and a chunk without a positive
     rows = [(0, 1, 0.9), (1, 0, 0.1), (2, 1, 0.2), (3, 0, 0.3), (4, 0, 0.5), (5, 0, 0.5)]
