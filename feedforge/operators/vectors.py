@@ -11,6 +11,10 @@ from feedforge.functions.lists import dot, norm
 from feedforge.operators.diversity import cross_diversity, list_diversity
 
 
+#: Scores that a task of an exact search holds at a time.
+SCORES = 1 << 22
+
+
 def vector_problems(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """One row of counts: vectors, missing, empty, of other sizes, not finite, and repeated keys."""
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -63,13 +67,16 @@ def _best(table: pa.Table, k: int) -> pa.Table:
     out: dict[str, list] = {"row": [], "item": [], "score": []}
     if asks.any() and not asks.all():
         flat = table.column("vector").combine_chunks()
-        m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(ids), -1)
         rows, items = ids[asks], ids[~asks]
         by_id = np.argsort(items, kind="stable")
-        items, mine = items[by_id], m[~asks][by_id]
-        for lo in range(0, len(rows), 512):
-            scores = np.round(m[asks][lo : lo + 512] @ mine.T, 6)
-            for r, s in zip(rows[lo : lo + 512].tolist(), scores, strict=True):
+        items, mine, asked = items[by_id], m[np.flatnonzero(~asks)[by_id]], np.flatnonzero(asks)
+        # as many queries at a time as SCORES allow, whatever the block of items
+        step = max(1, SCORES // len(items))
+        for lo in range(0, len(rows), step):
+            scores = m[asked[lo : lo + step]] @ mine.T
+            np.round(scores, 6, out=scores)
+            for r, s in zip(rows[lo : lo + step].tolist(), scores, strict=True):
                 # all that reach the k-th score, so that ties go by item
                 near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
                 best = near[np.argsort(-s[near], kind="stable")][:k]
@@ -79,7 +86,7 @@ def _best(table: pa.Table, k: int) -> pa.Table:
     return pa.table({"row": pa.array(out["row"], pa.int64()), "item": pa.array(out["item"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
 
-def top_k(queries: DataFrame, items: DataFrame, row: str, item: str, k: int, block_bytes: int = 64 << 20) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, row: str, item: str, k: int, block_bytes: int = 32 << 20) -> DataFrame:
     """row, item, score, rank: the k greatest inner products of each query's vector, equal ones by item.
 
     Queries and items are dealt into blocks of about `block_bytes`; a task multiplies two blocks and

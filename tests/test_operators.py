@@ -4,9 +4,11 @@ import datetime as dt
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +326,19 @@ def test_graded_gains(spark):
     assert got[2]["dcg"] == 0 and got[2]["ndcg"] is None
 
 
+def test_exact_search_holds_bounded_scores():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(1200, 2)), rng.normal(size=(60_000, 2))])
+    table = pa.table({"id": np.arange(len(x)), "vector": pa.array(list(x)), "asks": np.arange(len(x)) < 1200})
+    tracemalloc.start()
+    got = vectors._best(table, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    best = np.argsort(-np.round(x[7] @ x[1200:].T, 6), kind="stable")[:3] + 1200
+    assert got.slice(21, 3).column("item").to_pylist() == best.tolist()
+
+
 def test_chunked_auc_goes_by_score(spark):
     """Chunks grow with the table, so that no window may hold one."""
     rng = random.Random(14)
