@@ -8,11 +8,15 @@ rows together: each row counts a Poisson(1) number of times in each run, drawn f
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from feedforge.operators.doc_vectors import kept
 from feedforge.operators.order import numbered
@@ -128,11 +132,6 @@ def poisson_steps(most: int = 8) -> list[float]:
     return out
 
 
-def _uniform(key: Column, run: Column, seed: int) -> Column:
-    """A number in [0, 1) that follows seed, row and run."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), run.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
 def draws(key: Column, runs: int, seed: int) -> Column:
     """The first 32 bits of each run's digest of a row, runs from 1, as one binary value of 4 * runs bytes."""
     one = lambda r: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), r.cast("string"))), 1, 8)
@@ -170,26 +169,148 @@ def poisson_ci(df: DataFrame, group: str, key: str, value: str, runs: int = 200,
     return df.groupBy(group).agg(F.avg(value).alias("value")).join(ci, group).select(group, "value", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-def coverage_ci(items: DataFrame, group: str, key: str, item: str, size: DataFrame, runs: int = 200, seed: int = 42) -> DataFrame:
+#: MD5's shifts and constants, a step each.
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def _head(words: list, n: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of n blocks, whose words are arrays or, where all blocks have the same one, numbers."""
+    start = [np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = start
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        if isinstance(words[g], int):
+            f += np.uint32((words[g] + _SINES[i]) & 0xFFFFFFFF)
+        else:
+            f += words[g]
+            f += np.uint32(_SINES[i])
+        low = f >> np.uint32(32 - _TURNS[i])
+        f <<= np.uint32(_TURNS[i])
+        f |= low
+        f += b
+        a, b, c, d = d, f, b, c
+    return (a + start[0]).byteswap()
+
+
+def md5_heads(keys: list[bytes], runs: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of "key|run" for each key and each run from 1, as `draws` has them.
+
+    Keys of one length go together, as their blocks differ in few words; 64 digests of a row are most of
+    what a resample costs.
+    """
+    out, lengths = np.empty((len(keys), runs), np.uint32), np.array([len(k) for k in keys])
+    for size in np.unique(lengths):
+        at = np.flatnonzero(lengths == size)
+        mine = [keys[i] for i in at]
+        for r in range(1, runs + 1):
+            tail = b"|%d\x80" % r
+            if size + len(tail) > 56:
+                # more than one block
+                out[at, r - 1] = [int.from_bytes(hashlib.md5(k + tail[:-1], usedforsecurity=False).digest()[:4]) for k in mine]
+                continue
+            if r == 1:
+                block = np.zeros((len(at), 64), np.uint8)
+                block[:, :size] = np.frombuffer(b"".join(mine), np.uint8).reshape(len(at), size)
+            block[:, size : size + len(tail)] = np.frombuffer(tail, np.uint8)
+            block[:, 56:58] = np.frombuffer((8 * (int(size) + len(tail) - 1)).to_bytes(2, "little"), np.uint8)
+            words = block.view("<u4")
+            out[at, r - 1] = _head([np.ascontiguousarray(words[:, i]) if 4 * i < size else int(words[0, i]) for i in range(16)], len(at))
+    return out
+
+
+def poisson_weights(rows: DataFrame, key: str, runs: int, seed: int) -> DataFrame:
+    """rows with __weights, the Poisson(1) number of each run as a byte, and __drawn, the runs in which it is above zero as bits of long words."""
+    steps, width = np.array(poisson_steps()), 8 * -(-runs // 64)
+    kinds = StructType([*rows.schema.fields, StructField("__weights", BinaryType()), StructField("__drawn", ArrayType(LongType()))])
+
+    def draw(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u = md5_heads([k.encode() for k in b.column("__u").to_pylist()], runs) / 4294967296.0
+            w = np.searchsorted(steps, u, side="right").astype(np.uint8)
+            bits = np.zeros((b.num_rows, width), np.uint8)
+            some = np.packbits(w > 0, axis=1, bitorder="little")
+            bits[:, : some.shape[1]] = some
+            words = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size // 8 + 1, width // 8), pa.int32()), pa.array(bits.reshape(-1).view("<i8")))
+            rest = [c for c in b.schema.names if c != "__u"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([x.tobytes() for x in w], pa.binary()), words], names=[*rest, "__weights", "__drawn"])
+
+    return rows.withColumn("__u", F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))).mapInArrow(draw, kinds)
+
+
+def weighted_ci(rows: DataFrame, group: str, metrics: list[str], runs: int, total: str | None = None) -> DataFrame:
+    """group, metric, n, value, ci_low, ci_high of each metric's mean over rows(group, __weights, metrics).
+
+    A row crosses to Python once with all its metrics. Each batch becomes one row of sums for each of
+    its groups and metrics; `total` names a group that all rows belong to besides. Nulls stay out.
+    """
+    kind = dict(rows.dtypes)[group]
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w = np.frombuffer(b"".join(b.column("__weights").to_pylist()), np.uint8).reshape(-1, runs).astype(np.float64)
+            codes = pc.dictionary_encode(b.column(group), null_encoding="encode")
+            ids, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+            out: list[tuple] = []
+            known = np.array([b.column(m).is_valid().to_numpy(zero_copy_only=False) for m in metrics])
+            v = np.where(known, np.array([b.column(m).to_numpy(zero_copy_only=False) for m in metrics], np.float64), 0.0)
+            for g, name in enumerate(names):
+                at = np.flatnonzero(ids == g)
+                mine, some, values = w[at], known[:, at].astype(np.float64), v[:, at]
+                out += [x for x in zip([name] * len(metrics), metrics, some.sum(axis=1).astype(int), values.sum(axis=1), values @ mine, some @ mine, strict=True) if x[2]]
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [codes.dictionary.type, pa.string(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[group, "metric", "n", "v", "s", "w"])
+
+    wide = rows.select(group, "__weights", *[F.col(m).cast("double").alias(m) for m in metrics])
+    partial = wide.mapInArrow(sums, f"`{group}` {kind}, metric string, n long, v double, s array<double>, w array<double>")
+    # sums of few rows, which are read twice
+    partial = kept(partial.withColumn(group, F.explode(F.array(F.lit(total), group))) if total is not None else partial)
+    each = partial.select(group, "metric", F.posexplode(F.arrays_zip("s", "w")).alias("run", "z"))
+    means = each.groupBy(group, "metric", "run").agg((F.sum("z.s") / F.nullif(F.sum("z.w"), F.lit(0.0))).alias("m"))
+    ci = means.groupBy(group, "metric").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    value = partial.groupBy(group, "metric").agg(F.sum("n").alias("n"), (F.sum("v") / F.sum("n")).alias("value"))
+    return value.join(ci, [group, "metric"]).select(group, "metric", "n", "value", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+
+
+def merged_draws(items: DataFrame, *by: str, words: int = 1) -> DataFrame:
+    """The runs in which any row of items(*by, __drawn) is drawn, merged by or before they are shuffled, too."""
+    return items.groupBy(*by).agg(F.array(*[F.bit_or(F.get("__drawn", F.lit(w))) for w in range(words)]).alias("__drawn"))
+
+
+def covered_ci(merged: DataFrame, group: str, size: DataFrame, runs: int) -> DataFrame:
+    """group, value, ci_low, ci_high of the share of size(size) that merged(group, __drawn), a row an item, covers."""
+    bit = lambda r: F.coalesce(F.sum(F.getbit(F.get("__drawn", F.lit(r // 64)), F.lit(r % 64)).cast("long")), F.lit(0).cast("long"))
+    # a column for each run, so that no run's items are listed
+    counts = merged.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array(*[bit(r) for r in range(runs)]).alias("__ns"))
+    share = lambda n: n / F.nullif(F.col("size"), F.lit(0))
+    shares = counts.crossJoin(F.broadcast(size)).select(group, share(F.col("n")).alias("value"), F.explode(F.transform("__ns", share)).alias("share"))
+    ci = shares.groupBy(group).agg(F.first("value").alias("value"), F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return ci.select(group, "value", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+
+
+def coverage_ci(items: DataFrame, group: str, key: str, item: str, size: DataFrame, runs: int = 200, seed: int = 42, drawn: str | None = None) -> DataFrame:
     """group, value, ci_low, ci_high of the share of size(size) that the rows' items cover, for items(group, key, item).
 
-    Each row holds the runs it is drawn in (a Poisson number above zero) as bits of long words; an
-    item's words are merged by or, before they are shuffled too, so that a row costs the same in every
-    run and no run's items are listed.
+    Each row holds the runs it is drawn in as bits of long words, and an item's words are merged by or,
+    so that a row costs the same in every run. `drawn` names the column of `poisson_weights`
+    where the items have their rows' already; else the items are read twice.
     """
-    words = -(-runs // 64)
-    drawn = lambda r: _uniform(F.col(key), F.lit(r), seed) >= poisson_steps(1)[0]
-    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(b))
-    # runs count from 1; one word a step keeps the expression short
-    packed = lambda w: sum((F.when(drawn(64 * w + b + 1), bit(b)).otherwise(F.lit(0).cast("long")) for b in range(1, min(64, runs - 64 * w))), F.when(drawn(64 * w + 1), bit(0)).otherwise(F.lit(0).cast("long")))
-    rows = items.select(F.col(key)).distinct().select(key, *[packed(w).alias(f"__w{w}") for w in range(words)])
-    merged = items.join(rows, key).groupBy(group, item).agg(*[F.bit_or(f"__w{w}").alias(f"__w{w}") for w in range(words)])
-    each = merged.select(group, F.posexplode(F.array(*[f"__w{w}" for w in range(words)])).alias("w", "bits"))
-    counts = each.select(group, F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit("bits", b) == 1, F.col("w") * 64 + b)), lambda r: r.isNotNull())).alias("run"))
-    seen = counts.groupBy(group, "run").agg(F.count(F.lit(1)).alias("n"))
-    # a run that drew nothing covers nothing
-    every = items.select(group).distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    filled = every.join(seen, [group, "run"], "left").crossJoin(F.broadcast(size)).withColumn("share", F.coalesce("n", F.lit(0)) / F.nullif(F.col("size"), F.lit(0)))
-    ci = filled.groupBy(group).agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    value = merged.groupBy(group).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(size)).select(group, (F.col("n") / F.nullif(F.col("size"), F.lit(0))).alias("value"))
-    return value.join(ci, group).select(group, "value", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+    if drawn is None:
+        rows = poisson_weights(items.select(F.col(key)).distinct(), key, runs, seed).select(key, "__drawn")
+        items = items.join(rows, key)
+    else:
+        items = items.withColumn("__drawn", F.col(drawn))
+    return covered_ci(merged_draws(items, group, item, words=-(-runs // 64)), group, size, runs)

@@ -202,22 +202,28 @@ def evaluation_report(ranked: DataFrame, rows: DataFrame, catalog: DataFrame, po
     Intervals come from Poisson resamples of the rows: those of means from weighted means, those of
     coverage from the union of the resampled rows' items. n counts the rows that a metric is defined on.
     """
-    known = candidates.select(row, item).join(catalog.select(F.col(item).alias("__i"), category), candidates[item] == F.col("__i"), "left")
-    sliced = rows.select(row, F.when(F.coalesce("n_history", F.lit(0)) == 0, "cold").otherwise("warm").alias("__s")).withColumn("slice", F.explode(F.array(F.lit("all"), "__s"))).drop("__s")
-    wide = rows.select(row).join(accuracy(ranked, row), row, "left").join(category_diversity(known, row, category), row, "left").join(novelty(candidates, popularity, row, item), row, "left")
-    wide = wide.withColumns({"ild": F.coalesce("ild", F.lit(0.0)), "novelty": F.coalesce("novelty", F.lit(0.0))})
-    names = ["auc", "mrr", "ndcg_5", "ndcg_10", "ild", "novelty"]
-    # a row draws once for all its slices and metrics
-    once = wide.withColumn("__draws", bootstrap.draws(F.col(row), runs, seed))
-    long = sliced.join(once, row).select(row, "slice", "__draws", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]))).filter("value is not null")
-    group = F.concat_ws("|", "slice", "metric")
-    n = long.groupBy("slice", "metric").agg(F.count(F.lit(1)).alias("n"))
-    means = bootstrap.poisson_ci(long.withColumn("group", group), "group", row, "value", runs, seed, "__draws")
-    parts = F.split("group", "[|]")
-    means = means.select(parts[0].alias("slice"), parts[1].alias("metric"), "value", "ci_low", "ci_high").join(n, ["slice", "metric"])
-    shown = sliced.join(known, row)
-    cover = lambda name, value, size: bootstrap.coverage_ci(shown.select("slice", row, value.alias("item")), "slice", row, "item", size, runs, seed).withColumn("metric", F.lit(name))
+    slices = F.when(F.coalesce("n_history", F.lit(0)) == 0, "cold").otherwise("warm").alias("slice")
+    # a row's history is looked up once and a row draws once, for all its metrics and items
+    once = kept(bootstrap.poisson_weights(rows.select(row, slices), row, runs, seed))
+    # what is known of an item comes in one join; its popularity goes with the first of its rows in the catalog
+    surprise = popularity.groupBy(F.col(item).alias("__p")).agg(F.sum(-F.log2("p")).alias("__s"), F.count(-F.log2("p")).alias("__c"))
+    first = F.row_number().over(Window.partitionBy(item).orderBy(category)) == 1
+    facts = catalog.select(F.col(item).alias("__k"), F.col(category), first.alias("__first")).join(surprise, F.col("__k") == F.col("__p"), "full")
+    mine = lambda c: F.when(F.coalesce("__first", F.lit(True)), F.col(c)).alias(c)
+    facts = facts.select(F.coalesce("__k", "__p").alias("__i"), F.coalesce(category, F.lit(UNKNOWN)).alias("__of"), mine("__s"), mine("__c"))
+    known = candidates.select(row, item).join(facts, candidates[item] == F.col("__i"), "left")
+    per = known.groupBy(row, F.coalesce("__of", F.lit(UNKNOWN)).alias("__of")).agg(F.count(F.lit(1)).alias("__n"), F.sum("__s").alias("__s"), F.sum("__c").alias("__c"))
+    n, pairs = F.sum("__n"), F.sum(F.col("__n") * (F.col("__n") - 1))
+    beyond = per.groupBy(row).agg(F.when(n < 2, F.lit(0.0)).otherwise(1 - pairs / (n * (n - 1))).alias("ild"), F.coalesce(F.sum("__s") / F.nullif(F.sum("__c"), F.lit(0)), F.lit(0.0)).alias("novelty"))
+    wide = once.join(accuracy(ranked, row), row, "left").join(beyond, row, "left").withColumns({"ild": F.coalesce("ild", F.lit(0.0)), "novelty": F.coalesce("novelty", F.lit(0.0))})
+    means = bootstrap.weighted_ci(wide, "slice", ["auc", "mrr", "ndcg_5", "ndcg_10", "ild", "novelty"], runs, "all")
+    # categories are covered by their items
+    words, every = -(-runs // 64), F.explode(F.array(F.lit("all"), "slice"))
+    seen = kept(bootstrap.merged_draws(candidates.select(row, item).join(once.select(row, "slice", "__drawn"), row), "slice", item, words=words))
+    seen = seen.withColumn("slice", every)
+    kinds = seen.join(catalog.select(F.col(item).alias("__i"), category), seen[item] == F.col("__i"), "left").withColumn("__of", F.coalesce(F.col(category), F.lit(UNKNOWN)))
     of_all = F.coalesce(F.col(category), F.lit(UNKNOWN))
-    covered = cover("article_coverage", F.col(item), catalog.agg(F.count_distinct(item).alias("size"))).unionByName(cover("category_coverage", of_all, catalog.agg(F.count_distinct(of_all).alias("size"))))
-    covered = covered.join(sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), "slice")
+    cover = lambda name, items, of, size: bootstrap.covered_ci(bootstrap.merged_draws(items, "slice", of, words=words), "slice", size, runs).withColumn("metric", F.lit(name))
+    covered = cover("article_coverage", seen, item, catalog.agg(F.count_distinct(item).alias("size"))).unionByName(cover("category_coverage", kinds, "__of", catalog.agg(F.count_distinct(of_all).alias("size"))))
+    covered = covered.join(once.withColumn("slice", every).groupBy("slice").agg(F.count(F.lit(1)).alias("n")), "slice")
     return means.unionByName(covered).select("slice", "metric", "n", "value", "ci_low", "ci_high")

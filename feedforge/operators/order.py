@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 #: Sampled values a slot, from which the slots' bounds are taken.
 PER_SLOT = 20
+#: Rows of a part of a table that is dealt by its size.
+PART_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of so many rows by its keys, in more parts than the session has where these would be large."""
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def slotted(df: DataFrame, order: Column, slots: int | None = None) -> DataFrame:

@@ -239,7 +239,7 @@ select s.row_id, s.pos, ix.ix as cand_ix, s.label, array_to_string(list_concat(l
 from shown s join ix on p_partkey = s.item left join hx using (row_id)"""
 )
 def features_unrolled(spark: SparkSession, d: str) -> DataFrame:
-    hist = history.history_lists(T.impressions(spark, d), _asof(spark, d), "row_id", "item")
+    hist = history.with_lists(T.impressions(spark, d), Q._asof_lists(spark, d), "row_id")
     table = features.feature_table(hist, T.articles(spark, d), "row_id", item="item")
     wide = features.unrolled(features.fixed_width(table, 4), "row_id")
     return wide.select("row_id", F.col("pos").cast("long").alias("pos"), "cand_ix", "label", F.array_join("hist_ix", ",").alias("hist_ix"))
@@ -270,11 +270,6 @@ HISTORY_SLICES = """hn as (select i.row_id, count(c.item) as n from impressions
 sl as (select row_id, 'all' as slice from hn union all select row_id, case when n = 0 then 'cold' else 'warm' end from hn)"""
 
 
-def _sliced(spark: SparkSession, d: str) -> DataFrame:
-    n = history.clicks_before(T.impressions(spark, d), T.clicks(spark, d), time="t", row="row_id")
-    return n.select(F.col("__row").alias("row_id"), F.explode(F.array(F.lit("all"), F.when(F.col("__n") == 0, "cold").otherwise("warm"))).alias("slice"))
-
-
 @query(
     f"""with {HISTORY_SLICES}, x as (select distinct slice, row_id, item from cand_a join sl using (row_id)),
 u as (select row_id, run, ('0x' || substr(md5('42|' || row_id || '|' || run), 1, 8))::bigint::double / 4294967296.0::double >= {bootstrap.poisson_steps(1)[0]!r} as hit from (select distinct row_id from cand_a), (select unnest(range(1, 41)) as run)),
@@ -283,9 +278,13 @@ select slice, round(any_value(v.value), 6)::double as value, round(quantile_cont
 from s join (select slice, count(distinct item) / (select count(*) from part) as value from x group by 1) v using (slice) group by slice"""
 )
 def coverage_intervals(spark: SparkSession, d: str) -> DataFrame:
-    shown = T.candidates(spark, d).select("row_id", "item").join(_sliced(spark, d), "row_id")
+    # a row draws once, before its slices and items
+    n = history.clicks_before(T.impressions(spark, d), T.clicks(spark, d), time="t", row="row_id")
+    rows = n.select(F.col("__row").alias("row_id"), F.when(F.col("__n") == 0, "cold").otherwise("warm").alias("slice"))
+    drawn = bootstrap.poisson_weights(rows, "row_id", 40, 42).select("row_id", "slice", F.col("__drawn").alias("drawn"))
+    shown = T.candidates(spark, d).select("row_id", "item").join(drawn, "row_id").withColumn("slice", F.explode(F.array(F.lit("all"), "slice")))
     size = T.articles(spark, d).agg(F.count_distinct("item").alias("size"))
-    ci = bootstrap.coverage_ci(shown, "slice", "row_id", "item", size, runs=40)
+    ci = bootstrap.coverage_ci(shown, "slice", "row_id", "item", size, runs=40, drawn="drawn")
     return ci.select("slice", r6("value"), r6("ci_low"), r6("ci_high"))
 
 

@@ -312,6 +312,11 @@ def _asof(spark: SparkSession, d: str) -> DataFrame:
     return history.as_of_history(imp, T.clicks(spark, d), 5, row="row_id", item="item")
 
 
+def _asof_lists(spark: SparkSession, d: str) -> DataFrame:
+    imp = T.impressions(spark, d).withColumnRenamed("t", "impression_time")
+    return history.as_of_lists(imp, T.clicks(spark, d), 5, row="row_id", item="item")
+
+
 @query(ASOF + "select row_id, item, pos, (epoch_us(t) - epoch_us(click_time)) / 1000000.0::double as recency from h")
 def history_asof_lastn(spark: SparkSession, d: str) -> DataFrame:
     return _asof(spark, d).select("row_id", "item", "pos", "recency")
@@ -319,7 +324,7 @@ def history_asof_lastn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ASOF + "select row_id, coalesce(l, '') as history from impressions left join (select row_id, string_agg(item::varchar, ',' order by pos) as l from h group by row_id) using (row_id)")
 def history_lists(spark: SparkSession, d: str) -> DataFrame:
-    return history.history_lists(T.impressions(spark, d), _asof(spark, d), "row_id", "item").select("row_id", F.array_join("history", ",").alias("history"))
+    return history.with_lists(T.impressions(spark, d), _asof_lists(spark, d), "row_id").select("row_id", F.array_join("history", ",").alias("history"))
 
 
 @query("select user_id, row_id as impression_id, unnest(inview)::varchar as article_id, null::double as recency from impressions")
@@ -597,7 +602,7 @@ select i.row_id, round(avg(dist), 5) as serendipity from (select distinct row_id
 )
 def serendipity(spark: SparkSession, d: str) -> DataFrame:
     lists = T.candidates(spark, d).groupBy("row_id").agg(F.collect_list("item").alias("items"))
-    both = history.history_lists(lists, _asof(spark, d), "row_id", "item")
+    both = history.with_lists(lists, _asof_lists(spark, d), "row_id")
     return vectors.serendipity(both, T.vectors(spark, d), "row_id", "items", "history", "item").select("row_id", F.round("serendipity", 5).alias("serendipity"))
 
 
@@ -708,7 +713,7 @@ sx as (select row_id, string_agg(ix::varchar, ',' order by pos) as cand_ix, stri
 select i.row_id, dense_rank() over (order by user_id) - 1 as user_ix, coalesce(hist_ix, '') as hist_ix, cand_ix, sx.labels from impressions i left join hx using (row_id) join sx using (row_id)"""
 )
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    hist = history.history_lists(T.impressions(spark, d), _asof(spark, d), "row_id", "item")
+    hist = history.with_lists(T.impressions(spark, d), _asof_lists(spark, d), "row_id")
     joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     out = features.feature_table(hist, T.articles(spark, d), "row_id", item="item")
     return out.select("row_id", "user_ix", joined("hist_ix"), joined("cand_ix"), joined("labels"))

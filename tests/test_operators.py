@@ -574,3 +574,42 @@ def test_fair_rows(spark):
     b = spark.createDataFrame([(0,), (1,), (2,), (3,)], "row int")
     covered = spark.createDataFrame([("a",), ("b",)], "item string")
     assert sorted(r["row"] for r in validate.fair_rows(a, b, covered, "row", "gt", "item").collect()) == [0, 1]
+
+
+def test_md5_heads_equal_the_digests():
+    keys = [b"42|7", b"42|8", b"42|123456789", b"42", b"x" * 52, b"x" * 53, b"y" * 70]
+    want = [[int.from_bytes(hashlib.md5(k + b"|%d" % r).digest()[:4]) for r in range(1, 121)] for k in keys]
+    assert bootstrap.md5_heads(keys, 120).tolist() == want
+
+
+def test_histories_of_heavy_users_only(spark, monkeypatch):
+    # users above HEAVY are cut into hours, the others are sorted whole; both give the same
+    rng = random.Random(8)
+    user = lambda: "h" if rng.random() < 0.5 else rng.choice(["a", "b", None])
+    when = lambda: None if rng.random() < 0.05 else day(rng.randrange(4), 0) + dt.timedelta(minutes=10 * rng.randrange(120))
+    imp = [(i, user(), when()) for i in range(200)]
+    log = [(user(), when(), 1000 + k, k) for k in range(200)]
+    impressions = spark.createDataFrame(imp, "impression_row_id int, user_id string, impression_time timestamp")
+    clicks = spark.createDataFrame(log, "user_id string, click_time timestamp, article_id int, seq int")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    # no user is heavy here: the log is read once, and no row meets another by a join
+    assert not joins(history.clicks_before(impressions, clicks)) and not joins(history.as_of_history(impressions, clicks, 3))
+    rows = lambda: (sorted(map(str, history.clicks_before(impressions, clicks).collect())), sorted(map(str, history.as_of_history(impressions, clicks, 3).collect())), sorted(map(str, history.as_of_lists(impressions, clicks, 3).collect())))
+    whole = rows()
+    monkeypatch.setattr(history, "HEAVY", 120)
+    assert joins(history.clicks_before(impressions, clicks)) and rows() == whole
+    # and dealt by their number
+    monkeypatch.setattr(order, "PART_ROWS", 10)
+    assert rows() == whole
+
+
+def test_report_reads_histories_once(spark, monkeypatch):
+    # rows cross to the resample once: rows(...) is read by one job's tasks only
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda n: (seen.add(1), n)[1], "long")
+    rows = spark.range(6).select(F.col("id").alias("row_id"), F.col("id").alias("n"))
+    rows = rows.select("row_id", count("n").alias("n_history"))
+    ranked = spark.createDataFrame([(i, 1, 0.5, i % 2, 1) for i in range(6)], "row_id long, item long, score double, label int, rank int")
+    catalog, pop = spark.createDataFrame([(1, "c")], "item long, category string"), spark.createDataFrame([(1, 0.5)], "item long, p double")
+    evaluate.evaluation_report(ranked, rows, catalog, pop, ranked.select("row_id", "item"), runs=5).collect()
+    assert seen.value == 6
