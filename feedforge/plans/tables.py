@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedforge.operators.order import dealt
+
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
 
 
@@ -19,7 +21,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, pos, item, label, score, p: a row for each article of an impression."""
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    return read(spark, sf_dir, "lineitem").select(
+    lines = read(spark, sf_dir, "lineitem")
+    # what a task sorts does not grow with the table
+    return dealt(lines, lines.count(), "l_orderkey").select(
         F.col("l_orderkey").alias("row_id"),
         (F.row_number().over(w) - 1).cast("long").alias("pos"),
         F.col("l_partkey").alias("item"),

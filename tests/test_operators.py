@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from feedforge.operators import bm25, bootstrap, evaluate, features, frames, history, labelling, order, popularity, ranking, sampling, split, validate, vectors
 from feedforge.operators.order import numbered, running
 from feedforge.plans import queries as plans
+from feedforge.plans import tables
 
 
 def day(i, hour=0):
@@ -613,3 +614,20 @@ def test_report_reads_histories_once(spark, monkeypatch):
     catalog, pop = spark.createDataFrame([(1, "c")], "item long, category string"), spark.createDataFrame([(1, 0.5)], "item long, p double")
     evaluate.evaluation_report(ranked, rows, catalog, pop, ranked.select("row_id", "item"), runs=5).collect()
     assert seen.value == 6
+
+
+def test_shown_is_dealt_by_its_size(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    lines = tables.read(spark, folder, "lineitem").count()
+    monkeypatch.setattr(order, "PART_ROWS", 500)
+    parts = tables.shown(spark, folder).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == lines and len(parts) > 6 and max(r["count"] for r in parts) < 1500
+
+
+def test_toolbox_metrics_sort_twice(spark):
+    # ranks from both ends, ties and sizes come from one order, the ideal gain from another
+    df = spark.createDataFrame([(1, 0, 1, 0.5), (1, 1, 0, 0.5), (1, 2, 1, 0.1)], "r int, pos int, y int, p double")
+    plan = evaluate.toolbox_metrics(df, "r")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [r") <= 2
+    m = evaluate.toolbox_metrics(df, "r").first()
+    assert m["auc"] == 0.25 and m["mrr"] == pytest.approx((1 / 2 + 1 / 3) / 2)
