@@ -629,3 +629,13 @@ def test_toolbox_metrics_of_ties(spark):
     df = spark.createDataFrame([(1, 0, 1, 0.5), (1, 1, 0, 0.5), (1, 2, 1, 0.1)], "r int, pos int, y int, p double")
     m = evaluate.toolbox_metrics(df, "r").first()
     assert m["auc"] == 0.25 and m["mrr"] == pytest.approx((1 / 2 + 1 / 3) / 2)
+
+
+def test_feature_table_reads_impressions_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda n: (seen.add(1), n)[1], "long")
+    imp = spark.range(5).select(count("id").alias("row"), F.col("id").alias("user_id"), F.array(F.col("id"), F.lit(None).cast("long")).alias("history"), F.when(F.col("id") != 4, F.array("id")).alias("inview"), F.array(F.lit(1)).alias("labels"))
+    got = {r["row"]: r for r in features.feature_table(imp, spark.range(1, 5).withColumnRenamed("id", "article_id"), "row").collect()}
+    assert seen.value == 5
+    assert [got[i]["hist_ix"] for i in range(5)] == [[0, 0], [1, 0], [2, 0], [3, 0], [4, 0]]
+    assert [got[i]["cand_ix"] for i in range(5)] == [[0], [1], [2], [3], [0]]
