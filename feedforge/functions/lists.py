@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,6 +125,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once for a lambda that uses it for each element; inside the lambda it would be taken each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; 1 where a vector is zero."""
     n = norm(a) * norm(b)

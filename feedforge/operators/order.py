@@ -13,10 +13,12 @@ PER_SLOT = 20
 PART_ROWS = 1 << 19
 
 
-def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """df of so many rows by its keys, in more parts than the session has where these would be large."""
+def dealt(df: DataFrame, rows: int, *keys: str, always: bool = False) -> DataFrame:
+    """df of so many rows by its keys, in more parts than the session has where these would be large; else as it is, or always."""
     parts = -(-rows // PART_ROWS)
-    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(parts, *keys)
+    return df.repartition(*keys) if always else df
 
 
 def slotted(df: DataFrame, order: Column, slots: int | None = None) -> DataFrame:

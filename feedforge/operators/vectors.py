@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedforge.functions.lists import dot, norm
+from feedforge.functions.lists import dot, norm, once
 from feedforge.operators.diversity import cross_diversity, list_diversity
+from feedforge.operators.list_sums import Sums, folded
 
 
 #: Scores that a task of an exact search holds at a time.
@@ -38,8 +41,8 @@ def load_vectors(vectors: DataFrame, catalog: DataFrame, key: str, vector: str)
 
 def normalized(vectors: DataFrame, vector: str) -> DataFrame:
     """Unit vectors; a zero vector stays."""
-    n = norm(F.col(vector))
-    return vectors.withColumn(vector, F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(F.transform(vector, lambda x: x.cast("double"))))
+    scaled = lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+    return vectors.withColumn(vector, once(norm(F.col(vector)), scaled))
 
 
 def mean_pool(items: DataFrame, vectors: DataFrame, row: str, item: str, vector: str, normalize: bool = True) -> DataFrame:
@@ -54,12 +57,31 @@ def mean_pool(items: DataFrame, vectors: DataFrame, row: str, item: str, vector:
     cells = [F.avg(F.get(F.col(vector), i).cast("double")).alias(f"__{i}") for i in range(width)]
     pooled = joined.groupBy("__row").agg(F.count(F.lit(1)).alias("n_used"), *cells).select("__row", "n_used", F.array(*[f"__{i}" for i in range(width)]).cast("array<double>").alias("vector"))
     if normalize:
-        size = norm(F.col("vector"))
-        pooled = pooled.withColumn("vector", F.when(size > 0, F.transform("vector", lambda x: x / size)))
+        pooled = pooled.withColumn("vector", once(norm(F.col("vector")), lambda n: F.when(n > 0, F.transform("vector", lambda x: x / n))))
     rows = items.select(F.col(row).alias("__row")).distinct()
     return rows.join(pooled, "__row", "left").select(F.col("__row").alias(row), F.coalesce("n_used", F.lit(0)).alias("n_used"), "vector")
 
 
+def _means(sums: Sums, normalize: bool) -> list[pa.Array]:
+    n, total, cells = sums.n[:, 0], sums.total[:, 0], sums.cells[:, 0]
+    mean = np.divide(total, cells, out=np.zeros(total.shape), where=cells > 0)
+    absent = cells == 0
+    null = sums.filled[:, 0] == 0
+    if normalize:
+        size = np.sqrt((mean * mean).sum(1))
+        # a place without a value leaves the length unknown; NaN is greater than 0 in Spark
+        null |= absent.any(1) | (size == 0)
+        mean = np.divide(mean, size[:, None], out=mean, where=~null[:, None])
+    flat = pa.array(mean.ravel(), mask=absent.ravel()) if absent.any() else pa.array(mean.ravel())
+    ends = pa.array(np.arange(0, mean.size + 1, mean.shape[1] or 1, np.int32)) if mean.shape[1] else pa.array(np.zeros(len(mean) + 1, np.int32))
+    return [pa.array(n), pa.ListArray.from_arrays(ends, flat, mask=pa.array(null))]
+
+
+def pool_lists(lists: DataFrame, vectors: DataFrame, row: str, items: str, item: str, vector: str, normalize: bool = True) -> DataFrame:
+    """row, n_used, vector: `mean_pool` of the items of a list a row; rows differ, and all of them are returned."""
+    return folded(lists, vectors, row, [items], item, vector, False, partial(_means, normalize=normalize), "n_used long, vector array<double>")
+
+
 def _best(table: pa.Table, k: int) -> pa.Table:
     """The k best items of a block for each query of a block."""
     asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)

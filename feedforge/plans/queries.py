@@ -571,7 +571,7 @@ u as (select row_id, p, x / sqrt(sum(x * x) over (partition by row_id)) as x fro
 select hh.row_id, coalesce(n, 0) as n_used, round(u.x, 5) as first from (select distinct row_id from h) hh left join n using (row_id) left join u on u.row_id = hh.row_id and p = 1"""
 )
 def pooled_user_vector(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors.mean_pool(_asof(spark, d), T.vectors(spark, d), "row_id", "item", "vector")
+    v = vectors.pool_lists(_asof_lists(spark, d), T.vectors(spark, d), "row_id", "history", "item", "vector")
     return v.select("row_id", "n_used", F.round(F.element_at("vector", 1), 5).alias("first"))
 
 
