@@ -13,11 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.functions.lists import dot
 from feedforge.functions.scalars import combinations
+from feedforge.operators.list_sums import Sums
 
 #: Combinations above which bounds are estimated unless the caller asks for the exact form.
 MOST = 20_000
@@ -25,45 +25,20 @@ MOST = 20_000
 STEP = 4096
 
 
-def unit(vector: Column) -> Column:
-    """The vector at length 1; a zero vector stays."""
-    n = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(0.0))
-
-
-def unit_sums(items: DataFrame, vectors: DataFrame, row: str, item: str, vector: str = "vector") -> DataFrame:
-    """row, n, n_zero, sum: sums of the unit vectors of each row's known items, added up before the shuffle.
-
-    Components are summed as columns where vectors are short, so that partial sums stay in one row a key.
-    """
-    units = vectors.select(F.col(item).alias("__item"), unit(F.col(vector)).alias("__unit"))
-    width = vectors.agg(F.max(F.size(vector))).first()[0] or 0
-    # spread once an item, not once a place that it has in a list
-    each = [F.coalesce(F.get("__unit", F.lit(i)), F.lit(0.0)).alias(f"__{i}") for i in range(width)]
-    known = units.filter("__unit is not null").select("__item", F.exists("__unit", lambda x: x != 0).cast("int").alias("__some"), *each)
-    joined = items.select(F.col(row).alias("__row"), F.col(item).alias("__item")).join(known, "__item")
-    added = joined.groupBy("__row").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.sum("__some")).alias("n_zero"), *[F.sum(f"__{i}").alias(f"__{i}") for i in range(width)])
-    sums = F.array(*[f"__{i}" for i in range(width)]) if width else F.array().cast("array<double>")
-    return added.select(F.col("__row").alias(row), "n", "n_zero", sums.alias("sum"))
-
-
-def list_diversity(items: DataFrame, vectors: DataFrame, row: str, item: str, vector: str = "vector") -> DataFrame:
-    """row, diversity: mean cosine distance over the ordered pairs of a row's known items; null under two of them.
-
-    items has a row for each item of a list; repeated items are items of their own.
-    """
-    s = unit_sums(items, vectors, row, item, vector)
-    n = F.col("n")
+def among(sums: Sums) -> list[pa.Array]:
+    """Mean cosine distance over the ordered pairs of each list's vectors; null under two of them."""
+    n, total = sums.filled[:, 0].astype(float), sums.total[:, 0]
     # a zero vector's cosine with itself is no part of the sum, nor of what is taken off it
-    cosines = dot(F.col("sum"), F.col("sum")) - (n - F.col("n_zero"))
-    return s.select(row, F.when(n > 1, 1 - cosines / (n * (n - 1))).alias("diversity"))
+    cosines = (total * total).sum(1) - (n - sums.zero[:, 0])
+    pairs = n * (n - 1)
+    return [pa.array(1 - np.divide(cosines, pairs, out=np.zeros(len(n)), where=pairs > 0), mask=pairs == 0)]
 
 
-def cross_diversity(left: DataFrame, right: DataFrame, vectors: DataFrame, row: str, item: str, name: str = "serendipity", vector: str = "vector") -> DataFrame:
-    """row and the mean cosine distance between the known items of both sides; rows that lack a side are left out."""
-    a, b = (unit_sums(side, vectors, row, item, vector) for side in (left, right))
-    both = a.select(row, F.col("n").alias("na"), F.col("sum").alias("sa")).join(b.select(row, "n", "sum"), row)
-    return both.select(row, (1 - dot(F.col("sa"), F.col("sum")) / (F.col("na") * F.col("n"))).alias(name))
+def between(sums: Sums) -> list[pa.Array]:
+    """Mean cosine distance between the vectors of each row's two lists; null where one has none."""
+    pairs = sums.filled.astype(float).prod(1)
+    cosines = (sums.total[:, 0] * sums.total[:, 1]).sum(1)
+    return [pa.array(1 - np.divide(cosines, pairs, out=np.zeros(len(pairs)), where=pairs > 0), mask=pairs == 0)]
 
 
 def unranked(ranks: np.ndarray, n: int, k: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedforge.functions.lists import dot, norm, once
-from feedforge.operators.diversity import cross_diversity, list_diversity
+from feedforge.operators import diversity
 from feedforge.operators.list_sums import Sums, folded
 
 
@@ -129,16 +129,12 @@ def top_k(queries: DataFrame, items: DataFrame, row: str, item: str, k: int, blo
 
 def pairwise_distance(lists: DataFrame, vectors: DataFrame, row: str, items: str, item: str) -> DataFrame:
     """row, diversity: mean cosine distance over pairs of each list's known items; null under two of them."""
-    each = lists.select(F.col(row).alias("__row"), F.explode(items).alias(item))
-    scored = list_diversity(each, vectors, "__row", item)
-    return lists.select(row).join(scored, lists[row] == F.col("__row"), "left").drop("__row")
+    return folded(lists, vectors, row, [items], item, "vector", True, diversity.among, "diversity double")
 
 
 def serendipity(lists: DataFrame, vectors: DataFrame, row: str, recommended: str, history: str, item: str) -> DataFrame:
     """row, serendipity: mean cosine distance between known recommended and known history items; null if either is empty."""
-    side = lambda c: lists.select(F.col(row).alias("__row"), F.explode(c).alias(item))
-    means = cross_diversity(side(recommended), side(history), vectors, "__row", item)
-    return lists.select(row).join(means, lists[row] == F.col("__row"), "left").drop("__row")
+    return folded(lists, vectors, row, [recommended, history], item, "vector", True, diversity.between, "serendipity double")
 
 
 def entity_mean(articles: DataFrame, vectors: DataFrame, article: str, entities: str, entity: str, vector: str) -> DataFrame:

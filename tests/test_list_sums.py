@@ -42,6 +42,15 @@ def test_pool_lists_without_vectors(spark):
     assert sorted((r["row"], r["n_used"], r["vector"]) for r in got) == [(1, 0, None), (2, 0, None)]
 
 
+def test_distances_of_long_lists(batched):
+    v = batched.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "item long, vector array<double>")
+    df = batched.createDataFrame([(1, [0, 1] * 20, [0] * 7), (2, [2, 2], [2]), (None, [0, 0], [0])], "row long, a array<long>, b array<long>")
+    among = {r["row"]: r["diversity"] for r in vectors.pairwise_distance(df, v, "row", "a", "item").collect()}
+    between = {r["row"]: r["serendipity"] for r in vectors.serendipity(df, v, "row", "a", "b", "item").collect()}
+    assert among == {1: pytest.approx(20 / 39), 2: 1.0, None: pytest.approx(0)}
+    assert between == {1: pytest.approx(0.5), 2: 1.0, None: pytest.approx(0)}
+
+
 def test_lengths_are_taken_once(spark):
     """A length inside the lambda over the components is taken for each of them."""
     v = spark.createDataFrame(VECTORS[:3], "item string, vector array<float>")
@@ -53,7 +62,7 @@ def test_lengths_are_taken_once(spark):
     assert unit["k"] == pytest.approx([0.6, 0.8]) and unit["l"] == [0.0, 1.0] and math.isclose(unit["m"][0], -0.6)
 
 
-@pytest.mark.parametrize(("name", "windows"), [("pooled_user_vector", 3)])
+@pytest.mark.parametrize(("name", "windows"), [("pooled_user_vector", 3), ("serendipity", 3)])
 def test_histories_are_found_once(spark, name, windows):
     """The windows of a history: places of an impression, last clicks, clicks before an impression."""
     plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
