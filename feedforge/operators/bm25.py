@@ -12,6 +12,12 @@ from feedforge.functions.scalars import bm25_idf, bm25_term
 from feedforge.functions.text import tokens
 
 
+#: Documents of a part of an index.
+PART_DOCS = 1 << 13
+#: Terms of all queries up to which they travel to the postings, instead of meeting them by shuffles.
+MOST_TERMS = 1 << 17
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     """postings(term, doc_ix, tf, dl), terms(term, df, idf, avgdl) and docs(doc_ix, dl)."""
@@ -21,6 +27,7 @@ class Bm25Index:
     docs: DataFrame
     k1: float
     b: float
+    held: tuple[DataFrame, ...] = ()
 
     def save(self, folder: str) -> None:
         """Write the index as tables, postings in ranges of terms, so that a search reads few of their pages."""
@@ -30,8 +37,8 @@ class Bm25Index:
 
     def release(self) -> None:
         """Give back what the index keeps of its corpus."""
-        self.docs.unpersist()
-        self.postings.unpersist()
+        for df in self.held:
+            df.unpersist()
 
 
 def load_index(spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
@@ -41,20 +48,25 @@ def load_index(spark: SparkSession, folder: str, k1: float = 1.5, b: float = 0.7
 def build_index(corpus: DataFrame, doc_ix: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, remove_stopwords: bool = True) -> Bm25Index:
     """An index of corpus(doc_ix, text), a row a document.
 
-    A document's words are counted inside its row, so that postings and lengths need no shuffle; they
-    are kept until `release`, as idf derives from them. A raw idf below zero becomes `epsilon` times the
-    mean raw idf over distinct terms; the average length counts empty documents.
+    A document's words are counted inside its row. Documents are dealt by their number into parts of
+    about PART_DOCS and kept with their words and lengths until `release`, so that neither postings nor
+    lengths are shuffled again and a search adds up a document's score where it lies. A raw idf below zero
+    becomes `epsilon` times the mean raw idf over distinct terms; the average length counts empty documents.
     """
-    words = corpus.select(F.col(doc_ix).alias("doc_ix"), tokens(F.col(text), remove_stopwords).alias("words"))
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // PART_DOCS))
+    dealt = corpus.select(F.col(doc_ix).alias("doc_ix"), F.col(text).alias("text")).repartition(parts, "doc_ix")
+    words = dealt.select("doc_ix", tokens(F.col("text"), remove_stopwords).alias("words"))
     ordered = words.select("doc_ix", F.size("words").cast("long").alias("dl"), F.sort_array("words").alias("words"))
-    postings = ordered.select("doc_ix", "dl", F.inline(run_lengths(F.col("words")))).toDF("doc_ix", "dl", "term", "tf").select("term", "doc_ix", "tf", "dl").persist()
-    lengths = postings.groupBy("doc_ix").agg(F.max("dl").alias("dl"))
-    docs = corpus.select(F.col(doc_ix).alias("doc_ix")).join(lengths, "doc_ix", "left").select("doc_ix", F.coalesce("dl", F.lit(0)).alias("dl")).persist()
+    whole = ordered.select("doc_ix", "dl", run_lengths(F.col("words")).alias("runs")).persist()
+    postings = whole.select("doc_ix", "dl", F.inline("runs")).toDF("doc_ix", "dl", "term", "tf").select("term", "doc_ix", "tf", "dl")
+    docs = whole.select("doc_ix", F.when(F.col("doc_ix").isNull(), 0).otherwise(F.col("dl")).alias("dl"))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).withColumn("raw", bm25_idf(F.col("n_docs"), F.col("df")))
+    # the mean and the terms both read the counts
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist()
+    raw = counts.crossJoin(F.broadcast(n)).withColumn("raw", bm25_idf(F.col("n_docs"), F.col("df")))
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    return Bm25Index(postings, terms, docs, k1, b)
+    return Bm25Index(postings, terms, docs, k1, b, (whole, counts))
 
 
 def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int, remove_stopwords: bool = True, zero_fill: bool = True) -> DataFrame:
@@ -62,11 +74,14 @@ def search(index: Bm25Index, queries: DataFrame, row: str, text: str, top_k: int
 
     A query's repeated terms count once. With zero_fill, queries with fewer hits are filled with
     unmatched documents of score 0 by ascending doc_ix: only the first top_k documents can be needed,
-    so the filling looks at those alone. Nothing is kept once the result has been read.
+    so the filling looks at those alone. Up to MOST_TERMS terms of all queries are broadcast to the
+    postings; more of them meet the postings by shuffles. Nothing is kept once the result has been read.
     """
     wanted = queries.select(F.col(row).alias("__row"), F.explode(F.array_distinct(tokens(F.col(text), remove_stopwords))).alias("term"))
     # the queries' terms, with their weights, cut the postings down in one join
-    weighted = index.postings.join(wanted.join(index.terms, "term"), "term")
+    asked = wanted.join(index.terms, "term")
+    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    weighted = index.postings.join(F.broadcast(asked) if few else asked, "term")
     part = bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
     hits = weighted.groupBy("__row", "doc_ix").agg(F.round(F.sum(part), 9).alias("score")).filter("score <> 0")
     w = Window.partitionBy("__row").orderBy(F.desc("score"), "doc_ix")

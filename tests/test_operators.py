@@ -207,6 +207,25 @@ def test_bm25_index_as_tables(spark, tmp_path):
     index.release()
 
 
+def test_bm25_scores_where_documents_lie(spark, monkeypatch):
+    """Postings are not shuffled for a search, and the same rows come where too many terms are asked to be broadcast."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 3} shared") for i in range(40)] + [(40, None), (None, "word1 alone")], "ix long, t string")
+    queries = spark.createDataFrame([(1, "word3 shared"), (2, "word1"), (3, "alone")], "q int, t string")
+    index = bm25.build_index(docs, "ix", "t")
+    found = bm25.search(index, queries, "q", "t", 4, zero_fill=False)
+    few = sorted((r["q"], r["rank"], r["doc_ix"], r["score"]) for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    above = plan[: plan.index("TableCacheQueryStage")]
+    assert above.count("Exchange hashpartitioning(__row") == 1 and "doc_ix" not in "".join(x for x in above.splitlines() if "Exchange hash" in x)
+    monkeypatch.setattr(bm25, "MOST_TERMS", 1)
+    many = bm25.search(index, queries, "q", "t", 4, zero_fill=False).collect()
+    assert sorted((r["q"], r["rank"], r["doc_ix"], r["score"]) for r in many) == few
+    assert few[0][:3] == (1, 1, 3) and few[-1][:3] == (3, 1, None)
+    assert index.docs.filter("dl = 0").count() == 2
+    index.release()
+    assert not any(df.is_cached for df in index.held)
+
+
 def test_bm25_zero_fill_whole_queries(spark, tmp_path):
     docs = [(i, f"filler word{i}") for i in range(60)] + [(60, "needle")]
     items = [(1, "unmatched opening words, then a needle"), (2, "word7"), (3, "")]
