@@ -418,6 +418,38 @@ def test_quality_judges_twins_apart(spark):
     assert sorted((r.doc_id, r.lang) for r in left.collect()) == [(500, "de"), (501, "de"), (501, "de")]
 
 
+def text_rows_shuffled(plan):
+    """Rows of exchanges that carry a column `text`, in the plan of a query that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return text_rows_shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return text_rows_shuffled(plan.plan())
+    children = plan.children()
+    below = sum(text_rows_shuffled(children.apply(i)) for i in range(children.size()))
+    carries = kind == "ShuffleExchangeExec" and "text#" in plan.output().mkString(",")
+    return below + (plan.metrics().apply("shuffleRecordsWritten").value() if carries else 0)
+
+
+def test_quality_filter_shuffles_only_texts_in_doubt(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(k, usual(rng, 4) if k % 4 else "too short", "en", "a") for k in range(400)] + [(None, usual(rng, 4), None, "a"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {tuple(r)[:4] for r in quality.verdicts(docs).filter("kept").select("doc_id", "text_hash", "lang", "source").collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = quality.filter_quality(docs)
+        got = sorted(left.collect(), key=repr)
+        assert text_rows_shuffled(left._jdf.queryExecution().executedPlan()) < 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(kept) > 250 and {tuple(r) for r in left.selectExpr("doc_id", "xxhash64(text)", "coalesce(lang, '')", "coalesce(source, '')").collect()} == kept
+    # where the bitmaps tell nothing, the join does
+    monkeypatch.setattr(quality, "flag_members", lambda df, key, keys, name, **_: df.withColumn(name, F.lit(True)))
+    assert sorted(quality.filter_quality(docs).collect(), key=repr) == got
+
+
 # --- operator 4
 
 
