@@ -3,10 +3,11 @@
 Every window of 200 bytes has an anchor: the smallest hash of its 32-byte strings, the leftmost on
 ties. Equal windows have equal anchors at equal places, so windows are dealt into shards by anchor,
 and a run of windows with one anchor is cut out as one slice. Anchors that occur once are dropped;
-equal slices of an anchor collapse into one with a count. Shards of different slices get a suffix
-array by induced sorting and permuted common prefixes (`suffix`); windows that share 200 bytes with
-another one, or lie in a slice with a count over one, are repeats. What repeats cover is removed from
-every document.
+equal slices of an anchor collapse into one with a count. Slices whose anchor, with half of what a
+window has besides on either side, is in no other slice share no window and are dropped too. Shards of
+the others get a suffix array by induced sorting and permuted common prefixes (`suffix`); windows that
+share 200 bytes with another one, or lie in a slice with a count over one, are repeats. What repeats
+cover is removed from every document.
 
 Shards are made of whole anchors and hold about SHARD_BYTES. An anchor with more than WIDE different
 slices would be too much for one task; its slices are dealt again as texts with a count, by longer
@@ -46,6 +47,8 @@ FEW = 1_000_000
 LAST = 24
 #: Bytes that are hashed at a time; longer texts go in overlapping parts.
 PART = 1 << 20
+#: Bits of a slice's number of windows; its anchor's place stands above them.
+SPAN = 15
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -75,7 +78,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _cut(raw: bytes, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor hash, slice hash, first window, number of windows, document."""
+    """Runs of windows with one anchor: anchor hash, slice hash, first window, number of windows and above it the anchor's place in the slice (SPAN), document."""
     n = len(raw)
     empty = np.zeros(0, np.int64)
     if n < length:
@@ -94,7 +97,7 @@ def _cut(raw: bytes, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[n
     # a run ends before the next one begins or where windows leave the document
     bound = np.flatnonzero(np.append(new | ~whole, True))
     count = bound[np.searchsorted(bound, first, "right")] - first
-    return grams[place[first]], h.of(first, first + count + length - 1), first, count, doc[first]
+    return grams[place[first]], h.of(first, first + count + length - 1), first, count + ((place[first] - first) << SPAN), doc[first]
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -138,9 +141,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     for batch in slices(batches, 0):
         out: list[tuple] = []
         for text, asked in zip((x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist(), strict=True):
-            out += [(a["anchor"], a["slice"], a["n"], text[a["first"] : a["first"] + a["windows"] + length - 1]) for a in asked]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "slice", "n", "data"])
+            out += [(a["anchor"], a["slice"], a["n"], a["windows"] >> SPAN, text[a["first"] : a["first"] + (a["windows"] & ((1 << SPAN) - 1)) + length - 1]) for a in asked]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "slice", "n", "place", "data"])
 
 
 def repeated_windows(slices: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
@@ -160,24 +163,55 @@ def repeated_windows(slices: list[bytes], counts: list[int], length: int) -> lis
     return [hit[e - n : e - length + 1] for e, n in zip(ends, sizes, strict=True)]
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """First and last place of each run of true."""
-    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
+def may_repeat(anchors: list[int], counts: list[int], places: list[int], slices: list[bytes], length: int, gram: int) -> np.ndarray:
+    """False only for slices, different under each anchor, that share no window with another one.
 
-
-def _shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, slice, n, data) sorted by anchor -> (anchor, slice, lo, hi) of runs of repeated windows."""
+    A window has at least half of what it is longer than its anchor on the anchor's left or on its
+    right, so that two slices with a common window have one of these longer strings in common.
+    """
+    sizes = np.array([len(x) for x in slices])
+    ends = np.cumsum(sizes)
+    at = ends - sizes + np.array(places)
+    half = (length - gram) // 2
+    h = _Hashes(b"".join(slices))
+    lo, hi = np.maximum(at - half, ends - sizes), np.minimum(at + gram + half, ends)
+    key = mix(np.array(anchors, np.int64).view(np.uint64))
+    often = np.array(counts) > 1
+    for found, whole in ((h.of(lo, at + gram), at - lo == half), (h.of(at, hi), hi - at == gram + half)):
+        some = np.flatnonzero(whole)
+        _, which, n = np.unique(found[some] ^ key[some], return_inverse=True, return_counts=True)
+        often[some] |= n[which] > 1
+    return often
+
+
+def _runs(flags: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Runs of true in each of some arrays: which array, first and last place in it."""
+    # a false before each array keeps runs apart
+    begins = np.cumsum([0] + [len(f) + 1 for f in flags])
+    marks = np.zeros(begins[-1] + 1, np.int8)
+    joined = np.ones(begins[-1] + 1, bool)
+    joined[begins] = False
+    marks[joined] = np.concatenate(flags)
+    edge = np.diff(marks)
+    first, last = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1)
+    owner = np.searchsorted(begins, first, "right") - 1
+    return owner, first - begins[owner] - 1, last - begins[owner] - 1
+
+
+def _shards(batches: Iterator[pa.RecordBatch], length: int, gram: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, slice, n, place, data) sorted by anchor -> (anchor, slice, lo, hi) of runs of repeated windows."""
     held: list[tuple] = []
     size = 0
 
     def done() -> pa.RecordBatch:
-        out = []
-        flags = repeated_windows([h[3] for h in held], [h[2] for h in held], length)
-        for (a, s, _, _), f in zip(held, flags, strict=True):
-            out += [(a, s, lo, hi) for lo, hi in _runs(f)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "slice", "lo", "hi"])
+        anchors, hashes, counts, places, data = zip(*held, strict=True)
+        keep = np.flatnonzero(may_repeat(anchors, counts, places, data, length, gram)).tolist()
+        names, kinds = ["anchor", "slice", "lo", "hi"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        if not keep:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
+        owner, lo, hi = _runs(repeated_windows([data[i] for i in keep], [counts[i] for i in keep], length))
+        of = lambda xs: np.array([xs[i] for i in keep], np.int64)[owner]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((of(anchors), of(hashes), lo, hi), kinds, strict=True)], names=names)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -188,7 +222,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) ->
                 held, size = [], 0
                 give_back(0)
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield done()
 
@@ -224,11 +258,11 @@ def _hits(packed: DataFrame, texts: Callable[[DataFrame], DataFrame], weight: Co
 
     def pieces(some: DataFrame) -> DataFrame:
         asked = some.groupBy("rid").agg(F.collect_list(F.struct("anchor", "slice", "n", "first", "windows")).alias("asked"))
-        return texts(asked).mapInArrow(partial(_pieces, length=length), "anchor long, slice long, n long, data binary")
+        return texts(asked).mapInArrow(partial(_pieces, length=length), "anchor long, slice long, n long, place int, data binary")
 
     usual = pieces(kinds if finest else kinds.join(few, "anchor", "left_anti"))
     sorted_ = usual.repartition(range_count(packed.sparkSession), "anchor").sortWithinPartitions("anchor", "slice")
-    found = sorted_.mapInArrow(partial(_shards, length=length, shard_bytes=shard_bytes), "anchor long, slice long, lo int, hi int")
+    found = sorted_.mapInArrow(partial(_shards, length=length, gram=gram, shard_bytes=shard_bytes), "anchor long, slice long, lo int, hi int")
     if not finest:
         longer = (gram + length) // 2 if length - gram > LAST else length
         rest = checkpoint(pieces(kinds.join(few, "anchor", "left_semi")).dropDuplicates(["anchor", "slice"]).withColumn("row", F.monotonically_increasing_id()))

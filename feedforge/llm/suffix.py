@@ -219,11 +219,7 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, need: int) ->
         equal = (np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
         length[live] = np.minimum(length[live] + equal, limit[live])
         live = live[(equal == 8) & (length[live] < limit[live])]
-    # a reducible place has one byte less than the place before
-    base = np.full(n, -1, np.int64)
-    base[places] = places
-    base = np.maximum.accumulate(base)
-    full = np.zeros(n, np.int64)
-    full[places] = length
-    out = np.where(before >= 0, full[np.maximum(base, 0)] - (i - base), 0)
-    return np.maximum(out, 0)
+    # a reducible place has one byte less than the place before; the first suffix in order has none
+    out[places[0] :] = np.repeat(length + places, np.diff(places, append=n)) - i[places[0] :]
+    out[order[0]] = 0
+    return np.maximum(out, 0, out=out)

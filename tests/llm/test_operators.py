@@ -722,6 +722,29 @@ def test_slices_of_crowded_anchors_are_told_apart_without_marking_all_slices(spa
     assert marked and all("text" in c and "slice" not in c for c in marked)
 
 
+def test_only_slices_that_may_share_a_window_are_sorted():
+    rng = random.Random(23)
+    some = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    phrase, passage = some(110), some(230)
+    # a phrase shorter than a window, a passage longer than one, and cuts of it at both ends of texts
+    texts = [some(300) + phrase + some(300) for _ in range(20)] + [some(150) + passage + some(150), some(90) + passage, passage + some(80), passage[:205] + some(60), some(60) + passage[-201:]]
+    slices, seen = {}, collections.Counter()
+    for t in texts:
+        anchor, cut, first, span, _ = repeats._cut(t, np.array([len(t)]), 200)
+        seen.update(anchor.tolist())
+        for a, c, f, x in zip(anchor.view(np.int64).tolist(), cut.tolist(), first.tolist(), span.tolist(), strict=True):
+            data = t[f : f + (x & (1 << repeats.SPAN) - 1) + 199]
+            slices[a, c] = (slices.get((a, c), (0,))[0] + 1, x >> repeats.SPAN, data)
+    rows = [(a, *r) for (a, _), r in sorted(slices.items()) if seen[a % (1 << 64)] > 1]
+    anchors, counts, places, data = (list(x) for x in zip(*rows, strict=True))
+    kept = repeats.may_repeat(anchors, counts, places, data, 200, repeats.GRAM)
+    windows = collections.Counter(d[k : k + 200] for n, d in zip(counts, data, strict=True) for k in range(len(d) - 199) for _ in range(n))
+    shares = np.array([any(windows[d[k : k + 200]] > 1 for k in range(len(d) - 199)) for d in data])
+    assert shares.any() and kept[shares].all() and (~kept).sum() > 10
+    owner, lo, hi = repeats._runs([np.array(x, bool) for x in ([1, 1, 0, 1], [1], [0, 0], [0, 1])])
+    assert list(zip(owner.tolist(), lo.tolist(), hi.tolist(), strict=True)) == [(0, 0, 1), (0, 3, 3), (1, 0, 0), (3, 1, 1)]
+
+
 def test_repeats_odd(odd, none):
     got = frame(repeats.remove_repeats(odd, digest=True))
     want = brute_repeats([t or "" for _, t in ODD])
