@@ -170,14 +170,21 @@ def may_repeat(anchors: list[int], counts: list[int], places: list[int], slices:
     right, so that two slices with a common window have one of these longer strings in common.
     """
     sizes = np.array([len(x) for x in slices])
-    ends = np.cumsum(sizes)
-    at = ends - sizes + np.array(places)
     half = (length - gram) // 2
-    h = _Hashes(b"".join(slices))
-    lo, hi = np.maximum(at - half, ends - sizes), np.minimum(at + gram + half, ends)
+    left, right = np.empty(len(slices), np.uint64), np.empty(len(slices), np.uint64)
+    # slices are hashed in parts, so that prefix sums stay small
+    part = np.cumsum(sizes) // (PART // 2)
+    for some in np.split(np.arange(len(slices)), np.flatnonzero(np.diff(part)) + 1):
+        h = _Hashes(b"".join(slices[some[0] : some[-1] + 1]))
+        ends = np.cumsum(sizes[some])
+        begins = ends - sizes[some]
+        at = begins + np.array(places[some[0] : some[-1] + 1])
+        left[some] = h.of(np.maximum(at - half, begins), at + gram)
+        right[some] = h.of(at, np.minimum(at + gram + half, ends))
+    place = np.array(places)
     key = mix(np.array(anchors, np.int64).view(np.uint64))
     often = np.array(counts) > 1
-    for found, whole in ((h.of(lo, at + gram), at - lo == half), (h.of(at, hi), hi - at == gram + half)):
+    for found, whole in ((left, place >= half), (right, place + gram + half <= sizes)):
         some = np.flatnonzero(whole)
         _, which, n = np.unique(found[some] ^ key[some], return_inverse=True, return_counts=True)
         often[some] |= n[which] > 1
@@ -206,6 +213,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, gram: int, shard_byt
     def done() -> pa.RecordBatch:
         anchors, hashes, counts, places, data = zip(*held, strict=True)
         keep = np.flatnonzero(may_repeat(anchors, counts, places, data, length, gram)).tolist()
+        give_back(0)
         names, kinds = ["anchor", "slice", "lo", "hi"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         if not keep:
             return pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
