@@ -71,3 +71,27 @@ def test_odd_documents(spark):
     assert got[2] == got[3] == got[5] == [0.0] * 5 and any(got[1]) and any(got[4])
     none = spark.createDataFrame([], "doc_id long, text string")
     assert doc_vectors.document_vectors(none, "doc_id", "text", 3).count() == 0
+
+
+def test_what_is_shuffled_follows_documents(spark):
+    """Rare words took a vector each for every block and round, and all counts went through four shuffles."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(20000 * rng.random() ** 2)}" for _ in range(120))) for i in range(600)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    found = doc_vectors.document_vectors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text", 16, block_docs=150)
+    assert found.count() == 600
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert written() - before < 50 * sum(len(t) for _, t in rows)
+
+
+def test_groups_and_repeated_ids(spark):
+    """Many groups of words, and rows of equal ids, which are one document, give what one group and whole texts give."""
+    rows = corpus(90, 5)
+    split = [r for i, t in rows for r in ([(i, t[: len(t) // 12 * 6]), (i, t[len(t) // 12 * 6 :])] if i % 9 == 0 else [(i, t)])]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    got, want = (
+        {r["doc_id"]: r["vector"] for r in doc_vectors.document_vectors(frame(r), "doc_id", "text", 4, **sizes).collect()} for r, sizes in ((split, {"group_bytes": 8000, "block_docs": 7}), (rows, {}))
+    )
+    assert len(got) == 90 and set(got) == set(want)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
