@@ -55,10 +55,11 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner follows the driver's garbage collection, which may not come before the disk is full.
     """
-    for _ in range(2):  # what the first round lets go of holds the rest
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    gc.collect()
+    # Python tells the JVM of what it let go of once a second
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def tf_idf(corpus: DataFrame, doc: str, text: str, remove_stopwords: bool = True) -> DataFrame:
